@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfold.llm import common, exact_dedup, language_id, packing, queries, toxicity
+from docfold.llm import common, exact_dedup, language_id, near_dedup, packing, queries, toxicity
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each group of near-duplicates stays (five words, 0.8)."""
+    return near_dedup.deduplicate(docs, width=5, percent=80)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: pieces of the texts that are left, placed in sequences of 1024 tokens."""
     tokenizer = queries.tokenizer_file("byte_bpe_50k.json").decode()
@@ -44,6 +49,7 @@ STAGES = [
     ("language_id", language_stage),
     ("toxicity", toxicity_stage),
     ("exact_dedup", exact_stage),
+    ("minhash", near_stage),
     ("packing", packing_stage),
 ]
 

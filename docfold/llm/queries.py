@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, fingerprints, language_id, packing, token_counts, toxicity
+from . import bpe, chat_tools, common, exact_dedup, fingerprints, html_extract, language_id, near_dedup, packing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(common.table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(common.table(spark, sf_dir, "pages"))
+
+
+def op7_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat_tools.conversation_calls(common.table(spark, sf_dir, "conversations"))
+    return chat_tools.link(calls, results, chat_tools.tool_schemas(spark, chat_tools.TOOLS))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(common.table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     models = language_id.fit(docs, common.remainder(docs["doc_id"], 3) != 1)
@@ -83,7 +96,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_byte_bpe, op3_fingerprints, op4_token_counts, op5_exact_dedup, op9_language_id, op10_packing)
+    for f in (op1_toxicity, op2_byte_bpe, op3_fingerprints, op4_token_counts, op5_exact_dedup, op6_html_extraction, op7_chat_tools, op8_minhash, op9_language_id, op10_packing)
 }
 
 ORACLE_SQL = {
@@ -98,4 +111,57 @@ ORACLE_SQL = {
                text_sha256
         FROM rows
     """,
+    "op7_chat_tools": r"""
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, turn, min(text) AS text, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id
+            FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+        ),
+        results AS (
+            SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id, min(text) AS content
+            FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+        ),
+        placed AS (
+            SELECT c.conv_id, c.turn, c.call_id, 0::BIGINT AS level FROM calls c
+            WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+            UNION ALL
+            SELECT c.conv_id, c.turn, c.call_id, p.level + 1 FROM calls c JOIN placed p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2
+        ),
+        linked AS (
+            SELECT call_id, c.call_id IS NOT NULL AS called, r.call_id IS NOT NULL AS answered, turn, text, content, level
+            FROM (SELECT * FROM calls JOIN placed USING (conv_id, turn, call_id)) c FULL JOIN results r USING (call_id)
+        ),
+        told AS (SELECT *, CASE WHEN NOT called THEN 'orphan' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status FROM linked)
+        SELECT call_id, status, level,
+               CASE WHEN called THEN text IS NOT NULL END AS valid,
+               CASE WHEN called THEN CASE WHEN text IS NULL THEN ['missing:text'] ELSE []::VARCHAR[] END END AS faults,
+               '{' || CASE WHEN called AND text IS NOT NULL THEN '"arguments":{"text":' || to_json(text)::VARCHAR || ',"turn":' || turn::VARCHAR || '},' ELSE '' END
+                   || '"id":' || to_json(call_id)::VARCHAR
+                   || CASE WHEN called THEN ',"level":' || level::VARCHAR ELSE '' END
+                   || CASE WHEN content IS NOT NULL THEN ',"result":' || to_json(content)::VARCHAR ELSE '' END
+                   || ',"status":"' || status || '"'
+                   || CASE WHEN called THEN ',"tool":"reply"' ELSE '' END || '}' AS message
+        FROM told
+    """,
+    "op8_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        shingles AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+                   ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s
+            FROM words
+        ),
+        sizes AS (SELECT doc_id, count(s) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared_n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ),
+        links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared_n >= 80 * (x.n + y.n - shared_n)
+        ),
+        either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, e.b FROM reached r JOIN either e ON e.a = r.b)
+        SELECT r.a AS doc_id, any_value(n) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
+        FROM reached r JOIN sizes s ON s.doc_id = r.a GROUP BY r.a
+    """,
 }
