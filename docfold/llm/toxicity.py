@@ -167,7 +167,8 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, steps: np.ndarray, sta
 
 
 def label_tokens(texts: list[str], toxic: list[int]) -> list[tuple[list[str], list[int]]]:
-    """Tokens and token labels: the neighbourhoods of toxic tokens, and stretches of clean texts."""
+    """Tokens and token labels: the neighbourhoods of toxic tokens, of tokens in clean texts that
+    look like them, and stretches of clean texts."""
     seen: list[Counter] = [Counter(), Counter()]
     words = [[plain(w) for w in t.split()] for t in texts]
     for ws, y in zip(words, toxic, strict=True):
@@ -183,12 +184,11 @@ def label_tokens(texts: list[str], toxic: list[int]) -> list[tuple[list[str], li
     for ws, y in zip(words, toxic, strict=True):
         if not ws:
             continue
-        marks = [int(bool(y and w and any(p in strong for p in parts(w) if p[0] != "e"))) for w in ws]
-        if y:
-            hits = [i for i, m in enumerate(marks) if m][:40]
-            for a, b in stretches(hits, len(ws)):
-                out.append((ws[a:b], marks[a:b]))
-        else:
+        like = [int(bool(w) and any(p in strong for p in parts(w))) for w in ws]
+        marks = like if y else [0] * len(ws)
+        for a, b in stretches([i for i, m in enumerate(like) if m][:40], len(ws)):
+            out.append((ws[a:b], marks[a:b]))
+        if not y:
             a = zlib.crc32(ws[0].encode()) % max(1, len(ws) - CLEAN_TOKENS)
             out.append((ws[a : a + CLEAN_TOKENS], marks[a : a + CLEAN_TOKENS]))
     return out
