@@ -50,6 +50,9 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in visible else chr(next(spare)) for b in range(256))
 
 
+#: Words whose ids and bytes a worker keeps in each of two generations.
+PAIRS = 300_000
+
 LETTERS = byte_letters()
 TO_LETTERS = {b: LETTERS[b] for b in range(256)}
 TO_BYTES = {ord(c): b for b, c in enumerate(LETTERS)}
@@ -121,10 +124,10 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = WordTable(ByteBpe(shared.value, pattern).encode_words)
+        words = common.lasting("bpe ids", (shared.value, pattern), lambda: WordTable(ByteBpe(shared.value, pattern).encode_words))
         for batch in batches:
-            cut = words.split(batch.to_pylist())
-            yield pa.array([[i for w in ws for i in words.known[w]] for ws in cut], pa.list_(pa.int32()))
+            found = words.look_up(batch.to_pylist())
+            yield pa.array([[i for ids in parts for i in ids] for parts in found], pa.list_(pa.int32()))
 
     return docs.select(docs[id_col].alias(id_col), encode(docs[text_col]).alias("ids"))
 
@@ -155,12 +158,14 @@ def round_trip_digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = ByteBpe(shared.value, pattern)
-        words = WordTable(lambda ws: [(",".join(map(str, ids)), codec.decode(ids)) for ids in codec.encode_words(ws)])
+        def make() -> WordTable:
+            codec = ByteBpe(shared.value, pattern)
+            return WordTable(lambda ws: [(",".join(map(str, ids)), codec.decode(ids)) for ids in codec.encode_words(ws)], PAIRS)
+
+        words = common.lasting("bpe digests", (shared.value, pattern), make)
         for batch in batches:
             counts, ids_hex, bytes_hex = [], [], []
-            for ws in words.split(batch.to_pylist()):
-                pairs = list(map(words.known.__getitem__, ws))
+            for pairs in words.look_up(batch.to_pylist()):
                 ids = ",".join([p[0] for p in pairs])
                 counts.append(ids.count(",") + 1 if ids else 0)
                 ids_hex.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -181,10 +186,12 @@ def count_tokens(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = ByteBpe(shared.value, pattern)
-        words = WordTable(lambda ws: list(map(len, codec.encode_words(ws))))
+        def make() -> WordTable:
+            codec = ByteBpe(shared.value, pattern)
+            return WordTable(lambda ws: list(map(len, codec.encode_words(ws))))
+
+        words = common.lasting("bpe counts", (shared.value, pattern), make)
         for batch in batches:
-            cut = words.split(batch.to_pylist())
-            yield pa.array([sum(map(words.known.__getitem__, ws)) for ws in cut], pa.int64())
+            yield pa.array(map(sum, words.look_up(batch.to_pylist())), pa.int64())
 
     return docs.select(docs[id_col].alias(id_col), count(docs[text_col]).alias("n_tokens"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,30 @@ def hashed_share(key: Column, share: float, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(top)) < F.lit(int(min(1.0, share) * top))
 
 
+class Shared:
+    """A broadcast value with an identity of its own, by which workers know it from others."""
+
+    def __init__(self, spark: SparkSession, value: Any):
+        self._broadcast, self.id = spark.sparkContext.broadcast(value), uuid.uuid4().hex
+
+    @property
+    def value(self) -> Any:
+        return self._broadcast.value
+
+
+_LASTING: dict[str, tuple[Any, Any]] = {}
+
+
+def lasting(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by this worker process from task to task while ``key`` stays the same.
+
+    It must be a function of ``key``: it only saves computing the same again.
+    """
+    if _LASTING.get(kind, (None,))[0] != key:
+        _LASTING[kind] = (key, make())
+    return _LASTING[kind][1]
+
+
 class Memo(dict):
     """Numbers that new keys get as they are first looked up; ``fresh`` lists those keys."""
 

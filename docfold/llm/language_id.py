@@ -259,12 +259,12 @@ def fit(docs: DataFrame, learn: Column | None = None, text_col: str = "text", la
 def predict(docs: DataFrame, models: Models, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """``docs`` with a struct ``out_col`` of lang_pred, score, entropy and rejected."""
     common.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample it was fitted on
+    shared = common.Shared(docs.sparkSession, models)  # bounded by the sample it was fitted on
 
     @F.arrow_udf("lang_pred string, score double, entropy double, rejected boolean")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        words = ScoredWords(m.word_scores)
+        words = common.lasting("language", shared.id, lambda: ScoredWords(m.word_scores))
         for batch in batches:
             entropy, letters = _entropies(words, batch.to_pylist())
             n = len(batch)

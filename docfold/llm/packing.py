@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,20 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SLOT_SCHEMA = "_length long, _from long, _to long, _sequence long, offset long"
 
 
+def _word_ids(tokenizer_json: str) -> WordTable:
+    """Each word's ids as little-endian 32-bit numbers."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(tokenizer_json)
+    tokenizer.encode_special_tokens = True
+
+    def encode(words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    return WordTable(encode)
+
+
 def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each text's ids followed by ``end_id``.
 
@@ -41,23 +56,14 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: in
     """
     common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
-    end = np.array([end_id], "<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True
-
-        def encode(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-        words = WordTable(encode)
+        words = common.lasting("packing", shared.value, lambda: _word_ids(shared.value))
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, ws in zip(batch.column(0).to_pylist(), words.split(batch.column(1).to_pylist()), strict=True):
-                ids = b"".join(map(words.known.__getitem__, ws)) + end
+            for doc_id, parts in zip(batch.column(0).to_pylist(), words.look_up(batch.column(1).to_pylist()), strict=True):
+                ids = b"".join(parts) + end
                 n = len(ids) // 4
                 starts = [0, *range(n % capacity or capacity, n, capacity)]
                 for i, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):

@@ -9,14 +9,15 @@ each distinct word can be kept.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-import regex
-
-WORDS = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: The white space of Unicode, as the tokenizers' patterns understand it.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 #: Distinct words that a worker keeps in each of its two generations.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 
 
 class WordTable:
@@ -29,14 +30,27 @@ class WordTable:
     def __init__(self, encode: Callable[[list[str]], list], limit: int = KEPT_WORDS):
         self.encode, self.limit, self.known, self.elder = encode, limit, {}, {}
 
-    def split(self, texts: list[str | None]) -> list[list[str]]:
-        """Words of each text; ``known`` has all of them until the next call."""
-        words = [WORDS.findall(t) if t else [] for t in texts]
+    def look_up(self, texts: list[str | None]) -> list[list]:
+        """For each text what its words encode to, in order; a null text has no words."""
         if len(self.known) > self.limit:
             self.known, self.elder = {}, self.known
-        new = {w for ws in words for w in ws} - self.known.keys()
-        back = {w: self.elder[w] for w in new if w in self.elder}
+        known, cut, found = self.known.get, [], []
+        new: set[str] = set()
+        for text in texts:
+            words = WORDS.findall(text) if text else []
+            values = list(map(known, words))
+            gaps = [i for i, v in enumerate(values) if v is None] if None in values else []
+            new.update(words[i] for i in gaps)
+            cut.append([(i, words[i]) for i in gaps])
+            found.append(values)
+        self._learn(new)
+        for values, gaps in zip(found, cut, strict=True):
+            for i, word in gaps:
+                values[i] = self.known[word]
+        return found
+
+    def _learn(self, words: set[str]) -> None:
+        back = {w: self.elder[w] for w in words if w in self.elder}
         self.known.update(back)
-        new = list(new - back.keys())
+        new = [w for w in words if w not in back]
         self.known.update(zip(new, self.encode(new), strict=True))
-        return words

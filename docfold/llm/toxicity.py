@@ -293,12 +293,12 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", out_col: str =
     """``docs`` with a struct ``out_col``: score, and spans of first and last character (the
     latter exclusive) with their highest marginal."""
     common.small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # of a fixed size
+    shared = common.Shared(docs.sparkSession, field)  # of a fixed size
 
     @F.arrow_udf("score double, spans array<struct<start:int,end:int,marginal:double>>")
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = shared.value
-        words = ScoredWords(f.scores)
+        words = common.lasting("toxicity", shared.id, lambda: ScoredWords(f.scores))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         for batch in batches:
             texts = batch.to_pylist()
