@@ -121,15 +121,29 @@ def heuristic_heading(line: Column) -> Column:
     return (own != "") & (n <= 8) & ~F.rlike(own, F.lit("[.;?!]$")) & (T.step_number(own) == "") & (capitals | titled)
 
 
+# How captions begin, and what separates the cells of a table in plain text.
+CAPTION = r"(?i)^(?:figure|fig\.?|diagram|workflow|architecture|table|chart|image|screenshot|screen)\s*[\dA-Za-z.-]*[:\-]?\s+"
+CELL_BORDER = r"\s{2,}|\t|\|"
+
+
+def looks_like_table(text: Column) -> Column:
+    """Lines that all hold a cell border (of the first four), or one line with two borders and three words."""
+    own = T.lines(text)
+    several = (F.size(own) >= 2) & F.forall(F.slice(own, 1, 4), lambda x: F.rlike(x, F.lit(CELL_BORDER)))
+    single = (F.size(own) == 1) & (F.regexp_count(F.get(own, F.lit(0)), F.lit(CELL_BORDER)) >= 2) & (F.size(T.words(text)) >= 3)
+    return several | single
+
+
 def unit_type(text: Column) -> Column:
     """table, step, caption, heading or paragraph for a unit of a page."""
     own = F.trim(text)
-    table = F.contains(own, F.lit("|")) | (F.size(F.filter(F.split(own, r"\s{2,}|\t"), lambda x: x != "")) >= 3)
+    colon = F.endswith(own, F.lit(":")) & (F.size(T.words(own)) <= 6)
+    few_digits = F.char_length(F.regexp_replace(own, r"\D", "")) <= 4
     return (
-        F.when(table, "table")
-        .when(T.step_number(own) != "", "step")
-        .when(F.rlike(own, F.lit(r"(?i)^(?:figure|fig\.|table|image|diagram)\s*\d*\s*[:.-]")), "caption")
-        .when(heuristic_heading(own), "heading")
+        F.when(looks_like_table(text), "table")
+        .when(F.rlike(own, F.lit(T.STEP_START)), "step")
+        .when(F.rlike(own, F.lit(CAPTION)), "caption")
+        .when((F.size(T.words(own)) > 0) & (colon | (heuristic_heading(own) & few_digits & ~F.endswith(own, F.lit(":")))), "heading")
         .otherwise("paragraph")
     )
 
@@ -164,18 +178,42 @@ def regions(rows: DataFrame, sheet: list[str], row: str = "row_no", cells: str =
     return filled.withColumn("_start", starts).withColumn("region", F.sum("_start").over(order) - 1).drop("_start")
 
 
-def region_types(rows: DataFrame, sheet: list[str]) -> DataFrame:
-    """table or key_value for each region: the latter if all rows have at most two cells filled
-    and the first row does not repeat as the width of a header with rows of the same width."""
-    kinds = rows.groupBy(*sheet, "region").agg(
-        F.min("row_no").alias("first_row"),
-        F.max("row_no").alias("last_row"),
-        F.max("populated").alias("widest"),
-        F.sum(F.when(F.col("populated") == 2, 1).otherwise(0)).cast("long").alias("pairs"),
+def region_types(rows: DataFrame, sheet: list[str], row: str = "row_no", cells: str = "cells") -> DataFrame:
+    """table or key_value for each region, from its first row and the counts of filled cells.
+
+    Pairs without numbers behind a first row of two cells are key_value. Else rows as wide as a
+    first row of two cells or more, at least half of them, make a table. Else rows of one or two
+    cells that begin with a text, but for one row at most, are key_value. All else is a table.
+    """
+    values = F.filter(F.transform(cells, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    number = F.exists(F.slice(values, 2, 10_000), lambda x: F.rlike(F.replace(x, F.lit(","), F.lit("")), F.lit(r"^[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?$")))
+    first = Window.partitionBy(*sheet, "region").orderBy(row)
+    told = rows.withColumns({
+        "_number": number,
+        "_named": (F.size(values) > 0) & ~F.rlike(F.get(values, F.lit(0)), F.lit(r"^\d+$")),
+        "_head": F.first("populated").over(first),
+        "_n": F.row_number().over(first),
+    })
+    data = F.col("_n") > 1
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    kinds = told.groupBy(*sheet, "region").agg(
+        F.min(row).alias("first_row"),
+        F.max(row).alias("last_row"),
         F.count("*").alias("n_rows"),
+        F.max("_head").alias("_head"),
+        count(data & (F.col("populated") > 2)).alias("_wide"),
+        count(data & F.col("_number")).alias("_numbers"),
+        count(data & (F.col("populated") == F.col("_head"))).alias("_same"),
+        count(F.col("populated") <= 2).alias("_narrow"),
+        count(F.col("_named")).alias("_named"),
     )
-    pairs = (F.col("widest") <= 2) & (F.col("pairs") == F.col("n_rows")) & (F.col("n_rows") <= 2)
-    return kinds.withColumn("region_type", F.when(pairs, "key_value").otherwise("table"))
+    c = F.col
+    n_data, most = c("n_rows") - 1, F.greatest(F.lit(1), c("n_rows") - 1)
+    pairs = (c("_head") == 2) & (n_data > 0) & (c("_wide") == 0) & (c("_numbers") == 0)
+    table = (c("_head") >= 2) & (n_data > 0) & (c("_same") >= F.greatest(F.lit(1), F.floor(n_data / 2)))
+    narrow = (c("_narrow") >= most) & (c("_named") >= most)
+    kind = F.when(pairs, "key_value").when(table, "table").when(narrow, "key_value").otherwise("table")
+    return kinds.select(*sheet, "region", "first_row", "last_row", "n_rows", kind.alias("region_type"))
 
 
 def row_text(headers: Column, cells: Column) -> Column:

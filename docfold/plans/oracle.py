@@ -273,10 +273,15 @@ ORACLE: dict[str, str] = {
             SELECT p_partkey, p_size * 10 AS w, floor(p_retailprice)::INT AS h, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM part)
     """,
     "regions": """
-        WITH filled AS (SELECT l_orderkey, l_linenumber AS row_no FROM lineitem WHERE l_returnflag <> 'R'),
-        islands AS (SELECT *, row_no - dense_rank() OVER (PARTITION BY l_orderkey ORDER BY row_no) AS island FROM filled)
-        SELECT l_orderkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY min(row_no)) - 1 AS region, min(row_no) AS first_row, max(row_no) AS last_row, 2 AS widest,
-               count(*) AS pairs, count(*) AS n_rows, CASE WHEN count(*) <= 2 THEN 'key_value' ELSE 'table' END AS region_type FROM islands GROUP BY l_orderkey, island
+        WITH items AS (SELECT l_orderkey, l_linenumber AS row_no, max(l_returnflag) AS flag, max(l_quantity) AS q, max(l_tax) AS tax FROM lineitem GROUP BY 1, 2),
+        filled AS (SELECT *, 2 + (tax > 0.04)::INT AS n, row_no - row_number() OVER (PARTITION BY l_orderkey ORDER BY row_no) AS island FROM items WHERE flag <> 'R'),
+        told AS (SELECT *, first(n) OVER w AS head, row_number() OVER w AS i FROM filled WINDOW w AS (PARTITION BY l_orderkey, island ORDER BY row_no)),
+        summed AS (SELECT l_orderkey, min(row_no) AS first_row, max(row_no) AS last_row, count(*) AS n_rows, max(head) AS head, count(*) FILTER (i > 1 AND n > 2) AS wide,
+                          count(*) FILTER (i > 1 AND q > 25) AS numbers, count(*) FILTER (i > 1 AND n = head) AS same, count(*) FILTER (n <= 2) AS narrow FROM told GROUP BY l_orderkey, island)
+        SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY first_row) - 1 AS region, first_row, last_row, n_rows,
+               CASE WHEN head = 2 AND n_rows > 1 AND wide = 0 AND numbers = 0 THEN 'key_value'
+                    WHEN n_rows > 1 AND same >= greatest(1, (n_rows - 1) // 2) THEN 'table'
+                    WHEN narrow >= greatest(1, n_rows - 1) THEN 'key_value' ELSE 'table' END AS region_type FROM summed
     """,
     "doc_upsert": """
         SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'xx', quality FROM labels

@@ -329,8 +329,10 @@ def image_prune(spark, d):
 
 @query
 def regions(spark, d):
-    """Line items as rows of a sheet for each order; rows of returned items are empty."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("row_no"), F.when(F.col("l_returnflag") == "R", F.array(F.lit(""), F.lit(" "))).otherwise(F.array("l_returnflag", "l_linestatus")).alias("cells"))
+    """Line items as rows of a sheet for each order; a returned item's row is empty."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("row_no")).agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"), F.max("l_tax").alias("tax"))
+    full = F.array("flag", F.when(F.col("quantity") > 25, F.col("quantity").cast("int").cast("string")).otherwise("few"), F.when(F.col("tax") > 0.04, "taxed").otherwise(" "))
+    rows = items.select("l_orderkey", "row_no", F.when(F.col("flag") == "R", F.array(F.lit(""), F.lit(" "))).otherwise(full).alias("cells"))
     return structure.region_types(structure.regions(rows, ["l_orderkey"]), ["l_orderkey"])
 
 
