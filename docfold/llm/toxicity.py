@@ -18,6 +18,7 @@ without any toxic token, and no spans; without any toxic label in the sample eve
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -33,10 +34,15 @@ from . import common
 from .words import ScoredWords
 
 TOXIC_DOCS, CLEAN_DOCS, SAMPLE_CHARS = 1500, 2500, 24_000_000
-#: Hashed features, and the lengths of the beginnings and ends that are features.
-BUCKETS, BEGINNINGS, ENDS = 1 << 18, (4, 5, 6), (3, 4)
-#: A word or beginning is toxic if it is in so many toxic documents and so seldom in others.
-LEAST_DOCS, PURITY = 3, 0.8
+#: Hashed features, so many that other words seldom meet a toxic one's, and the lengths of the
+#: beginnings and ends that are features.
+BUCKETS, BEGINNINGS, ENDS = 1 << 22, (4, 5, 6), (3, 4)
+#: A word or beginning is toxic if the share of toxic documents that have it is PURITY of both
+#: shares, and chance would not make that of any of the words: the log-likelihood ratio must
+#: exceed the logarithm of their number by MARGIN.
+PURITY, MARGIN = 0.8, 1.0
+#: Hashes by which copies of a text are known, and how many of them copies share.
+SKETCH, COPY = 8, 3
 #: Tokens beside a toxic one that are fitted to, and tokens of a clean document.
 AROUND, CLEAN_TOKENS = 12, 120
 STEPS, RATE, RIDGE = 40, 0.25, 1e-4
@@ -166,18 +172,40 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, steps: np.ndarray, sta
     return p, pair
 
 
+def firsts(texts: list[list[str]]) -> list[bool]:
+    """Whether each text is the first of its copies: a later text that shares COPY of its SKETCH
+    smallest shingle hashes with an earlier one is a copy."""
+    holders: dict[int, list[int]] = {}
+    out = []
+    for number, words in enumerate(texts):
+        own = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:SKETCH]
+        shared = Counter(h for x in own for h in holders.get(x, ()))
+        out.append(max(shared.values(), default=0) < min(COPY, len(own)))
+        if out[-1]:
+            for x in own:
+                holders.setdefault(x, []).append(number)
+    return out
+
+
 def label_tokens(texts: list[str], toxic: list[int]) -> list[tuple[list[str], list[int]]]:
     """Tokens and token labels: the neighbourhoods of toxic tokens, of tokens in clean texts that
     look like them, and stretches of clean texts."""
+    known: dict[str, str] = {}  # one string for each distinct word
+    words = [[known.setdefault(w, w) for w in map(plain, t.split())] for t in texts]
+    first = firsts(words)  # copies are no further evidence
+    # Only what occurs in a toxic document can be strong, so only that is counted in clean ones.
     seen: list[Counter] = [Counter(), Counter()]
-    words = [[plain(w) for w in t.split()] for t in texts]
-    for ws, y in zip(words, toxic, strict=True):
-        seen[y].update({p for w in set(ws) if w for p in parts(w) if p[0] != "e"})
-    n = [max(1, toxic.count(y)) for y in (0, 1)]
+    for y in (1, 0):
+        for ws in (ws for ws, label, new in zip(words, toxic, first, strict=True) if label == y and new):
+            own = {p for w in set(ws) if w for p in parts(w) if p[0] != "e"}
+            seen[y].update(own if y else own & seen[1].keys())
+    n = [max(1, sum(new and label == y for new, label in zip(first, toxic, strict=True))) for y in (0, 1)]
 
     def pure(p: str) -> bool:
-        bad, good = seen[1][p] / n[1], seen[0][p] / n[0]
-        return seen[1][p] >= LEAST_DOCS and bad >= PURITY * (bad + good) and bad > 4 * good
+        bad, good = seen[1][p], seen[0][p]
+        expected = [(bad + good) * x / sum(n) for x in n]
+        gain = sum(k * math.log(k / e) for k, e in zip((good, bad), expected, strict=True) if k)
+        return bad / n[1] >= PURITY * (bad / n[1] + good / n[0]) and gain >= MARGIN + math.log(len(seen[1]))
 
     strong = {p for p in seen[1] if pure(p)}
     out = []
@@ -208,7 +236,7 @@ def stretches(hits: list[int], n: int) -> list[tuple[int, int]]:
 
 def fit_field(texts: list[str], toxic: list[int]) -> Field:
     """Fit on a bounded sample of whole texts and their labels."""
-    field = Field(np.zeros(BUCKETS), -4.0, np.zeros((2, 2)), np.zeros(2), np.array([0.0, 1.0, 0.0]))
+    field = Field(np.zeros(BUCKETS, np.float32), -4.0, np.zeros((2, 2)), np.zeros(2), np.array([0.0, 1.0, 0.0]))
     data = label_tokens(texts, toxic)
     labels = np.array([y for _, ys in data for y in ys], float)
     if not labels.sum():
@@ -229,16 +257,17 @@ def fit_field(texts: list[str], toxic: list[int]) -> Field:
     told = np.zeros((2, 2))
     np.add.at(told, (y[:-1][~first[1:]], y[1:][~first[1:]]), 1)
     n = len(labels)
-    squares = np.full(BUCKETS, 1e-8)
+    used, place = np.unique(buckets, return_inverse=True)
+    weights, squares = np.zeros(len(used)), np.full(len(used), 1e-8)
     small = np.full(7, 1e-8)
     for _ in range(STEPS):
-        by_word = np.bincount(owners, field.emissions[buckets], len(vocabulary)) + field.bias
+        by_word = np.bincount(owners, weights[place], len(vocabulary)) + field.bias
         p, pair = marginals(by_word[tokens], lengths, field.steps, field.start)
         off = labels - p
         by_word = np.bincount(tokens, off, len(vocabulary))
-        slope = np.bincount(buckets, by_word[owners], BUCKETS) - RIDGE * n * 0.01 * field.emissions
+        slope = np.bincount(place, by_word[owners], len(used)) - RIDGE * n * 0.01 * weights
         squares += slope**2
-        field.emissions += RATE * 2 * slope / np.sqrt(squares)
+        weights += RATE * 2 * slope / np.sqrt(squares)
         start = np.array([-(labels - p)[first].sum(), (labels - p)[first].sum()]) / 2
         rest = np.concatenate([[off.sum()], (told - pair).ravel(), start])
         small += rest**2
@@ -246,6 +275,7 @@ def fit_field(texts: list[str], toxic: list[int]) -> Field:
         field.bias += rest[0]
         field.steps = field.steps + rest[1:5].reshape(2, 2)
         field.start = field.start + rest[5:]
+    field.emissions[used] = weights
     words = ScoredWords(field.scores)
     rows = []
     for at in range(0, len(texts), common.BATCH_ROWS):
