@@ -52,6 +52,18 @@ def hashed_share(key: Column, share: float, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(top)) < F.lit(int(min(1.0, share) * top))
 
 
+def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept`` (one column), one row for each id, with all columns.
+
+    Rows without id cannot be told apart and all stay. The join and the choice among rows that
+    repeat an id need the same partitioning, so texts are shuffled once.
+    """
+    ids = kept.toDF("_kept_id").where("_kept_id is not null")
+    known = docs.where(docs[id_col].isNotNull())
+    chosen = known.join(ids, known[id_col] == ids["_kept_id"], "left_semi").dropDuplicates([id_col])
+    return chosen.unionByName(docs.where(docs[id_col].isNull()))
+
+
 class Shared:
     """A broadcast value with an identity of its own, by which workers know it from others."""
 
@@ -63,17 +75,19 @@ class Shared:
         return self._broadcast.value
 
 
-_LASTING: dict[str, tuple[Any, Any]] = {}
+_LASTING: list[tuple[str, Any, Any]] = []
 
 
 def lasting(kind: str, key: Any, make: Callable[[], Any]) -> Any:
-    """What ``make`` gives, kept by this worker process from task to task while ``key`` stays the same.
+    """What ``make`` gives, kept by this worker process from task to task while kind and key stay the same.
 
-    It must be a function of ``key``: it only saves computing the same again.
+    It must be a function of both: it only saves computing the same again. A worker keeps one
+    such value, so that operators that follow each other do not add up their memory.
     """
-    if _LASTING.get(kind, (None,))[0] != key:
-        _LASTING[kind] = (key, make())
-    return _LASTING[kind][1]
+    if not _LASTING or _LASTING[0][:2] != (kind, key):
+        _LASTING.clear()
+        _LASTING.append((kind, key, make()))
+    return _LASTING[0][2]
 
 
 class Memo(dict):

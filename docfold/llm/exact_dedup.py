@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The white space that the normalisation folds.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -55,6 +57,5 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat an id, one stays."""
-    kept = groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates([id_col])
+    """The rows that stay, with all their columns: one for each id that is kept, and rows without id."""
+    return common.keep_ids(docs, groups(docs, id_col, text_col).where("kept").select(id_col), id_col)
