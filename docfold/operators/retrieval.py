@@ -81,6 +81,29 @@ def query_profile(intents: Column, evidence: Column, shape: Column, rewrites: Co
     )
 
 
+#: Intents and the words of a question that call for a shape of answer, in order.
+SHAPE_RULES = [
+    ("procedural", [], "steps"),
+    ("reference", ["compare", "difference", "versus", "vs"], "comparison"),
+    ("reference", [], "parameter_list"),
+    ("regulatory", ["how many", "how much", "limit", "maximum"], "limit"),
+    ("regulatory", [], "rule"),
+    ("technical", ["what is", "define", "meaning"], "definition"),
+]
+
+
+def default_shape(intents: Column, question: Column) -> Column:
+    """The shape of answer that the first fitting rule gives, else summary."""
+    low = F.lower(question)
+    out = F.lit("summary")
+    for intent, words, shape in reversed(SHAPE_RULES):
+        fits = F.array_contains(intents, intent)
+        if words:
+            fits = fits & F.rlike(low, F.lit("|".join(words)))
+        out = F.when(fits, shape).otherwise(out)
+    return out
+
+
 def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of these keys, with score 0."""
     return rows.join(ids.select(key).distinct(), key, "left_semi").withColumn("score", F.lit(0.0))

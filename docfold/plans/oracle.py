@@ -283,6 +283,18 @@ ORACLE: dict[str, str] = {
                     WHEN n_rows > 1 AND same >= greatest(1, (n_rows - 1) // 2) THEN 'table'
                     WHEN narrow >= greatest(1, n_rows - 1) THEN 'key_value' ELSE 'table' END AS region_type FROM summed
     """,
+    "answer_shapes": r"""
+        SELECT conv_id, turn, CASE WHEN contains(text, 'que') THEN CASE WHEN regexp_matches(lower(text), 'compare|difference|versus|vs') THEN 'comparison' ELSE 'parameter_list' END
+               WHEN contains(text, 'the') THEN CASE WHEN regexp_matches(lower(text), 'how many|how much|limit|maximum') THEN 'limit' ELSE 'rule' END
+               WHEN regexp_matches(lower(text), 'what is|define|meaning') THEN 'definition' ELSE 'summary' END AS shape FROM conversations WHERE role = 'user'
+    """,
+    "follow_ups": f"""
+        WITH made AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS place, 'What else does ' || source || ' say?' AS question FROM ({scored(1)})),
+        every AS (SELECT * FROM made WHERE place <= 3 UNION ALL SELECT * FROM (VALUES (1000, 'Where does it apply?'), (1001, 'Who is concerned?'), (1002, 'What changed?')))
+        SELECT question, min(place) AS place FROM every GROUP BY question ORDER BY place, question LIMIT 3
+    """,
+    "document_list": "SELECT doc_id, source, lang, n_chars FROM documents ORDER BY n_chars DESC, doc_id",
+    "priority_pick": "SELECT s_suppkey, s_nationkey FROM supplier ORDER BY CASE WHEN s_acctbal > 0 THEN 0 ELSE 1 END, s_nationkey, s_suppkey LIMIT 1",
     "doc_upsert": """
         SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'xx', quality FROM labels
     """,

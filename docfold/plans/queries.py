@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arabic
+from ..functions import arabic, models
 from ..functions import json as J
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analytics, catalog, chunking, compare, images, lookup, ranking, retrieval, structure
+from ..operators import analytics, catalog, chunking, compare, formats, images, lookup, ranking, retrieval, structure
 from . import views
 from .views import table
 
@@ -336,6 +336,59 @@ def regions(spark, d):
     return structure.region_types(structure.regions(rows, ["l_orderkey"]), ["l_orderkey"])
 
 
+@query
+def page_chunks(spark, d):
+    """Blocks with a page for every hundred lines."""
+    blocks = views.blocks(spark, d).withColumn("page_number", F.floor(F.col("order_index") / 100).cast("int"))
+    made = formats.page_chunks(blocks.join(chunking.archetypes(views.blocks(spark, d), "doc_id"), "doc_id"), "doc_id")
+    return made.select("doc_id", "page_number", "chunk_index", "chunk_type", F.size("block_ids").alias("n_blocks"), "content")
+
+
+@query
+def markup_chunks(spark, d):
+    made = formats.markup_chunks(views.lines(spark, d), "doc_id", chunking.archetypes(views.blocks(spark, d), "doc_id"))
+    return made.select("doc_id", "chunk_index", "chunk_type", F.array_join("section_path", " > ").alias("path"), "content")
+
+
+@query
+def sheet_chunks(spark, d):
+    """Each customer's orders as the rows of a sheet."""
+    o = table(spark, d, "orders")
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = o.select(F.col("o_custkey").alias("doc_id"), F.lit("orders").alias("sheet_name"), number.alias("row_no"), F.array("o_orderpriority", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("cells"))
+    return formats.sheet_chunks(rows, "doc_id")
+
+
+@query
+def answer_shapes(spark, d):
+    turns = table(spark, d, "conversations").where("role = 'user'")
+    intents = F.when(F.contains("text", F.lit("que")), F.array(F.lit("reference"))).when(F.contains("text", F.lit("the")), F.array(F.lit("regulatory"))).otherwise(F.array(F.lit("technical")))
+    return turns.select("conv_id", "turn", retrieval.default_shape(intents, F.col("text")).alias("shape"))
+
+
+@query
+def follow_ups(spark, d):
+    best = retrieval.top_k_by_query(_scored(spark, d), 3, "doc_id").select("rank", F.col("source").alias("title"))
+    return ranking.follow_ups(best, "What else does %s say?", ["Where does it apply?", "Who is concerned?", "What changed?"])
+
+
+@query
+def embedded_texts(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", F.round(V.norm(models.embedded(F.col("text"), models.hashed_vectors)), 4).alias("norm"))
+
+
+@query
+def document_list(spark, d):
+    return table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars").orderBy(F.desc("n_chars"), "doc_id")
+
+
+@query
+def priority_pick(spark, d):
+    s = table(spark, d, "supplier")
+    return lookup.by_priority(s, F.when(F.col("s_acctbal") > 0, 0).otherwise(1), F.col("s_nationkey"), F.col("s_suppkey"), n=1).select("s_suppkey", "s_nationkey")
+
+
 # -- store --------------------------------------------------------------------------------
 
 
