@@ -6,11 +6,13 @@ minima, each cut to 16 bits. By the pigeonhole principle two signatures that dif
 once for each place that may be wrong, by its other places, and all such pairs share a key.
 At a similarity of 0.8 a chunk of five fails with probability 0.26, ten of them with 1.6e-6.
 
-Equal sets are one node from the start. A node first tries the smallest node of its keys
-whose signature is nearest; what is linked so forms trees. Then only nodes that share a key and
-are not in one tree yet are compared, each pair once, in the join itself. Links are confirmed
-on the full sets, and components follow by contracting links until none is left. Groups are
-thus never expanded into their pairs, unless their members differ and really are not linked.
+Equal sets are one node from the start. In each of ROUNDS rounds every key names one of its
+nodes as hub, another one each time, and a node tries the hub of another component whose
+signature is nearest; what links so is one component from then on. At last all nodes that
+share a key and still are in different components are compared, each pair once, in the join
+itself. Links are confirmed on the full sets, and components follow by contracting links until
+none is left. Groups are thus never expanded into their pairs, unless their members differ and
+really are not linked.
 
 Defined results: a document without words, or without text, has an empty set and is linked
 with nothing; one with fewer words than a shingle has one shingle of all its words. Rows that
@@ -35,6 +37,8 @@ CHUNKS, CHUNK = 10, 5
 PLACES = CHUNKS * CHUNK
 #: Places in which signatures may differ; every pair up to here shares a key.
 DISTANCE = 2 * CHUNKS - 1
+#: Rounds in which nodes try hubs, before all that is left is compared.
+ROUNDS = 2
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 500_000
 
@@ -103,7 +107,7 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set_key, signature array<int>); both are null for an empty set."""
+    """(id, n_shingles, set_key, signature array<short>); both are null for an empty set."""
     common.small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +118,15 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
             keys: list[bytes | None] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             rows: list = [None] * len(sets)
             if some:
-                for i, row in zip(some, signatures([sets[i] for i in some]).astype(np.int32), strict=True):
+                for i, row in zip(some, signatures([sets[i] for i in some]).view(np.int16), strict=True):
                     rows[i] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int16()))],
                 ["id", "n_shingles", "set_key", "signature"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(work, f"id {kind}, n_shingles long, set_key binary, signature array<int>")
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(work, f"id {kind}, n_shingles long, set_key binary, signature array<short>")
 
 
 def keys_of(nodes: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def keys_of(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            rows = np.array(batch.column(1).flatten()).reshape(-1, PLACES)
+            rows = np.array(batch.column(1).flatten()).view(np.uint16).reshape(-1, PLACES)
             keys = index_keys(rows)
             slots = np.tile(np.arange(PLACES, dtype=np.int32), len(rows))
             own = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), PLACES)))
@@ -143,18 +147,22 @@ def keys_of(nodes: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles array<long>) of the documents whose ids are in ``nodes``."""
+    """(node, shingles array<long>, brief array<short>) of the documents whose ids are in ``nodes``.
+
+    ``brief`` has the distinct last 16 bits of the shingles.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
             sets = shingler.sets(batch.column(1).to_pylist())
-            rows = [s.view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "shingles"])
+            rows = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+            brief = pa.array([np.unique(s.astype(np.uint16)).view(np.int16) for s in sets], pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows, brief], ["node", "shingles", "brief"])
 
     wanted = docs.select(docs[id_col].alias("node"), docs[text_col].alias("text")).join(nodes, "node", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
-    return wanted.mapInArrow(work, f"node {kind}, shingles array<long>")
+    return wanted.mapInArrow(work, f"node {kind}, shingles array<long>, brief array<short>")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -230,61 +238,89 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (id, n_shingles, component_id, kept)."""
-    signed = common.checkpoint(sign(docs, width, id_col, text_col))
-    nodes = signed.where("id is not null and set_key is not null").groupBy("set_key").agg(
-        F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
-    )
-    nodes = common.checkpoint(nodes)
-    thin = nodes.select("node", "n", "signature")
+def merged(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, tree) after the trees of linked nodes (a, b) have become one, named by its smallest node."""
+    first = trees.select(F.col("node").alias("a"), F.col("tree").alias("x"))
+    second = trees.select(F.col("node").alias("b"), F.col("tree").alias("y"))
+    between = links.join(first, "a").join(second, "b").where("x <> y")
+    tops = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    tops = tops.select(F.col("node").alias("tree"), F.col("root").alias("top"))
+    return trees.join(tops, "tree", "left").select("node", F.coalesce("top", "tree").alias("tree"))
 
-    keys = keys_of(nodes)
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members"))
-    hubs = hubs.where("members > 1").select("key", "hub")
-    members = common.checkpoint(keys.join(hubs, "key"))
 
-    # Each node tries the hub whose signature is nearest.
-    tries = members.where("node <> hub").select("node", "hub").distinct()
+def hub_pairs(members: DataFrame, trees: DataFrame, thin: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each node with the nearest hub of another tree, among the hubs of its keys.
+
+    ``turn`` 0 takes the smallest node of a key as its hub, later ones take others by a hash.
+    """
+    placed = members.select("key", "node").join(trees, "node")
+    order = F.xxhash64(F.col("node"), F.lit(turn)) if turn else F.lit(0).cast("long")
+    hub = F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("tree").alias("hub_tree")))
+    hubs = placed.groupBy("key").agg(hub.alias("h"), F.min("tree").alias("low"), F.max("tree").alias("high"))
+    hubs = hubs.where("low <> high").select("key", "h.hub", "h.hub_tree")
+    tries = placed.join(hubs, "key").where("tree <> hub_tree").select("node", "hub").distinct()
     hub_side = thin.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("signature").alias("hub_signature"))
     tries = tries.join(hub_side, "hub").join(thin, "node").where(_sizes_allow(F.col("n"), F.col("hub_n"), percent))
     distance = F.bit_count(differing(F.col("signature"), F.col("hub_signature")))
     tries = tries.select("node", "hub", distance.alias("distance")).where(F.col("distance") <= DISTANCE)
     nearest = tries.groupBy("node").agg(F.min_by("hub", F.struct("distance", "hub")).alias("hub"))
-    nearest = common.checkpoint(nearest.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    in_tries = nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = confirmed(nearest, shingle_sets(docs, in_tries, width, id_col, text_col), percent)
-    trees = roots(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))
-
-    # Whatever shares a key and is in different trees is compared, each pair in its first shared slot.
-    placed = members.select("key", "slot", "node").join(trees, "node", "left").withColumn("tree", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("tree").alias("low"), F.max("tree").alias("high")).where("low <> high").select("key")
-    open_rows = common.checkpoint(placed.join(mixed, "key").join(thin, "node").select("key", "slot", "node", "tree", "n", "signature"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    return nearest.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
+def pairs_apart(members: DataFrame, trees: DataFrame, thin: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes within DISTANCE that share a key and are in different trees.
+
+    Each pair comes once, from the first of its shared keys, which the join's condition finds.
+    The condition also leaves out pairs whose brief sets show that their full sets are not alike
+    enough: shared shingles share their last bits, and no more of them than are missing from a
+    brief set can hide behind another, so that the bound never loses a link.
+    """
+    placed = members.join(trees, "node")
+    sizes = placed.groupBy("key", "tree").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("tree", F.struct("size", "tree")).alias("main"), F.count("*").alias("trees"))
+    largest = largest.where("trees > 1").select("key", "main")
+    brief = sets.groupBy("node").agg(F.first("brief").alias("brief"))
+    rows = common.checkpoint(placed.join(largest, "key").select("key", "slot", "node", "tree", "main"))
+    told = rows.join(thin, "node").join(brief, "node")
+    # One side has the nodes outside a key's largest tree alone; it meets all nodes of the key.
+    x, y = told.where("tree <> main").alias("x"), told.alias("y")
     bits = differing(F.col("x.signature"), F.col("y.signature"))
-    own_slot = F.transform(
-        F.array(bits), lambda m: (F.bit_count(m) <= DISTANCE) & (_first_shared_slot(m) == F.col("x.slot"))
-    )[0]
+    near = F.transform(F.array(bits), lambda m: (F.bit_count(m) <= DISTANCE) & (_first_shared_slot(m) == F.col("x.slot")))[0]
     apart = (
         (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.node") < F.col("y.node"))
         & (F.col("x.tree") != F.col("y.tree"))
+        & ((F.col("x.node") < F.col("y.node")) | (F.col("y.tree") == F.col("y.main")))
         & _sizes_allow(F.col("x.n"), F.col("y.n"), percent)
     )
-    pairs = x.join(y, apart & own_slot).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    pairs = common.checkpoint(pairs.distinct())
-    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    more = confirmed(pairs, shingle_sets(docs, in_pairs, width, id_col, text_col), percent)
-    first = trees.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    second = trees.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    more = more.join(first, "a", "left").join(second, "b", "left")
-    between = more.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
-    joined = components(between)
-
-    # From set to tree to component. Nodes in no tree and no component are their own.
-    tops = joined.select(F.col("node").alias("tree"), F.col("root").alias("top"))
-    named = nodes.select("set_key", "node").join(trees, "node", "left").withColumn("tree", F.coalesce("root", "node"))
-    named = named.join(tops, "tree", "left").select("set_key", F.coalesce("top", "tree").alias("component"))
+    hidden = F.least(F.col("x.n") - F.size("x.brief"), F.col("y.n") - F.size("y.brief"))
+    most = F.size(F.array_intersect("x.brief", "y.brief")) + hidden
+    alike = F.transform(F.array(most), lambda m: 100 * m >= percent * (F.col("x.n") + F.col("y.n") - m))[0]
+    return x.join(y, apart & near & alike).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: (id, n_shingles, component_id, kept)."""
+    signed = common.checkpoint(sign(docs, width, id_col, text_col))
+    nodes = signed.where("id is not null and set_key is not null").groupBy("set_key").agg(
+        F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
+    )
+    nodes = common.checkpoint(nodes)
+    thin = nodes.select("node", "n", "signature")
+
+    keys = keys_of(nodes)
+    several = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    members = common.checkpoint(keys.join(several, "key"))
+    candidates = members.select("node").distinct()
+    sets = common.checkpoint(shingle_sets(docs, candidates, width, id_col, text_col))
+    thin = common.checkpoint(thin.join(candidates, "node", "left_semi"))
+    trees = thin.select("node", F.col("node").alias("tree"))
+    for turn in range(ROUNDS):
+        trees = common.checkpoint(merged(trees, confirmed(hub_pairs(members, trees, thin, turn, percent), sets, percent)))
+    pairs = common.checkpoint(pairs_apart(members, trees, thin, sets, percent))
+    trees = merged(trees, confirmed(pairs, sets, percent))
+
+    # A node that shares no key is a component of its own.
+    named = nodes.select("set_key", "node").join(trees, "node", "left").select("set_key", F.coalesce("tree", "node").alias("component"))
     final = signed.join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
     component = F.when(F.col("id").isNotNull(), component)
@@ -297,6 +333,5 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = groups(docs, width, percent, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows that stay, with all their columns: one for each id that is kept, and rows without id."""
+    return common.keep_ids(docs, groups(docs, width, percent, id_col, text_col).where("kept").select(id_col), id_col)
