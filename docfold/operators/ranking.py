@@ -78,6 +78,20 @@ def ai_bonus(position: Column, n: Column) -> Column:
     return F.coalesce(AI * (n - position) / n, F.lit(0.0))
 
 
+def ai_candidates(rows: DataFrame, limit: int, key: str, score: str = "score") -> DataFrame:
+    """(key, position, n): the candidates that a ranking model is shown, max(2 * limit, 8) at most,
+    in the order of their scores, which a model's answer replaces."""
+    shown = rows.select(key, score).orderBy(F.col(score).desc_nulls_last(), key).limit(max(2 * limit, 8))
+    place = F.row_number().over(Window.orderBy(F.col(score).desc_nulls_last(), key)) - 1
+    return shown.select(key, place.alias("position"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
+
+
+def with_ai_bonus(rows: DataFrame, ranking: DataFrame, key: str) -> DataFrame:
+    """Rows with the bonus that a ranking (key, position, n) of a few candidates gives them."""
+    told = rows.join(F.broadcast(ranking), key, "left")  # at most max(2 * limit, 8) rows
+    return told.withColumn("ai_bonus", ai_bonus(F.col("position"), F.col("n"))).drop("position", "n")
+
+
 def rich_score(rows: DataFrame, question: Column, shape: Column, evidence: Column) -> DataFrame:
     """Adds ``rank_score`` to candidates with score, title, section_path, content, chunk_type,
     image_refs, matched_queries, image_caption_support and ai_bonus."""
@@ -102,19 +116,21 @@ def consolidate_sections(rows: DataFrame, source: str, section: str, content: st
     """The richest row of each section of a source, with the section's highest score.
 
     Richer means more characters, then words, then images; of equally rich rows the one ranked
-    higher stays. Rows without source or section stay as they are. One window over the section
-    does it, so a section's rows are shuffled once.
+    higher stays. Rows without source or section stay as they are. Each section is summed up on
+    the map side to the key of its richest row, so a section of any size costs no more than one
+    row for each task; ``key`` names a row.
     """
     label = F.array_join(F.transform(F.filter(section, lambda x: F.trim(x) != ""), lambda x: T.section_label(x)), "\x1f")
-    keyed = rows.withColumn("_section", F.when((F.trim(F.coalesce(F.col(source), F.lit(""))) != "") & (label != ""), label))
+    has_source = F.trim(F.coalesce(F.col(source), F.lit(""))) != ""
+    keyed = rows.withColumn("_section", F.when(has_source & (label != ""), label))
     apart = keyed.where("_section is null").drop("_section")
-    group = Window.partitionBy(source, "_section")
-    richest = group.orderBy(
-        F.char_length(content).desc(), F.size(T.words(F.col(content))).desc(), F.size(images).desc(), F.col(score).desc(), F.col(key)
+    poorness = F.struct(
+        -F.char_length(content), -F.size(T.words(F.col(content))), -F.size(images), -F.col(score), F.col(key).alias("key")
     )
-    kept = keyed.where("_section is not null").withColumns({"_best": F.row_number().over(richest), "_most": F.max(score).over(group)})
-    kept = kept.where("_best = 1").withColumn(score, F.col("_most")).drop("_section", "_best", "_most")
-    return kept.unionByName(apart)
+    inside = keyed.where("_section is not null")
+    best = inside.groupBy(source, "_section").agg(F.min_by(key, poorness).alias("_best"), F.max(score).alias("_most"))
+    kept = inside.drop("_section").join(best.select("_best", "_most"), F.col(key) == F.col("_best"))
+    return kept.withColumn(score, F.col("_most")).drop("_best", "_most").unionByName(apart)
 
 
 def image_score(vector: Column, question: Column, text: Column, visual: Column) -> Column:

@@ -93,8 +93,8 @@ def windows(most: int, overlap: int, least: int = 0) -> str:
 
 PROFILED = f"""
     SELECT doc_id, score, source AS title, lang, source, text, label,
-           0.18 * (count(*) OVER (PARTITION BY label) - (row_number() OVER (PARTITION BY label ORDER BY doc_id) - 1)) / count(*) OVER (PARTITION BY label) AS ai_bonus
-    FROM ({scored(1)})
+           CASE WHEN place < n THEN 0.18 * (n - place) / n ELSE 0 END AS ai_bonus
+    FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS place, least(count(*) OVER (), {max(2 * K, 8)}) AS n FROM ({scored(1)}))
 """
 IMAGES = f"SELECT vec_id AS image_id, label::BIGINT AS related_chunk_id, 'img/' || vec_id AS image_path, label::BIGINT AS document_id, score FROM ({scored(1, 'SELECT * FROM embeddings')})"
 TOP_CHUNKS = f"""

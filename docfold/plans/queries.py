@@ -86,8 +86,7 @@ def query_list(spark, d):
 def _profiled(spark, d) -> DataFrame:
     """All chunks as candidates with what the rich score reads."""
     best = _scored(spark, d)
-    n = F.count("*").over(Window.partitionBy("label"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy("doc_id")) - 1
+    best = ranking.with_ai_bonus(best, ranking.ai_candidates(best, K, "doc_id"), "doc_id")
     return best.select(
         "doc_id",
         "score",
@@ -98,7 +97,7 @@ def _profiled(spark, d) -> DataFrame:
         F.when(F.col("label") > 2, F.array(F.concat(F.lit("img/"), F.col("label").cast("string")))).otherwise(F.array().cast("array<string>")).alias("image_refs"),
         F.array(F.lit(0), F.lit(1)).alias("matched_queries"),
         F.lit(0.0).alias("image_caption_support"),
-        ranking.ai_bonus(place, n).alias("ai_bonus"),
+        "ai_bonus",
         "lang",
         "source",
     )
