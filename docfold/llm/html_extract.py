@@ -48,6 +48,8 @@ BAD_NAMES = frozenset(
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar "
     "topbar trending warning widget widgets".split()
 )
+BAD_BEGINNINGS = tuple("adsby advert breadcrumb comment cookie newsletter pagination promo recommend sidebar sponsor subscri".split())
+ABOUT_OTHERS = frozenset("has no with without".split())
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could do for from had has have he her his if in into is "
@@ -98,7 +100,9 @@ def hint_of(name: str, attributes: str, above: int) -> int:
         return -1
     if name not in ("html", "body"):
         parts = {p.lower() for p in NAME_PARTS.findall(f"{named.get('class', '')} {named.get('id', '')}")}
-        if parts & BAD_NAMES or ("header" in parts and above <= 0 and name != "article"):
+        named_bad = parts & BAD_NAMES or any(p.startswith(BAD_BEGINNINGS) for p in parts)
+        # Names like has-sidebar or no-comments tell of something else than the element itself.
+        if (named_bad and not parts & ABOUT_OTHERS) or ("header" in parts and above <= 0 and name != "article"):
             return -1
         if parts & GOOD_NAMES:
             return 1
@@ -189,31 +193,43 @@ def first_pass(block: Block) -> bool | None:
     return True if stops >= STOPS_HIGH or len(text) >= LONG else None
 
 
-def second_pass(labels: list[bool | None], hints: list[int]) -> list[bool]:
+def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     """Open blocks take the label of the nearest decided block.
 
     Only blocks of articles decide for blocks of an article; where none does, or where the two
-    nearest are as near and differ, such a block is good. Elsewhere it is bad then.
+    nearest are as near and differ, such a block is good. Elsewhere a heading then goes with what
+    follows it, and other blocks are bad.
     """
+    everywhere = decided_beside(labels)
+    articles = decided_beside([label if b.hint > 0 else None for b, label in zip(blocks, labels, strict=True)])
     out = []
-    for i, (label, hint) in enumerate(zip(labels, hints, strict=True)):
+    for i, label in enumerate(labels):
         if label is None:
-            label = nearest_label(labels, hints, i, inside=hint > 0)
-        out.append(hint > 0 if label is None else label)
+            j, k = (articles if blocks[i].hint > 0 else everywhere)[i]
+            before, after = (None if x is None else labels[x] for x in (j, k))
+            if j is None or (k is not None and k - i < i - j):
+                label = after
+            elif k is None or i - j < k - i or before == after:
+                label = before
+            elif blocks[i].heading and blocks[i].hint <= 0:
+                label = after
+        out.append(blocks[i].hint > 0 if label is None else label)
     return out
 
 
-def nearest_label(labels: list[bool | None], hints: list[int], i: int, inside: bool) -> bool | None:
-    """The label of the decided block nearest to the open block ``i``, if the nearest agree.
-
-    Open blocks in a row make long searches only where none of them is decided; a search
-    ends at the first decided block to either side.
-    """
-    for step in range(1, len(labels)):
-        near = [labels[j] for j in (i - step, i + step) if 0 <= j < len(labels) and labels[j] is not None and (hints[j] > 0 or not inside)]
-        if near:
-            return near[0] if near[0] == near[-1] else None
-    return None
+def decided_beside(labels: list[bool | None]) -> list[tuple[int | None, int | None]]:
+    """For each place the nearest ones before and after it that have a label."""
+    before: list[int | None] = []
+    last = None
+    for i, label in enumerate(labels):
+        before.append(last)
+        last = i if label is not None else last
+    after: list[int | None] = []
+    last = None
+    for i in range(len(labels) - 1, -1, -1):
+        after.append(last)
+        last = i if labels[i] is not None else last
+    return list(zip(before, reversed(after), strict=True))
 
 
 def extract(page: str | None) -> str:
@@ -221,7 +237,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    kept = second_pass([first_pass(b) for b in blocks], [b.hint for b in blocks])
+    kept = second_pass(blocks, [first_pass(b) for b in blocks])
     return "\n\n".join(b.text for b, good in zip(blocks, kept, strict=True) if good)
 
 

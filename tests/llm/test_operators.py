@@ -292,6 +292,9 @@ LINES = "The river was high in the spring and the old bridge had to be closed fo
         ("<div><p>" + LINES + "</p><p>Few words.</p><p>" + LINES + "</p></div><div><a href=a>One link</a> <a href=b>and another</a></div>",
          [LINES.strip(), "Few words.", LINES.strip()]),
         ("<article><script>var t='</p>';</script><style>p{}</style><!-- no --><form><p>Sign up</p></form><p>" + LINES + "</p></article>", [LINES.strip()]),
+        ("<nav>Home</nav><div id='page' class='has-sidebar'><h1>Title</h1><p>" + LINES + "</p><ins class='adsbygoogle'>Buy</ins><p>" + LINES + "</p></div>", ["Title", LINES.strip(), LINES.strip()]),
+        ("<header class='site-header'><h1>Site</h1></header><article class='post'><header class='post-header'><h1>Head</h1></header><p>" + LINES
+         + "</p><table><tr><td>a</td><td>b</td></tr></table><div class='share-buttons'>Share this</div></article>", ["Head", LINES.strip(), "a b"]),
         ("<article><h2>Only</h2><p>short.</p></article>", ["Only", "short."]),
         ("<article><p>1 &lt; 2 &#233; <b>bold<p>" + LINES, ["1 < 2 é bold", LINES.strip()]),
     ],
