@@ -251,7 +251,11 @@ def build_chunks(blocks: DataFrame, doc: str, title: str, most: int = 220, overl
     index = F.row_number().over(Window.partitionBy(doc).orderBy("group", "_w")) - 1
     numbered = spread.withColumn("chunk_index", index).drop("_w", "_items")
     identity = F.sha2(F.concat_ws("|", F.col(doc).cast("string"), F.col("chunk_index").cast("string")), 256)
-    return numbered.withColumn("chunk_id", identity)
+    rendered = T.embedding_text(
+        F.col("chunk_title"), F.col("section_path"), F.col("chunk_type"), F.lit(""), F.col("content"), F.col("archetype")
+    )
+    tags = T.detect_languages(F.col("content"))
+    return numbered.withColumns({"chunk_id": identity, "language_tags": tags, "embedding_text": rendered})
 
 
 def overlapping_blocks(blocks: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:

@@ -64,3 +64,14 @@ def existing(images: DataFrame, files: DataFrame) -> DataFrame:
     """Images whose path is a raster file of the listing."""
     suffix = F.lower(F.element_at(F.split("image_path", r"\."), -1))
     return images.where(suffix.isin(RASTER)).join(files.select(F.col("path").alias("image_path")).distinct(), "image_path", "left_semi")
+
+
+def linked(images: DataFrame, block_images: DataFrame, chunks: DataFrame, doc: str) -> DataFrame:
+    """Images of documents with related_chunk_id: the first chunk whose blocks show them, or null.
+
+    ``block_images`` has block_id and image_path, ``chunks`` has chunk_id, chunk_index and block_ids.
+    """
+    spread = chunks.select(doc, "chunk_id", "chunk_index", F.explode("block_ids").alias("block_id"))
+    shown = spread.join(block_images.select(doc, "block_id", "image_path"), [doc, "block_id"])
+    first = shown.groupBy(doc, "image_path").agg(F.min_by("chunk_id", "chunk_index").alias("related_chunk_id"))
+    return images.join(first, [doc, "image_path"], "left")

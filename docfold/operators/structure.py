@@ -83,6 +83,43 @@ def blank_line_blocks(lines: DataFrame, keys: list[str]) -> DataFrame:
     return made.withColumn("block", number).drop("_island")
 
 
+def typed_blocks(lines: DataFrame, doc: str) -> DataFrame:
+    """Blocks (doc, order_index, block_type, text, heading_level, section_path) of plain text.
+
+    Headings are underlined in any of the loose characters, or look like headings between empty
+    lines; a line that starts as a step or list item is a block; other lines that follow each
+    other form paragraphs. Paths hold the headings that are open at a block, itself included.
+    """
+    order = Window.partitionBy(doc).orderBy("line_no")
+    own, before, after = F.trim("line"), F.trim(F.lag("line").over(order)), F.trim(F.lead("line").over(order))
+    rule = F.rlike(own, F.lit(LOOSE)) & (F.char_length(own) >= 3)
+    alone = (F.coalesce(before, F.lit("")) == "") & (F.coalesce(after, F.lit("")) == "")
+    told = underlined(lines, doc, loose=True).withColumns({"_before": before, "_alone": alone, "_rule": rule})
+    told = told.where(~F.col("_rule"))
+    level = F.coalesce("heading_level", F.when(F.col("_alone") & heuristic_heading(own), F.lit(2)))
+    kind = (
+        F.when(own == "", "blank")
+        .when(level.isNotNull(), "heading")
+        .when(F.rlike(own, F.lit(T.STEP_START)), "step")
+        .when(F.rlike(own, F.lit(r"^[-*•]\s+")), "list_item")
+        .otherwise("paragraph")
+    )
+    typed = told.withColumns({"heading_level": level, "block_type": kind}).drop("_before", "_alone", "_rule")
+    goes_on = (F.col("block_type") == "paragraph") & (F.lag("block_type").over(order) == "paragraph")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    marked = typed.withColumn("_start", F.when(goes_on, 0).otherwise(1)).withColumn("_block", F.sum("_start").over(so_far))
+    marked = marked.withColumn("heading_line", F.max(F.when(F.col("heading_level").isNotNull(), F.col("line_no"))).over(so_far))
+    row = F.struct("line_no", own.alias("text"))
+    made = marked.where("block_type <> 'blank'").groupBy(doc, "_block", "block_type", "heading_line").agg(
+        F.max("heading_level").alias("heading_level"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["text"]), " ").alias("text"),
+    )
+    pathed = made.join(heading_paths(typed, doc), [doc, "heading_line"], "left")
+    index = F.row_number().over(Window.partitionBy(doc).orderBy("_block")) - 1
+    none = F.array().cast("array<string>")
+    return pathed.select(doc, index.alias("order_index"), "block_type", "text", "heading_level", F.coalesce("section_path", none).alias("section_path"))
+
+
 def block_artifacts(text: Column) -> Column:
     """Anchors, image references, directives, equation labels and inline formulas of a block."""
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))

@@ -275,6 +275,11 @@ def blank_line_blocks(spark, d):
     return structure.blank_line_blocks(views.lines(spark, d), ["doc_id"])
 
 
+@query
+def typed_blocks(spark, d):
+    return structure.typed_blocks(views.lines(spark, d), "doc_id").drop("section_path")
+
+
 @query
 def sections(spark, d):
     marked = structure.underlined(views.lines(spark, d), "doc_id")

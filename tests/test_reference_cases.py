@@ -124,6 +124,24 @@ def test_sections_and_blocks(spark):
     assert [(b["first_line"], b["last_line"]) for b in blocks] == [(0, 0), (2, 4), (6, 9), (11, 14)]
 
 
+def test_typed_blocks(spark):
+    text = "Guide\n=====\nfirst line\nsecond line\n\n1. do it\n- item\n\nPart Two\n--------\nbody"
+    lines = structure.split_lines(spark.createDataFrame([(1, text), (2, "no heading here.")], "d int, t string"), "d", "t")
+    got = [(r["block_type"], r["text"], r["section_path"]) for r in structure.typed_blocks(lines, "d").orderBy("d", "order_index").collect()]
+    assert got == [
+        ("heading", "Guide", ["Guide"]), ("paragraph", "first line second line", ["Guide"]), ("step", "1. do it", ["Guide"]), ("list_item", "- item", ["Guide"]),
+        ("heading", "Part Two", ["Guide", "Part Two"]), ("paragraph", "body", ["Guide", "Part Two"]), ("paragraph", "no heading here.", []),
+    ]
+
+
+def test_images_belong_to_the_first_chunk_that_shows_them(spark):
+    found = spark.createDataFrame([("d", "a.png"), ("d", "b.png")], "doc string, image_path string")
+    shown = spark.createDataFrame([("d", "b1", "a.png"), ("d", "b2", "a.png")], "doc string, block_id string, image_path string")
+    chunks = spark.createDataFrame([("d", "c1", 0, ["b1"]), ("d", "c2", 1, ["b1", "b2"])], "doc string, chunk_id string, chunk_index int, block_ids array<string>")
+    got = {r["image_path"]: r["related_chunk_id"] for r in images.linked(found, shown, chunks, "doc").collect()}
+    assert got == {"a.png": "c1", "b.png": None}
+
+
 @pytest.mark.parametrize(("text", "want"), [("Figure 2: Recovery workflow", "caption"), ("Region   Status   Lag", "table"), ("1. go on", "step"), ("RECOVERY PLAN", "heading"), ("It is done.", "paragraph")])
 def test_unit_types(spark, text, want):
     assert one(spark, structure.unit_type(F.col("t")), t=text) == want
