@@ -105,9 +105,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _share(items: Column, holds) -> Column:
-    n = F.size(items)
-    return F.when(n > 0, F.size(F.filter(items, holds)) / n).otherwise(F.lit(0.0))
+    return once(items, lambda own: F.when(F.size(own) > 0, F.size(F.filter(own, holds)) / F.size(own)).otherwise(F.lit(0.0)))
 
 
 def step_density(text: Column) -> Column:
@@ -128,12 +132,15 @@ def numeric_density(text: Column) -> Column:
 
 def definition_density(title: Column, text: Column) -> Column:
     """0.1 for a short title, 0.1 for a lead with a colon or of few words, 0.08 for few lines."""
-    own = lines(text)
-    lead = F.get(own, F.lit(0))
-    score = F.when(F.size(words(title)) <= 8, 0.1).otherwise(0.0)
-    score = score + F.when(F.contains(lead, F.lit(":")) | (F.size(words(lead)) <= 12), 0.1).otherwise(0.0)
-    score = score + F.when(F.size(own) <= 6, 0.08).otherwise(0.0)
-    return F.when(F.size(own) > 0, score).otherwise(F.lit(0.0))
+    short = F.when(F.size(words(title)) <= 8, 0.1).otherwise(0.0)
+
+    def of(own: Column) -> Column:
+        lead = F.get(own, F.lit(0))
+        opening = F.when(F.contains(lead, F.lit(":")) | (F.size(words(lead)) <= 12), 0.1).otherwise(0.0)
+        few = F.when(F.size(own) <= 6, 0.08).otherwise(0.0)
+        return F.when(F.size(own) > 0, short + opening + few).otherwise(F.lit(0.0))
+
+    return once(lines(text), of)
 
 
 def step_number(text: Column) -> Column:
