@@ -5,6 +5,8 @@ minima, each cut to 16 bits. By the pigeonhole principle two signatures that dif
 2 * CHUNKS - 1 places agree in some chunk but for one place at most; so every chunk is indexed
 once for each place that may be wrong, by its other places, and all such pairs share a key.
 At a similarity of 0.8 a chunk of five fails with probability 0.26, ten of them with 1.6e-6.
+That is the whole rate at which linked pairs are missed: however many places differ, a pair that
+shares a key is decided on the full sets.
 
 Equal sets are one node from the start. In each of ROUNDS rounds every key names one of its
 nodes as hub, another one each time, and a node tries the hub of another component whose
@@ -35,7 +37,7 @@ from . import common
 
 CHUNKS, CHUNK = 10, 5
 PLACES = CHUNKS * CHUNK
-#: Places in which signatures may differ; every pair up to here shares a key.
+#: Every pair of signatures that differ in at most so many places shares a key; most others of linked pairs do as well.
 DISTANCE = 2 * CHUNKS - 1
 #: Rounds in which nodes try hubs, before all that is left is compared.
 ROUNDS = 2
@@ -262,13 +264,13 @@ def hub_pairs(members: DataFrame, trees: DataFrame, thin: DataFrame, turn: int,
     hub_side = thin.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("signature").alias("hub_signature"))
     tries = tries.join(hub_side, "hub").join(thin, "node").where(_sizes_allow(F.col("n"), F.col("hub_n"), percent))
     distance = F.bit_count(differing(F.col("signature"), F.col("hub_signature")))
-    tries = tries.select("node", "hub", distance.alias("distance")).where(F.col("distance") <= DISTANCE)
+    tries = tries.select("node", "hub", distance.alias("distance"))
     nearest = tries.groupBy("node").agg(F.min_by("hub", F.struct("distance", "hub")).alias("hub"))
     return nearest.select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
 def pairs_apart(members: DataFrame, trees: DataFrame, thin: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes within DISTANCE that share a key and are in different trees.
+    """(a, b): pairs of nodes that share a key, are in different trees and may be alike enough.
 
     Each pair comes once, from the first of its shared keys, which the join's condition finds.
     The condition also leaves out pairs whose brief sets show that their full sets are not alike
@@ -285,7 +287,7 @@ def pairs_apart(members: DataFrame, trees: DataFrame, thin: DataFrame, sets: Dat
     # One side has the nodes outside a key's largest tree alone; it meets all nodes of the key.
     x, y = told.where("tree <> main").alias("x"), told.alias("y")
     bits = differing(F.col("x.signature"), F.col("y.signature"))
-    near = F.transform(F.array(bits), lambda m: (F.bit_count(m) <= DISTANCE) & (_first_shared_slot(m) == F.col("x.slot")))[0]
+    once = F.transform(F.array(bits), lambda m: _first_shared_slot(m) == F.col("x.slot"))[0]
     apart = (
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.tree") != F.col("y.tree"))
@@ -295,7 +297,7 @@ def pairs_apart(members: DataFrame, trees: DataFrame, thin: DataFrame, sets: Dat
     hidden = F.least(F.col("x.n") - F.size("x.brief"), F.col("y.n") - F.size("y.brief"))
     most = F.size(F.array_intersect("x.brief", "y.brief")) + hidden
     alike = F.transform(F.array(most), lambda m: 100 * m >= percent * (F.col("x.n") + F.col("y.n") - m))[0]
-    return x.join(y, apart & near & alike).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return x.join(y, apart & once & alike).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -440,6 +440,21 @@ def test_every_pair_in_reach_shares_a_key():
     assert (near_dedup.index_keys(a) == near_dedup.index_keys(b)).any(1).all()
 
 
+def test_links_whose_signatures_differ_in_many_places(spark):
+    rng = np.random.default_rng(13)
+    pairs = [(words[:90], words[10:]) for words in (rng.choice(100_000, 100, replace=False) for _ in range(6000))]
+    texts = [[" ".join(f"t{w}" for w in ws) for ws in pair] for pair in pairs]
+    shingler = near_dedup.Shingler(1)
+    a, b = (near_dedup.signatures(shingler.sets([t[k] for t in texts])) for k in (0, 1))
+    far = (a != b).sum(1) > near_dedup.DISTANCE
+    found = np.flatnonzero(far & (near_dedup.index_keys(a) == near_dedup.index_keys(b)).any(1))
+    assert len(found)
+    rows = [(2 * int(i) + k, texts[i][k], "en") for i in found for k in (0, 1)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.groups(table(spark, rows), width=1).collect()}
+    assert got == brute_components(rows, 1, 80)
+    assert sum(kept for _, _, kept in got.values()) == len(found)
+
+
 # -- 9 languages --------------------------------------------------------------------------
 
 SPEECH = {
