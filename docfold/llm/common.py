@@ -52,6 +52,51 @@ def hashed_share(key: Column, share: float, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(top)) < F.lit(int(min(1.0, share) * top))
 
 
+def share_for(bound: int, rows: int) -> float:
+    """A share of ``rows`` that has ``bound`` of them and some to spare, but for a chance that does not matter."""
+    return (2 * bound + 20) / max(1, rows)
+
+
+def hashed_sample(rows: DataFrame, bounds: dict[Any, int], max_chars: int) -> list[tuple[str, Any]]:
+    """(text, label) of a sample of ``rows`` (label, h, text), where h is a hash of the row.
+
+    Only hashes order it, never the rows' places in the table; equal rows count as one. See
+    ``within`` for the bounds. First lengths alone are collected, then the texts that were chosen.
+    """
+    found = rows.select("label", "h", F.length("text").alias("n")).distinct().collect()
+    picked = within([tuple(r) for r in found], bounds, max_chars)
+    if not picked:
+        return []
+    kind = rows.schema["label"].dataType.simpleString()
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(picked, f"label {kind}, h long"))
+    chosen = rows.join(wanted, ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("h", "text", "label")
+    return [(r["text"], r["label"]) for r in sorted(chosen.toLocalIterator(), key=lambda r: (r["h"], str(r["label"])))]
+
+
+def within(found: list[tuple[Any, int, int]], bounds: dict[Any, int], max_chars: int) -> list[tuple[Any, int]]:
+    """The (label, h) among (label, h, length) that a sample takes in the order of their hashes.
+
+    Each label gets at most its bound of texts and an equal part of the characters; what labels
+    need less of goes to the others. A text is taken whole or passed over where it does not fit,
+    and a label whose texts all are too long gets its shortest one nevertheless.
+    """
+    by_label: dict[Any, list[tuple[int, int]]] = {}
+    for label, h, n in sorted(found, key=lambda r: r[1]):
+        by_label.setdefault(label, []).append((n, h))
+    need = {label: sum(n for n, _ in own[: bounds[label]]) for label, own in by_label.items()}
+    picked, left = [], max_chars
+    for k, label in enumerate(sorted(by_label, key=lambda label: (need[label], str(label)))):
+        part, own = max(0, left) // (len(by_label) - k), []
+        for n, h in by_label[label]:
+            if len(own) < bounds[label] and n <= part:
+                own.append((n, h))
+                part -= n
+        own = own or [min(by_label[label])]
+        left -= sum(n for n, _ in own)
+        picked += [(label, h) for _, h in own]
+    return picked
+
+
 def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is in ``kept`` (one column), one row for each id, with all columns.
 

@@ -6,8 +6,10 @@ with a column for each language. A text takes the language of the lowest cross-e
 character. Calibration texts, held out of the counts, set the temperature that turns entropy
 differences into a probability, and the entropy beyond which a text is rejected.
 
-The models are fitted on a bounded sample: about ``per_language`` labelled texts of each
-language, chosen by a hash of the id. Every text is scored whole.
+The models are fitted on a bounded sample: at most ``per_language`` labelled texts of each
+language and about ``max_chars`` characters of all languages, of which each gets its part;
+they are chosen by a hash of id and text, whatever the order of the rows. Every label is
+learned; more than ``max_languages`` of them are an error. Every text is scored whole.
 
 Defined results: a null text or one without any letter is ``und``, with score 0, and counts
 as rejected; so does every text if nothing is labelled. Equal entropies go to the language
@@ -28,9 +30,9 @@ from . import common
 from .words import ScoredWords, sum_by_text
 
 ORDER = 4
-#: Labelled texts of each language in the sample, about, and characters taken from all of them at most.
+#: Labelled texts of each language in the sample at most, and characters of all of them, about.
 PER_LANGUAGE, SAMPLE_CHARS = 1000, 24_000_000
-#: Languages that are learned at most.
+#: Languages that can be learned; more are an error.
 LANGUAGES = 64
 #: Of the sampled texts of a language, one in so many calibrates.
 CALIBRATION = 5
@@ -230,30 +232,38 @@ def _shares(entropy: np.ndarray, sharpness: float) -> np.ndarray:
     return weight / weight.sum(1, keepdims=True)
 
 
-def sample(docs: DataFrame, learn: Column | None, text_col: str, lang_col: str, id_col: str, per_language: int) -> list[tuple[str, str]]:
-    """About ``per_language`` labelled texts of each language; the bound is on each language."""
-    labelled = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[lang_col].alias("l"), (F.lit(True) if learn is None else learn).alias("w"))
-    labelled = labelled.where(F.col("w") & F.col("l").isNotNull()).select("i", "t", "l")
-    sizes = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    if not sizes:
-        return []
+def sample(
+    docs: DataFrame, learn: Column | None, text_col: str, lang_col: str, id_col: str, per_language: int, max_chars: int = SAMPLE_CHARS, max_languages: int = LANGUAGES
+) -> list[tuple[str, str]]:
+    """At most ``per_language`` labelled texts of each language, by a hash of id and text; see ``fit``."""
+    labelled = docs.select(docs[id_col].alias("i"), docs[text_col].alias("text"), docs[lang_col].alias("label"), (F.lit(True) if learn is None else learn).alias("w"))
+    labelled = labelled.where("w and label is not null and text is not null").select("label", F.xxhash64("i", "text").alias("h"), "text")
+    sizes = labelled.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than max_languages = {max_languages} languages are labelled")
     chosen = F.lit(False)
     for row in sizes:
-        chosen = chosen | ((F.col("l") == row["l"]) & common.hashed_share(F.col("i"), per_language / row["count"]))
-    # Texts are collected up to a bound on their number and on their characters.
-    rows = labelled.where(chosen).select("t", "l").limit(2 * per_language * len(sizes)).toLocalIterator()
-    out, chars = [], 0
-    for text, language in rows:
-        out.append((text, language))
-        chars += len(text or "")
-        if chars > SAMPLE_CHARS:
-            break
-    return out
-
-
-def fit(docs: DataFrame, learn: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Models:
-    """Models of the rows where ``learn`` holds and the language is not null."""
-    return fit_models(sample(docs, learn, text_col, lang_col, id_col, per_language))
+        chosen = chosen | ((F.col("label") == row["label"]) & common.hashed_share(F.col("h"), common.share_for(per_language, row["n"])))
+    return common.hashed_sample(labelled.where(chosen), {row["label"]: per_language for row in sizes}, max_chars)
+
+
+def fit(
+    docs: DataFrame,
+    learn: Column | None = None,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    id_col: str = "doc_id",
+    per_language: int = PER_LANGUAGE,
+    max_chars: int = SAMPLE_CHARS,
+    max_languages: int = LANGUAGES,
+) -> Models:
+    """Models of the rows where ``learn`` holds and the language is not null.
+
+    They learn from at most ``per_language`` texts of each language and about ``max_chars``
+    characters of all, which the languages share as ``common.within`` says. More labels than
+    ``max_languages`` are an error, as the models have a column for each.
+    """
+    return fit_models(sample(docs, learn, text_col, lang_col, id_col, per_language, max_chars, max_languages))
 
 
 def predict(docs: DataFrame, models: Models, text_col: str = "text", out_col: str = "language") -> DataFrame:

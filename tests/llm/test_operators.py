@@ -484,6 +484,31 @@ def test_languages(spark, none):
     assert language_id.predict(none, models).count() == 0
 
 
+def test_languages_of_later_rows_are_learned_beside_long_texts(spark):
+    rows = [(i, " ".join(SPEECH["en"]) + " " + " ".join(SPEECH["en"][i % 20 :]), "en") for i in range(40)] + [(500, "the of and " * 2_300_000, "en")]
+    rows += [(1000 + i, " ".join(SPEECH["de"][i % 20 :] + SPEECH["de"]), "de") for i in range(40)]
+    docs = table(spark, rows).coalesce(1)
+    models = language_id.fit(docs)
+    assert models.languages == ["de", "en"]
+    got = {r["doc_id"]: r["language"]["lang_pred"] for r in language_id.predict(docs.where("doc_id <> 500"), models).collect()}
+    assert all(lang == ("en" if i < 1000 else "de") for i, lang in got.items())
+    assert language_id.sample(docs, None, "text", "lang", "doc_id", 30) == language_id.sample(docs.orderBy(F.desc("doc_id")), None, "text", "lang", "doc_id", 30)
+
+
+def test_every_label_is_learned_or_refused(spark):
+    docs = table(spark, [(i, " ".join(SPEECH["en"]), f"l{i:02}") for i in range(65)])
+    with pytest.raises(ValueError, match="max_languages"):
+        language_id.fit(docs)
+    assert len(language_id.fit(docs, max_languages=65).languages) == 65
+
+
+def test_samples_share_the_characters():
+    found = [("a", h, 10) for h in range(100)] + [("b", h, 1000) for h in range(100)] + [("c", 5, 10**6), ("c", 4, 10**6 + 1)]
+    got = common.within(found[::-1], {"a": 50, "b": 50, "c": 50}, 20_000)
+    assert [sum(label == x for x, _ in got) for label in "abc"] == [50, 9, 1]
+    assert [h for x, h in got if x == "b"] == list(range(9)) and ("c", 5) in got
+
+
 def test_languages_without_labels(docs, none):
     models = language_id.fit(none)
     assert {r["language"]["lang_pred"] for r in language_id.predict(docs, models).collect()} == {"und"}
