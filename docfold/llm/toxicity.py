@@ -8,8 +8,10 @@ tokens by gradient steps on its conditional likelihood, and tags tokens by forwa
 marginals. A document's score is a logistic function of its highest marginal and of how
 many tokens it expects to be toxic, fitted to the sample's document labels.
 
-The sample is bounded: about TOXIC_DOCS toxic and CLEAN_DOCS clean labelled documents,
-chosen by a hash of the id. Every text is scored whole.
+The sample is bounded: at most TOXIC_DOCS toxic and CLEAN_DOCS clean labelled documents, and
+about SAMPLE_CHARS characters, of which each label gets its part; all three are parameters of
+``fit``. Documents are chosen by hashes of id and text, whatever the order of the rows; one
+that does not fit in its label's part is passed over. Every text is scored whole.
 
 Defined results: a null or empty text, and one without letters, gets the score of a text
 without any toxic token, and no spans; without any toxic label in the sample every score is
@@ -296,27 +298,43 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Field:
-    """Fit on about so many labelled documents. ``learn`` is a condition on ``labels``' rows."""
-    known = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("y"), (F.lit(True) if learn is None else learn).alias("w"))
-    known = known.where(F.col("w") & F.col("i").isNotNull() & F.col("y").isin(0, 1)).select("i", "y")
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+def sample(
+    docs: DataFrame, labels: DataFrame, learn: Column | None, id_col: str, text_col: str, label_col: str, toxic_docs: int, clean_docs: int, max_chars: int
+) -> list[tuple[str, int]]:
+    """(text, label) of a bounded number of labelled documents, by hashes of id and text; see ``fit``."""
+    known = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("label"), (F.lit(True) if learn is None else learn).alias("w"))
+    known = known.where(F.col("w") & F.col("i").isNotNull() & F.col("label").isin(0, 1)).select("i", "label")
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.approx_count_distinct("i").alias("n")).collect()}
     if not counts.get(1):
-        return fit_field([], [])
+        return []
+    bounds = {1: toxic_docs, 0: clean_docs}
     chosen = F.lit(False)
-    for y, bound in ((1, toxic_docs), (0, clean_docs)):
-        chosen = chosen | ((F.col("y") == y) & common.hashed_share(F.col("i"), bound / max(1, counts.get(y, 1))))
-    picked = known.where(chosen).limit(2 * (toxic_docs + clean_docs))
-    # The sample has at most that many ids, so it is safe to broadcast.
-    own = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).join(F.broadcast(picked), "i")
-    texts, toxic, chars = [], [], 0
-    for row in own.select("t", "y").limit(4 * (toxic_docs + clean_docs)).toLocalIterator():
-        texts.append(row["t"] or "")
-        toxic.append(row["y"])
-        chars += len(texts[-1])
-        if chars > SAMPLE_CHARS:
-            break
-    return fit_field(texts, toxic)
+    for y, bound in bounds.items():
+        chosen = chosen | ((F.col("label") == y) & common.hashed_share(F.col("i"), common.share_for(bound, counts.get(y, 1))))
+    # The share is of distinct ids, about twice the bounds, so it is safe to broadcast.
+    picked = F.broadcast(known.where(chosen).distinct())
+    own = docs.select(docs[id_col].alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(picked, "i")
+    return common.hashed_sample(own.select("label", F.xxhash64("i", "text").alias("h"), "text"), bounds, max_chars)
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    learn: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    toxic_docs: int = TOXIC_DOCS,
+    clean_docs: int = CLEAN_DOCS,
+    max_chars: int = SAMPLE_CHARS,
+) -> Field:
+    """Fit on at most so many labelled documents and about ``max_chars`` characters.
+
+    The two labels share the characters as ``common.within`` says. ``learn`` is a condition on
+    ``labels``' rows.
+    """
+    found = sample(docs, labels, learn, id_col, text_col, label_col, toxic_docs, clean_docs, max_chars)
+    return fit_field([text for text, _ in found], [y for _, y in found])
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

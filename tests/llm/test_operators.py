@@ -90,6 +90,16 @@ def test_toxicity_finds_unseen_forms_and_leaves_clean_texts(spark):
     assert all(got[i]["score"] < 0.5 and got[i]["spans"] == [] for i in (5900, 5901, 5902, 5904))
 
 
+def test_toxicity_learns_from_rows_after_long_texts(spark):
+    rows, labels = toxic_corpus()
+    rows.sort(key=lambda r: r[0] % 4 == 0)  # toxic rows last
+    docs = table(spark, [(5000, "ba kis lor " * 2_300_000, "en"), *rows]).coalesce(1)
+    marks = spark.createDataFrame([(5000, 1, 0), *labels], "doc_id long, quality int, toxic int")
+    field = toxicity.fit(docs, marks)
+    got = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(docs.where("doc_id <> 5000"), field).collect()}
+    assert all((got[i] >= 0.5) == bool(t) for i, _, t in labels)
+
+
 def test_toxicity_without_labels(spark, docs, none):
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     field = toxicity.fit(docs, marks)
