@@ -26,11 +26,14 @@ def small_batches(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a temporary folder of this machine serves.
+    Only where that is unset and Spark runs in this process alone, as in tests, a temporary
+    folder of this machine serves; on a cluster a missing name is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context.getCheckpointDir()
 
@@ -57,20 +60,30 @@ def share_for(bound: int, rows: int) -> float:
     return (2 * bound + 20) / max(1, rows)
 
 
-def hashed_sample(rows: DataFrame, bounds: dict[Any, int], max_chars: int) -> list[tuple[str, Any]]:
-    """(text, label) of a sample of ``rows`` (label, h, text), where h is a hash of the row.
+def pick(rows: DataFrame, bounds: dict[Any, int], max_chars: int) -> list[tuple[Any, int]]:
+    """The (label, h) of a sample of ``rows`` (label, h, text), where h is a hash of the row.
 
     Only hashes order it, never the rows' places in the table; equal rows count as one. See
-    ``within`` for the bounds. First lengths alone are collected, then the texts that were chosen.
+    ``within`` for the bounds. Lengths alone are collected; ``picked_rows`` has the texts.
     """
     found = rows.select("label", "h", F.length("text").alias("n")).distinct().collect()
-    picked = within([tuple(r) for r in found], bounds, max_chars)
-    if not picked:
-        return []
+    return within([tuple(r) for r in found], bounds, max_chars)
+
+
+def picked_rows(rows: DataFrame, picked: list[tuple[Any, int]], one_in: int) -> DataFrame:
+    """(label, h, text, held) of the picked rows, checkpointed.
+
+    Of a label's texts in the order of their hashes one in ``one_in`` is held out of the fit, if
+    the label has twice as many; else none is. The list is as bounded as the sample.
+    """
+    own: dict[Any, list[int]] = {}
+    for label, h in picked:
+        own.setdefault(label, []).append(h)
+    # A label without enough texts learns from all of them.
+    marked = [(label, h, i % one_in == 0 and len(hs) >= 2 * one_in) for label, hs in own.items() for i, h in enumerate(sorted(hs))]
     kind = rows.schema["label"].dataType.simpleString()
-    wanted = F.broadcast(rows.sparkSession.createDataFrame(picked, f"label {kind}, h long"))
-    chosen = rows.join(wanted, ["label", "h"], "left_semi").dropDuplicates(["label", "h"]).select("h", "text", "label")
-    return [(r["text"], r["label"]) for r in sorted(chosen.toLocalIterator(), key=lambda r: (r["h"], str(r["label"])))]
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(marked, f"label {kind}, h long, held boolean"))
+    return checkpoint(rows.join(wanted, ["label", "h"]).dropDuplicates(["label", "h"]).select("label", "h", "text", "held"))
 
 
 def within(found: list[tuple[Any, int, int]], bounds: dict[Any, int], max_chars: int) -> list[tuple[Any, int]]:
@@ -109,6 +122,19 @@ def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
     return chosen.unionByName(docs.where(docs[id_col].isNull()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it where ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def refuse_taken(df: DataFrame, name: str) -> None:
+    if free_name(df, name) != name:
+        raise ValueError(f"the table has a column {name} already; name another one for the result")
+
+
 class Shared:
     """A broadcast value with an identity of its own, by which workers know it from others."""
 
@@ -119,6 +145,10 @@ class Shared:
     def value(self) -> Any:
         return self._broadcast.value
 
+    def destroy(self) -> None:
+        """Free it everywhere, once no task needs it any more."""
+        self._broadcast.destroy()
+
 
 _LASTING: list[tuple[str, Any, Any]] = []
 

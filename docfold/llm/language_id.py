@@ -4,7 +4,11 @@ Each language has a character model of order ORDER over words with their borders
 by interpolated Kneser-Ney. N-grams are 64-bit hashes in sorted arrays, one array an order,
 with a column for each language. A text takes the language of the lowest cross-entropy per
 character. Calibration texts, held out of the counts, set the temperature that turns entropy
-differences into a probability, and the entropy beyond which a text is rejected.
+differences into a probability, and the entropy beyond which a text is rejected; a language with
+too few texts to hold any out has the largest limit of the others.
+
+Spark counts the sampled texts' words by language, one task a language smooths the model, and
+tasks score what calibrates: the driver holds hashes of ids, the sorted arrays, and entropies.
 
 The models are fitted on a bounded sample: at most ``per_language`` labelled texts of each
 language and about ``max_chars`` characters of all languages, of which each gets its part;
@@ -18,7 +22,7 @@ that sorts first. Repeated rows each get a result. Other columns are kept and no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -174,46 +178,50 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]], absent: float) -> tuple[
     return keys, table
 
 
-def fit_models(texts: list[tuple[str, str]]) -> Models:
-    """Models of (text, language) pairs; see the module's description of what calibrates."""
-    by_language: dict[str, list[str]] = {}
-    for text, language in texts:
-        if text and language is not None and any(map(str.isalpha, text)):
-            by_language.setdefault(language, []).append(text)
-    languages = sorted(by_language)
+def word_counts(texts: Iterable[str]) -> dict[str, int]:
+    counts: dict[str, int] = {}
+    for text in texts:
+        for w in map(letters_of, text.split()):
+            if w:
+                counts[w] = counts.get(w, 0) + 1
+    return counts
+
+
+def assembled(parts: dict[str, tuple[list, list]]) -> Models:
+    """Models of what ``_one_language`` gave for each language, not calibrated yet."""
+    languages = sorted(parts)
     if not languages:
         return Models([], [], [], [], [])
-    parts, held = [], []
-    for j, language in enumerate(languages):
-        own = by_language[language]
-        apart = own[::CALIBRATION] if len(own) >= 2 * CALIBRATION else []
-        held += [(t, j) for t in apart]
-        counts: dict[str, int] = {}
-        for i, t in enumerate(own):
-            if not apart or i % CALIBRATION:
-                for w in map(letters_of, t.split()):
-                    if w:
-                        counts[w] = counts.get(w, 0) + 1
-        parts.append(_one_language(list(counts), np.array(list(counts.values()), float)))
     keys, probabilities, histories, weights = [], [], [], []
     for k in range(ORDER):
-        a, b = _merged([shares[k] for shares, _ in parts], 0.0)
+        a, b = _merged([parts[language][0][k] for language in languages], 0.0)
         keys.append(a), probabilities.append(b)
         if k:
-            a, b = _merged([backs[k - 1] for _, backs in parts], 1.0)
+            a, b = _merged([parts[language][1][k - 1] for language in languages], 1.0)
             histories.append(a), weights.append(b)
-    models = Models(languages, keys, probabilities, histories, weights)
-    models.limits = np.full(len(languages), np.inf)
-    if held:
-        entropy, letters = _entropies(ScoredWords(models.word_scores), [t for t, _ in held])
-        truth = np.array([j for _, j in held])
-        for j in range(len(languages)):
-            if (truth == j).any():
-                models.limits[j] = entropy[truth == j, j].max() + MARGIN
-        sizes = np.array([0.5, 1, 2, 4, 8, 16, 32, 64])
-        loss = [-np.log(_shares(entropy, s)[np.arange(len(truth)), truth] + 1e-9).mean() for s in sizes]
-        models.temperature = float(sizes[int(np.argmin(loss))])
-    return models
+    return Models(languages, keys, probabilities, histories, weights, limits=np.full(len(languages), np.inf))
+
+
+def calibrate(models: Models, entropy: np.ndarray, truth: np.ndarray) -> None:
+    """Set temperature and limits by the entropies (rows of languages) of texts of known language."""
+    if not len(truth):
+        return
+    known = np.unique(truth)
+    for j in known:
+        models.limits[j] = entropy[truth == j, j].max() + MARGIN
+    models.limits[np.isinf(models.limits)] = models.limits[known].max()
+    sizes = np.array([0.5, 1, 2, 4, 8, 16, 32, 64])
+    loss = [-np.log(_shares(entropy, s)[np.arange(len(truth)), truth] + 1e-9).mean() for s in sizes]
+    models.temperature = float(sizes[int(np.argmin(loss))])
+
+
+def fit_models(texts: list[tuple[str, str]]) -> Models:
+    """Models of a few (text, language) pairs, without calibration; ``fit`` is for tables."""
+    by_language: dict[str, list[str]] = {}
+    for text, language in texts:
+        by_language.setdefault(language, []).append(text)
+    counts = {language: word_counts(own) for language, own in by_language.items()}
+    return assembled({x: _one_language(list(c), np.array(list(c.values()), float)) for x, c in counts.items() if c})
 
 
 def _entropies(words: ScoredWords, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -232,19 +240,59 @@ def _shares(entropy: np.ndarray, sharpness: float) -> np.ndarray:
     return weight / weight.sum(1, keepdims=True)
 
 
+def labelled(docs: DataFrame, learn: Column | None, text_col: str, lang_col: str, id_col: str) -> DataFrame:
+    """(label, h, text) of the rows to learn from; h is a hash of id and text."""
+    rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("text"), docs[lang_col].alias("label"), (F.lit(True) if learn is None else learn).alias("w"))
+    return rows.where("w and label is not null and text is not null").select("label", F.xxhash64("i", "text").alias("h"), "text")
+
+
 def sample(
     docs: DataFrame, learn: Column | None, text_col: str, lang_col: str, id_col: str, per_language: int, max_chars: int = SAMPLE_CHARS, max_languages: int = LANGUAGES
-) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts of each language, by a hash of id and text; see ``fit``."""
-    labelled = docs.select(docs[id_col].alias("i"), docs[text_col].alias("text"), docs[lang_col].alias("label"), (F.lit(True) if learn is None else learn).alias("w"))
-    labelled = labelled.where("w and label is not null and text is not null").select("label", F.xxhash64("i", "text").alias("h"), "text")
-    sizes = labelled.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()
+) -> list[tuple[str, int]]:
+    """(label, h) of at most ``per_language`` labelled texts of each language; see ``fit``."""
+    rows = labelled(docs, learn, text_col, lang_col, id_col)
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()
     if len(sizes) > max_languages:
         raise ValueError(f"more than max_languages = {max_languages} languages are labelled")
     chosen = F.lit(False)
     for row in sizes:
         chosen = chosen | ((F.col("label") == row["label"]) & common.hashed_share(F.col("h"), common.share_for(per_language, row["n"])))
-    return common.hashed_sample(labelled.where(chosen), {row["label"]: per_language for row in sizes}, max_chars)
+    return common.pick(rows.where(chosen), {row["label"]: per_language for row in sizes}, max_chars)
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """(label, word, n): how often the words of (label, text) occur."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: dict[str, list[str]] = {}
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own.setdefault(label, []).append(text)
+            for label, some in own.items():
+                counts = word_counts(some)
+                columns = [pa.array([label] * len(counts), pa.string()), pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "word", "n"])
+
+    rows = texts.select(F.col("label").cast("string"), "text").mapInArrow(count, "label string, word string, n long")
+    return rows.groupBy("label", "word").agg(F.sum("n").alias("n"))
+
+
+def smoothed(counts: DataFrame) -> dict[str, tuple[list, list]]:
+    """By language what ``_one_language`` gives for the words of (label, word, n).
+
+    A language is one task's; its distinct words are bounded by the sample.
+    """
+
+    def learn(words: pa.Table) -> pa.Table:
+        shares, backs = _one_language(words["word"].to_pylist(), words["n"].to_numpy().astype(float))
+        rows = [(words["label"][0].as_py(), at, keys.tobytes(), values.tobytes()) for at, (keys, values) in enumerate(shares + backs)]
+        return pa.table(dict(zip(("label", "at", "keys", "values"), map(list, zip(*rows, strict=True)), strict=True)))
+
+    found: dict[str, list] = {}
+    for r in counts.groupBy("label").applyInArrow(learn, "label string, at long, keys binary, values binary").collect():
+        found.setdefault(r["label"], []).append((r["at"], np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["values"], float)))
+    parts = {x: [(keys, values) for _, keys, values in sorted(own, key=lambda o: o[0])] for x, own in found.items()}
+    return {x: (own[:ORDER], own[ORDER:]) for x, own in parts.items()}
 
 
 def fit(
@@ -263,11 +311,41 @@ def fit(
     characters of all, which the languages share as ``common.within`` says. More labels than
     ``max_languages`` are an error, as the models have a column for each.
     """
-    return fit_models(sample(docs, learn, text_col, lang_col, id_col, per_language, max_chars, max_languages))
+    common.small_batches(docs.sparkSession)
+    picked = sample(docs, learn, text_col, lang_col, id_col, per_language, max_chars, max_languages)
+    if not picked:
+        return assembled({})
+    texts = common.picked_rows(labelled(docs, learn, text_col, lang_col, id_col), picked, CALIBRATION)
+    models = assembled(smoothed(counted(texts.where("not held"))))
+    if models.languages:
+        held = texts.where("held").withColumn("label", F.col("label").cast("string"))
+        shared = common.Shared(docs.sparkSession, models)
+        told = [(r["label"], r["e"]) for r in held.select("label", _entropy_column(held["text"], shared).alias("e")).collect()]
+        shared.destroy()
+        told = [(models.languages.index(label), e[:-1]) for label, e in told if e[-1] and label in models.languages]
+        calibrate(models, np.array([e for _, e in told]), np.array([j for j, _ in told], int))
+    return models
+
+
+def _entropy_column(text: Column, shared: common.Shared) -> Column:
+    """A text's entropies in the languages' order, and its number of letters."""
+
+    @F.arrow_udf("array<double>")
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = common.lasting("language", shared.id, lambda: ScoredWords(shared.value.word_scores))
+        for batch in batches:
+            entropy, letters = _entropies(words, batch.to_pylist())
+            yield pa.array(list(np.column_stack([entropy, letters])), pa.list_(pa.float64()))
+
+    return measure(text)
 
 
 def predict(docs: DataFrame, models: Models, text_col: str = "text", out_col: str = "language") -> DataFrame:
-    """``docs`` with a struct ``out_col`` of lang_pred, score, entropy and rejected."""
+    """``docs`` with a struct ``out_col`` of lang_pred, score, entropy and rejected.
+
+    ``docs`` must not have a column of that name.
+    """
+    common.refuse_taken(docs, out_col)
     common.small_batches(docs.sparkSession)
     shared = common.Shared(docs.sparkSession, models)  # bounded by the sample it was fitted on
 

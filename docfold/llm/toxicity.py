@@ -8,14 +8,21 @@ tokens by gradient steps on its conditional likelihood, and tags tokens by forwa
 marginals. A document's score is a logistic function of its highest marginal and of how
 many tokens it expects to be toxic, fitted to the sample's document labels.
 
-The sample is bounded: at most TOXIC_DOCS toxic and CLEAN_DOCS clean labelled documents, and
-about SAMPLE_CHARS characters, of which each label gets its part; all three are parameters of
-``fit``. Documents are chosen by hashes of id and text, whatever the order of the rows; one
-that does not fit in its label's part is passed over. Every text is scored whole.
+Spark counts the evidence for words and their beginnings, tasks label the tokens and score
+what calibrates, and one task takes the gradient steps over the bounded stretches; the driver
+holds hashes of ids, sketches of eight numbers a sampled text, and the weights.
+
+The sample is bounded: at most TOXIC_DOCS toxic and CLEAN_DOCS clean labelled documents, about
+SAMPLE_CHARS characters, of which each label gets its part, and for the gradient about
+CLEAN_TOKENS tokens of the clean documents beside those that look toxic; all four are parameters
+of ``fit``. Documents and stretches are chosen by hashes, whatever the order of the rows; a
+document that does not fit in its label's part is passed over. One document in CALIBRATION is
+kept from the fit and calibrates. Every text is scored whole.
 
 Defined results: a null or empty text, and one without letters, gets the score of a text
 without any toxic token, and no spans; without any toxic label in the sample every score is
-0; repeated rows each get a result; other columns are kept and not read.
+0; labels of null ids count for nothing, and an id with both labels is a document of each; repeated
+rows each get a result; an empty table gives no rows; other columns are kept and not read.
 """
 
 from __future__ import annotations
@@ -24,8 +31,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +52,11 @@ BUCKETS, BEGINNINGS, ENDS = 1 << 22, (4, 5, 6), (3, 4)
 PURITY, MARGIN = 0.8, 1.0
 #: Hashes by which copies of a text are known, and how many of them copies share.
 SKETCH, COPY = 8, 3
-#: Tokens beside a toxic one that are fitted to, and tokens of a clean document.
-AROUND, CLEAN_TOKENS = 12, 120
+#: Tokens beside a toxic one that are fitted to, tokens of a stretch of a clean document, and
+#: tokens of all such stretches together, about.
+AROUND, STRETCH, CLEAN_TOKENS = 12, 120, 300_000
+#: Of the sampled texts of a label, one in so many calibrates.
+CALIBRATION = 5
 STEPS, RATE, RIDGE = 40, 0.25, 1e-4
 #: A token with at least this marginal is part of a span.
 SPAN = 0.5
@@ -70,33 +80,47 @@ def parts(letters: str) -> list[str]:
 class Field:
     """Weights of the field's emissions for label 1 against label 0, and of its steps."""
 
-    emissions: np.ndarray
-    bias: float
-    steps: np.ndarray  # (2, 2) scores from one label to the next
-    start: np.ndarray  # (2,)
-    calibration: np.ndarray  # constant, slope of the highest marginal's log-odds, slope of log expected tokens
+    buckets: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # those with a weight
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    bias: float = -4.0
+    steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # scores from one label to the next
+    start: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    #: Constant, slope of the highest marginal's log-odds, slope of log expected tokens.
+    calibration: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 0.0]))
     silent: bool = False  # nothing to learn from
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Emission of each word."""
-        out = np.zeros(len(words))
-        buckets, owners = [], []
-        for i, word in enumerate(words):
-            if letters := plain(word):
-                for p in parts(letters):
-                    buckets.append(zlib.crc32(p.encode()) % BUCKETS)
-                    owners.append(i)
-        if buckets:
-            out += np.bincount(owners, self.emissions[buckets], len(words))
-        return out + self.bias
-
-    def marginals(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        return marginals(emissions, lengths, self.steps, self.start)[0]
-
-    def document_scores(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def scorer(self) -> Callable[[list[str]], np.ndarray]:
+        """A function that gives the emission of each of some words."""
+        dense = np.zeros(BUCKETS, np.float32)
+        dense[self.buckets] = self.weights
+
+        def scores(words: list[str]) -> np.ndarray:
+            buckets, owners = hashed_parts(map(plain, words))
+            return np.bincount(owners, dense[buckets], len(words)) + self.bias if len(owners) else np.full(len(words), self.bias)
+
+        return scores
+
+    def summaries(self, words: ScoredWords, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marginals of the tokens of all texts, numbers of tokens, and ``summary`` by text."""
+        numbers, lengths = words.look_up(texts)
+        e = words.rows[numbers] if len(numbers) else np.zeros(0)
+        p = marginals(e, lengths, self.steps, self.start)[0]
+        return p, lengths, summary(p, lengths)
+
+    def document_scores(self, summaries: np.ndarray) -> np.ndarray:
         if self.silent:
-            return np.zeros(len(lengths))
-        return 1 / (1 + np.exp(-np.clip(summary(p, lengths) @ self.calibration, -30, 30)))
+            return np.zeros(len(summaries))
+        return 1 / (1 + np.exp(-np.clip(summaries @ self.calibration, -30, 30)))
+
+
+def hashed_parts(letters: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of its word) of all features of some words."""
+    buckets, owners = [], []
+    for i, w in enumerate(letters):
+        for p in parts(w) if w else ():
+            buckets.append(zlib.crc32(p.encode()) % BUCKETS)
+            owners.append(i)
+    return np.array(buckets, np.int64), np.array(owners, np.int64)
 
 
 def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -126,61 +150,65 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, steps: np.ndarray, sta
     ends = np.cumsum(lengths)
     first[(ends - lengths)[lengths > 0]] = True
     blocks = -(-n // BLOCK)
-    e = np.zeros(blocks * BLOCK)
-    e[:n] = np.clip(emissions, -30, 30)
+    odds = np.ones(blocks * BLOCK)
+    odds[:n] = np.exp(np.clip(emissions, -30, 30))
     lead = np.ones(blocks * BLOCK, bool)  # what pads the end starts texts of its own
     lead[:n] = first
-    e, lead = e.reshape(blocks, BLOCK), lead.reshape(blocks, BLOCK)
+    # One row a token of the blocks: m01 is the weight of the step from label 0 to label 1, and so on.
+    odds, lead = (np.ascontiguousarray(x.reshape(blocks, BLOCK).T) for x in (odds, lead))
     step, begin = np.exp(steps), np.exp(start)
-    on = np.exp(e / 2)
-    weight = np.stack([1 / on, on], -1)  # of the two labels
-    move = np.where(lead[..., None, None], begin[None, None, None, :], step[None, None]) * weight[:, :, None, :]
+    m00, m10 = np.where(lead, begin[0], step[0, 0]), np.where(lead, begin[0], step[1, 0])
+    m01, m11 = np.where(lead, begin[1], step[0, 1]) * odds, np.where(lead, begin[1], step[1, 1]) * odds
 
-    product = np.broadcast_to(np.eye(2), (blocks, 2, 2))
+    a, b, c, d = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
     for t in range(BLOCK):
-        product = np.einsum("bij,bjk->bik", product, move[:, t])
-        product = product / product.sum((1, 2), keepdims=True)
-    enter = np.empty((blocks, 2))
-    state = np.array([0.5, 0.5])
-    for b in range(blocks):
-        enter[b] = state
-        state = state @ product[b]
-        state = state / state.sum()
-    leave = np.empty((blocks, 2))
-    state = np.array([0.5, 0.5])
-    for b in range(blocks - 1, -1, -1):
-        leave[b] = state
-        state = product[b] @ state
-        state = state / state.sum()
-
-    ahead = np.empty((blocks, BLOCK, 2))
-    state = enter
+        a, b, c, d = a * m00[t] + b * m10[t], a * m01[t] + b * m11[t], c * m00[t] + d * m10[t], c * m01[t] + d * m11[t]
+        if t % 4 == 3:  # four steps stay within the range of floats
+            total = a + b + c + d
+            a, b, c, d = a / total, b / total, c / total, d / total
+    # Messages are ratios of label 1 to label 0, bounded because exponents are.
+    whole = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True))
+    enter, leave = np.ones(blocks), np.ones(blocks)
+    for k in range(1, blocks):
+        w, r = whole[k - 1], float(enter[k - 1])
+        enter[k] = (w[1] + r * w[3]) / (w[0] + r * w[2])
+    for k in range(blocks - 2, -1, -1):
+        w, q = whole[k + 1], float(leave[k + 1])
+        leave[k] = (w[2] + w[3] * q) / (w[0] + w[1] * q)
+
+    ahead, behind = np.empty((BLOCK, blocks)), np.empty((BLOCK, blocks))
+    r = enter
     for t in range(BLOCK):
-        state = np.einsum("bj,bjk->bk", state, move[:, t])
-        state = state / state.sum(1, keepdims=True)
-        ahead[:, t] = state
-    behind = np.empty((blocks, BLOCK, 2))
-    state = leave
+        r = (m01[t] + r * m11[t]) / (m00[t] + r * m10[t])
+        ahead[t] = r
+    q = leave
     for t in range(BLOCK - 1, -1, -1):
-        behind[:, t] = state
-        state = np.einsum("bjk,bk->bj", move[:, t], state)
-        state = state / state.sum(1, keepdims=True)
-    both = ahead * behind
-    p = (both[..., 1] / both.sum(-1)).reshape(-1)[:n]
-    ahead, behind, move = (x.reshape(-1, *x.shape[2:])[:n] for x in (ahead, behind, move))
-    pair = ahead[:-1, :, None] * move[1:] * behind[1:, None, :]
-    pair = pair[~first[1:]]
-    pair = (pair / pair.sum((1, 2), keepdims=True)).sum(0) if len(pair) else np.zeros((2, 2))
-    return p, pair
-
-
-def firsts(texts: list[list[str]]) -> list[bool]:
+        behind[t] = q
+        q = (m10[t] + m11[t] * q) / (m00[t] + m01[t] * q)
+
+    def flat(x: np.ndarray) -> np.ndarray:
+        return x.T.reshape(-1)[:n]
+
+    r, q = flat(ahead), flat(behind)
+    p = r * q / (1 + r * q)
+    inner = ~first[1:]
+    before, after = r[:-1][inner], q[1:][inner]
+    x00, x01, x10, x11 = (flat(m)[1:][inner] for m in (m00, m01, m10, m11))
+    pair = np.stack([x00, x01 * after, before * x10, before * x11 * after])
+    return p, (pair / pair.sum(0)).sum(1).reshape(2, 2)
+
+
+def sketch_of(words: list[str]) -> list[int]:
+    """The SKETCH smallest hashes of a text's shingles of three words."""
+    return sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:SKETCH]
+
+
+def firsts(sketches: list[list[int]]) -> list[bool]:
     """Whether each text is the first of its copies: a later text that shares COPY of its SKETCH
     smallest shingle hashes with an earlier one is a copy."""
     holders: dict[int, list[int]] = {}
     out = []
-    for number, words in enumerate(texts):
-        own = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:SKETCH]
+    for number, own in enumerate(sketches):
         shared = Counter(h for x in own for h in holders.get(x, ()))
         out.append(max(shared.values(), default=0) < min(COPY, len(own)))
         if out[-1]:
@@ -189,39 +217,59 @@ def firsts(texts: list[list[str]]) -> list[bool]:
     return out
 
 
-def label_tokens(texts: list[str], toxic: list[int]) -> list[tuple[list[str], list[int]]]:
-    """Tokens and token labels: the neighbourhoods of toxic tokens, of tokens in clean texts that
-    look like them, and stretches of clean texts."""
-    known: dict[str, str] = {}  # one string for each distinct word
-    words = [[known.setdefault(w, w) for w in map(plain, t.split())] for t in texts]
-    first = firsts(words)  # copies are no further evidence
-    # Only what occurs in a toxic document can be strong, so only that is counted in clean ones.
-    seen: list[Counter] = [Counter(), Counter()]
-    for y in (1, 0):
-        for ws in (ws for ws, label, new in zip(words, toxic, first, strict=True) if label == y and new):
-            own = {p for w in set(ws) if w for p in parts(w) if p[0] != "e"}
-            seen[y].update(own if y else own & seen[1].keys())
-    n = [max(1, sum(new and label == y for new, label in zip(first, toxic, strict=True))) for y in (0, 1)]
-
-    def pure(p: str) -> bool:
-        bad, good = seen[1][p], seen[0][p]
-        expected = [(bad + good) * x / sum(n) for x in n]
-        gain = sum(k * math.log(k / e) for k, e in zip((good, bad), expected, strict=True) if k)
-        return bad / n[1] >= PURITY * (bad / n[1] + good / n[0]) and gain >= MARGIN + math.log(len(seen[1]))
-
-    strong = {p for p in seen[1] if pure(p)}
-    out = []
-    for ws, y in zip(words, toxic, strict=True):
-        if not ws:
-            continue
-        like = [int(bool(w) and any(p in strong for p in parts(w))) for w in ws]
-        marks = like if y else [0] * len(ws)
-        for a, b in stretches([i for i, m in enumerate(like) if m][:40], len(ws)):
-            out.append((ws[a:b], marks[a:b]))
-        if not y:
-            a = zlib.crc32(ws[0].encode()) % max(1, len(ws) - CLEAN_TOKENS)
-            out.append((ws[a : a + CLEAN_TOKENS], marks[a : a + CLEAN_TOKENS]))
-    return out
+def tokenized(texts: DataFrame) -> DataFrame:
+    """(label, h, held, sketch, words) of sampled texts; words are in lower case, letters alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [[plain(w) for w in t.split()] for t in batch.column(3).to_pylist()]
+            columns = [*(batch.column(k) for k in range(3)), pa.array(map(sketch_of, words), pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "h", "held", "sketch", "words"])
+
+    return texts.select("label", "h", "held", "text").mapInArrow(work, "label int, h long, held boolean, sketch array<long>, words array<string>")
+
+
+def strong_parts(told: DataFrame) -> list[str]:
+    """The words and beginnings that occur almost only in toxic documents (rows of ``tokenized``)."""
+    thin = sorted((r["h"], r["label"], r["sketch"]) for r in told.select("h", "label", "sketch").collect())
+    new = [(h, label) for (h, label, _), is_first in zip(thin, firsts([s for _, _, s in thin]), strict=True) if is_first]
+    n = [max(1, sum(label == y for _, label in new)) for y in (0, 1)]
+    wanted = F.broadcast(told.sparkSession.createDataFrame(new, "h long, label int"))
+    distinct = F.filter(F.array_distinct("words"), lambda w: w != "")
+    names = F.transform(distinct, lambda w: F.array(F.concat(F.lit("w"), w), *[F.when(F.char_length(w) >= k, F.concat(F.lit("b"), F.left(w, F.lit(k)))) for k in BEGINNINGS]))
+    seen = told.join(wanted, ["h", "label"]).select("label", F.explode(F.array_distinct(F.flatten(names))).alias("part")).where("part is not null")
+    bad, good = F.col("bad"), F.col("good")
+    counts = seen.groupBy("part").agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good")).where("bad > 0")
+    counts = common.checkpoint(counts)
+    gain = sum((F.when(k > 0, k * F.log(k * sum(n) / ((bad + good) * F.lit(of)))).otherwise(0.0) for k, of in ((good, n[0]), (bad, n[1]))), F.lit(0.0))
+    pure = bad / n[1] >= PURITY * (bad / n[1] + good / n[0])
+    # Each has so much evidence that the sample has room for few of them.
+    return [r["part"] for r in counts.where(pure & (gain >= MARGIN + math.log(max(1, counts.count())))).select("part").collect()]
+
+
+def stretches_to_fit(told: DataFrame, strong: list[str], clean_tokens: int) -> DataFrame:
+    """(h, at, words, marks): the neighbourhoods of toxic tokens and of tokens in clean texts that
+    look like them, and stretches of clean texts that a hash of text and place chooses."""
+    known = frozenset(strong)
+    total = told.where("label = 0").agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+    share = clean_tokens / max(1, total)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for y, h, ws in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                like = [int(bool(w) and not known.isdisjoint(parts(w))) for w in ws]
+                marks = like if y else [0] * len(ws)
+                ranges = stretches([i for i, m in enumerate(like) if m], len(ws))
+                if not y:
+                    chosen = (a for a in range(0, len(ws), STRETCH) if zlib.crc32(f"{h}:{a}".encode()) < share * (1 << 32))
+                    ranges += [(a, min(len(ws), a + STRETCH)) for a in chosen]
+                rows += [(h, i, ws[a:b], marks[a:b]) for i, (a, b) in enumerate(ranges)]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int8()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "at", "words", "marks"])
+
+    return told.select("label", "h", "words").mapInArrow(work, "h long, at long, words array<string>, marks array<tinyint>")
 
 
 def stretches(hits: list[int], n: int) -> list[tuple[int, int]]:
@@ -236,25 +284,20 @@ def stretches(hits: list[int], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def fit_field(texts: list[str], toxic: list[int]) -> Field:
-    """Fit on a bounded sample of whole texts and their labels."""
-    field = Field(np.zeros(BUCKETS, np.float32), -4.0, np.zeros((2, 2)), np.zeros(2), np.array([0.0, 1.0, 0.0]))
-    data = label_tokens(texts, toxic)
-    labels = np.array([y for _, ys in data for y in ys], float)
+def gradient_steps(rows: pa.Table) -> Field:
+    """Fit emissions, steps and start to labelled stretches (rows of ``stretches_to_fit``)."""
+    rows = rows.sort_by([("h", "ascending"), ("at", "ascending")])
+    out = Field()
+    lengths = np.diff(rows["words"].combine_chunks().offsets.to_numpy()) if len(rows) else np.zeros(0, int)
+    labels = rows["marks"].combine_chunks().flatten().to_numpy().astype(float) if len(rows) else np.zeros(0)
     if not labels.sum():
-        field.silent = True
-        return field
-    vocabulary: dict[str, int] = {}
-    tokens = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws, _ in data for w in ws])
-    lengths = np.array([len(ws) for ws, _ in data])
-    owners, buckets = [], []
-    for w, i in vocabulary.items():
-        for p in parts(w) if w else []:
-            owners.append(i)
-            buckets.append(zlib.crc32(p.encode()) % BUCKETS)
-    owners, buckets = np.array(owners), np.array(buckets)
+        out.silent = True
+        return out
+    coded = rows["words"].combine_chunks().flatten().dictionary_encode()
+    tokens, size = coded.indices.to_numpy(), len(coded.dictionary)
+    buckets, owners = hashed_parts(coded.dictionary.to_pylist())
     first = np.zeros(len(labels), bool)
-    first[np.cumsum(lengths) - lengths] = True
+    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
     y = labels.astype(int)
     told = np.zeros((2, 2))
     np.add.at(told, (y[:-1][~first[1:]], y[1:][~first[1:]]), 1)
@@ -263,29 +306,37 @@ def fit_field(texts: list[str], toxic: list[int]) -> Field:
     weights, squares = np.zeros(len(used)), np.full(len(used), 1e-8)
     small = np.full(7, 1e-8)
     for _ in range(STEPS):
-        by_word = np.bincount(owners, weights[place], len(vocabulary)) + field.bias
-        p, pair = marginals(by_word[tokens], lengths, field.steps, field.start)
+        by_word = np.bincount(owners, weights[place], size) + out.bias
+        p, pair = marginals(by_word[tokens], lengths, out.steps, out.start)
         off = labels - p
-        by_word = np.bincount(tokens, off, len(vocabulary))
+        by_word = np.bincount(tokens, off, size)
         slope = np.bincount(place, by_word[owners], len(used)) - RIDGE * n * 0.01 * weights
         squares += slope**2
         weights += RATE * 2 * slope / np.sqrt(squares)
-        start = np.array([-(labels - p)[first].sum(), (labels - p)[first].sum()]) / 2
+        start = np.array([-off[first].sum(), off[first].sum()]) / 2
         rest = np.concatenate([[off.sum()], (told - pair).ravel(), start])
         small += rest**2
         rest = RATE * rest / np.sqrt(small)
-        field.bias += rest[0]
-        field.steps = field.steps + rest[1:5].reshape(2, 2)
-        field.start = field.start + rest[5:]
-    field.emissions[used] = weights
-    words = ScoredWords(field.scores)
-    rows = []
-    for at in range(0, len(texts), common.BATCH_ROWS):
-        numbers, sizes = words.look_up(texts[at : at + common.BATCH_ROWS])
-        e = words.rows[numbers] if len(numbers) else np.zeros(0)
-        rows.append(summary(field.marginals(e, sizes), sizes))
-    field.calibration = logistic(np.concatenate(rows), np.array(toxic, float))
-    return field
+        out.bias += rest[0]
+        out.steps = out.steps + rest[1:5].reshape(2, 2)
+        out.start = out.start + rest[5:]
+    out.buckets, out.weights = used, weights.astype(np.float32)
+    return out
+
+
+def fitted(sequences: DataFrame) -> Field:
+    """``gradient_steps`` in one task, whose rows the sample's bounds limit."""
+
+    def work(rows: pa.Table) -> pa.Table:
+        f = gradient_steps(rows)
+        rest = [f.bias, *f.steps.ravel().tolist(), *f.start.tolist()]
+        return pa.table({"silent": [f.silent], "buckets": [f.buckets.tobytes()], "weights": [f.weights.tobytes()], "rest": pa.array([rest], pa.list_(pa.float64()))})
+
+    found = sequences.groupBy().applyInArrow(work, "silent boolean, buckets binary, weights binary, rest array<double>").first()
+    if found is None or found["silent"]:
+        return Field(silent=True)
+    rest = np.array(found["rest"])
+    return Field(np.frombuffer(found["buckets"], np.int64), np.frombuffer(found["weights"], np.float32), rest[0], rest[1:5].reshape(2, 2), rest[5:])
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -300,21 +351,23 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def sample(
     docs: DataFrame, labels: DataFrame, learn: Column | None, id_col: str, text_col: str, label_col: str, toxic_docs: int, clean_docs: int, max_chars: int
-) -> list[tuple[str, int]]:
-    """(text, label) of a bounded number of labelled documents, by hashes of id and text; see ``fit``."""
+) -> DataFrame | None:
+    """(label, h, text, held) of a bounded number of labelled documents; see ``fit``. None without a toxic label."""
     known = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("label"), (F.lit(True) if learn is None else learn).alias("w"))
     known = known.where(F.col("w") & F.col("i").isNotNull() & F.col("label").isin(0, 1)).select("i", "label")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.approx_count_distinct("i").alias("n")).collect()}
     if not counts.get(1):
-        return []
+        return None
     bounds = {1: toxic_docs, 0: clean_docs}
     chosen = F.lit(False)
     for y, bound in bounds.items():
         chosen = chosen | ((F.col("label") == y) & common.hashed_share(F.col("i"), common.share_for(bound, counts.get(y, 1))))
     # The share is of distinct ids, about twice the bounds, so it is safe to broadcast.
-    picked = F.broadcast(known.where(chosen).distinct())
-    own = docs.select(docs[id_col].alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(picked, "i")
-    return common.hashed_sample(own.select("label", F.xxhash64("i", "text").alias("h"), "text"), bounds, max_chars)
+    few = F.broadcast(known.where(chosen).distinct())
+    own = docs.select(docs[id_col].alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(few, "i")
+    rows = common.checkpoint(own.select("label", F.xxhash64("i", "text").alias("h"), "text"))
+    picked = common.pick(rows, bounds, max_chars)
+    return common.picked_rows(rows, picked, CALIBRATION) if picked else None
 
 
 def fit(
@@ -327,33 +380,58 @@ def fit(
     toxic_docs: int = TOXIC_DOCS,
     clean_docs: int = CLEAN_DOCS,
     max_chars: int = SAMPLE_CHARS,
+    clean_tokens: int = CLEAN_TOKENS,
 ) -> Field:
     """Fit on at most so many labelled documents and about ``max_chars`` characters.
 
-    The two labels share the characters as ``common.within`` says. ``learn`` is a condition on
-    ``labels``' rows.
+    The two labels share the characters as ``common.within`` says; ``clean_tokens`` bounds, about,
+    the tokens of chosen stretches of clean documents. ``learn`` is a condition on ``labels``' rows.
     """
-    found = sample(docs, labels, learn, id_col, text_col, label_col, toxic_docs, clean_docs, max_chars)
-    return fit_field([text for text, _ in found], [y for _, y in found])
+    common.small_batches(docs.sparkSession)
+    texts = sample(docs, labels, learn, id_col, text_col, label_col, toxic_docs, clean_docs, max_chars)
+    if texts is None:
+        return Field(silent=True)
+    told = common.checkpoint(tokenized(texts.where("not held")))
+    out = fitted(stretches_to_fit(told, strong_parts(told), clean_tokens))
+    if not out.silent:
+        shared = common.Shared(docs.sparkSession, out)
+        both = [y for y, in texts.where("held").select("label").distinct().collect()]
+        apart = texts.where("held") if len(both) == 2 else texts  # too few texts to hold some of each label out
+        rows = [(r["s"], r["label"]) for r in apart.select("label", _summary_column(apart["text"], shared).alias("s")).collect()]
+        shared.destroy()
+        out.calibration = logistic(np.array([s for s, _ in rows]), np.array([y for _, y in rows], float))
+    return out
+
+
+def _scored_words(shared: common.Shared) -> ScoredWords:
+    return common.lasting("toxicity", shared.id, lambda: ScoredWords(shared.value.scorer()))
+
+
+def _summary_column(text: Column, shared: common.Shared) -> Column:
+    @F.arrow_udf("array<double>")
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = _scored_words(shared)
+        for batch in batches:
+            yield pa.array(list(shared.value.summaries(words, batch.to_pylist())[2]), pa.list_(pa.float64()))
+
+    return measure(text)
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """``docs`` with a struct ``out_col``: score, and spans of first and last character (the
-    latter exclusive) with their highest marginal."""
+    latter exclusive) with their highest marginal. ``docs`` must not have a column of that name."""
+    common.refuse_taken(docs, out_col)
     common.small_batches(docs.sparkSession)
-    shared = common.Shared(docs.sparkSession, field)  # of a fixed size
+    shared = common.Shared(docs.sparkSession, field)  # as bounded as the sample
 
     @F.arrow_udf("score double, spans array<struct<start:int,end:int,marginal:double>>")
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        f = shared.value
-        words = common.lasting("toxicity", shared.id, lambda: ScoredWords(f.scores))
+        f, words = shared.value, _scored_words(shared)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         for batch in batches:
             texts = batch.to_pylist()
-            numbers, lengths = words.look_up(texts)
-            e = words.rows[numbers] if len(numbers) else np.zeros(0)
-            p = f.marginals(e, lengths)
-            scores = f.document_scores(p, lengths)
+            p, lengths, summaries = f.summaries(words, texts)
+            scores = f.document_scores(summaries)
             spans = [[] for _ in texts]
             ends = np.cumsum(lengths)
             flagged = np.flatnonzero(p >= SPAN) if not f.silent else np.zeros(0, int)
