@@ -10,23 +10,23 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docfold.llm import common, exact_dedup, language_id, near_dedup, packing, queries, toxicity
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: learn from the labelled rows, drop what the calibrated models reject."""
-    models = language_id.fit(docs)
-    judged = language_id.predict(docs, models, out_col="_language")
-    return judged.where(~F.col("_language.rejected")).select(*docs.columns)
+    name = common.free_name(docs, "_language")
+    judged = language_id.predict(docs, language_id.fit(docs), out_col=name)
+    return judged.where(~judged[name]["rejected"]).drop(name)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: learn from ``labels``, drop documents with a score of 0.5 or more."""
     field = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, field, out_col="_toxicity")
-    return scored.where(F.col("_toxicity.score") < 0.5).select(*docs.columns)
+    name = common.free_name(docs, "_toxicity")
+    scored = toxicity.score(docs, field, out_col=name)
+    return scored.where(scored[name]["score"] < 0.5).drop(name)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
