@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 512
+#: Rows of hashes and ids that a broadcast may have.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,16 +112,30 @@ def within(found: list[tuple[Any, int, int]], bounds: dict[Any, int], max_chars:
     return picked
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept`` (one column), one row for each id, with all columns.
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A checkpointed table of few short columns with a broadcast hint, if it has at most
+    BROADCAST_ROWS rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Rows without id cannot be told apart and all stay. The join and the choice among rows that
-    repeat an id need the same partitioning, so texts are shuffled once.
+
+def keep_rows(docs: DataFrame, content: Column, judged: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (id, content, kept) keeps, with all columns.
+
+    ``content`` is a hash of a row of ``docs``; of rows that repeat both id and content one stays.
+    Rows without id cannot be told apart and all stay. What goes and what repeats is broadcast if
+    it is small; else both joins use one partitioning, so that texts are shuffled once.
     """
-    ids = kept.toDF("_kept_id").where("_kept_id is not null")
-    known = docs.where(docs[id_col].isNotNull())
-    chosen = known.join(ids, known[id_col] == ids["_kept_id"], "left_semi").dropDuplicates([id_col])
-    return chosen.unionByName(docs.where(docs[id_col].isNull()))
+    key, content_name = free_name(docs, "_kept_id"), free_name(docs, "_kept_content")
+    judged = judged.select(F.col("id").alias(key), F.col("content").alias(content_name), "kept")
+    gone = checkpoint(judged.where("not kept").select(key, content_name).distinct())
+    several = judged.where("kept").groupBy(key, content_name).agg(F.count("*").alias("n")).where("n > 1").select(key, content_name)
+    several = checkpoint(several)
+    rows = docs.withColumns({key: docs[id_col], content_name: content})
+    left = rows.join(broadcast_if_small(gone), [key, content_name], "left_anti")
+    once = left.join(broadcast_if_small(several), [key, content_name], "left_anti")
+    if not several.isEmpty():
+        once = once.unionByName(left.join(broadcast_if_small(several), [key, content_name], "left_semi").dropDuplicates([key, content_name]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def free_name(df: DataFrame, name: str) -> str:

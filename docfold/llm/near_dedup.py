@@ -41,6 +41,8 @@ PLACES = CHUNKS * CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: Rounds in which nodes try hubs, before all that is left is compared.
 ROUNDS = 2
+#: A node with PART pairs or more, and at least one HOT-th of all pairs, is hot; there are at most HOT of them.
+HOT, PART = 1024, 256
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 500_000
 
@@ -109,7 +111,8 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set_key, signature array<short>); both are null for an empty set."""
+    """(id, n_shingles, set_key, signature array<short>, content); key and signature are null for an
+    empty set, content is a hash of the text."""
     common.small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +126,17 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
                 for i, row in zip(some, signatures([sets[i] for i in some]).view(np.int16), strict=True):
                     rows[i] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int16()))],
-                ["id", "n_shingles", "set_key", "signature"],
+                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int16())), batch.column(2)],
+                ["id", "n_shingles", "set_key", "signature", "content"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(work, f"id {kind}, n_shingles long, set_key binary, signature array<short>")
+    schema = f"id {kind}, n_shingles long, set_key binary, signature array<short>, content binary"
+    return docs.select(docs[id_col], docs[text_col], content_hash(docs[text_col])).mapInArrow(work, schema)
+
+
+def content_hash(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def keys_of(nodes: DataFrame) -> DataFrame:
@@ -193,10 +201,22 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    """Pairs (a, b) with 100 * intersection >= percent * union of their full sets.
+
+    A node ``a`` with PART pairs or more, and at least a HOT-th of all of them, has its pairs dealt
+    over parts, each with a copy of its set; there are at most HOT such nodes, and as many parts
+    again. Sets are never broadcast: what is small when compressed may be large on the driver.
+    """
+    pairs = common.checkpoint(pairs.select("a", "b"))
+    size = max(PART, -(-pairs.count() // HOT))
+    often = pairs.groupBy("a").agg(F.count("*").alias("often")).where(F.col("often") >= size)
+    hot = F.broadcast(often.select("a", F.ceil(F.col("often") / F.lit(size)).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")).join(hot, "a", "left")
+    first = first.select("a", "left", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.select("a", "b").join(second, "b").join(first, "a")
+    both = dealt.join(second.hint("merge"), "b").join(first.hint("merge"), ["a", "part"])
     common_size = F.size(F.array_intersect("left", "right"))
     measured = both.select("a", "b", common_size.alias("both"), (F.size("left") + F.size("right")).alias("sum"))
     return measured.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b").distinct()
@@ -281,7 +301,7 @@ def pairs_apart(members: DataFrame, trees: DataFrame, thin: DataFrame, sets: Dat
     sizes = placed.groupBy("key", "tree").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("key").agg(F.max_by("tree", F.struct("size", "tree")).alias("main"), F.count("*").alias("trees"))
     largest = largest.where("trees > 1").select("key", "main")
-    brief = sets.groupBy("node").agg(F.first("brief").alias("brief"))
+    brief = sets.select("node", "brief")  # an id that repeats has several, each of which may link
     rows = common.checkpoint(placed.join(largest, "key").select("key", "slot", "node", "tree", "main"))
     told = rows.join(thin, "node").join(brief, "node")
     # One side has the nodes outside a key's largest tree alone; it meets all nodes of the key.
@@ -302,6 +322,12 @@ def pairs_apart(members: DataFrame, trees: DataFrame, thin: DataFrame, sets: Dat
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_shingles, component_id, kept)."""
+    found = _components(docs, width, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _components(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, content, n_shingles, component_id, kept) for each row."""
     signed = common.checkpoint(sign(docs, width, id_col, text_col))
     nodes = signed.where("id is not null and set_key is not null").groupBy("set_key").agg(
         F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
@@ -327,7 +353,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
     component = F.when(F.col("id").isNotNull(), component)
     return final.select(
-        F.col("id").alias(id_col),
+        "id",
+        "content",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
@@ -335,5 +362,6 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns: one for each id that is kept, and rows without id."""
-    return common.keep_ids(docs, groups(docs, width, percent, id_col, text_col).where("kept").select(id_col), id_col)
+    """The rows that stay, with all their columns: one for each id and text that is kept, and rows without id."""
+    found = common.checkpoint(_components(docs, width, percent, id_col, text_col).where("id is not null").select("id", "content", "kept"))
+    return common.keep_rows(docs, content_hash(docs[text_col]), found, id_col)
