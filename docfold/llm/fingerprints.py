@@ -1,17 +1,17 @@
 """Operator 3: document fingerprints as threshold-scaled sketches, in Spark SQL functions only.
 
 A text's shingles are runs of WIDTH words (a shorter text is one shingle); each is a 64-bit
-hash, and the sketch keeps every hash below a fixed fraction of the range. Sketches of any two
-texts can so be compared and merged, however unequal the texts are. A text with fewer than
-LEAST such hashes keeps its LEAST smallest ones instead, and the sketch records the bound up
-to which it is complete; two sketches are compared below the lesser bound.
+hash, and the sketch keeps every hash below THRESHOLD, one fixed fraction of the range for all
+texts. Sketches of any two texts can so be compared and merged, however unequal the texts are.
+A sketch also has one hash of all words, which tells texts apart that keep no shingle at all.
 
-A sketch is struct<bound: long, hashes: array<long>>, with hashes ascending.
+A sketch is struct<whole: long, hashes: array<long>>, with hashes ascending.
 
-Defined results: a null text counts as empty, and an empty or blank text has an empty sketch;
-two empty sketches are alike (1), one empty sketch is like no other (0). Rows with equal ids
-are ordered by their texts. A single document is its own next one. An empty table gives no
-rows. Only the id and the text are read.
+Defined results: a null text counts as empty, and an empty or blank text has no hashes; two
+sketches without hashes are alike (1) if their words are the same, and else not (0); one
+sketch without hashes is like no other (0). Rows with equal ids are ordered by their texts, and
+rows without id come last. A single document is its own next one. An empty table gives no rows.
+Ids are integers. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -19,13 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a shingle; one hash in SCALE is kept; hashes that a short text keeps at least.
-WIDTH, SCALE, LEAST = 5, 16, 16
-#: The least and greatest long.
-LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+from . import common
+
+#: Words of a shingle; one hash in SCALE is kept.
+WIDTH, SCALE = 5, 4
+#: Fixed value: the least long.
+LOWEST = -(1 << 63)
 THRESHOLD = LOWEST + (1 << 64) // SCALE - 1
-#: Documents, about, that one window covers.
-NEIGHBOURS = 256
+#: Documents, about, that one window covers; quantiles of the ids that windows divide, at most.
+NEIGHBOURS, QUANTILES = 256, 1024
+#: Quantiles that are looked through at once.
+STEP = 32
 
 
 def _let(value: Column, body) -> Column:
@@ -45,67 +49,47 @@ def sketch(text: Column) -> Column:
         )
         return F.when(n == 0, F.array().cast("array<long>")).when(n < WIDTH, F.array(F.xxhash64(h))).otherwise(runs)
 
-    def complete(kept: Column, bound: Column) -> Column:
-        return F.struct(bound.cast("long").alias("bound"), F.array_sort(F.array_distinct(kept)).alias("hashes"))
-
-    def short(all_hashes: Column) -> Column:
-        return _let(
-            F.array_sort(F.array_distinct(all_hashes)),
-            lambda s: F.struct(
-                F.when(F.size(s) <= LEAST, F.lit(HIGHEST)).otherwise(F.get(s, F.lit(LEAST - 1))).cast("long").alias("bound"),
-                F.slice(s, 1, LEAST).alias("hashes"),
-            ),
-        )
+    def below(all_hashes: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.filter(all_hashes, lambda x: x <= THRESHOLD)))
 
-    def sketched(all_hashes: Column) -> Column:
-        below = F.filter(all_hashes, lambda x: x <= THRESHOLD)
-        return _let(
-            below,
-            lambda b: F.when(F.size(F.array_distinct(b)) >= LEAST, complete(b, F.lit(THRESHOLD))).otherwise(short(all_hashes)),
-        )
+    def sketched(h: Column) -> Column:
+        return F.struct(F.xxhash64(h).alias("whole"), below(shingles(h)).alias("hashes"))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return _let(_let(hashes, shingles), sketched)
-
-
-def _below(s: Column, bound: Column) -> Column:
-    return F.filter(s["hashes"], lambda x: x <= bound)
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), sketched)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of shingles that two texts have in common (their Jaccard similarity)."""
-    bound = F.least(a["bound"], b["bound"])
 
     def of(pair: Column) -> Column:
-        common = F.size(F.array_intersect(pair["a"], pair["b"]))
-        union = F.size(pair["a"]) + F.size(pair["b"]) - common
-        return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
+        shared = F.size(F.array_intersect(pair["a"]["hashes"], pair["b"]["hashes"]))
+        union = F.size(pair["a"]["hashes"]) + F.size(pair["b"]["hashes"]) - shared
+        same = F.when(pair["a"]["whole"].eqNullSafe(pair["b"]["whole"]), 1.0).otherwise(0.0)
+        return F.when(union == 0, same).otherwise(shared / union)
 
-    return _let(F.struct(_below(a, bound).alias("a"), _below(b, bound).alias("b")), of)
+    return _let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second has."""
-    bound = F.least(a["bound"], b["bound"])
+    """Estimated share of the first text's shingles that the second has; 1 if the first keeps none."""
 
     def of(pair: Column) -> Column:
         size = F.size(pair["a"])
         return F.when(size == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(pair["a"], pair["b"])) / size)
 
-    return _let(F.struct(_below(a, bound).alias("a"), _below(b, bound).alias("b")), of)
+    return _let(F.struct(a["hashes"].alias("a"), b["hashes"].alias("b")), of)
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of both texts' shingles together."""
-    bound = F.least(a["bound"], b["bound"])
-    hashes = F.array_sort(F.array_union(_below(a, bound), _below(b, bound)))
-    return F.struct(bound.alias("bound"), hashes.alias("hashes"))
+    """The sketch of both texts' shingles together; its ``whole`` is null unless both have the same."""
+    whole = F.when(a["whole"] == b["whole"], a["whole"])
+    return F.struct(whole.alias("whole"), F.array_sort(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
 def as_text(s: Column) -> Column:
-    """The sketch as hexadecimal numbers: its bound, a colon, its hashes."""
+    """The sketch as hexadecimal numbers: the hash of all words, a colon, the kept hashes."""
     hexes = F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), 16, "0"))
-    return F.lower(F.concat(F.lpad(F.hex(s["bound"]), 16, "0"), F.lit(":"), F.array_join(hexes, "")))
+    return F.lower(F.concat(F.lpad(F.hex(F.coalesce(s["whole"], F.lit(0))), 16, "0"), F.lit(":"), F.array_join(hexes, "")))
 
 
 def next_keys(keys: DataFrame, widths: list[int]) -> DataFrame:
@@ -126,40 +110,70 @@ def next_keys(keys: DataFrame, widths: list[int]) -> DataFrame:
     return inside.join(links, "part").select("key", F.coalesce("below", "head").alias("next_key"))
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """Adds ``next``, a struct of the ``carried`` columns of the next row by descending id.
+def windows_of(ids: DataFrame) -> Column:
+    """A column that numbers windows of about NEIGHBOURS rows by the order of ``id``.
 
-    ``rows`` has ``id`` and ``text``. Windows hold ranges of ids, as wide as about NEIGHBOURS
-    rows take up on average; the last row of a window gets the first row of the next one.
+    Quantiles of the ids divide the table, and equal widths divide what lies between two of
+    them, so that ids far from all others widen one window's range alone. Nulls have a window of
+    their own before all others.
+    """
+    n = ids.where("id is not null").count()
+    parts = max(1, min(QUANTILES, n // NEIGHBOURS))
+    shares = [k / parts for k in range(parts + 1)]
+    found = ids.agg(F.percentile_approx("id", shares, 100 * QUANTILES).alias("q")).first()["q"] or [0]
+    bounds = sorted(set(found))
+    inside = max(1, n // parts // NEIGHBOURS)
+    widths = [max(1, -(-(b - a) // inside)) for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1], strict=True)]
+    tops = F.array(*[F.lit(b).cast("long") for b in bounds[::STEP]])
+    nested = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[k : k + STEP]]) for k in range(0, len(bounds), STEP)])
+    lows, wide = (F.array(*[F.lit(x).cast("double") for x in xs]) for xs in (bounds, widths))
+
+    def at(i: Column) -> Column:
+        # As doubles keep the order, places do.
+        sub = F.floor((F.col("id").cast("double") - F.get(lows, i)) / F.get(wide, i)).cast("long")
+        return i.cast("long") * (1 << 32) + F.greatest(sub, F.lit(0).cast("long"))
+
+    def quantile(top: Column) -> Column:
+        return top * STEP + F.greatest(F.size(F.filter(F.get(nested, top), lambda b: b <= F.col("id"))) - 1, F.lit(0))
+
+    top = F.greatest(F.size(F.filter(tops, lambda b: b <= F.col("id"))) - 1, F.lit(0))
+    return F.when(F.col("id").isNull(), F.lit(-1).cast("long")).otherwise(_let(_let(top, quantile), at))
+
+
+def with_next(docs: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """(id, text) with the columns ``made`` of it and ``next``, a struct of the text and those
+    columns of the next row by descending id.
+
+    The last row of a window gets the first row of the next one; those first rows are found by
+    their ids and read apart, so that texts are shuffled once.
     """
-    known = rows.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
-    spread = (known["high"] - known["low"]) if known["low"] is not None else 0
-    width = max(1, (spread + 1) * NEIGHBOURS // max(1, known["n"]))
-    # A null id comes after all others.
-    place = F.coalesce(F.floor(F.col("id") / width), F.lit((known["low"] or 0) // width - 1)).cast("long")
-    order = Window.partitionBy("place").orderBy(F.col("id").desc_nulls_last(), "text")
-    placed = rows.withColumn("place", place)
-    ranked = placed.withColumns({"rank": F.row_number().over(order), "next": F.lead(F.struct(*carried)).over(order)})
-    links = next_keys(placed.select(F.col("place").alias("key")).distinct(), [NEIGHBOURS, NEIGHBOURS])
-    heads = ranked.where("rank = 1").select(F.col("place").alias("next_key"), F.struct(*carried).alias("head"))
+    ids = docs.select("id")
+    place = windows_of(ids)
+    firsts = common.checkpoint(ids.withColumn("place", place).groupBy("place").agg(F.max("id").alias("id")))
+    order = [F.col("id").desc_nulls_last(), F.col("text")]
+    carried = F.struct("text", *made)
+    rows = docs.withColumn("place", place).withColumns(made)
+    ranked = rows.withColumn("next", F.lead(carried).over(Window.partitionBy("place").orderBy(*order)))
+    wanted = common.broadcast_if_small(firsts.select(F.col("id").alias("first_id")))
+    first_texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("first_id")), "left_semi").withColumn("place", place)
+    heads = first_texts.groupBy("place").agg(F.min("text").alias("text")).select(F.col("place").alias("next_key"), "text")
+    heads = heads.withColumns(made).select("next_key", F.struct("text", *made).alias("head"))
+    links = next_keys(firsts.select(F.col("place").alias("key")), [NEIGHBOURS, NEIGHBOURS])
     heads = heads.join(links, "next_key").select(F.col("key").alias("place"), "head")
-    inner = ranked.where("next is not null")
-    last = ranked.where("next is null").drop("next").join(heads, "place").withColumnRenamed("head", "next")
-    return inner.unionByName(last).drop("place", "rank")
+    return ranked.join(heads, "place", "left").withColumn("next", F.coalesce("next", "head")).drop("place", "head")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of the text with its last third replaced by the start of the
     next document's, and the likeness of the first to the second and to the next document's."""
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    rows = rows.withColumn("own", sketch(F.col("text")))
-    paired = with_next(rows, ["text", "own"])
+    paired = with_next(rows, {"own": sketch(F.col("text"))})
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third))
-    made = paired.select("id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("other"), edited.alias("edited"))
-    made = made.withColumn("changed", sketch(F.col("edited")))
-    return made.select(
+    changed = paired.select("id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("other"), edited.alias("edited"))
+    changed = changed.withColumn("changed", sketch(F.col("edited")))
+    return changed.select(
         F.col("id").alias(id_col),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
