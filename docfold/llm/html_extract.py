@@ -6,6 +6,11 @@ footers, sidebars, adverts, forms and comments, and blocks made of links, are ba
 with many stop words, and blocks of an article that are not short, are good; short ones stay
 open. In the second pass an open block takes the label of its nearest decided neighbour.
 
+Density goes before names: where a form, or an element that only its class or id speaks
+against, has PARDON times the stop words of all that was kept without it, its blocks are
+judged by density as if it were a plain element. Where a page has hardly any known stop word
+(they are of English, Spanish, French and German), long blocks with few links are good.
+
 Defined results: a null or empty page, and one without any good block, has an empty text;
 unclosed or misnested elements end where their surroundings end; repeated rows each get a
 result; an empty table gives no rows. Columns other than those named are not read.
@@ -17,6 +22,7 @@ import html as html_module
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +34,10 @@ from . import common
 SHORT, LONG = 60, 200
 #: Shares of characters in links, and of words that are stop words.
 LINKS, STOPS_LOW, STOPS_HIGH = 0.4, 0.12, 0.25
+#: Stop words of a bad element, as a multiple of those kept outside, from which its name does not count.
+PARDON = 5
+#: Share of stop words below which a page's language counts as unknown.
+KNOWN = 0.03
 
 # Elements of HTML, and words that sites use in names of their elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,7 +59,9 @@ BAD_NAMES = frozenset(
     "topbar trending warning widget widgets".split()
 )
 BAD_BEGINNINGS = tuple("adsby advert breadcrumb comment cookie newsletter pagination promo recommend sidebar sponsor subscri".split())
-ABOUT_OTHERS = frozenset("has no with without".split())
+ABOUT_OTHERS = frozenset("free has no with without".split())
+#: Names of what readers write and of lists of other pages: these never are the article.
+NEVER = frozenset("breadcrumb breadcrumbs comment comments disqus recommended related replies reply respond trending".split())
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could do for from had has have he her his if in into is "
@@ -64,12 +76,14 @@ STOP_WORDS = frozenset(
     "zum zur über".split()
 )
 
+# Quotes count only where a value begins; elsewhere, as in title=it's, they are letters like others.
+ATTRIBUTES = r"(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES})>|<[!?][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,39 +94,65 @@ class Block:
 
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
-    hint: int = 0  # 1 inside an article, -1 inside what is not one, 0 neither
+    hint: int = 0  # 1 inside an article, 0 elsewhere
+    bad: int = -1  # the innermost bad element around it, or -1
     heading: bool = False
 
-    @property
+    @cached_property
     def text(self) -> str:
         return " ".join("".join(self.pieces).split())
 
+    @cached_property
+    def words(self) -> int:
+        return len(WORD.findall(self.text))
+
+    @cached_property
+    def stops(self) -> int:
+        return sum(w in STOP_WORDS for w in WORD.findall(self.text.lower()))
+
+    @property
+    def prose(self) -> bool:
+        return self.linked <= LINKS * len(self.text)
+
+
+@dataclass
+class Bad:
+    """An element that holds no article by its name."""
 
-def hint_of(name: str, attributes: str, above: int) -> int:
-    """What an element says of its contents, given what its surroundings say."""
-    if above < 0 or name in BAD_ELEMENTS or (name == "header" and above <= 0):
-        return -1
+    above: int  # the next bad element around it, or -1
+    by_name: bool  # whether it may be pardoned
+    stops: int = 0
+    pardoned: bool = False
+
+
+def hint_of(name: str, attributes: str, above: int) -> tuple[int, str]:
+    """What an element says of its contents, given what its surroundings say: 1 for an article,
+    0 for neither; and ``never`` or ``named`` if it holds no article, the latter if that may be wrong."""
+    if name in BAD_ELEMENTS or (name == "header" and above <= 0):
+        return above, "named" if name in ("form", "fieldset") else "never"
     named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
     role = named.get("role", "").lower()
     style = named.get("style", "").replace(" ", "").lower()
     bare = ATTRIBUTE.sub("", attributes).lower().split() if attributes else []
     if role in BAD_ROLES or "display:none" in style or "hidden" in bare or named.get("aria-hidden") == "true":
-        return -1
+        return above, "never"
+    bad = ""
+    good = name in GOOD_ELEMENTS or role in ("main", "article")
     if name not in ("html", "body"):
         parts = {p.lower() for p in NAME_PARTS.findall(f"{named.get('class', '')} {named.get('id', '')}")}
         named_bad = parts & BAD_NAMES or any(p.startswith(BAD_BEGINNINGS) for p in parts)
         # Names like has-sidebar or no-comments tell of something else than the element itself.
         if (named_bad and not parts & ABOUT_OTHERS) or ("header" in parts and above <= 0 and name != "article"):
-            return -1
-        if parts & GOOD_NAMES:
-            return 1
-    return 1 if name in GOOD_ELEMENTS or role in ("main", "article") else above
+            bad = "never" if parts & NEVER or any(p.startswith("comment") for p in parts) else "named"
+        good = good or bool(parts & GOOD_NAMES)
+    return 1 if good else above, bad
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page, in order, without empty ones."""
+def blocks_of(page: str) -> tuple[list[Block], list[Bad]]:
+    """The blocks of a page, in order, without empty ones, and its bad elements, outer ones first."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements and what they say
+    bads: list[Bad] = []
+    stack: list[tuple[str, int, int]] = []  # open elements, what they say, and the bad element they are in
     links: int | None = None  # how many elements were open when a link began
     now = Block()
     at = 0
@@ -121,15 +161,14 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal now
         if now.pieces and now.text:
             out.append(now)
-        hint = stack[-1][1] if stack else 0
-        now = Block(hint=hint, heading=any(n in HEADINGS for n, _ in stack[-2:]))
+        _, hint, bad = stack[-1] if stack else ("", 0, -1)
+        now = Block(hint=hint, bad=bad, heading=any(n in HEADINGS for n, _, _ in stack[-2:]))
 
     def add(raw: str) -> None:
         if not raw:
             return
         text = html_module.unescape(raw)
-        hint = stack[-1][1] if stack else 0
-        if text.strip() and hint != now.hint:
+        if text.strip() and (stack[-1][1:] if stack else (0, -1)) != (now.hint, now.bad):
             close()
         now.pieces.append(text)
         if links is not None:
@@ -167,33 +206,39 @@ def blocks_of(page: str) -> list[Block]:
         if name == "a":
             links = len(stack)
         if name not in VOID and not m[4].endswith("/"):
-            stack.append((name, hint_of(name, m[4], stack[-1][1] if stack else 0)))
+            _, hint, bad = stack[-1] if stack else ("", 0, -1)
+            hint, judged = hint_of(name, m[4], hint)
+            if judged:
+                bads.append(Bad(bad, judged == "named"))
+                bad = len(bads) - 1
+            stack.append((name, hint, bad))
         if name in BLOCK:
             close()
     add(page[at:])
     close()
-    return out
+    return out, bads
 
 
-def first_pass(block: Block) -> bool | None:
+def first_pass(block: Block, hint: int, known: bool) -> bool | None:
     """Good, bad, or None for a block that its neighbours decide."""
-    text = block.text
-    if block.hint < 0:
+    size = len(block.text)
+    if hint < 0:
         return False
-    if block.linked > LINKS * len(text):
-        return False if block.hint <= 0 or block.linked > 0.9 * len(text) else None
-    if block.heading or len(text) < SHORT:
+    if not block.prose:
+        return False if hint <= 0 or block.linked > 0.9 * size else None
+    if block.heading or size < SHORT:
         return None
-    words = WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if block.hint > 0:
+    if hint > 0:
         return True
+    if not known:
+        return True if size >= LONG else None
+    stops = block.stops / max(1, block.words)
     if stops < STOPS_LOW:
         return False
-    return True if stops >= STOPS_HIGH or len(text) >= LONG else None
+    return True if stops >= STOPS_HIGH or size >= LONG else None
 
 
-def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
+def second_pass(blocks: list[Block], hints: list[int], labels: list[bool | None]) -> list[bool]:
     """Open blocks take the label of the nearest decided block.
 
     Only blocks of articles decide for blocks of an article; where none does, or where the two
@@ -201,19 +246,19 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     follows it, and other blocks are bad.
     """
     everywhere = decided_beside(labels)
-    articles = decided_beside([label if b.hint > 0 else None for b, label in zip(blocks, labels, strict=True)])
+    articles = decided_beside([label if hint > 0 else None for hint, label in zip(hints, labels, strict=True)])
     out = []
     for i, label in enumerate(labels):
         if label is None:
-            j, k = (articles if blocks[i].hint > 0 else everywhere)[i]
+            j, k = (articles if hints[i] > 0 else everywhere)[i]
             before, after = (None if x is None else labels[x] for x in (j, k))
             if j is None or (k is not None and k - i < i - j):
                 label = after
             elif k is None or i - j < k - i or before == after:
                 label = before
-            elif blocks[i].heading and blocks[i].hint <= 0:
+            elif blocks[i].heading and hints[i] <= 0:
                 label = after
-        out.append(blocks[i].hint > 0 if label is None else label)
+        out.append(hints[i] > 0 if label is None else label)
     return out
 
 
@@ -232,12 +277,38 @@ def decided_beside(labels: list[bool | None]) -> list[tuple[int | None, int | No
     return list(zip(before, reversed(after), strict=True))
 
 
+def pardon(blocks: list[Block], bads: list[Bad], kept: list[bool]) -> bool:
+    """Pardon the bad elements that hold far more stop words than what is kept without them, outer
+    ones first; whether there are any."""
+    for b in blocks:
+        if b.bad >= 0 and b.prose:
+            bads[b.bad].stops += b.stops
+    for bad in reversed(bads):
+        if bad.by_name and bad.above >= 0:
+            bads[bad.above].stops += bad.stops
+    without = sum(b.stops for b, good in zip(blocks, kept, strict=True) if good)
+    beside: list[int] = []  # stop words kept if all elements around one are pardoned, but not itself
+    for bad in bads:
+        above = bads[bad.above] if bad.above >= 0 else None
+        beside.append(beside[bad.above] + above.stops - bad.stops if above else without)
+        bad.pardoned = bad.by_name and bad.stops > PARDON * beside[-1] and (above is None or above.pardoned)
+    return any(bad.pardoned for bad in bads)
+
+
+def judged(blocks: list[Block], bads: list[Bad], known: bool) -> list[bool]:
+    hints = [-1 if b.bad >= 0 and not bads[b.bad].pardoned else b.hint for b in blocks]
+    return second_pass(blocks, hints, [first_pass(b, hint, known) for b, hint in zip(blocks, hints, strict=True)])
+
+
 def extract(page: str | None) -> str:
     """The main text of one page, its blocks joined by an empty line."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    kept = second_pass(blocks, [first_pass(b) for b in blocks])
+    blocks, bads = blocks_of(page)
+    known = sum(b.stops for b in blocks) >= KNOWN * sum(b.words for b in blocks)
+    kept = judged(blocks, bads, known)
+    if pardon(blocks, bads, kept):
+        kept = judged(blocks, bads, known)
     return "\n\n".join(b.text for b, good in zip(blocks, kept, strict=True) if good)
 
 

@@ -307,6 +307,13 @@ LINES = "The river was high in the spring and the old bridge had to be closed fo
          + "</p><table><tr><td>a</td><td>b</td></tr></table><div class='share-buttons'>Share this</div></article>", ["Head", LINES.strip(), "a b"]),
         ("<article><h2>Only</h2><p>short.</p></article>", ["Only", "short."]),
         ("<article><p>1 &lt; 2 &#233; <b>bold<p>" + LINES, ["1 < 2 é bold", LINES.strip()]),
+        ("<body><nav>Home</nav><form id=aspnet method=post><h1>Head</h1><p>" + LINES + "</p><div class=sidebar><p>" + LINES[:99] + "</p></div></form></body>", ["Head", LINES.strip()]),
+        ("<main id='main' class='ad-free'><p>" + LINES + "</p></main>", [LINES.strip()]),
+        ("<div class='post social'><div id=tags-story><p>" + LINES + "</p><p>End.</p></div></div><footer>F</footer>", [LINES.strip(), "End."]),
+        ("<p title=it's>" + LINES + "</p><p title=\"a>b\" data-x='c>d'>" + LINES + "</p>", [LINES.strip(), LINES.strip()]),
+        ("<article><p>" + LINES + "</p></article><div class=newsletter><form><p>" + LINES + "</p></form></div>", [LINES.strip()]),
+        ("<article><p>Short one.</p></article><section class=comments><p>" + LINES * 9 + "</p></section>", ["Short one."]),
+        ("<body><p>" + "река была высока весной " * 12 + "</p><p><a href=x>" + "ещё одна ссылка " * 20 + "</a></p></body>", [("река была высока весной " * 12).strip()]),
     ],
 )
 def test_main_text(page, want):
@@ -320,6 +327,11 @@ def test_main_text_of_a_table(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_unclosed_tags_and_nested_names_end():
+    assert html_extract.extract("<a b='1' c=\"2\" " * 5000) is not None
+    assert html_extract.extract("<div class=ad>" * 5000 + "<p>" + LINES) == LINES.strip()
+
+
 def test_long_pages_of_open_blocks_end():
     page = "<p>x</p>" * 20_000
     assert html_extract.extract(page) == ""
@@ -561,7 +573,6 @@ def test_packing(spark, docs, none):
 
     raw = queries.tokenizer_file("byte_bpe_50k.json").decode()
     tokenizer = Tokenizer.from_str(raw)
-    tokenizer.encode_special_tokens = True
     rows = ROWS + [(100 + i, "word " * (i * 37 % 1500), "en") for i in range(60)] + [(200, "<|endoftext|> x", "en")]
     got = packing.pack(packing.token_pieces(table(spark, rows), raw, end_id=2)).collect()
     want = []
