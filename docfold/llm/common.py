@@ -41,9 +41,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
+
+    Spark would hand the constraints of a plan on to all that is built on it, where they multiply
+    with each round of a loop and fill the driver's memory; they are left out here.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def remainder(doc_id: Column, m: int) -> Column:

@@ -330,7 +330,7 @@ def _components(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     """(id, content, n_shingles, component_id, kept) for each row."""
     signed = common.checkpoint(sign(docs, width, id_col, text_col))
     nodes = signed.where("id is not null and set_key is not null").groupBy("set_key").agg(
-        F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
+        F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.count("*").alias("copies")
     )
     nodes = common.checkpoint(nodes)
     thin = nodes.select("node", "n", "signature")
@@ -348,10 +348,16 @@ def _components(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     trees = merged(trees, confirmed(pairs, sets, percent))
 
     # A node that shares no key is a component of its own.
-    named = nodes.select("set_key", "node").join(trees, "node", "left").select("set_key", F.coalesce("tree", "node").alias("component"))
-    final = signed.join(named, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
-    component = F.when(F.col("id").isNotNull(), component)
+    named = nodes.select("set_key", "node", "copies").join(trees, "node", "left")
+    named = named.select("set_key", "copies", F.coalesce("tree", "node").alias("component"))
+    named = common.checkpoint(named)
+    hot = F.broadcast(named.where(F.col("copies") * HOT >= signed.count()).drop("copies"))  # at most HOT rows
+    rows = signed.select("id", "content", "n_shingles", "set_key")
+    some = rows.where("set_key is not null")
+    rest = some.join(hot, "set_key", "left_anti").join(named.drop("copies"), "set_key", "left")
+    alone = rows.where("set_key is null").withColumn("component", F.col("id"))
+    final = some.join(hot, "set_key").unionByName(rest).unionByName(alone)
+    component = F.when(F.col("id").isNotNull(), F.col("component"))
     return final.select(
         "id",
         "content",
