@@ -30,7 +30,7 @@ def levels(calls: DataFrame) -> DataFrame:
     known = calls.select(F.col("call_id").alias("parent_id")).distinct()
     steps = calls.select("call_id", "parent_id").join(known.withColumn("is_known", F.lit(True)), "parent_id", "left")
     steps = steps.select("call_id", F.when(F.col("is_known"), F.col("parent_id")).alias("up"))
-    steps = common.checkpoint(steps.withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
+    steps = common.checkpoint(steps.withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")), in_loop=True)
     for _ in range(math.ceil(math.log2(steps.count() + 1)) + 1):
         if steps.where("up is not null").isEmpty():
             break
@@ -38,7 +38,7 @@ def levels(calls: DataFrame) -> DataFrame:
         steps = steps.join(above, "up", "left").select(
             "call_id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")
         )
-        steps = common.checkpoint(steps)
+        steps = common.checkpoint(steps, in_loop=True)
     # After as many doublings as any chain needs, only circles are left.
     return steps.select("call_id", F.when(F.col("up").isNull(), F.col("level")).alias("level"))
 

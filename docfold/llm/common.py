@@ -40,21 +40,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, in_loop: bool = False) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
-    Spark would hand the constraints of a plan on to all that is built on it, where they multiply
-    with each round of a loop and fill the driver's memory; they are left out here.
+    A checkpointed table keeps its plan's estimate of its size, and a join multiplies those of
+    its sides: in a loop the number's digits double each round until planning fills the driver's
+    memory. With ``in_loop`` the rows, thin ones, are a written table, whose size is known.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
+    folder = checkpoint_dir(df.sparkSession)
+    if not in_loop:
         return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    path = f"{folder}/loop-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remainder(doc_id: Column, m: int) -> Column:

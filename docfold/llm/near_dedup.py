@@ -224,11 +224,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def roots(parents: DataFrame) -> DataFrame:
     """(node, root) of a forest given as (node, parent), where a root's parent is itself or not listed."""
-    parents = common.checkpoint(parents)
+    parents = common.checkpoint(parents, in_loop=True)
     while True:
         above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("up"))
         jumped = parents.join(above, "parent", "left").select("node", F.coalesce("up", "parent").alias("next"), "parent")
-        jumped = common.checkpoint(jumped)
+        jumped = common.checkpoint(jumped, in_loop=True)
         parents = jumped.select("node", F.col("next").alias("parent"))
         if jumped.where("next <> parent").isEmpty():
             return parents.withColumnRenamed("parent", "root")
@@ -240,7 +240,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round hangs every node on its smallest neighbour if that is smaller, follows these
     trees to their roots, and replaces the links by links between roots.
     """
-    links = common.checkpoint(links.select("a", "b"))
+    links = common.checkpoint(links.select("a", "b"), in_loop=True)
     found = None
     while not links.isEmpty():
         either = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -250,11 +250,11 @@ def components(links: DataFrame) -> DataFrame:
             found = tree
         else:
             step = tree.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            found = common.checkpoint(found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            found = common.checkpoint(found.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root")), in_loop=True)
         left = tree.select(F.col("node").alias("a"), F.col("root").alias("x"))
         right = tree.select(F.col("node").alias("b"), F.col("root").alias("y"))
         moved = links.join(left, "a").join(right, "b").where("x <> y")
-        links = common.checkpoint(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        links = common.checkpoint(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), in_loop=True)
     if found is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found
@@ -343,7 +343,7 @@ def _components(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     thin = common.checkpoint(thin.join(candidates, "node", "left_semi"))
     trees = thin.select("node", F.col("node").alias("tree"))
     for turn in range(ROUNDS):
-        trees = common.checkpoint(merged(trees, confirmed(hub_pairs(members, trees, thin, turn, percent), sets, percent)))
+        trees = common.checkpoint(merged(trees, confirmed(hub_pairs(members, trees, thin, turn, percent), sets, percent)), in_loop=True)
     pairs = common.checkpoint(pairs_apart(members, trees, thin, sets, percent))
     trees = merged(trees, confirmed(pairs, sets, percent))
 
