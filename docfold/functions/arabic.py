@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Direction marks, and the two runs of Arabic digits.
+# Direction marks, and the Arabic-Indic digits.
 MARKS = "‏‎"
-DIGITS = {ord(c): str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")}
+DIGITS = {ord(c): str(i) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩")}
 
 
 # Where numbers stand reversed, and what is put before and after the repaired

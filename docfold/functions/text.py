@@ -180,9 +180,10 @@ def embedding_text(title: Column, section_path: Column, kind: Column, location:
 
 
 def cleaned_list(text: Column, most: int, question: bool = False) -> Column:
-    """A model's answer line by line without bullets, numbers and quotes; the first of equal
-    lines, whatever their case, stays; at most ``most``; with ``question`` each ends in ``?``."""
-    bare = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*|[\"']", "")))
+    """A model's answer line by line without bullets and numbers, and without quotes at either end;
+    the first of equal lines, whatever their case, stays; at most ``most``; with ``question`` each ends in ``?``."""
+    unmarked = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s*(?:[-*]|\d+[.)])\s*", ""))
+    bare = F.transform(unmarked, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"^[\"' ]+|[\"' ]+$", ""))
     kept = F.filter(bare, lambda x: x != "")
     if question:
         kept = F.transform(kept, lambda x: F.when(F.endswith(x, F.lit("?")), x).otherwise(F.concat(x, F.lit("?"))))

@@ -34,12 +34,16 @@ def leaf_rows(results: DataFrame, keys: list[str], json_col: str) -> DataFrame:
     return spread.select(*keys, "leaf.path", "leaf.value")
 
 
-def aligned(rows: DataFrame, group: list[str], model: str) -> DataFrame:
-    """(group, path, model, value, is_present): every path of a group for every model of it."""
-    models = rows.select(*group, model).distinct()
+def aligned(rows: DataFrame, group: list[str], model: str, models: DataFrame | None = None) -> DataFrame:
+    """(group, path, model, value, is_present): every path of a group for every model of it.
+
+    ``models`` (group, model) lists the models that were asked, those whose answer had no leaf
+    too; without it a group's models are those that gave leaves.
+    """
+    asked = rows.select(*group, model).distinct() if models is None else models.select(*group, model).distinct()
     paths = rows.select(*group, "path").distinct()
     known = rows.withColumn("is_present", F.lit(True))
-    whole = paths.join(models, group).join(known, [*group, "path", model], "left")
+    whole = paths.join(asked, group).join(known, [*group, "path", model], "left")
     return whole.withColumn("is_present", F.coalesce("is_present", F.lit(False)))
 
 
@@ -54,15 +58,20 @@ def consensus(rows: DataFrame, group: list[str], model: str) -> DataFrame:
     return made.select(*group, "path", F.col("b.norm").alias("consensus_norm"), F.col("b.value").alias("consensus_value"), F.col("b.votes").alias("votes"))
 
 
-def issues(rows: DataFrame, group: list[str], model: str) -> DataFrame:
+def issues(rows: DataFrame, group: list[str], model: str, models: DataFrame | None = None) -> DataFrame:
     """(group, path, n_missing, issue): how the models' values of a path differ, if they do.
 
     The first that applies: all are numbers and differ; their numbers differ; their word counts
     differ; their values differ.
     """
-    whole = aligned(rows, group, model)
+    whole = aligned(rows, group, model, models)
     value = F.when(F.col("is_present"), F.coalesce("value", F.lit("")))
     number, tokens = T.number_or_null(value), F.array_join(T.numbers(value), " ")
+
+    def differ(name: str) -> Column:
+        own = F.when(F.col("is_present"), F.col(name))
+        return F.coalesce(F.min(own) != F.max(own), F.lit(False))
+
     told = whole.select(
         *group, "path", "is_present", number.alias("number"), tokens.alias("tokens"), F.size(T.words(value)).alias("n_words"), T.folded(value).alias("norm")
     )
@@ -70,24 +79,24 @@ def issues(rows: DataFrame, group: list[str], model: str) -> DataFrame:
         F.sum((~F.col("is_present")).cast("long")).alias("n_missing"),
         F.sum(F.col("is_present").cast("long")).alias("n_present"),
         F.count("number").alias("n_numbers"),
-        F.countDistinct("number").alias("numbers"),
-        F.countDistinct(F.when(F.col("is_present"), F.col("tokens"))).alias("token_lists"),
-        F.countDistinct(F.when(F.col("is_present"), F.col("n_words"))).alias("word_counts"),
-        F.countDistinct("norm").alias("norms"),
+        differ("number").alias("numbers"),
+        differ("tokens").alias("token_lists"),
+        differ("n_words").alias("word_counts"),
+        differ("norm").alias("norms"),
     )
     c = F.col
     issue = (
-        F.when((c("n_numbers") == c("n_present")) & (c("numbers") > 1), ISSUES[0])
-        .when(c("token_lists") > 1, ISSUES[1])
-        .when((c("norms") > 1) & (c("word_counts") > 1), ISSUES[2])
-        .when(c("norms") > 1, ISSUES[3])
+        F.when((c("n_numbers") == c("n_present")) & c("numbers"), ISSUES[0])
+        .when(c("token_lists"), ISSUES[1])
+        .when(c("norms") & c("word_counts"), ISSUES[2])
+        .when(c("norms"), ISSUES[3])
     )
     return summed.select(*group, "path", "n_missing", issue.alias("issue"))
 
 
-def model_summary(rows: DataFrame, group: list[str], model: str) -> DataFrame:
+def model_summary(rows: DataFrame, group: list[str], model: str, models: DataFrame | None = None) -> DataFrame:
     """(model, counters, place): how often each model departs from the consensus, fewest first."""
-    whole = aligned(rows, group, model).join(issues(rows, group, model), [*group, "path"]).join(consensus(rows, group, model), [*group, "path"])
+    whole = aligned(rows, group, model, models).join(issues(rows, group, model, models), [*group, "path"]).join(consensus(rows, group, model), [*group, "path"])
     here, theirs = F.col("value"), F.col("consensus_value")
     differs = {
         ISSUES[0]: ~T.number_or_null(here).eqNullSafe(T.number_or_null(theirs)),

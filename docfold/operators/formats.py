@@ -89,7 +89,8 @@ def markup_chunks(lines: DataFrame, doc: str, archetypes: DataFrame, most: int =
     shown = F.array_join(F.filter(F.transform(F.split("text", "\n"), structure.marked_line), lambda x: x != ""), "\n")
     windows = chunking.block_windows(blocks.withColumn("text", shown), keys, "first_line", most, overlap)
     spread = windows.select(*keys, "window", F.explode("block_ids").alias("block_id")).join(blocks, [*keys, "block_id"])
-    gather = lambda f: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(f"parts.{f}"))))).alias(f)
+    in_order = F.array_sort(F.collect_list(F.struct("first_line", "parts")))
+    gather = lambda f: F.array_distinct(F.flatten(F.transform(in_order, lambda x: x["parts"][f]))).alias(f)
     told = spread.groupBy(*keys, "window").agg(
         *[gather(f) for f in ("anchors", "image_refs", "directives", "equation_labels")],
         F.sum("parts.inline_math").alias("inline_math"),

@@ -22,7 +22,7 @@ from ..operators import catalog, structure
 
 # Suffixes by the kind of file that they stand for.
 KINDS = {
-    "text": ["txt", "md", "log"],
+    "text": ["txt"],
     "json": ["json"],
     "rst": ["rst"],
     "docx": ["docx"],
@@ -64,8 +64,13 @@ def routed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """Text files with their text; bytes that are no UTF-8 become replacement characters."""
-    return files.withColumn("text", F.decode("content", "utf-8"))
+    """Text files with their text; bytes that are no UTF-8 are left out."""
+
+    @F.arrow_udf("string")
+    def without_errors(batch: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in batch.to_pylist()], pa.string())
+
+    return files.withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(without_errors(F.col("content"))))
 
 
 def text_lines(files: DataFrame) -> DataFrame:

@@ -285,3 +285,24 @@ def test_streaming_days(spark, tmp_path):
     usage.run_once(usage.daily(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     closed = {str(r["day"])[:10]: r["questions"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert closed == {"2024-01-01": 3, "2024-01-02": 4, "2024-01-03": 4, "2024-01-04": 4}
+
+
+def test_quotes_inside_a_line_stay(spark):
+    answer = "1) What's new in \"v2\"?\n- 'Quoted'\n• dot"
+    assert one(spark, T.cleaned_list(F.col("t"), 5), t=answer) == ['What\'s new in "v2"?', "Quoted", "• dot"]
+
+
+def test_only_arabic_indic_digits_are_rewritten():
+    assert arabic.normalize("٣ ۴") == "3 ۴"
+
+
+def test_bytes_that_are_no_text_are_left_out(spark):
+    files = spark.createDataFrame([(bytearray(b"ab\xffc"),), (bytearray("é".encode()),), (None,)], "content binary")
+    assert [r["text"] for r in readers.decoded(files).collect()] == ["abc", "é", None]
+
+
+def test_a_model_without_leaves_is_missing(spark):
+    rows = spark.createDataFrame([(1, "p", "a", "x"), (1, "p", "b", "x")], "g int, path string, model string, value string")
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "g int, model string")
+    assert compare.issues(rows, ["g"], "model", asked).first()["n_missing"] == 1
+    assert compare.issues(rows, ["g"], "model").first()["n_missing"] == 0
