@@ -15,9 +15,10 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import catalog, structure
 
 # Suffixes by the kind of file that they stand for.
@@ -156,6 +157,124 @@ def _headed(paragraphs: Iterator[tuple[str, int | None, str]]) -> Iterator[dict]
         yield {"block_type": kind, "text": text, "heading_level": level, "section_path": [t for _, t in stack]}
 
 
+# Directives that show images, and how far their options are indented.
+IMAGE_DIRECTIVES = {"image", "figure"}
+INDENTED = ("   ", "\t")
+MARKUP = "struct<block_type:string,text:string,heading_level:int,section_path:array<string>,line_start:int,line_end:int,directive:string,image_target:string,alt_text:string>"
+
+
+class _Markup:
+    """The blocks of one reStructuredText file, line by line; numbers of lines begin at 1.
+
+    An open block ends at an empty line, a heading, a directive, or where a list begins. Its kind
+    is told by the directive before it, and lasts over empty lines until the block holds a text.
+    A path begins with None, which stands for the document's title.
+    """
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.path, self.out = lines, [None], []
+        self.kind, self.rows, self.start = "paragraph", [], 1
+
+    def give(self, kind: str, text: str, first: int, last: int, **rest) -> None:
+        self.out.append({"block_type": kind, "text": text, "section_path": list(self.path), "line_start": first, "line_end": last, **rest})
+
+    def close(self, last: int) -> None:
+        text, self.rows = "\n".join(self.rows), []
+        if text.strip():
+            directive = None if self.kind == "paragraph" else {"code": "code_block"}.get(self.kind, self.kind)
+            self.give(self.kind, text, self.start, last, directive=directive)
+            self.kind = "paragraph"
+
+    def heading(self, at: int) -> bool:
+        title, rule = self.lines[at].strip(), (self.lines[at + 1] if at + 1 < len(self.lines) else "")
+        if not title or not rule.strip() or len(rule) < len(title) or set(rule.strip()) - set(structure.LEVELS):
+            return False
+        self.close(at)
+        level = structure.LEVELS.index(rule.strip()[0]) + 1
+        self.path = [*self.path[: level - 1], title]
+        self.give("heading", title, at + 1, at + 2, heading_level=level)
+        return True
+
+    def image(self, at: int, directive: str, target: str) -> int:
+        """Gives a caption block and returns the number of the first line after its options."""
+        end = at + 1
+        while end < len(self.lines) and (not self.lines[end].strip() or self.lines[end].startswith(INDENTED)):
+            end += 1
+        own = [x.strip() for x in self.lines[at + 1 : end] if x.strip()]
+        alt = [x.removeprefix(":alt:").strip() for x in own if x.startswith(":alt:")]
+        said = "\n".join(x for x in own if not x.startswith(":"))
+        alt_text = alt[-1] if alt else ""
+        self.give("caption", said or alt_text or target, at + 1, end, directive=directive, image_target=target, alt_text=alt_text)
+        return end
+
+    def blocks(self) -> list[dict]:
+        at = 0
+        while at < len(self.lines):
+            line = self.lines[at]
+            if self.heading(at):
+                at += 2
+                continue
+            if named := re.match(r"\.\.\s+([a-zA-Z0-9_-]+)::\s*(.*)$", line):
+                self.close(at)
+                name, said = named[1], named[2].strip()
+                if name in IMAGE_DIRECTIVES:
+                    at = self.image(at, name, said)
+                    continue
+                self.kind, self.start, self.rows = "code" if name == "code-block" else "note", at + 1, [said] if said else []
+            elif self.kind == "code" and line.startswith("    "):
+                self.add(at, line[4:])
+            elif not line.strip():
+                self.close(at + 1)
+            else:
+                if line.lstrip().startswith(("- ", "* ")):
+                    if self.rows and self.kind != "list_item":
+                        self.close(at)
+                    self.kind = "list_item"
+                self.add(at, line)
+            at += 1
+        self.close(len(self.lines))
+        return self.out
+
+    def add(self, at: int, row: str) -> None:
+        if not self.rows:
+            self.start = at + 1
+        self.rows.append(row)
+
+
+def resolved(path: Column) -> Column:
+    """A path without ``.`` parts and, up to eight levels deep, without ``..`` parts."""
+    out = F.regexp_replace(path, r"/(?:\./)+", "/")
+    for _ in range(8):
+        out = F.regexp_replace(out, r"/(?!\.\./)[^/]+/\.\./", "/")
+    return out
+
+
+def rst_blocks(files: DataFrame, images: DataFrame) -> DataFrame:
+    """(document_id, title, order_index, block_id, fields of MARKUP, image_path) of reStructuredText files.
+
+    ``images`` has the path of each file that may be shown; an image directive whose file is not
+    among them gives no block. Texts have their spaces normalised, code too.
+    """
+
+    @F.arrow_udf(f"array<{MARKUP}>")
+    def run(texts: pa.Array) -> pa.Array:
+        names = ["block_type", "text", "heading_level", "section_path", "line_start", "line_end", "directive", "image_target", "alt_text"]
+        whole = {"heading_level": pa.int32(), "line_start": pa.int32(), "line_end": pa.int32(), "section_path": pa.list_(pa.string())}
+        kind = pa.struct([(n, whole.get(n, pa.string())) for n in names])
+        return pa.array([[{n: b.get(n) for n in names} for b in _Markup((t or "").splitlines()).blocks()] for t in texts.to_pylist()], pa.list_(kind))
+
+    rows = decoded(files).select("path", "document_id", "title", F.posexplode(run("text")).alias("_at", "b")).select("path", "document_id", "title", "_at", "b.*")
+    shown = F.when(F.col("image_target").isNotNull(), resolved(T.sibling_path(F.col("path"), F.col("image_target"))))
+    found = images.select(F.col("path").alias("image_path"), F.lit(True).alias("_found")).distinct()
+    kept = rows.withColumn("image_path", shown).join(found, "image_path", "left").where("image_target is null or _found")
+    kept = kept.withColumn("order_index", (F.row_number().over(Window.partitionBy("document_id").orderBy("_at")) - 1).cast("bigint"))
+    return kept.withColumns({
+        "section_path": F.transform("section_path", lambda p: F.coalesce(p, F.col("title"))),
+        "text": T.normalize_spaces(F.col("text")),
+        "block_id": F.concat_ws("-block-", "document_id", F.col("order_index").cast("string")),
+    }).drop("_at", "_found", "path")
+
+
 def docx_blocks(files: DataFrame) -> DataFrame:
     """Paragraphs of Word files; styles named Heading and a number are headings."""
 

@@ -278,6 +278,49 @@ def test_files_to_blocks(spark, tmp_path):
     assert readers.text_lines(of("text")).count() == 2
 
 
+def test_markup_files_to_blocks(spark, tmp_path):
+    text = """lost
+Guide
+=====
+intro  text
+goes on
+- one
+- two
+
+Part
+----
+.. code-block:: bash
+
+    ls
+    cd
+
+.. note:: Mind this
+
+.. figure:: img/../a.png
+   :alt: An image
+   :width: 3
+
+   Shown here
+.. image:: gone.png
+   :alt: not there
+
+after"""
+    (tmp_path / "my_doc.rst").write_text(text)
+    (tmp_path / "a.png").write_bytes(b"x")
+    files = readers.scan(spark, str(tmp_path))
+    rows = readers.rst_blocks(files.where("kind = 'rst'"), files.where("kind = 'image'")).orderBy("order_index").collect()
+    # A heading of the first level takes the place of the document's title; a rule is as long as its title.
+    assert [(r["block_type"], r["text"], "/".join(r["section_path"])) for r in rows] == [
+        ("paragraph", "lost", "my doc"), ("heading", "Guide", "Guide"), ("paragraph", "intro text\ngoes on", "Guide"), ("list_item", "- one\n- two", "Guide"),
+        ("heading", "Part", "Guide/Part"), ("code", "bash", "Guide/Part"), ("paragraph", "ls\n cd", "Guide/Part"),
+        ("note", "Mind this", "Guide/Part"), ("caption", "Shown here", "Guide/Part"), ("paragraph", "after", "Guide/Part"),
+    ]
+    figure = rows[-2]
+    assert (figure["alt_text"], figure["directive"], figure["image_path"].endswith("/a.png")) == ("An image", "figure", True)
+    assert [(r["line_start"], r["line_end"]) for r in rows[:4]] == [(1, 1), (2, 3), (4, 5), (6, 8)]
+    assert [r["order_index"] for r in rows] == list(range(len(rows)))
+
+
 def test_streaming_days(spark, tmp_path):
     rows = spark.sql("SELECT timestamp'2024-01-01 10:00:00' + make_dt_interval(0, id * 6) AS asked_at, 'u' AS session_id FROM range(20)")
     rows.write.parquet(str(tmp_path / "in"))
