@@ -10,8 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch, about: they bound a Python worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: Rows of hashes and ids that a broadcast may have.
 BROADCAST_ROWS = 500_000
 
@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Limit the rows of the batches that go to Python workers."""
+    """Limit the rows and bytes of the batches that go to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -44,7 +44,7 @@ ROUNDS = 2
 #: A node with PART pairs or more, and at least one HOT-th of all pairs, is hot; there are at most HOT of them.
 HOT, PART = 1024, 256
 #: Words whose hashes a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -9,7 +9,7 @@ import numpy as np
 from .common import Memo
 
 #: Distinct words whose scores a worker keeps; beyond that it starts afresh.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 
 class ScoredWords:
