@@ -17,7 +17,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 #: Distinct words that a worker keeps in each of its two generations.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 
 
 class WordTable:
