@@ -125,7 +125,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_col: str =
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = common.lasting("bpe ids", (shared.value, pattern), lambda: WordTable(ByteBpe(shared.value, pattern).encode_words))
-        for batch in batches:
+        for batch in common.freed(batches):
             found = words.look_up(batch.to_pylist())
             yield pa.array([[i for ids in parts for i in ids] for parts in found], pa.list_(pa.int32()))
 
@@ -140,7 +140,7 @@ def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str, id_col: str
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = ByteBpe(shared.value, pattern)
-        for batch in batches:
+        for batch in common.freed(batches):
             yield pa.array([codec.decode(ids or []) for ids in batch.to_pylist()], pa.binary())
 
     return encoded.select(encoded[id_col].alias(id_col), decode(encoded[ids_col]).alias("decoded"))
@@ -163,7 +163,7 @@ def round_trip_digests(docs: DataFrame, ranks: bytes, pattern: str, id_col: str
             return WordTable(lambda ws: [(",".join(map(str, ids)), codec.decode(ids)) for ids in codec.encode_words(ws)], PAIRS)
 
         words = common.lasting("bpe digests", (shared.value, pattern), make)
-        for batch in batches:
+        for batch in common.freed(batches):
             counts, ids_hex, bytes_hex = [], [], []
             for pairs in words.look_up(batch.to_pylist()):
                 ids = ",".join([p[0] for p in pairs])
@@ -191,7 +191,7 @@ def count_tokens(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc
             return WordTable(lambda ws: list(map(len, codec.encode_words(ws))))
 
         words = common.lasting("bpe counts", (shared.value, pattern), make)
-        for batch in batches:
+        for batch in common.freed(batches):
             yield pa.array(map(sum, words.look_up(batch.to_pylist())), pa.int64())
 
     return docs.select(docs[id_col].alias(id_col), count(docs[text_col]).alias("n_tokens"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,6 +192,19 @@ def lasting(kind: str, key: Any, make: Callable[[], Any]) -> Any:
     return _LASTING[0][2]
 
 
+def freed(batches: Iterable) -> Iterator:
+    """The same batches; what Arrow holds in reserve goes back to the system after each one."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
+def alone() -> None:
+    """Drop the table that an operator before left in this worker; for tasks that keep none themselves."""
+    _LASTING.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Memo(dict):
     """Numbers that new keys get as they are first looked up; ``fresh`` lists those keys."""
 

@@ -264,7 +264,8 @@ def counted(texts: DataFrame) -> DataFrame:
     """(label, word, n): how often the words of (label, text) occur."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        common.alone()
+        for batch in common.freed(batches):
             own: dict[str, list[str]] = {}
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own.setdefault(label, []).append(text)
@@ -284,6 +285,7 @@ def smoothed(counts: DataFrame) -> dict[str, tuple[list, list]]:
     """
 
     def learn(words: pa.Table) -> pa.Table:
+        common.alone()
         shares, backs = _one_language(words["word"].to_pylist(), words["n"].to_numpy().astype(float))
         rows = [(words["label"][0].as_py(), at, keys.tobytes(), values.tobytes()) for at, (keys, values) in enumerate(shares + backs)]
         return pa.table(dict(zip(("label", "at", "keys", "values"), map(list, zip(*rows, strict=True)), strict=True)))
@@ -333,7 +335,7 @@ def _entropy_column(text: Column, shared: common.Shared) -> Column:
     @F.arrow_udf("array<double>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = common.lasting("language", shared.id, lambda: ScoredWords(shared.value.word_scores))
-        for batch in batches:
+        for batch in common.freed(batches):
             entropy, letters = _entropies(words, batch.to_pylist())
             yield pa.array(list(np.column_stack([entropy, letters])), pa.list_(pa.float64()))
 
@@ -353,7 +355,7 @@ def predict(docs: DataFrame, models: Models, text_col: str = "text", out_col: st
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         words = common.lasting("language", shared.id, lambda: ScoredWords(m.word_scores))
-        for batch in batches:
+        for batch in common.freed(batches):
             entropy, letters = _entropies(words, batch.to_pylist())
             n = len(batch)
             if entropy.shape[1] == 0:

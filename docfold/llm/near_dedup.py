@@ -116,8 +116,9 @@ def sign(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     common.small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in common.freed(batches):
             sets = shingler.sets(batch.column(1).to_pylist())
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list[bytes | None] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -143,7 +144,8 @@ def keys_of(nodes: DataFrame) -> DataFrame:
     """(key, slot, node) for each node and place."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        common.alone()
+        for batch in common.freed(batches):
             if not len(batch):
                 continue
             rows = np.array(batch.column(1).flatten()).view(np.uint16).reshape(-1, PLACES)
@@ -163,8 +165,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int, id_col: str, tex
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.alone()
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in common.freed(batches):
             sets = shingler.sets(batch.column(1).to_pylist())
             rows = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             brief = pa.array([np.unique(s.astype(np.uint16)).view(np.int16) for s in sets], pa.list_(pa.int16()))

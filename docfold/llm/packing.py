@@ -75,7 +75,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = common.lasting("packing", shared.value, lambda: Encoder(shared.value))
-        for batch in batches:
+        for batch in common.freed(batches):
             out: list[tuple] = []
             for row, ids in enumerate(encode(batch.column(1).to_pylist())):
                 ids += end

@@ -221,7 +221,8 @@ def tokenized(texts: DataFrame) -> DataFrame:
     """(label, h, held, sketch, words) of sampled texts; words are in lower case, letters alone."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        common.alone()
+        for batch in common.freed(batches):
             words = [[plain(w) for w in t.split()] for t in batch.column(3).to_pylist()]
             columns = [*(batch.column(k) for k in range(3)), pa.array(map(sketch_of, words), pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["label", "h", "held", "sketch", "words"])
@@ -255,7 +256,8 @@ def stretches_to_fit(told: DataFrame, strong: list[str], clean_tokens: int) -> D
     share = clean_tokens / max(1, total)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        common.alone()
+        for batch in common.freed(batches):
             rows: list[tuple] = []
             for y, h, ws in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 like = [int(bool(w) and not known.isdisjoint(parts(w))) for w in ws]
@@ -328,6 +330,7 @@ def fitted(sequences: DataFrame) -> Field:
     """``gradient_steps`` in one task, whose rows the sample's bounds limit."""
 
     def work(rows: pa.Table) -> pa.Table:
+        common.alone()
         f = gradient_steps(rows)
         rest = [f.bias, *f.steps.ravel().tolist(), *f.start.tolist()]
         return pa.table({"silent": [f.silent], "buckets": [f.buckets.tobytes()], "weights": [f.weights.tobytes()], "rest": pa.array([rest], pa.list_(pa.float64()))})
@@ -411,7 +414,7 @@ def _summary_column(text: Column, shared: common.Shared) -> Column:
     @F.arrow_udf("array<double>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = _scored_words(shared)
-        for batch in batches:
+        for batch in common.freed(batches):
             yield pa.array(list(shared.value.summaries(words, batch.to_pylist())[2]), pa.list_(pa.float64()))
 
     return measure(text)
@@ -428,7 +431,7 @@ def score(docs: DataFrame, field: Field, text_col: str = "text", out_col: str =
     def tag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f, words = shared.value, _scored_words(shared)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
-        for batch in batches:
+        for batch in common.freed(batches):
             texts = batch.to_pylist()
             p, lengths, summaries = f.summaries(words, texts)
             scores = f.document_scores(summaries)
