@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_tools, common, exact_dedup, fingerprints, html_extract, language_id, near_dedup, packing, token_counts, toxicity
+from . import bpe, chat_tools, common, exact_dedup, fingerprints, html_extract, language_id, near_dedup, packing, periodic_runs, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,9 +94,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=1024)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(common.table(spark, sf_dir, "documents"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_byte_bpe, op3_fingerprints, op4_token_counts, op5_exact_dedup, op6_html_extraction, op7_chat_tools, op8_minhash, op9_language_id, op10_packing)
+    for f in (
+        op1_toxicity, op2_byte_bpe, op3_fingerprints, op4_token_counts, op5_exact_dedup, op6_html_extraction, op7_chat_tools,
+        op8_minhash, op9_language_id, op10_packing, op12_periodic_runs, op13_substring_dedup,
+    )
 }
 
 ORACLE_SQL = {
