@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_tools, common, exact_dedup, fingerprints, html_extract, language_id, near_dedup, packing, periodic_runs, substring_dedup, token_counts, toxicity
+from . import bpe, chat_tools, common, exact_dedup, fingerprints, html_extract, language_id, near_dedup, packing, periodic_runs, substring_dedup, token_counts, toxicity, turn_repair
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,6 +94,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=1024)
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(common.table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(common.table(spark, sf_dir, "documents"))
 
@@ -106,7 +110,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_byte_bpe, op3_fingerprints, op4_token_counts, op5_exact_dedup, op6_html_extraction, op7_chat_tools,
-        op8_minhash, op9_language_id, op10_packing, op12_periodic_runs, op13_substring_dedup,
+        op8_minhash, op9_language_id, op10_packing, op11_turn_repair, op12_periodic_runs, op13_substring_dedup,
     )
 }
 
@@ -175,4 +179,87 @@ ORACLE_SQL = {
         SELECT r.a AS doc_id, any_value(n) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
         FROM reached r JOIN sizes s ON s.doc_id = r.a GROUP BY r.a
     """,
+    "op11_turn_repair": r"""
+        WITH RECURSIVE folds AS (
+            SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS f
+            FROM range(256) t(i)
+        ),
+        keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT) AS bytes
+            FROM conversations
+        ),
+        drawn AS (
+            SELECT conv_id, turn, role, text,
+                   xor(list_reduce([4294967295::BIGINT] || bytes, lambda c, b: xor(c >> 8, f[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind
+            FROM keyed, folds
+        ),
+        spoilt AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM drawn
+        ),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM spoilt
+        ),
+        told AS (
+            SELECT conv_id, turn, role, text, pos, left(role, 1) AS initial,
+                   NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+                   NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+            FROM placed
+        ),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+                   count(*) FILTER (open AND NOT blank AND NOT again) AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM told GROUP BY conv_id
+        ),
+        steps AS (
+            SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 'r': ''} AS x,
+                   NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS s, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR) AS v
+            FROM counts
+            UNION ALL
+            SELECT conv_id, pos, dx,
+                   list_min([ds, CASE WHEN keep AND initial = 's' THEN {'c': x.c + late, 'a': x.a || 'K', 'r': x.r || line} END]),
+                   list_min([du, CASE WHEN keep AND initial = 'u' THEN list_min([
+                                     CASE WHEN x.c IS NOT NULL THEN {'c': x.c + late, 'a': x.a || 'K', 'r': x.r || line} END,
+                                     CASE WHEN s.c IS NOT NULL THEN {'c': s.c + late, 'a': s.a || 'K', 'r': s.r || line} END,
+                                     CASE WHEN v2.c IS NOT NULL THEN {'c': v2.c + late, 'a': v2.a || 'K', 'r': v2.r || line} END]) END,
+                             CASE WHEN keep THEN list_min([
+                                     CASE WHEN x.c IS NOT NULL THEN {'c': x.c + 2 + late, 'a': x.a || 'R', 'r': x.r || chr(10) || 'user:' || text} END,
+                                     CASE WHEN s.c IS NOT NULL THEN {'c': s.c + 2 + late, 'a': s.a || 'R', 'r': s.r || chr(10) || 'user:' || text} END,
+                                     CASE WHEN v2.c IS NOT NULL THEN {'c': v2.c + 2 + late, 'a': v2.a || 'R', 'r': v2.r || chr(10) || 'user:' || text} END]) END]),
+                   list_min([dv, CASE WHEN keep AND initial = 'a' THEN {'c': u2.c + late, 'a': u2.a || 'K', 'r': u2.r || line} END,
+                             CASE WHEN keep THEN {'c': u2.c + 2 + late, 'a': u2.a || 'R', 'r': u2.r || chr(10) || 'assistant:' || text} END])
+            FROM (
+                SELECT *, CASE WHEN x.c IS NOT NULL THEN {'c': x.c + 3, 'a': x.a || 'D', 'r': x.r} END AS dx,
+                       CASE WHEN s.c IS NOT NULL THEN {'c': s.c + 3, 'a': s.a || 'D', 'r': s.r} END AS ds,
+                       {'c': u2.c + 3, 'a': u2.a || 'D', 'r': u2.r} AS du, {'c': v2.c + 3, 'a': v2.a || 'D', 'r': v2.r} AS dv
+                FROM (
+                    SELECT *, list_min([v, {'c': u2.c + 2, 'a': u2.a || 'I', 'r': u2.r || chr(10) || 'assistant:'}]) AS v2
+                    FROM (
+                        SELECT t.conv_id, t.pos, t.text, t.initial, p.x, p.s, p.v, chr(10) || t.role || ':' || t.text AS line,
+                               NOT t.blank AND NOT t.again AS keep, t.open::BIGINT AS late,
+                               list_min([p.u, CASE WHEN p.x.c IS NOT NULL THEN {'c': p.x.c + 2, 'a': p.x.a || 'I', 'r': p.x.r || chr(10) || 'user:'} END,
+                                         CASE WHEN p.s.c IS NOT NULL THEN {'c': p.s.c + 2, 'a': p.s.a || 'I', 'r': p.s.r || chr(10) || 'user:'} END,
+                                         CASE WHEN p.v.c IS NOT NULL THEN {'c': p.v.c + 2, 'a': p.v.a || 'I', 'r': p.v.r || chr(10) || 'user:'} END]) AS u2
+                        FROM steps p JOIN told t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.pos = p.i + 1
+                    )
+                )
+            )
+        ),
+        ended AS (
+            SELECT conv_id, list_min([x, v, CASE WHEN u.c IS NOT NULL THEN {'c': u.c + 2, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'} END,
+                                      CASE WHEN s.c IS NOT NULL THEN {'c': s.c + 4, 'a': s.a || 'II', 'r': s.r || chr(10) || 'user:' || chr(10) || 'assistant:'} END]) AS best
+            FROM steps JOIN counts USING (conv_id) WHERE i = n
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
