@@ -253,9 +253,9 @@ ORACLE_SQL = {
             )
         ),
         ended AS (
-            SELECT conv_id, list_min([x, v, CASE WHEN u.c IS NOT NULL THEN {'c': u.c + 2, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'} END,
+            SELECT p.conv_id, list_min([x, v, CASE WHEN u.c IS NOT NULL THEN {'c': u.c + 2, 'a': u.a || 'I', 'r': u.r || chr(10) || 'assistant:'} END,
                                       CASE WHEN s.c IS NOT NULL THEN {'c': s.c + 4, 'a': s.a || 'II', 'r': s.r || chr(10) || 'user:' || chr(10) || 'assistant:'} END]) AS best
-            FROM steps JOIN counts USING (conv_id) WHERE i = n
+            FROM steps p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = c.n
         )
         SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
                coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
