@@ -6,7 +6,7 @@ with windows over one document, so documents are spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,35 +38,44 @@ def underlined(lines: DataFrame, doc: str, chars: str = LEVELS, least: int = 1,
     return lines.withColumn("heading_level", F.when((title != "") & fits & (level > 0), level))
 
 
-def sections(lines: DataFrame, doc: str) -> DataFrame:
-    """Adds heading_line, the line of the nearest heading above, and section_path.
+def heading_stack(level: Column, at: Column, title: Column, so_far: WindowSpec, deepest: int) -> Column:
+    """The titles of the headings that are open at a row, outermost first.
 
-    Lines before the first heading, headings and their rules are dropped. The path is found by
-    folding over the headings that are open at a heading: a heading closes those of its own or a
-    deeper level. Only headings are gathered, not lines.
+    ``so_far`` is a window of the rows up to this one in the order of ``at``. The last heading of
+    each level is open if it stands behind the last ones of all lower levels, as those close it.
+    The window keeps one heading for each level, so the work is linear in the rows.
     """
-    so_far = Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.withColumn("heading_line", F.max(F.when(F.col("heading_level").isNotNull(), F.col("line_no"))).over(so_far))
-    body = placed.where("heading_level is null and line_no > heading_line + 1")
-    return body.join(heading_paths(lines, doc), [doc, "heading_line"])
+    named = F.struct(at.cast("long").alias("at"), title.alias("title"))
+    latest = [F.last(F.when(level == k, named), ignorenulls=True).over(so_far) for k in range(1, deepest + 1)]
+    none = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<string>").alias("path"))
+
+    def take(held: Column, head: Column) -> Column:
+        longer = F.struct(head["at"].alias("at"), F.concat(held["path"], F.array(head["title"])).alias("path"))
+        return F.when(head["at"] > held["at"], longer).otherwise(held)
 
+    return F.aggregate(F.array(*latest), none, take, lambda held: held["path"])
 
-def heading_paths(lines: DataFrame, doc: str) -> DataFrame:
-    """(doc, heading_line, section_path) for each heading."""
-    heads = lines.where("heading_level is not null")
-    entry = F.struct(F.col("line_no").alias("at"), F.col("heading_level").alias("level"), F.trim("line").alias("title"))
-    all_heads = heads.groupBy(doc).agg(F.array_sort(F.collect_list(entry)).alias("heads"))
-    empty = F.array().cast("array<struct<at:int,level:int,title:string>>")
 
-    def push(open_heads: Column, head: Column) -> Column:
-        return F.concat(F.filter(open_heads, lambda h: h["level"] < head["level"]), F.array(head))
+def with_paths(lines: DataFrame, doc: str) -> DataFrame:
+    """Adds section_path, the titles of the open headings at each line, itself included, and
+    heading_line, the line of the innermost; both are null before the first heading."""
+    so_far = Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    is_head = F.col("heading_level").isNotNull()
+    stack = heading_stack(F.col("heading_level"), F.col("line_no"), F.trim("line"), so_far, len(LEVELS))
+    own = lines.withColumn("_path", F.when(is_head, stack))
+    return own.withColumns({
+        "section_path": F.last("_path", ignorenulls=True).over(so_far),
+        "heading_line": F.max(F.when(is_head, F.col("line_no"))).over(so_far),
+    }).drop("_path")
 
-    def path_at(i: Column) -> Column:
-        upto = F.slice(F.col("heads"), F.lit(1), i + 1)
-        return F.transform(F.aggregate(upto, empty, push), lambda h: h["title"])
 
-    spread = all_heads.select(doc, F.posexplode(F.transform("heads", lambda h, i: F.struct(h["at"].alias("at"), path_at(i).alias("path")))))
-    return spread.select(doc, F.col("col.at").alias("heading_line"), F.col("col.path").alias("section_path"))
+def sections(lines: DataFrame, doc: str) -> DataFrame:
+    """Adds heading_line, the line of the nearest heading above, and section_path.
+
+    Lines before the first heading, headings and their rules are dropped. A heading closes those
+    of its own or a deeper level.
+    """
+    return with_paths(lines, doc).where("heading_level is null and line_no > heading_line + 1")
 
 
 def blank_line_blocks(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,17 +116,16 @@ def typed_blocks(lines: DataFrame, doc: str) -> DataFrame:
     typed = told.withColumns({"heading_level": level, "block_type": kind}).drop("_before", "_alone", "_rule")
     goes_on = (F.col("block_type") == "paragraph") & (F.lag("block_type").over(order) == "paragraph")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = typed.withColumn("_start", F.when(goes_on, 0).otherwise(1)).withColumn("_block", F.sum("_start").over(so_far))
-    marked = marked.withColumn("heading_line", F.max(F.when(F.col("heading_level").isNotNull(), F.col("line_no"))).over(so_far))
+    marked = with_paths(typed, doc).withColumn("_start", F.when(goes_on, 0).otherwise(1)).withColumn("_block", F.sum("_start").over(so_far))
     row = F.struct("line_no", own.alias("text"))
-    made = marked.where("block_type <> 'blank'").groupBy(doc, "_block", "block_type", "heading_line").agg(
+    made = marked.where("block_type <> 'blank'").groupBy(doc, "_block", "block_type").agg(
         F.max("heading_level").alias("heading_level"),
+        F.first("section_path").alias("section_path"),
         F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["text"]), " ").alias("text"),
     )
-    pathed = made.join(heading_paths(typed, doc), [doc, "heading_line"], "left")
     index = F.row_number().over(Window.partitionBy(doc).orderBy("_block")) - 1
     none = F.array().cast("array<string>")
-    return pathed.select(doc, index.alias("order_index"), "block_type", "text", "heading_level", F.coalesce("section_path", none).alias("section_path"))
+    return made.select(doc, index.alias("order_index"), "block_type", "text", "heading_level", F.coalesce("section_path", none).alias("section_path"))
 
 
 def block_artifacts(text: Column) -> Column:
@@ -171,20 +179,89 @@ def looks_like_table(text: Column) -> Column:
     return several | single
 
 
+def page_heading(own: Column) -> Column:
+    """A few words before a colon, or a short line in capitals or title case with few digits."""
+    colon = F.endswith(own, F.lit(":"))
+    few_digits = F.char_length(F.regexp_replace(own, r"\D", "")) <= 4
+    return (F.size(T.words(own)) > 0) & ((colon & (F.size(T.words(own)) <= 6)) | (heuristic_heading(own) & few_digits & ~colon))
+
+
 def unit_type(text: Column) -> Column:
     """table, step, caption, heading or paragraph for a unit of a page."""
     own = F.trim(text)
-    colon = F.endswith(own, F.lit(":")) & (F.size(T.words(own)) <= 6)
-    few_digits = F.char_length(F.regexp_replace(own, r"\D", "")) <= 4
     return (
         F.when(looks_like_table(text), "table")
         .when(F.rlike(own, F.lit(T.STEP_START)), "step")
         .when(F.rlike(own, F.lit(CAPTION)), "caption")
-        .when((F.size(T.words(own)) > 0) & (colon | (heuristic_heading(own) & few_digits & ~F.endswith(own, F.lit(":")))), "heading")
+        .when(page_heading(own), "heading")
         .otherwise("paragraph")
     )
 
 
+# How numbered headings begin, and digits that count as a number in one.
+ENUMERATED = r"^(?:[\(\[]?[\d٠-٩IVXivxA-Za-z]+[\)\].:-]\s*).+"
+NUMERIC = r"[\d٠-٩]"
+
+
+def _compact(line: Column) -> Column:
+    return (F.size(T.words(line)) <= 10) & ~F.rlike(line, F.lit("[,،;؛]"))
+
+
+def heading_line(line: Column) -> Column:
+    """Whether a line of a page is a heading on its own.
+
+    It has at most fourteen words, ends no sentence, and is no table, step or caption. A numbered
+    line must be compact; else a colon at its end, or within twelve words, makes it one, or its
+    looks do.
+    """
+    n = F.size(T.words(line))
+    other = looks_like_table(line) | F.rlike(line, F.lit(CAPTION)) | F.rlike(line, F.lit(T.STEP_START)) | F.rlike(line, F.lit("[.;?!]$"))
+    colon = F.endswith(line, F.lit(":")) | (F.contains(line, F.lit(":")) & (n <= 12))
+    return (n > 0) & (n <= 14) & ~other & F.when(F.rlike(line, F.lit(ENUMERATED)), _compact(line)).otherwise(colon | page_heading(line))
+
+
+def heading_line_level(line: Column) -> Column:
+    """1 or 2: compact numbered lines and those with a colon and a digit are 2, others with a colon
+    or of at most four words 1."""
+    colon, digit = F.contains(line, F.lit(":")), F.rlike(line, F.lit(NUMERIC))
+    return (
+        F.when((F.rlike(line, F.lit(ENUMERATED)) & _compact(line)) | (colon & digit), 2)
+        .when(colon | (F.size(T.words(line)) <= 4), 1)
+        .otherwise(2)
+    )
+
+
+def page_units(pages: DataFrame, doc: str, page: str = "page_number", text: str = "text", title: str = "document_title") -> DataFrame:
+    """Units (doc, page, order_index, block_type, text, heading_level, heading_style, section_path) of pages of text.
+
+    Paragraphs stand between empty lines. A heading line breaks its paragraph's run of other lines,
+    and each such run is a unit with a type of its own. Paths begin with the document's title and
+    hold the headings that are open, on earlier pages too; without any, the page stands there.
+    Texts are shuffled once, by document, and all windows and groups keep that partitioning.
+    """
+    folded = lambda parts: F.filter(F.transform(parts, T.normalize_spaces), lambda x: x != "")
+    by_doc = pages.select(doc, page, title, F.col(text).alias("_text")).repartition(doc)
+    parts = by_doc.select(doc, page, title, F.posexplode(folded(F.split("_text", "\n\n"))).alias("_part", "_paragraph"))
+    lines = parts.select(doc, page, title, "_part", F.posexplode(folded(F.split("_paragraph", "\n"))).alias("_line", "line"))
+    told = lines.withColumn("_head", heading_line(F.col("line")))
+    in_part = Window.partitionBy(doc, page, "_part").orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)
+    runs = told.withColumn("_run", F.sum(F.col("_head").cast("int")).over(in_part))
+    row = F.array_sort(F.collect_list(F.struct("_line", "line")))
+    units = runs.groupBy(doc, page, title, "_part", "_run", "_head").agg(F.min("_line").alias("_line"), F.array_join(F.transform(row, lambda r: r["line"]), "\n").alias("text"))
+    kind = F.when(F.col("_head"), "heading").otherwise(unit_type(F.col("text")))
+    units = units.withColumn("block_type", kind)
+    is_head = F.col("block_type") == "heading"
+    level = F.when(F.col("_head"), heading_line_level(F.col("text"))).when(is_head, 1)
+    style = F.when(F.col("_head"), "line_heuristic").when(is_head, "heuristic")
+    order = Window.partitionBy(doc).orderBy(page, "_part", "_line")
+    placed = units.withColumns({"order_index": (F.row_number().over(order) - 1).cast("long"), "heading_level": level, "heading_style": style})
+    so_far = Window.partitionBy(doc).orderBy("order_index").rowsBetween(Window.unboundedPreceding, 0)
+    stack = heading_stack(F.col("heading_level"), F.col("order_index"), F.col("text"), so_far, 2)
+    bare = F.array(F.concat(F.lit("Page "), F.col(page).cast("string")))
+    path = F.concat(F.array(title), F.when(F.size("_stack") > 0, F.col("_stack")).otherwise(bare))
+    return placed.withColumn("_stack", stack).select(doc, page, "order_index", "block_type", "text", "heading_level", "heading_style", path.alias("section_path"))
+
+
 def image_anchor(blocks: DataFrame, page: list[str]) -> DataFrame:
     """The block of each page that its images belong to: the first caption, else the first that
     speaks of a figure, else the first step, else the first that is neither heading nor table."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .queries import K, QUESTION, RECENT_DAYS, VARIANTS
-from .views import CHAT_EVENTS, LINES, MODEL_LEAVES
+from .views import CHAT_EVENTS, LINES, MODEL_LEAVES, PAGES
 
 CHUNKS = "SELECT doc_id, text, lang, source, embedding, label FROM documents JOIN embeddings ON doc_id = vec_id"
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -147,6 +147,44 @@ ISSUES = f"""
     FROM ({WHOLE}) GROUP BY o_orderkey, path
 """
 
+LOOSE = "^[=~^#*+-]+$"
+STEP_START = r"^((?:step\s+)?(?:\d+|[a-zA-Z])[).:-]\s+)"
+CAPTION = r"(?i)^(?:figure|fig\.?|diagram|workflow|architecture|table|chart|image|screenshot|screen)\s*[\dA-Za-z.-]*[:\-]?\s+"
+ENUMERATED = r"^(?:[\(\[]?[\d٠-٩IVXivxA-Za-z]+[\)\].:-]\s*).+"
+
+
+def heuristic(x: str) -> str:
+    letters, upper = rf"length(regexp_replace({x}, '[^\p{{L}}]', '', 'g'))", rf"length(regexp_replace({x}, '[^\p{{Lu}}]', '', 'g'))"
+    titled = f"{x} = array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+    return rf"""({x} <> '' AND len({words(x)}) <= 8 AND NOT regexp_matches({x}, '[.;?!]$') AND NOT regexp_matches({x}, '{STEP_START}')
+        AND (({letters} > 0 AND {upper} > 0.75 * {letters}) OR ({titled} AND len({words(x)}) <= 6)))"""
+
+
+def page_heading(x: str) -> str:
+    digits = rf"length(regexp_replace({x}, '\D', '', 'g'))"
+    return f"(len({words(x)}) > 0 AND (CASE WHEN ends_with({x}, ':') THEN len({words(x)}) <= 6 ELSE {heuristic(x)} AND {digits} <= 4 END))"
+
+
+def table_like(x: str) -> str:
+    border = r"\s{2,}|\t|\|"
+    own = lines(x)
+    return rf"""((len({own}) >= 2 AND len(list_filter({own}[1:4], lambda y: NOT regexp_matches(y, '{border}'))) = 0)
+        OR (len({own}) = 1 AND len(regexp_extract_all({own}[1], '{border}')) >= 2 AND len({words(x)}) >= 3))"""
+
+
+def normalized(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({x}, '\r\n?', E'\n', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def paths(heads: str, rows: str, key: str, at: str, first: str = "''") -> str:
+    """(key, at, path) for rows: the titles of heads (key, at, level, title) that no later one up to there closes."""
+    return f"""
+        SELECT r.{key}, r.{at}, {first} || coalesce(string_agg(h.title, ' > ' ORDER BY h.at), '') AS path FROM {rows} r LEFT JOIN (
+            SELECT *, (SELECT min(g.at) FROM {heads} g WHERE g.{key} = h.{key} AND g.at > h.at AND g.level <= h.level) AS closed FROM {heads} h) h
+        ON h.{key} = r.{key} AND h.at <= r.{at} AND (h.closed IS NULL OR h.closed > r.{at}) GROUP BY ALL
+    """
+
+
 ORACLE: dict[str, str] = {
     "hybrid_search": f"""
         SELECT doc_id, score, round(0.8 * score + 0.2 * {substring_share("source || ' ' || text")}, 6) AS rank_score, left(text, 420) AS excerpt
@@ -248,10 +286,62 @@ ORACLE: dict[str, str] = {
     "checksum_identity": "SELECT left(sha256(text), 32) AS document_id, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1",
     "blank_line_blocks": f"SELECT doc_id, first_line, last_line, text, block FROM ({ISLANDS})",
     "sections": f"""
-        WITH h AS ({HEADINGS}), placed AS (SELECT *, max(CASE WHEN level IS NOT NULL THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS heading_line FROM h),
-        -- The rule under every heading has the same character, so that each heading closes the one before it.
-        body AS (SELECT doc_id, heading_line, count(*) AS n_lines FROM placed WHERE level IS NULL AND line_no > heading_line + 1 GROUP BY ALL)
-        SELECT b.doc_id, heading_line, n_lines, trim(h.line) AS path FROM body b JOIN h ON h.doc_id = b.doc_id AND h.line_no = b.heading_line
+        WITH h AS MATERIALIZED ({HEADINGS}), placed AS (SELECT *, max(CASE WHEN level IS NOT NULL THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS heading_line FROM h),
+        body AS (SELECT doc_id, heading_line, count(*) AS n_lines FROM placed WHERE level IS NULL AND line_no > heading_line + 1 GROUP BY ALL),
+        heads AS MATERIALIZED (SELECT doc_id, line_no AS at, level, trim(line) AS title FROM h WHERE level IS NOT NULL)
+        SELECT doc_id, heading_line, n_lines, path FROM body JOIN ({paths("heads", "body", "doc_id", "heading_line")}) USING (doc_id, heading_line)
+    """,
+    "typed_blocks": f"""
+        WITH told AS (
+            SELECT *, trim(line) AS own, trim(lag(line) OVER w) AS b, trim(lead(line) OVER w) AS a FROM ({LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+        ),
+        levels AS (
+            SELECT doc_id, line_no, own, CASE WHEN own <> '' AND regexp_matches(a, '{LOOSE}') AND strpos('=-~^"`:#*+', left(a, 1)) > 0 THEN strpos('=-~^"`:#*+', left(a, 1))
+                   WHEN coalesce(a, '') = '' AND coalesce(b, '') = '' AND {heuristic('own')} THEN 2 END AS level
+            FROM told WHERE NOT (regexp_matches(own, '{LOOSE}') AND length(own) >= 3)
+        ),
+        kinds AS (
+            SELECT *, CASE WHEN own = '' THEN 'blank' WHEN level IS NOT NULL THEN 'heading' WHEN regexp_matches(own, '{STEP_START}') THEN 'step'
+                           WHEN regexp_matches(own, '^[-*•]\\s+') THEN 'list_item' ELSE 'paragraph' END AS block_type FROM levels
+        ),
+        starts AS (SELECT *, CASE WHEN block_type = 'paragraph' AND lag(block_type) OVER w = 'paragraph' THEN 0 ELSE 1 END AS s FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+        islands AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM starts),
+        made AS (SELECT doc_id, block_type, min(line_no) AS first_line, max(level) AS heading_level, string_agg(own, ' ' ORDER BY line_no) AS text FROM islands WHERE block_type <> 'blank' GROUP BY doc_id, block, block_type),
+        heads AS MATERIALIZED (SELECT doc_id, line_no AS at, level, own AS title FROM levels WHERE level IS NOT NULL)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS order_index, block_type, text, heading_level, path AS section_path
+        FROM made JOIN ({paths("heads", "made", "doc_id", "first_line")}) USING (doc_id, first_line)
+    """,
+    "page_units": f"""
+        WITH parts AS (SELECT doc_id, document_title, page_number, unnest(range(len(p))) AS part, unnest(p) AS paragraph FROM (
+            SELECT *, list_filter(list_transform(string_split(text, E'\\n\\n'), lambda x: {normalized('x')}), lambda x: x <> '') AS p FROM ({PAGES}))),
+        cut AS (SELECT * EXCLUDE (l), unnest(range(len(l))) AS n, unnest(l) AS line FROM (
+            SELECT *, list_filter(list_transform(string_split(paragraph, E'\\n'), lambda x: {normalized('x')}), lambda x: x <> '') AS l FROM parts)),
+        told AS (
+            SELECT *, len({words('line')}) BETWEEN 1 AND 14 AND NOT {table_like('line')} AND NOT regexp_matches(line, '{CAPTION}') AND NOT regexp_matches(line, '{STEP_START}')
+                   AND NOT regexp_matches(line, '[.;?!]$')
+                   AND CASE WHEN regexp_matches(line, '{ENUMERATED}') THEN len({words('line')}) <= 10 AND NOT regexp_matches(line, '[,،;؛]')
+                            ELSE contains(line, ':') AND (ends_with(line, ':') OR len({words('line')}) <= 12) OR {page_heading('line')} END AS head
+            FROM cut
+        ),
+        runs AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id, page_number, part ORDER BY n) AS run FROM told),
+        units AS (SELECT doc_id, document_title, page_number, part, head, min(n) AS n, string_agg(line, E'\\n' ORDER BY n) AS text FROM runs GROUP BY doc_id, document_title, page_number, part, run, head),
+        typed AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, part, n) - 1 AS order_index,
+                   CASE WHEN head THEN 'heading' WHEN {table_like('text')} THEN 'table' WHEN regexp_matches(trim(text), '{STEP_START}') THEN 'step'
+                        WHEN regexp_matches(trim(text), '{CAPTION}') THEN 'caption' WHEN {page_heading('trim(text)')} THEN 'heading' ELSE 'paragraph' END AS block_type
+            FROM units
+        ),
+        levels AS (
+            SELECT *, CASE WHEN block_type <> 'heading' THEN NULL WHEN NOT head THEN 1
+                           WHEN regexp_matches(text, '{ENUMERATED}') AND len({words('text')}) <= 10 AND NOT regexp_matches(text, '[,،;؛]') THEN 2
+                           WHEN contains(text, ':') THEN CASE WHEN regexp_matches(text, '[\\d٠-٩]') THEN 2 ELSE 1 END
+                           WHEN len({words('text')}) <= 4 THEN 1 ELSE 2 END AS level FROM typed
+        ),
+        heads AS MATERIALIZED (SELECT doc_id, order_index AS at, level, text AS title FROM levels WHERE level IS NOT NULL)
+        SELECT doc_id, page_number, order_index, block_type, text, level AS heading_level,
+               CASE WHEN head THEN 'line_heuristic' WHEN block_type = 'heading' THEN 'heuristic' END AS heading_style,
+               document_title || ' > ' || CASE WHEN path = '' THEN 'Page ' || page_number ELSE path END AS section_path
+        FROM levels JOIN ({paths("heads", "levels", "doc_id", "order_index")}) USING (doc_id, order_index)
     """,
     "window_chunks": windows(30, 8),
     "window_chunks_min_words": windows(60, 12, 20),

@@ -277,7 +277,8 @@ def blank_line_blocks(spark, d):
 
 @query
 def typed_blocks(spark, d):
-    return structure.typed_blocks(views.lines(spark, d), "doc_id").drop("section_path")
+    found = structure.typed_blocks(views.lines(spark, d), "doc_id")
+    return found.withColumn("section_path", F.array_join("section_path", " > "))
 
 
 @query
@@ -287,6 +288,13 @@ def sections(spark, d):
     return placed.groupBy("doc_id", "heading_line").agg(F.count("*").alias("n_lines"), F.max(F.array_join("section_path", " > ")).alias("path"))
 
 
+@query
+def page_units(spark, d):
+    """Headings, steps, captions, tables and paragraphs of pages, with their paths across pages."""
+    units = structure.page_units(views.pages(spark, d), "doc_id")
+    return units.withColumn("section_path", F.array_join("section_path", " > "))
+
+
 @query
 def window_chunks(spark, d):
     return chunking.window_chunks(table(spark, d, "documents"), "doc_id", "text", 30, 8, "\n")

@@ -51,18 +51,58 @@ CHAT_EVENTS = """
 """
 
 
+#: Every twelfth line, and some between, become a heading of their first words: (place, words, rule).
+TITLES = [(1, 3, "="), (4, 2, "-"), (6, 3, "~"), (9, 2, "-"), (10, 4, "^")]
+
+
+def opening(line: str, k: int) -> str:
+    """SQL of both engines: a line's first ``k`` words, empty if it has none."""
+    return rf"regexp_extract({line}, '^\s*((?:\S+\s+){{0,{k - 1}}}\S+)', 1)"
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents, with an empty line after each that ends a sentence, and a rule below
-    each of one or two words, so that headings and blocks occur."""
-    text = F.regexp_replace(F.regexp_replace("text", r"(?m)^(\S+(?: \S+)?)$", "$1\n================================"), r"\.\n", ".\n\n")
-    docs = table(spark, d, "documents").select("doc_id", text.alias("text"))
+    """Lines of documents, with an empty line after each that ends a sentence, and with headings
+    of several levels and the rules below them, so that sections nest."""
+    made = "".join(rf" WHEN i % 12 = {n} AND x rlike '\\S' THEN concat({opening('x', k)}, '\n', repeat('{rule}', 60))".replace(r"\s", r"\\s").replace(r"\S+", r"\\S+") for n, k, rule in TITLES)
+    parts = F.expr(rf"transform(split(text, '\n'), (x, i) -> CASE{made} WHEN endswith(x, '.') THEN concat(x, '\n') ELSE x END)")
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(parts, "\n").alias("text"))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-LINES = r"""
+LINES = rf"""
     SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM (
-        SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(?m)^(\S+(?: \S+)?)$', E'\\1\n================================', 'g'), E'\\.\n', E'.\n\n', 'g'), E'\n') AS parts
-        FROM documents)
+        SELECT doc_id, string_split(array_to_string(list_transform(string_split(text, E'\n'), lambda x, i: CASE
+            {" ".join(rf"WHEN (i - 1) % 12 = {n} AND regexp_matches(x, '\S') THEN {opening('x', k)} || E'\n{60 * rule}'" for n, k, rule in TITLES)}
+            WHEN ends_with(x, '.') THEN x || E'\n' ELSE x END), E'\n'), E'\n') AS parts FROM documents)
+"""
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages of thirty lines; some lines become labels and numbered titles."""
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", F.col("source").alias("document_title"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    first = lambda k: F.regexp_extract("line", rf"^\s*((?:\S+\s+){{0,{k - 1}}}\S+)", 1)
+    made = (
+        F.when((F.col("n") % 9 == 2) & (first(3) != ""), F.concat(first(3), F.lit(":")))
+        .when(F.col("n") % 9 == 5, F.concat(F.lit("("), F.col("n").cast("string"), F.lit(") "), first(5)))
+        .when(F.col("n") % 9 == 7, F.concat(F.lit("Note "), F.col("n").cast("string"), F.lit(": "), first(2)))
+        .when(F.endswith("line", F.lit(".")), F.concat("line", F.lit("\n")))
+        .otherwise(F.col("line"))
+    )
+    row = F.array_sort(F.collect_list(F.struct("n", made.alias("line"))))
+    return rows.groupBy("doc_id", "document_title", (F.floor(F.col("n") / 30) + 1).cast("int").alias("page_number")).agg(
+        F.array_join(F.transform(row, lambda r: r["line"]), "\n").alias("text")
+    )
+
+
+PAGES = r"""
+    SELECT doc_id, document_title, n // 30 + 1 AS page_number, string_agg(
+        CASE WHEN n % 9 = 2 AND regexp_extract(line, '^\s*((?:\S+\s+){0,2}\S+)', 1) <> '' THEN regexp_extract(line, '^\s*((?:\S+\s+){0,2}\S+)', 1) || ':'
+             WHEN n % 9 = 5 THEN '(' || n || ') ' || regexp_extract(line, '^\s*((?:\S+\s+){0,4}\S+)', 1)
+             WHEN n % 9 = 7 THEN 'Note ' || n || ': ' || regexp_extract(line, '^\s*((?:\S+\s+){0,1}\S+)', 1)
+             WHEN ends_with(line, '.') THEN line || E'\n' ELSE line END, E'\n' ORDER BY n) AS text
+    FROM (SELECT doc_id, source AS document_title, unnest(range(len(parts))) AS n, unnest(parts) AS line FROM (SELECT *, string_split(text, E'\n') AS parts FROM documents))
+    GROUP BY ALL
 """
 
 
