@@ -263,3 +263,94 @@ def overlapping_blocks(blocks: DataFrame, windows: DataFrame, keys: list[str]) -
     w = windows.select(*keys, "window", F.col("first_line").alias("_from"), F.col("last_line").alias("_to"))
     met = blocks.join(w, keys)
     return met.where((F.col("first_line") <= F.col("_to")) & (F.col("last_line") >= F.col("_from"))).drop("_from", "_to")
+
+
+IMAGE = "struct<image_id:string,image_path:string,caption:string,alt_text:string,ocr_text:string>"
+
+
+def last_wins(maps: Column) -> Column:
+    """One map of an array of maps; of equal keys the last one's value stays."""
+    none = F.create_map().cast("map<string,string>")
+    return F.aggregate(maps, none, lambda held, new: F.map_concat(F.map_filter(held, lambda k, v: ~F.map_contains_key(new, k)), new))
+
+
+def first_of(items: Column, key) -> Column:
+    """The items of an array without those whose ``key`` an earlier one has."""
+    return T.once(F.transform(items, key), lambda keys: F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1))
+
+
+def group_attributes(blocks: DataFrame, doc: str) -> DataFrame:
+    """(doc, group, anchor, own_languages, own_metadata, images) of groups of blocks.
+
+    ``blocks`` has group, order_index, anchor (a struct with the places that ``location_hint``
+    knows), language_tags, metadata (a map) and images (an array of IMAGE). The anchor is the first
+    that says anything, languages are distinct in their order, later metadata replaces earlier,
+    and of images with one id, or one path where there is no id, the first stays.
+    """
+    row = F.struct("order_index", "anchor", "language_tags", "metadata", "images")
+    whole = blocks.groupBy(doc, "group").agg(F.array_sort(F.collect_list(row), lambda a, b: (a["order_index"] - b["order_index"]).cast("int")).alias("rows"))
+    every = lambda name: F.filter(F.transform("rows", lambda r: r[name]), lambda x: x.isNotNull())
+    said = F.filter(every("anchor"), lambda a: F.coalesce(T.location_hint(a), F.lit("")) != "")
+    images = first_of(F.flatten(every("images")), lambda x: F.coalesce(F.nullif(x["image_id"], F.lit("")), x["image_path"]))
+    return whole.select(
+        doc,
+        "group",
+        F.get(said, F.lit(0)).alias("anchor"),
+        F.array_distinct(F.flatten(every("language_tags"))).alias("own_languages"),
+        last_wins(every("metadata")).alias("own_metadata"),
+        images.alias("images"),
+    )
+
+
+def chunk_rows(blocks: DataFrame, documents: DataFrame, doc: str, title: str = "document_title", most: int = 220, overlap: int = 40) -> DataFrame:
+    """Chunk rows of any documents with all that is stored of them.
+
+    ``blocks`` is what ``build_chunks`` and ``group_attributes`` read, ``documents`` has language_tags
+    and metadata of each document. A group's languages are the document's where it has none;
+    its metadata stands over the document's, and the archetype and the blocks over both.
+    """
+    kinds = archetypes(blocks, doc)
+    grouped = group_blocks(blocks.join(kinds, doc), doc)
+    texts = group_rows(grouped, doc, title).withColumn("content", T.normalize_spaces(F.col("content")))
+    spread = texts.select("*", F.posexplode(fold_windows(paragraphs(F.col("content")), most, overlap)).alias("_w", "_items"))
+    spread = spread.withColumn("content", F.array_join(F.transform("_items", lambda x: x["text"]), "\n\n"))
+    index = F.row_number().over(Window.partitionBy(doc).orderBy("group", "_w")) - 1
+    numbered = spread.withColumn("chunk_index", index).drop("_w", "_items")
+    own = documents.select(doc, F.col("language_tags").alias("_languages"), F.col("metadata").alias("_metadata"))
+    told = numbered.join(group_attributes(grouped, doc), [doc, "group"]).join(own, doc, "left")
+    languages = F.when(F.size("own_languages") > 0, F.col("own_languages")).otherwise(F.col("_languages"))
+    fixed = F.create_map(
+        F.lit("document_archetype"), F.col("archetype"), F.lit("block_ids"), F.to_json("block_ids"), F.lit("block_types"), F.to_json("block_types")
+    )
+    metadata = last_wins(F.array(F.coalesce("_metadata", F.create_map().cast("map<string,string>")), F.col("own_metadata"), fixed))
+    place = F.coalesce(T.location_hint(F.col("anchor")), F.lit(""))
+    return told.select(
+        doc, "chunk_index",
+        F.sha2(F.concat_ws("|", F.col(doc).cast("string"), F.col("chunk_index").cast("string")), 256).alias("chunk_id"),
+        "chunk_type", F.col("chunk_title").alias("title"), "section_path", "content", "block_ids", "block_types", languages.alias("language_tags"), "anchor",
+        metadata.alias("metadata"), F.array_distinct(F.transform("images", lambda x: x["image_path"])).alias("image_refs"), "images",
+        T.embedding_text(F.col("chunk_title"), F.col("section_path"), F.col("chunk_type"), place, F.col("content"), F.col("archetype")).alias("embedding_text"),
+    )
+
+
+def image_rows(chunks: DataFrame, documents: DataFrame, doc: str, title: str = "document_title") -> DataFrame:
+    """Image rows of documents: one for each path that a chunk shows, with the first chunk that
+    does, and the documents' own images that no chunk shows, without chunk.
+
+    Each path's first chunk is found by a minimum, so a picture on every page of a document
+    comes to a task once for each task before it.
+    """
+    shown = chunks.select(doc, "chunk_index", "chunk_id", "title", "section_path", "block_ids", "language_tags", F.posexplode("images").alias("_n", "image"))
+    caption = lambda x: F.coalesce(*[F.nullif(x[c], F.lit("")) for c in ("caption", "alt_text", "ocr_text")], F.lit(""))
+    fields = F.struct(
+        F.col("image.image_id").alias("image_id"), "title", caption(F.col("image")).alias("caption_text"), F.col("section_path").alias("related_section_path"),
+        F.col("chunk_id").alias("related_chunk_id"), F.col("block_ids").alias("related_block_ids"), "language_tags",
+    )
+    first = shown.groupBy(doc, F.col("image.image_path").alias("image_path")).agg(F.min_by(fields, F.struct("chunk_index", "_n")).alias("f"))
+    linked = first.select(doc, "image_path", "f.*")
+    own = documents.select(doc, F.col(title).alias("title"), "language_tags", F.explode("images").alias("image"))
+    rest = own.select(
+        doc, F.col("image.image_path").alias("image_path"), F.col("image.image_id").alias("image_id"), "title", caption(F.col("image")).alias("caption_text"),
+        F.array("title").alias("related_section_path"), F.lit(None).cast("string").alias("related_chunk_id"), F.array().cast("array<string>").alias("related_block_ids"), "language_tags",
+    )
+    return linked.unionByName(rest.join(linked.select(doc, "image_path"), [doc, "image_path"], "left_anti"))

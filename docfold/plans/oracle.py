@@ -41,6 +41,44 @@ def share(items: str, test: str) -> str:
     return f"(CASE WHEN len({items}) > 0 THEN len(list_filter({items}, lambda x: {test})) / len({items}) ELSE 0.0 END)"
 
 
+LOOSE = "^[=~^#*+-]+$"
+STEP_START = r"^((?:step\s+)?(?:\d+|[a-zA-Z])[).:-]\s+)"
+CAPTION = r"(?i)^(?:figure|fig\.?|diagram|workflow|architecture|table|chart|image|screenshot|screen)\s*[\dA-Za-z.-]*[:\-]?\s+"
+ENUMERATED = r"^(?:[\(\[]?[\d٠-٩IVXivxA-Za-z]+[\)\].:-]\s*).+"
+
+
+def heuristic(x: str) -> str:
+    letters, upper = rf"length(regexp_replace({x}, '[^\p{{L}}]', '', 'g'))", rf"length(regexp_replace({x}, '[^\p{{Lu}}]', '', 'g'))"
+    titled = f"{x} = array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+    return rf"""({x} <> '' AND len({words(x)}) <= 8 AND NOT regexp_matches({x}, '[.;?!]$') AND NOT regexp_matches({x}, '{STEP_START}')
+        AND (({letters} > 0 AND {upper} > 0.75 * {letters}) OR ({titled} AND len({words(x)}) <= 6)))"""
+
+
+def page_heading(x: str) -> str:
+    digits = rf"length(regexp_replace({x}, '\D', '', 'g'))"
+    return f"(len({words(x)}) > 0 AND (CASE WHEN ends_with({x}, ':') THEN len({words(x)}) <= 6 ELSE {heuristic(x)} AND {digits} <= 4 END))"
+
+
+def table_like(x: str) -> str:
+    border = r"\s{2,}|\t|\|"
+    own = lines(x)
+    return rf"""((len({own}) >= 2 AND len(list_filter({own}[1:4], lambda y: NOT regexp_matches(y, '{border}'))) = 0)
+        OR (len({own}) = 1 AND len(regexp_extract_all({own}[1], '{border}')) >= 2 AND len({words(x)}) >= 3))"""
+
+
+def normalized(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({x}, '\r\n?', E'\n', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def paths(heads: str, rows: str, key: str, at: str, first: str = "''") -> str:
+    """(key, at, path) for rows: the titles of heads (key, at, level, title) that no later one up to there closes."""
+    return f"""
+        SELECT r.{key}, r.{at}, {first} || coalesce(string_agg(h.title, ' > ' ORDER BY h.at), '') AS path FROM {rows} r LEFT JOIN (
+            SELECT *, (SELECT min(g.at) FROM {heads} g WHERE g.{key} = h.{key} AND g.at > h.at AND g.level <= h.level) AS closed FROM {heads} h) h
+        ON h.{key} = r.{key} AND h.at <= r.{at} AND (h.closed IS NULL OR h.closed > r.{at}) GROUP BY ALL
+    """
+
+
 STEP = share(lines("text"), r"regexp_matches(x, '(?i)^(?:step\s+\d+|\d+[.)]|[a-z]\)|[-*•])')")
 LIST = share(lines("text"), r"regexp_matches(x, '^(?:\d+[.)]|[A-Za-z]\)|[-*•])')")
 REFERENCE = share(lines("text"), "regexp_matches(x, '[:=|<>(]')")
@@ -64,12 +102,12 @@ SHAPES = {
 #: Paragraph windows as a left fold with one struct type for state and items.
 WINDOWS = r"""
     WITH items AS (
-        SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, E'\n'), lambda p: trim(p, ' ')), lambda p: p <> ''),
+        SELECT {keys}, list_transform(list_filter(list_transform(string_split(text, {border}), lambda p: trim(p, ' ')), lambda p: p <> ''),
             lambda p: {{'out': []::STRUCT(t VARCHAR, n BIGINT)[][], 'cur': [{{'t': p, 'n': len({words})}}], 'n': len({words})}}) AS xs
-        FROM documents
+        FROM {base}
     ),
     folded AS (
-        SELECT doc_id, list_reduce(xs, lambda s, x: CASE WHEN s.n + x.n > {most} THEN
+        SELECT {keys}, list_reduce(xs, lambda s, x: CASE WHEN s.n + x.n > {most} THEN
             {{'out': list_append(s.out, s.cur),
               'cur': list_concat(list_slice(s.cur, {start}, len(s.cur)), x.cur),
               'n': list_sum(list_transform(list_slice(s.cur, {start}, len(s.cur)), lambda y: y.n))::BIGINT + x.n}}
@@ -77,18 +115,18 @@ WINDOWS = r"""
         FROM items WHERE len(xs) > 0
     ),
     shaped AS (
-        SELECT doc_id, list_filter(list_transform(list_append(s.out, s.cur), lambda w: {{
-            'n_words': list_sum(list_transform(w, lambda y: y.n))::BIGINT, 'content': array_to_string(list_transform(w, lambda y: y.t), E'\n')}}),
+        SELECT {keys}, list_filter(list_transform(list_append(s.out, s.cur), lambda w: {{
+            'n_words': list_sum(list_transform(w, lambda y: y.n))::BIGINT, 'content': array_to_string(list_transform(w, lambda y: y.t), {border})}}),
             lambda w: w.n_words >= {least}) AS ws FROM folded
     )
-    SELECT doc_id, unnest(range(len(ws))) AS chunk_index, unnest(ws, recursive := true) FROM shaped
+    SELECT {keys}, unnest(range(len(ws))) AS chunk_index, unnest(ws, recursive := true) FROM shaped
 """
 
 
-def windows(most: int, overlap: int, least: int = 0) -> str:
+def windows(most: int, overlap: int, least: int = 0, base: str = "documents", keys: str = "doc_id", border: str = r"E'\n'") -> str:
     # The first item that is carried over: the last one from which the words to the end reach the overlap.
     start = f"coalesce(list_max(list_filter(range(1, len(s.cur) + 1), lambda i: list_sum(list_transform(list_slice(s.cur, i, len(s.cur)), lambda y: y.n)) >= {overlap})), 1)"
-    return WINDOWS.format(words=words("p"), most=most, start=start, least=least)
+    return WINDOWS.format(words=words("p"), most=most, start=start, least=least, base=base, keys=keys, border=border)
 
 
 PROFILED = f"""
@@ -113,6 +151,64 @@ BLOCKS = r"""
         SELECT doc_id, source, lang, unnest(range(len(parts))) AS order_index, unnest(parts) AS text
         FROM (SELECT doc_id, source, lang, string_split(text, E'\n') AS parts FROM documents)))
 """
+ARCHETYPES = f"""
+        SELECT doc_id, CASE WHEN pictures AND (regulatory OR procedural OR technical) THEN 'mixed_multimodal' WHEN procedural THEN 'procedural' WHEN regulatory THEN 'regulatory'
+               WHEN technical THEN 'technical' WHEN reference THEN 'reference' ELSE 'knowledge' END AS archetype FROM (
+            SELECT doc_id, bool_or(block_type = 'figure') AS pictures,
+                   bool_or(regexp_matches(lower(text), 'policy|standard|governance|compliance|control|shall|must')) AS regulatory,
+                   bool_or(regexp_matches(lower(text), 'procedure|step|runbook|rollback|prerequisite|verify')) OR count(*) FILTER (block_type = 'step') >= 2 AS procedural,
+                   bool_or(regexp_matches(lower(text), 'architecture|design|component|interface|topology|diagram')) AS technical,
+                   bool_or(regexp_matches(lower(text), 'faq|reference|parameter|command|field')) AS reference FROM ({BLOCKS}) GROUP BY doc_id)
+"""
+#: Groups of blocks as a left fold over each document, with one struct type for state and items.
+GROUPS = f"""
+    WITH told AS (
+        SELECT *, CASE WHEN block_type = 'step' THEN 'step' WHEN archetype IN ('regulatory', 'knowledge', 'technical', 'reference', 'mixed_multimodal') AND block_type IN ('paragraph', 'figure') THEN 'prose'
+                       WHEN block_type = 'figure' THEN 'next' ELSE 'alone' END AS mode
+        FROM ({BLOCKS}) JOIN ({ARCHETYPES}) USING (doc_id)
+    ),
+    listed AS (
+        SELECT doc_id, list({{'out': []::BIGINT[], 'g': -1::BIGINT, 'kind': block_type, 'mode': mode, 'pending': false}} ORDER BY order_index) AS xs FROM told GROUP BY doc_id
+    ),
+    folded AS (
+        SELECT doc_id, list_reduce(list_prepend({{'out': []::BIGINT[], 'g': -1::BIGINT, 'kind': '', 'mode': 'none', 'pending': false}}, xs), lambda s, b:
+            CASE WHEN b.kind = 'heading' THEN
+                {{'out': list_append(s.out, s.g + (NOT s.pending)::BIGINT), 'g': s.g + (NOT s.pending)::BIGINT, 'kind': '', 'mode': 'none', 'pending': true}}
+            WHEN s.pending THEN {{'out': list_append(s.out, s.g), 'g': s.g, 'kind': b.kind, 'mode': b.mode, 'pending': false}}
+            WHEN (s.mode = 'step' AND b.kind IN ('paragraph', 'figure')) OR (s.mode = 'prose' AND b.kind <> 'step') OR s.mode = 'next' THEN
+                {{'out': list_append(s.out, s.g), 'g': s.g, 'kind': s.kind, 'mode': CASE WHEN s.mode = 'next' THEN 'alone' ELSE s.mode END, 'pending': false}}
+            ELSE {{'out': list_append(s.out, s.g + 1), 'g': s.g + 1, 'kind': b.kind, 'mode': b.mode, 'pending': false}} END).out AS gs
+        FROM listed
+    )
+    SELECT doc_id, unnest(range(len(gs))) AS order_index, unnest(gs) AS "group" FROM folded
+"""
+GROUPED = f"""
+    SELECT doc_id, "group", any_value(archetype) AS archetype, any_value(source) AS source, any_value(lang) AS lang, list(doc_id || '-block-' || order_index ORDER BY order_index) AS ids,
+           list(block_type ORDER BY order_index) AS kinds, {normalized("coalesce(string_agg(trim(text, ' '), E'\\n\\n' ORDER BY order_index) FILTER (trim(text, ' ') <> ''), '')")} AS text, list(order_index ORDER BY order_index) AS ns
+    FROM ({BLOCKS}) JOIN ({ARCHETYPES}) USING (doc_id) JOIN ({GROUPS}) USING (doc_id, order_index) GROUP BY doc_id, "group"
+"""
+CHUNK_ROWS = f"""
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "group", w) - 1 AS chunk_index, lang AS title,
+           CASE WHEN list_contains(kinds, 'figure') THEN CASE WHEN len(list_distinct(kinds)) > 1 THEN 'figure_explainer_chunk' ELSE 'image_caption_chunk' END
+                WHEN archetype = 'procedural' AND list_contains(kinds, 'step') THEN 'procedure_chunk' WHEN archetype = 'mixed_multimodal' AND list_contains(kinds, 'step') THEN 'mixed_context_chunk'
+                WHEN archetype = 'regulatory' THEN 'policy_clause_chunk' WHEN archetype = 'reference' THEN 'reference_entry_chunk'
+                WHEN list_contains(kinds, 'heading') THEN 'section_chunk' ELSE 'narrative_chunk' END AS chunk_type
+    FROM (SELECT doc_id, "group", chunk_index AS w, content FROM ({windows(220, 40, base=f"({GROUPED})", keys='doc_id, "group"', border=r"E'\n\n'")})) JOIN ({GROUPED}) USING (doc_id, "group")
+"""
+#: Images that the blocks show, as in the view: three on some, the first and last of them the same.
+SHOWN = f"""
+    SELECT doc_id, order_index, unnest(CASE WHEN order_index % 6 = 3 THEN [0, 1] WHEN block_type = 'figure' THEN [0] ELSE [] END) AS k FROM ({BLOCKS})
+"""
+SHOWN_IN = f"""
+    SELECT c.doc_id, c.chunk_index, c.chunk_type, c.ids, c.ns, c.lang, order_index, k, CASE WHEN k = 1 THEN 'img/logo' ELSE 'img/' || c.doc_id || '/' || order_index % 4 END AS image_path,
+           CASE WHEN k = 1 THEN '' ELSE 'i' || order_index % 4 END AS image_id, CASE WHEN order_index % 2 = 0 THEN 'Figure ' || order_index ELSE 'seen' END AS caption_text
+    FROM ({CHUNK_ROWS}) c JOIN ({SHOWN}) s ON s.doc_id = c.doc_id AND list_contains(c.ns, s.order_index)
+"""
+LANGUAGES = """coalesce(nullif(array_to_string(list_filter(list_concat(
+    CASE WHEN len(list_filter(ns, lambda n: n % 5 = 2)) > 0 AND (len(list_filter(ns, lambda n: n % 5 = 3)) = 0 OR list_min(list_filter(ns, lambda n: n % 5 = 2)) < list_min(list_filter(ns, lambda n: n % 5 = 3))) THEN [lang, 'xx'] ELSE [] END,
+    CASE WHEN len(list_filter(ns, lambda n: n % 5 = 3)) > 0 THEN ['yy'] ELSE [] END,
+    CASE WHEN len(list_filter(ns, lambda n: n % 5 = 2)) > 0 AND len(list_filter(ns, lambda n: n % 5 = 3)) > 0 AND list_min(list_filter(ns, lambda n: n % 5 = 2)) > list_min(list_filter(ns, lambda n: n % 5 = 3)) THEN [lang, 'xx'] ELSE [] END),
+    lambda x: x IS NOT NULL), ','), ''), lang)"""
 ISLANDS = f"""
     SELECT doc_id, first_line, last_line, text, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS block FROM (
         SELECT doc_id, min(line_no) AS first_line, max(line_no) AS last_line, string_agg(line, E'\\n' ORDER BY line_no) AS text FROM (
@@ -147,44 +243,6 @@ ISSUES = f"""
     FROM ({WHOLE}) GROUP BY o_orderkey, path
 """
 
-LOOSE = "^[=~^#*+-]+$"
-STEP_START = r"^((?:step\s+)?(?:\d+|[a-zA-Z])[).:-]\s+)"
-CAPTION = r"(?i)^(?:figure|fig\.?|diagram|workflow|architecture|table|chart|image|screenshot|screen)\s*[\dA-Za-z.-]*[:\-]?\s+"
-ENUMERATED = r"^(?:[\(\[]?[\d٠-٩IVXivxA-Za-z]+[\)\].:-]\s*).+"
-
-
-def heuristic(x: str) -> str:
-    letters, upper = rf"length(regexp_replace({x}, '[^\p{{L}}]', '', 'g'))", rf"length(regexp_replace({x}, '[^\p{{Lu}}]', '', 'g'))"
-    titled = f"{x} = array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
-    return rf"""({x} <> '' AND len({words(x)}) <= 8 AND NOT regexp_matches({x}, '[.;?!]$') AND NOT regexp_matches({x}, '{STEP_START}')
-        AND (({letters} > 0 AND {upper} > 0.75 * {letters}) OR ({titled} AND len({words(x)}) <= 6)))"""
-
-
-def page_heading(x: str) -> str:
-    digits = rf"length(regexp_replace({x}, '\D', '', 'g'))"
-    return f"(len({words(x)}) > 0 AND (CASE WHEN ends_with({x}, ':') THEN len({words(x)}) <= 6 ELSE {heuristic(x)} AND {digits} <= 4 END))"
-
-
-def table_like(x: str) -> str:
-    border = r"\s{2,}|\t|\|"
-    own = lines(x)
-    return rf"""((len({own}) >= 2 AND len(list_filter({own}[1:4], lambda y: NOT regexp_matches(y, '{border}'))) = 0)
-        OR (len({own}) = 1 AND len(regexp_extract_all({own}[1], '{border}')) >= 2 AND len({words(x)}) >= 3))"""
-
-
-def normalized(x: str) -> str:
-    return rf"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({x}, '\r\n?', E'\n', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
-
-
-def paths(heads: str, rows: str, key: str, at: str, first: str = "''") -> str:
-    """(key, at, path) for rows: the titles of heads (key, at, level, title) that no later one up to there closes."""
-    return f"""
-        SELECT r.{key}, r.{at}, {first} || coalesce(string_agg(h.title, ' > ' ORDER BY h.at), '') AS path FROM {rows} r LEFT JOIN (
-            SELECT *, (SELECT min(g.at) FROM {heads} g WHERE g.{key} = h.{key} AND g.at > h.at AND g.level <= h.level) AS closed FROM {heads} h) h
-        ON h.{key} = r.{key} AND h.at <= r.{at} AND (h.closed IS NULL OR h.closed > r.{at}) GROUP BY ALL
-    """
-
-
 ORACLE: dict[str, str] = {
     "hybrid_search": f"""
         SELECT doc_id, score, round(0.8 * score + 0.2 * {substring_share("source || ' ' || text")}, 6) AS rank_score, left(text, 420) AS excerpt
@@ -345,14 +403,33 @@ ORACLE: dict[str, str] = {
     """,
     "window_chunks": windows(30, 8),
     "window_chunks_min_words": windows(60, 12, 20),
-    "document_archetype": f"""
-        SELECT doc_id, CASE WHEN pictures AND (regulatory OR procedural OR technical) THEN 'mixed_multimodal' WHEN procedural THEN 'procedural' WHEN regulatory THEN 'regulatory'
-               WHEN technical THEN 'technical' WHEN reference THEN 'reference' ELSE 'knowledge' END AS archetype FROM (
-            SELECT doc_id, bool_or(block_type = 'figure') AS pictures,
-                   bool_or(regexp_matches(lower(text), 'policy|standard|governance|compliance|control|shall|must')) AS regulatory,
-                   bool_or(regexp_matches(lower(text), 'procedure|step|runbook|rollback|prerequisite|verify')) OR count(*) FILTER (block_type = 'step') >= 2 AS procedural,
-                   bool_or(regexp_matches(lower(text), 'architecture|design|component|interface|topology|diagram')) AS technical,
-                   bool_or(regexp_matches(lower(text), 'faq|reference|parameter|command|field')) AS reference FROM ({BLOCKS}) GROUP BY doc_id)
+    "document_archetype": ARCHETYPES,
+    "group_blocks": GROUPS,
+    "build_chunks": f"""
+        SELECT doc_id, chunk_index, sha256(doc_id || '|' || chunk_index) AS chunk_id, chunk_type, array_to_string(ids, ',') AS block_ids, content FROM ({CHUNK_ROWS})
+    """,
+    "chunk_attributes": f"""
+        SELECT doc_id, chunk_index, chunk_type, title, lang AS path, page AS page_number, {LANGUAGES} AS languages,
+               'block_ids=' || to_json(ids)::VARCHAR || '; block_types=' || to_json(kinds)::VARCHAR || '; document_archetype=' || archetype
+                   || coalesce('; ' || (SELECT string_agg('k' || r || '=' || kinds[list_position(ns, m)], '; ' ORDER BY r)
+                        FROM (SELECT r, list_max(list_filter(ns, lambda n: n % 3 = r)) AS m FROM range(3) t(r)) WHERE m IS NOT NULL), '')
+                   || '; last=' || list_max(ns) || '; source=' || source AS metadata,
+               coalesce((SELECT string_agg(image_path, ',' ORDER BY o, k) FROM (
+                   SELECT image_path, min(order_index * 2 + k) AS o, min(k) AS k FROM shown s WHERE s.doc_id = c.doc_id AND s.chunk_index = c.chunk_index GROUP BY image_path)), '') AS image_refs,
+               sha256('Document title: ' || title || E'\\nArchetype: ' || archetype || E'\\nSection path: ' || lang || E'\\nContent type: ' || chunk_type || E'\\nLocation: '
+                      || coalesce('page ' || page, 'unknown') || E'\\n\\nContent:\\n' || content) AS embedded
+        FROM (SELECT *, list_min(list_filter(ns, lambda n: n % 4 = 1)) // 20 + 1 AS page FROM ({CHUNK_ROWS})) c
+    """.replace("FROM shown s", f"FROM ({SHOWN_IN}) s"),
+    "chunk_image_rows": f"""
+        WITH shown AS MATERIALIZED ({SHOWN_IN}),
+        linked AS (
+            SELECT doc_id, image_path, image_id, lang AS title, caption_text, lang AS related_section_path, sha256(doc_id || '|' || chunk_index) AS related_chunk_id,
+                   array_to_string(ids, ',') AS related_block_ids, {LANGUAGES} AS language_tags
+            FROM shown QUALIFY row_number() OVER (PARTITION BY doc_id, image_path ORDER BY chunk_index, order_index, k) = 1
+        )
+        SELECT * FROM linked UNION ALL
+        SELECT doc_id, 'img/' || doc_id || '/' || k, 'i' || k, source, CASE WHEN k = 1 THEN 'plan' ELSE '' END, source, NULL, '', lang
+        FROM documents d, range(4) t(k) WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = d.doc_id AND l.image_path = 'img/' || d.doc_id || '/' || k)
     """,
     "block_window_overlap": f"""
         SELECT b.doc_id, block, w.win AS "window" FROM ({ISLANDS}) b JOIN (SELECT doc_id, floor(line_no / 50)::BIGINT AS win, min(line_no) AS f, max(line_no) AS l FROM ({LINES}) GROUP BY 1, 2) w

@@ -323,6 +323,31 @@ def build_chunks(spark, d):
     return made.select("doc_id", "chunk_index", "chunk_id", "chunk_type", F.array_join("block_ids", ",").alias("block_ids"), "content")
 
 
+def _chunk_rows(spark, d) -> DataFrame:
+    return chunking.chunk_rows(views.shown_blocks(spark, d), views.shown_documents(spark, d), "doc_id")
+
+
+@query
+def chunk_attributes(spark, d):
+    """Chunk rows with the merged attributes of their groups of blocks."""
+    made = _chunk_rows(spark, d)
+    listed = lambda c: F.array_join(c, ",")
+    metadata = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+    return made.select(
+        "doc_id", "chunk_index", "chunk_type", "title", listed("section_path").alias("path"), F.col("anchor.page_number").alias("page_number"), listed("language_tags").alias("languages"),
+        metadata.alias("metadata"), listed("image_refs").alias("image_refs"), F.sha2("embedding_text", 256).alias("embedded"),
+    )
+
+
+@query
+def chunk_image_rows(spark, d):
+    """Images of documents with the first chunk that shows them, and those that none shows."""
+    chunks = _chunk_rows(spark, d)
+    rows = chunking.image_rows(chunks, views.shown_documents(spark, d), "doc_id")
+    listed = {c: F.array_join(c, ",") for c in ("related_section_path", "related_block_ids", "language_tags")}
+    return rows.withColumns(listed)
+
+
 @query
 def block_window_overlap(spark, d):
     """Blocks between empty lines against windows of fifty lines."""

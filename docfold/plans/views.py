@@ -127,6 +127,43 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def shown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks with places, languages, metadata and the images that some of them show."""
+    n, doc = F.col("order_index"), F.col("doc_id").cast("string")
+    image = lambda path, id_: F.struct(
+        id_.alias("image_id"), path.alias("image_path"), F.when(n % 2 == 0, F.concat(F.lit("Figure "), n.cast("string"))).alias("caption"), F.lit("").alias("alt_text"), F.lit("seen").alias("ocr_text")
+    )
+    own = image(F.concat(F.lit("img/"), doc, F.lit("/"), (n % 4).cast("string")), F.concat(F.lit("i"), (n % 4).cast("string")))
+    logo = image(F.lit("img/logo"), F.lit(""))
+    images = F.when(n % 6 == 3, F.array(own, logo, own)).when(F.col("block_type") == "figure", F.array(own))
+    page = F.when(n % 4 == 1, (F.floor(n / 20) + 1).cast("int"))
+    return blocks(spark, d).withColumns({
+        "anchor": F.struct(
+            page.alias("page_number"), F.lit(None).cast("int").alias("slide_number"), F.lit(None).cast("string").alias("sheet_name"), F.lit(None).cast("string").alias("json_path"),
+            F.lit(None).cast("string").alias("rst_path"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("string").alias("source_label"),
+        ),
+        "language_tags": F.when(n % 5 == 2, F.array_compact(F.array(F.get("section_path", F.lit(0)), F.lit("xx")))).when(n % 5 == 3, F.array(F.lit("yy"))).otherwise(F.array().cast("array<string>")),
+        "metadata": F.create_map(F.lit("last"), n.cast("string"), F.concat(F.lit("k"), (n % 3).cast("string")), F.col("block_type")),
+        "images": images,
+    })
+
+
+def shown_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with languages, metadata, and four images of their own, which chunks may show."""
+    docs = table(spark, d, "documents")
+    image = F.transform(
+        F.sequence(F.lit(0), F.lit(3)),
+        lambda k: F.struct(
+            F.concat(F.lit("i"), k.cast("string")).alias("image_id"), F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit("/"), k.cast("string")).alias("image_path"),
+            F.lit("").alias("caption"), F.when(k == 1, "plan").alias("alt_text"), F.lit(None).cast("string").alias("ocr_text"),
+        ),
+    )
+    return docs.select(
+        "doc_id", F.col("source").alias("document_title"), F.array(F.coalesce("lang", F.lit("none"))).alias("language_tags"),
+        F.create_map(F.lit("source"), F.col("source"), F.lit("last"), F.lit("document")).alias("metadata"), image.alias("images"),
+    )
+
+
 def model_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Orders as what three models read of each order: (o_orderkey, path, model, value).
 
