@@ -20,6 +20,15 @@ def word_share(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(asked, T.tokens(text))) / F.greatest(F.size(asked), F.lit(1))
 
 
+def best_share(variants: Column, text: Column) -> Column:
+    """The highest share of a variant's words that the text has; its words are found once."""
+
+    def share(variant: Column, hay: Column) -> Column:
+        return T.once(T.tokens(variant), lambda asked: F.size(F.array_intersect(asked, hay)) / F.greatest(F.size(asked), F.lit(1)))
+
+    return T.once(T.tokens(text), lambda hay: F.coalesce(F.array_max(F.transform(variants, lambda v: share(v, hay))), F.lit(0.0)))
+
+
 def substring_share(query: Column, text: Column, least: int) -> Column:
     """Share of the query's words, of ``least`` characters or more, that the text holds anywhere."""
     asked, low = T.tokens(query, least), F.lower(text)
@@ -92,15 +101,23 @@ def with_ai_bonus(rows: DataFrame, ranking: DataFrame, key: str) -> DataFrame:
     return told.withColumn("ai_bonus", ai_bonus(F.col("position"), F.col("n"))).drop("position", "n")
 
 
-def rich_score(rows: DataFrame, question: Column, shape: Column, evidence: Column) -> DataFrame:
+def rich_score(rows: DataFrame, question: Column, shape: Column, evidence: Column, variants: Column | None = None) -> DataFrame:
     """Adds ``rank_score`` to candidates with score, title, section_path, content, chunk_type,
-    image_refs, matched_queries, image_caption_support and ai_bonus."""
+    image_refs, matched_queries, image_caption_support and ai_bonus.
+
+    With ``variants``, an array of the question's wordings, the best of them counts for the words,
+    and a candidate's source and title are among the words of text and section.
+    """
     section = F.array_join("section_path", " ")
-    lexical = word_share(question, F.concat_ws(" ", "title", section, "content"))
+    if variants is None:
+        words, of_section = word_share(question, F.concat_ws(" ", "title", section, "content")), word_share(question, section)
+    else:
+        words = best_share(variants, F.concat_ws(" ", "title", section, "content", "source_path"))
+        of_section = best_share(variants, F.concat_ws(" ", "title", section))
     score = (
         VECTOR * F.col("score")
-        + LEXICAL * lexical
-        + SECTION * word_share(question, section)
+        + LEXICAL * words
+        + SECTION * of_section
         + F.when(F.size("image_refs") > 0, WITH_IMAGES).otherwise(0.0)
         + F.least(F.lit(MOST_QUERIES), EACH_QUERY * (F.size("matched_queries") - 1))
         + structural_bonus(F.col("chunk_type"), F.col("title"), F.col("content"), F.col("image_refs"), shape, evidence)
@@ -112,13 +129,15 @@ def rich_score(rows: DataFrame, question: Column, shape: Column, evidence: Colum
     return rows.withColumn("rank_score", F.round(score, 6))
 
 
-def consolidate_sections(rows: DataFrame, source: str, section: str, content: str, images: str, key: str, score: str = "rank_score") -> DataFrame:
+def consolidate_sections(
+    rows: DataFrame, source: str, section: str | Column, content: str, images: str, key: str, score: str = "rank_score", within: tuple[str, ...] = ()
+) -> DataFrame:
     """The richest row of each section of a source, with the section's highest score.
 
     Richer means more characters, then words, then images; of equally rich rows the one ranked
     higher stays. Rows without source or section stay as they are. Each section is summed up on
     the map side to the key of its richest row, so a section of any size costs no more than one
-    row for each task; ``key`` names a row.
+    row for each task; ``key`` names a row, among those with the same columns ``within``.
     """
     label = F.array_join(F.transform(F.filter(section, lambda x: F.trim(x) != ""), lambda x: T.section_label(x)), "\x1f")
     has_source = F.trim(F.coalesce(F.col(source), F.lit(""))) != ""
@@ -128,8 +147,11 @@ def consolidate_sections(rows: DataFrame, source: str, section: str, content: st
         -F.char_length(content), -F.size(T.words(F.col(content))), -F.size(images), -F.col(score), F.col(key).alias("key")
     )
     inside = keyed.where("_section is not null")
-    best = inside.groupBy(source, "_section").agg(F.min_by(key, poorness).alias("_best"), F.max(score).alias("_most"))
-    kept = inside.drop("_section").join(best.select("_best", "_most"), F.col(key) == F.col("_best"))
+    best = inside.groupBy(*within, source, "_section").agg(F.min_by(key, poorness).alias("_best"), F.max(score).alias("_most"))
+    if within:
+        kept = inside.drop("_section").join(best.select(*within, F.col("_best").alias(key), "_most"), [*within, key]).withColumn("_best", F.col(key))
+    else:
+        kept = inside.drop("_section").join(best.select("_best", "_most"), F.col(key) == F.col("_best"))
     return kept.withColumn(score, F.col("_most")).drop("_best", "_most").unionByName(apart)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,59 @@ def top_k_by_query(rows: DataFrame, k: int, key: str, query: str = "query_id", s
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+#: Vectors and queries of one block; a task compares one block of each.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query: str, embedding: str = "embedding", query_embedding: str = "query_embedding") -> DataFrame:
+    """(query, rank, key, score): the ``k`` nearest vectors of each of any number of queries.
+
+    Vectors and queries are dealt into blocks by a hash of their keys, and every block of one meets
+    every block of the other in a task of its own, which holds one product of two bounded matrices
+    and gives out at most ``k`` rows for each of its queries, and those that tie with them. The
+    window over a query then reads ``k`` rows a block. Nothing is broadcast. Vectors that are null or
+    have length 0 have no score and are found by no one.
+    """
+    n_vectors, n_queries = -(-max(1, vectors.count()) // VECTOR_BLOCK), -(-max(1, queries.count()) // QUERY_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    left = vectors.select(F.col(key).alias("key"), F.col(embedding).cast("array<float>").alias("v")).where("v is not null")
+    right = queries.select(F.col(query).alias("query"), F.col(query_embedding).cast("array<float>").alias("v")).where("v is not null")
+    left = left.withColumn("vb", deal("key", n_vectors)).withColumn("qb", every(n_queries))
+    right = right.withColumn("qb", deal("query", n_queries)).withColumn("vb", every(n_vectors))
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((left, "key"), (right, "query"))}
+
+    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rows = table.column("v").combine_chunks()
+        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        own = flat.reshape(len(rows), -1)
+        length = np.sqrt((own * own).sum(axis=1))
+        return own, length
+
+    def best(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(mine) or not len(asked):
+            return pa.table({"query": asked.column("query").slice(0, 0), "key": mine.column("key").slice(0, 0), "score": pa.array([], pa.float64())})
+        (v, v_length), (q, q_length) = matrix(mine), matrix(asked)
+        known = np.flatnonzero(v_length > 0)
+        rows, columns, scores = [], [], []
+        for i in np.flatnonzero(q_length > 0):
+            score = (v[known] @ q[i]) / (v_length[known] * q_length[i])
+            # Scores are ordered by their rounded values, so what rounds alike stays.
+            least = np.partition(score, len(score) - k)[len(score) - k] - 10.0**-DIGITS if len(score) > k else -2.0
+            found = np.flatnonzero(score >= least)
+            rows.append(np.full(len(found), i))
+            columns.append(known[found])
+            scores.append(score[found])
+        none = np.empty(0, np.int64)
+        at, to = (np.concatenate([none, *x]).astype(np.int64) for x in (rows, columns))
+        return pa.table({"query": asked.column("query").take(pa.array(at)), "key": mine.column("key").take(pa.array(to)), "score": pa.array(np.concatenate([np.empty(0), *scores]))})
+
+    blocks = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb"))
+    found = blocks.applyInArrow(best, f"query {types['query']}, key {types['key']}, score double")
+    ranked = top_k_by_query(found.withColumn("score", F.round("score", DIGITS)), k, "key", "query")
+    return ranked.select(F.col("query").alias(query), "rank", F.col("key").alias(key), "score")
+
+
 def merge_queries(best: DataFrame, key: str, query: str = "query_id") -> DataFrame:
     """One row for each key found: its highest score, the first query that gave it, and all
     queries that found it, in order."""

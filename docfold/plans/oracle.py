@@ -243,7 +243,86 @@ ISSUES = f"""
     FROM ({WHOLE}) GROUP BY o_orderkey, path
 """
 
+ASKED = f"SELECT doc_id AS question_id, left(text, 90) AS question, doc_id % 100 = 0 AS visual, doc_id % 200 = 150 AS uploaded FROM ({CHUNKS}) WHERE doc_id % 50 = 0"
+WORDINGS = f"SELECT doc_id - doc_id % 50 AS question_id, doc_id % 50 AS variant, left(text, 90) AS variant_text, embedding FROM ({CHUNKS}) WHERE doc_id % 50 < 2"
+
+
+def found_by(rows: str, key: str, k: int) -> str:
+    """(question_id, key, score, variants): the k best of each wording, merged by question."""
+    return f"""
+        SELECT question_id, {key}, max(score) AS score, list(DISTINCT variant ORDER BY variant) AS variants, list(DISTINCT variant_text) AS matched FROM (
+            SELECT q.question_id, variant, variant_text, {key}, round(list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+            FROM ({rows}) r, ({WORDINGS}) q QUALIFY row_number() OVER (PARTITION BY q.question_id, variant ORDER BY score DESC, {key}) <= {k}) GROUP BY question_id, {key}
+    """
+
+
+def best_share(text: str, variants: str = "list_append(matched, question)") -> str:
+    return f"list_max(list_transform({variants}, lambda v: {word_share(text, 'v')}))"
+
+
+STORED = f"SELECT doc_id AS chunk_id, label::BIGINT AS document_id, source || '/' || doc_id % 7 AS source_path, source, lang, text, label, CASE WHEN label > 2 THEN ['img/' || doc_id, 'img/x' || label] ELSE [] END AS refs, embedding FROM ({CHUNKS})"
+PICTURES = f"""
+    SELECT doc_id + 1000000 AS image_id, 'img/' || (doc_id + 3) AS image_path, doc_id % 10 AS document_id, 'scan' || doc_id % 4 AS source_path, lang AS section, left(text, 40) AS caption,
+           CASE WHEN doc_id % 3 = 0 THEN doc_id END AS related_chunk_id, embedding FROM ({CHUNKS})
+"""
+ANSWERS_BY_QUESTION = f"""
+    WITH asked AS MATERIALIZED ({ASKED}), found AS MATERIALIZED ({found_by(STORED, "chunk_id", max(4 * K, 12))}),
+    seen AS MATERIALIZED (SELECT * FROM ({found_by(PICTURES, "image_id", min(2 * 4, 2 * K))}) JOIN (SELECT * EXCLUDE (embedding) FROM ({PICTURES})) USING (image_id) JOIN asked USING (question_id)),
+    support AS (
+        SELECT question_id, related_chunk_id AS chunk_id, max(s) AS support FROM (
+            SELECT *, round(least(0.24, score * 0.16 + {word_share("caption || ' ' || section || ' ' || source_path", "question")} * 0.22), 6) AS s FROM seen WHERE related_chunk_id IS NOT NULL)
+        WHERE s > 0.07 GROUP BY ALL
+    ),
+    both_ AS (SELECT question_id, chunk_id, coalesce(score, 0) AS score, coalesce(matched, []) AS matched, coalesce(len(variants), 1) AS n_queries, coalesce(support, 0) AS support FROM found FULL JOIN support USING (question_id, chunk_id)),
+    placed AS (
+        SELECT *, CASE WHEN place < n THEN 0.18 * (n - place) / n ELSE 0 END AS ai FROM (
+            SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) - 1 AS place, least(count(*) OVER (PARTITION BY question_id), {max(2 * K, 8)}) AS n FROM both_)
+    ),
+    ranked AS (
+        SELECT *, round(0.58 * score + 0.12 * {best_share("source || ' ' || lang || ' ' || source || ' ' || text || ' ' || source_path")} + 0.05 * {best_share("source || ' ' || lang || ' ' || source")}
+                     + CASE WHEN label > 2 THEN 0.03 ELSE 0 END + least(0.04, 0.015 * (n_queries - 1))
+                     + least(0.18, CASE WHEN label <= 4 OR {STEP} >= 0.18 THEN 0.08 ELSE 0 END + CASE WHEN {LIST} >= 0.18 THEN 0.06 ELSE 0 END + CASE WHEN label > 2 THEN 0.04 ELSE 0 END)
+                     + {SHAPES["limit"]} + support + ai - {PENALTY}, 6) AS rank_score
+        FROM placed JOIN (SELECT * EXCLUDE (embedding) FROM ({STORED})) USING (chunk_id) JOIN asked USING (question_id)
+    ),
+    kept AS (
+        SELECT * REPLACE (most AS rank_score) FROM (
+            SELECT *, max(rank_score) OVER w AS most, row_number() OVER (PARTITION BY question_id, source_path, lang, source
+                ORDER BY length(text) DESC, len({words('text')}) DESC, len(refs) DESC, rank_score DESC, chunk_id) AS best
+            FROM ranked WINDOW w AS (PARTITION BY question_id, source_path, lang, source)) WHERE best = 1
+    ),
+    top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank_score DESC, chunk_id) AS rank FROM kept QUALIFY rank <= {K}),
+    tiered AS (
+        SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM top t WHERE t.question_id = s.question_id AND t.rank <= 4 AND (t.chunk_id = s.related_chunk_id OR list_contains(t.refs, s.image_path))) THEN 1
+                         WHEN NOT visual THEN NULL
+                         WHEN EXISTS (SELECT 1 FROM top t WHERE t.question_id = s.question_id AND t.rank <= 4 AND (t.document_id = s.document_id OR t.source_path = s.source_path)) THEN 2 ELSE 3 END AS tier
+        FROM seen s
+    ),
+    chosen AS MATERIALIZED (SELECT * FROM tiered WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY question_id)),
+    pictures AS (
+        SELECT question_id, image_id::VARCHAR AS id, tier, round(0.76 * score + 0.16 * {best_share("caption || ' ' || section || ' ' || source_path")} + CASE WHEN visual THEN 0.08 ELSE 0 END, 6) AS score FROM chosen
+        UNION ALL
+        SELECT question_id, 'ref::' || path, 4, round(0.76 * greatest(rank_score - 0.01 * place, 0) + 0.16 * {best_share("source || ' ' || lang || ' ' || source || ' ' || source_path", "[question]")} + CASE WHEN visual THEN 0.08 ELSE 0 END, 6) FROM (
+            SELECT *, row_number() OVER (PARTITION BY question_id, path ORDER BY rank, place) AS first FROM (SELECT * EXCLUDE (place), unnest(refs) AS path, unnest(range(len(refs))) AS place FROM top WHERE rank <= 4))
+        WHERE first = 1 AND question_id NOT IN (SELECT question_id FROM chosen)
+    )
+    SELECT question_id, 'chunk' AS kind, rank, chunk_id::VARCHAR AS id, rank_score AS score, NULL::INT AS tier FROM top
+    UNION ALL
+    SELECT question_id, 'image', rank, id, score, tier FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM pictures WHERE question_id NOT IN (SELECT question_id FROM asked WHERE uploaded)) WHERE rank <= 4
+    UNION ALL
+    SELECT question_id, 'image', rank, image_id::VARCHAR, score, 0 FROM (
+        SELECT a.question_id, image_id, round(list_cosine_similarity(p.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY a.question_id ORDER BY score DESC, image_id) AS rank
+        FROM asked a JOIN ({CHUNKS}) c ON c.doc_id = a.question_id, ({PICTURES}) p WHERE uploaded) WHERE rank <= 4
+"""
+
 ORACLE: dict[str, str] = {
+    "vector_topk_many": """
+        SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) AS rank
+        FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 12
+    """,
+    "multi_query_merge_many": f"SELECT question_id, chunk_id, score, len(variants) AS n_queries FROM ({found_by(STORED, 'chunk_id', 20)})",
+    "answers_by_question": ANSWERS_BY_QUESTION,
     "hybrid_search": f"""
         SELECT doc_id, score, round(0.8 * score + 0.2 * {substring_share("source || ' ' || text")}, 6) AS rank_score, left(text, 420) AS excerpt
         FROM (SELECT * FROM ({scored(1)}) ORDER BY score DESC, doc_id LIMIT {max(4 * K, 12)}) ORDER BY rank_score DESC, doc_id LIMIT {K}

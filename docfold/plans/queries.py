@@ -11,7 +11,7 @@ from ..functions import arabic, models
 from ..functions import json as J
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import analytics, catalog, chunking, compare, formats, images, lookup, ranking, retrieval, structure
+from ..operators import analytics, answering, catalog, chunking, compare, formats, images, lookup, ranking, retrieval, structure
 from . import views
 from .views import table
 
@@ -70,6 +70,27 @@ def multi_query_merge(spark, d):
     return retrieval.merge_queries(best, "doc_id")
 
 
+@query
+def vector_topk_many(spark, d):
+    """Every fiftieth vector against all vectors, in blocks."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return retrieval.search_many(rows, asked, 12, "vec_id", "query_id")
+
+
+@query
+def multi_query_merge_many(spark, d):
+    """What the two wordings of every question find, merged by question."""
+    found = answering.candidates(views.stored_chunks(spark, d), views.wordings(spark, d), 20, "chunk_id")
+    return found.select("question_id", "chunk_id", "score", F.size("matched_queries").alias("n_queries"))
+
+
+@query
+def answers_by_question(spark, d):
+    """Chunks and images for every question of a table, from search to consolidation and images."""
+    return answering.retrieve(views.asked(spark, d), views.wordings(spark, d), views.stored_chunks(spark, d), views.stored_images(spark, d), K)
+
+
 @query
 def lookup_by_ids(spark, d):
     ids = table(spark, d, "labels").where("toxic = 1").select("doc_id")

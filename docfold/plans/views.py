@@ -164,6 +164,40 @@ def shown_documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth chunk as a question: its opening is the text, its vector the first wording's."""
+    rows = chunks(spark, d).where(F.col("doc_id") % 50 == 0)
+    return rows.select(
+        F.col("doc_id").alias("question_id"), F.left("text", F.lit(90)).alias("question"), F.lit("limit").alias("shape"), F.array(F.lit("procedure"), F.lit("figure")).alias("evidence"),
+        (F.col("doc_id") % 100 == 0).alias("visual"), F.when(F.col("doc_id") % 200 == 150, F.col("embedding")).alias("image_embedding"),
+    )
+
+
+def wordings(spark: SparkSession, d: str) -> DataFrame:
+    """Two wordings of each question: its own, and the chunk after it."""
+    rows = chunks(spark, d).where(F.col("doc_id") % 50 < 2)
+    n = F.col("doc_id") % 50
+    return rows.select((F.col("doc_id") - n).alias("question_id"), n.alias("variant"), F.left("text", F.lit(90)).alias("variant_text"), F.col("embedding").alias("query_embedding"))
+
+
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    refs = F.when(F.col("label") > 2, F.array(F.concat(F.lit("img/"), F.col("doc_id").cast("string")), F.concat(F.lit("img/x"), F.col("label").cast("string"))))
+    return chunks(spark, d).select(
+        F.col("doc_id").alias("chunk_id"), F.col("label").cast("bigint").alias("document_id"), F.concat("source", F.lit("/"), (F.col("doc_id") % 7).cast("string")).alias("source_path"), F.col("source").alias("title"),
+        F.array("lang", "source").alias("section_path"), F.col("text").alias("content"), F.when(F.col("label") > 4, "table_chunk").otherwise("procedure_chunk").alias("chunk_type"),
+        F.coalesce(refs, F.array().cast("array<string>")).alias("image_refs"), "embedding",
+    )
+
+
+def stored_images(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors once more, as images; every third is linked to a chunk."""
+    return chunks(spark, d).select(
+        (F.col("doc_id") + 1_000_000).alias("image_id"), F.concat(F.lit("img/"), (F.col("doc_id") + 3).cast("string")).alias("image_path"), (F.col("doc_id") % 10).alias("document_id"),
+        F.concat(F.lit("scan"), (F.col("doc_id") % 4).cast("string")).alias("source_path"), F.array("lang").alias("section_path"), F.left("text", F.lit(40)).alias("caption_text"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("related_chunk_id"), "embedding",
+    )
+
+
 def model_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Orders as what three models read of each order: (o_orderkey, path, model, value).
 
