@@ -1,13 +1,15 @@
 """The stored corpus: upserts, replacement, cascading deletion, rebuilds, counts and lists.
 
-Tables are DataFrames in and out; ``publish`` writes a new version beside the old one and only
-then lets readers see it, so a failed run leaves the old version in place.
+Tables are DataFrames in and out; ``publish`` writes a new version beside the old ones and then
+adds one marker for it. Nothing is overwritten or deleted, so a reader at any moment, and after a
+run that failed, finds the last version that was completed.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,19 +71,52 @@ def create(spark: SparkSession, name: str, schema: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
 
 
-def publish(df: DataFrame, root: str, name: str) -> str:
-    """Write a version of a table under ``root`` and point the name at it; gives the version's path."""
-    spark = df.sparkSession
+def publish(df: DataFrame, root: str, name: str) -> int:
+    """Write a version of a table under ``root`` and then its marker; gives the version's number."""
     path = f"{root}/{name}/{uuid.uuid4()}"
     df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}_current")
-    return path
+    return mark(df.sparkSession, root, name, path)
 
 
-def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The version that was published last."""
-    return spark.read.parquet(spark.read.parquet(f"{root}/{name}_current").first()["path"])
+def mark(spark: SparkSession, root: str, name: str, path: str) -> int:
+    """Let readers see a version that was written whole: append its marker, one row in one file."""
+    known = versions(spark, root, name)
+    number = 1 if known is None else known.agg(F.max("version")).first()[0] + 1
+    row = spark.createDataFrame([(number, path)], "version long, path string").withColumn("published_at", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(f"{root}/{name}_versions")
+    return number
+
+
+def versions(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """(version, path, published_at) of all that were published, or None before the first."""
+    try:
+        return spark.read.schema("version long, path string, published_at timestamp").parquet(f"{root}/{name}_versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """The highest version, or the given one; of two that took one number the later one."""
+    known = versions(spark, root, name)
+    if known is not None and version is not None:
+        known = known.where(F.col("version") == version)
+    last = known.orderBy(F.desc("version"), F.desc("published_at"), "path").first() if known is not None else None
+    if last is None:
+        raise LookupError(f"no version of {name} is published")
+    return spark.read.parquet(last["path"])
 
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def append_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Append rows under a batch's name; a batch that is written again replaces its own rows alone.
+
+    A run that is tried again after a failure, or a stream's micro-batch that comes twice, leaves
+    its rows once.
+    """
+    rows = df.withColumn("batch_id", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)

@@ -354,3 +354,29 @@ def image_rows(chunks: DataFrame, documents: DataFrame, doc: str, title: str = "
         F.array("title").alias("related_section_path"), F.lit(None).cast("string").alias("related_chunk_id"), F.array().cast("array<string>").alias("related_block_ids"), "language_tags",
     )
     return linked.unionByName(rest.join(linked.select(doc, "image_path"), [doc, "image_path"], "left_anti"))
+
+
+# The kinds of blocks that kinds of segments become; all others are paragraphs.
+SEGMENT_BLOCKS = {"table": "table", "table_row": "table_row", "code_block": "code", "image_caption": "caption", "list_item": "list_item", "note": "note"}
+
+
+def segment_block_type(segment_type: Column, text: Column) -> Column:
+    """A segment's kind of block; a paragraph that begins as a step is one."""
+    out = F.when((segment_type == "paragraph") & F.rlike(F.trim(text), F.lit(T.STEP_START)), "step")
+    for name, kind in SEGMENT_BLOCKS.items():
+        out = out.when(segment_type == name, kind)
+    return out.otherwise("paragraph")
+
+
+def materialized(blocks: DataFrame, segments: DataFrame, doc: str) -> DataFrame:
+    """Blocks of all documents: their own, or, where a document has none, its segments as blocks.
+
+    ``segments`` has segment_id, segment_type, segment_index and text, and may have more columns of
+    the blocks. Blocks get step_number, empty where they begin no step.
+    """
+    bare = segments.join(blocks.select(doc).distinct(), doc, "left_anti")
+    order = Window.partitionBy(doc).orderBy("segment_index")
+    made = bare.withColumns({"block_type": segment_block_type(F.col("segment_type"), F.col("text")), "order_index": (F.row_number().over(order) - 1).cast("long")})
+    made = made.withColumnRenamed("segment_id", "block_id").drop("segment_type", "segment_index")
+    both = blocks.unionByName(made, allowMissingColumns=True)
+    return both.withColumn("step_number", F.coalesce(T.step_number(F.col("text")), F.lit("")))

@@ -118,9 +118,27 @@ def model_summary(rows: DataFrame, group: list[str], model: str, models: DataFra
     return made.withColumn("place", F.row_number().over(order))
 
 
-def comparable(rows: DataFrame, group: list[str], model: str) -> DataFrame:
-    """(group, n_models, available): whether at least two models gave anything."""
-    return rows.groupBy(*group).agg(F.countDistinct(model).alias("n_models")).withColumn("available", F.col("n_models") >= 2)
+def comparable(models: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n_asked, n_parsed, available) from the models that were asked (group, model, parsed).
+
+    A group can be compared if at least two models' answers were parsed, whether they had leaves or not.
+    """
+    parsed = F.sum(F.when(F.col("parsed"), 1).otherwise(0)).cast("long")
+    return models.groupBy(*group).agg(F.count("*").alias("n_asked"), parsed.alias("n_parsed")).withColumn("available", F.col("n_parsed") >= 2)
+
+
+def gated_issues(rows: DataFrame, models: DataFrame, group: list[str], model: str) -> DataFrame:
+    """(group, available, path, n_missing, issue) of every group of asked models.
+
+    Groups that can't be compared have one row without path. In the others a model whose answer
+    was not parsed is missing on every path, and leaves of such a model do not count.
+    """
+    gate = comparable(models, group)
+    parsed = models.where("parsed").select(*group, model)
+    open_groups = gate.where("available").select(*group)
+    leaves = rows.join(parsed, [*group, model], "left_semi").join(open_groups, group, "left_semi")
+    found = issues(leaves, group, model, models.join(open_groups, group, "left_semi"))
+    return gate.select(*group, "available").join(found, group, "left")
 
 
 def scores(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

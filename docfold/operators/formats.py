@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import chunking, structure
 
 
@@ -134,11 +135,59 @@ def sheet_chunks(rows: DataFrame, doc: str, most: int = 220, overlap: int = 40,
     return numbered(heads.unionByName(body), doc, ["sheet_name", "region", "window"])
 
 
-def by_strategy(blocks: DataFrame, doc: str, kind: str = "file_type") -> dict[str, DataFrame]:
-    """Blocks by how they are to be chunked: paged, slides, sheets, markup, or generic."""
-    name = F.when(F.col(kind) == "pdf", "paged").when(F.col(kind) == "pptx", "slides").when(F.col(kind) == "xlsx", "sheets").when(F.col(kind) == "rst", "markup").otherwise("generic")
-    told = blocks.withColumn("_strategy", name)
-    return {s: told.where(F.col("_strategy") == s).drop("_strategy") for s in ("paged", "slides", "sheets", "markup", "generic")}
+# Strategies in the order in which they are tried, and the files that they are for.
+STRATEGIES = [("pdf_section_window", ["pdf"]), ("slide_window", ["ppt", "pptx"]), ("rst_section_window", ["rst"]), ("xlsx_sheet_window", ["xls", "xlsx"])]
+GENERIC = "generic_blocks"
+
+
+def strategy(file_type: Column, hint: Column) -> Column:
+    """The strategy that a document's hint names, if there is one of that name, else the first for its kind of file."""
+    names = [name for name, _ in STRATEGIES] + [GENERIC]
+    out = F.when(hint.isin(names), hint)
+    for name, files in STRATEGIES:
+        out = out.when(file_type.isin(files), name)
+    return out.otherwise(GENERIC)
+
+
+def dispatched_chunks(blocks: DataFrame, doc: str, most: int = 220, overlap: int = 40) -> DataFrame:
+    """(doc, chunk_index, strategy, chunk_type, block_ids, content): documents of all kinds in one plan.
+
+    Each strategy names the unit that its windows stay in, a section of a page, a slide, a
+    section, a sheet or a group of blocks; one grouping by document and unit then serves all.
+    ``blocks`` has what ``group_blocks`` reads, and file_type, preferred_strategy, page_number,
+    slide_number and sheet_name.
+    """
+    chosen = strategy(F.col("file_type"), F.col("preferred_strategy"))
+    kinds = chunking.archetypes(blocks, doc)
+    grouped = chunking.group_blocks(blocks.join(kinds, doc), doc).withColumn("strategy", chosen)
+    section = F.array_join("section_path", " > ")
+    said = lambda *parts: F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    unit = (
+        F.when(F.col("strategy") == "pdf_section_window", said(F.col("page_number"), section))
+        .when(F.col("strategy") == "slide_window", said(F.col("slide_number")))
+        .when(F.col("strategy") == "rst_section_window", section)
+        .when(F.col("strategy") == "xlsx_sheet_window", said(F.col("sheet_name")))
+        .otherwise(said(F.col("group")))
+    )
+    told = grouped.withColumns({"unit": unit, "n": F.size(T.words(F.col("text")))}).where(F.trim("text") != "")
+    item = F.struct(F.col("text"), "n", F.col("block_id").alias("id"))
+    units = told.groupBy(doc, "strategy", "unit").agg(
+        F.array_sort(F.collect_list(F.struct("order_index", item.alias("item")))).alias("rows"),
+        F.array_sort(F.collect_set("block_type")).alias("kinds"), F.first("archetype").alias("archetype"), F.bool_or(F.col("slide_number").isNotNull()).alias("slides"),
+    )
+    windows = chunking.fold_windows(F.transform("rows", lambda r: r["item"]), most, overlap)
+    spread = units.select(doc, "strategy", "kinds", "archetype", "slides", F.element_at("rows", 1)["order_index"].alias("first"), F.posexplode(windows).alias("window", "w"))
+    content = F.array_join(F.transform("w", lambda x: x["text"]), "\n\n")
+    parts = structure.block_artifacts(F.col("content"))
+    kind = (
+        F.when(F.col("strategy") == "pdf_section_window", page_type(F.col("kinds"), F.col("archetype")))
+        .when(F.col("strategy") == "slide_window", "slide_chunk")
+        .when(F.col("strategy") == "rst_section_window", T.once(parts, lambda p: markup_type(F.col("kinds"), F.col("archetype"), p["image_refs"], p["equation_labels"], p["directives"])))
+        .when(F.col("strategy") == "xlsx_sheet_window", "row_chunk")
+        .otherwise(chunking.chunk_type(F.col("kinds"), F.col("archetype"), F.col("slides")))
+    )
+    made = spread.withColumns({"content": content, "block_ids": F.transform("w", lambda x: x["id"])}).withColumn("chunk_type", kind)
+    return numbered(made, doc, ["first", "window"]).select(doc, "chunk_index", "strategy", "chunk_type", "block_ids", "content")
 
 
 def structure_hints(blocks: DataFrame, doc: str, unit: str) -> DataFrame:

@@ -364,3 +364,58 @@ def clean_page_lines(lines: DataFrame, header: str) -> DataFrame:
     """Without blank lines, the running header, and lines of digits alone."""
     own = F.trim("line")
     return lines.where((own != "") & (own != header) & ~F.rlike(own, F.lit(r"^[\d٠-٩]+$")))
+
+
+# Texts and sections of an image that become blocks, and the kinds that a section may have.
+MOST_TEXTS, MOST_SECTIONS = 8, 6
+SECTION_KINDS = ["paragraph", "list_item", "table", "note", "warning", "code", "quote"]
+
+
+def image_blocks(images: DataFrame, doc: str, analysis: str = "analysis", title: str = "document_title", file_name: str = "file_name") -> DataFrame:
+    """Blocks (doc, order_index, block_type, text, heading_level, section_path, layout_hint, image_type)
+    of what a model told of an image, a JSON text with title, summary, visible_text and sections.
+
+    The title is a heading if it differs from the document's; the summary, else the first visible
+    text, else the file's name, is a figure; the first visible texts are one note, and of the first
+    sections those with content follow, each behind its heading. JSON that cannot be read, and
+    parts of another shape, count as absent. Each document is worked out in its own row.
+    """
+    v = F.try_parse_json(F.col(analysis))
+    text = lambda x: T.normalize_spaces(F.coalesce(x, F.lit("")))
+    said = lambda path: text(F.try_variant_get(v, path, "string"))
+    shown = F.coalesce(F.try_variant_get(v, "$.visible_text", "array<string>"), F.array().cast("array<string>"))
+    parts = F.coalesce(F.try_variant_get(v, "$.sections", "array<variant>"), F.array().cast("array<variant>"))
+    objects = F.filter(parts, lambda x: F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit(False)))
+    told = images.select(
+        doc, F.col(title).alias("_document"), F.col(file_name).alias("_file"),
+        F.coalesce(F.nullif(said("$.title"), F.lit("")), F.col(title)).alias("_title"), said("$.summary").alias("_summary"),
+        F.coalesce(F.nullif(said("$.image_type"), F.lit("")), F.lit("unknown")).alias("image_type"),
+        F.filter(F.transform(shown, text), lambda x: x != "").alias("_texts"),
+        F.transform(F.slice(objects, 1, MOST_SECTIONS), lambda x: F.struct(
+            text(F.try_variant_get(x, "$.heading", "string")).alias("heading"), text(F.try_variant_get(x, "$.content", "string")).alias("content"),
+            F.lower(F.trim(F.coalesce(F.try_variant_get(x, "$.block_type", "string"), F.lit("")))).alias("kind"))).alias("_sections"),
+    )
+    c = F.col
+    named = c("_title") != c("_document")
+    root = F.when(named, F.array("_document", "_title")).otherwise(F.array("_document"))
+
+    def block(kind: Column, body: Column, level: Column, path: Column, hint: str) -> Column:
+        return F.struct(kind.alias("block_type"), body.alias("text"), level.cast("int").alias("heading_level"), path.alias("section_path"), F.lit(hint).alias("layout_hint"))
+
+    none = F.lit(None)
+    summary = F.coalesce(F.nullif(c("_summary"), F.lit("")), F.get("_texts", F.lit(0)), F.concat(F.lit("Image file: "), c("_file")))
+    head = F.array(
+        F.when(named, block(F.lit("heading"), c("_title"), F.lit(1), root, "image_title")),
+        block(F.lit("figure"), summary, none, root, "image_summary"),
+        F.when(F.size("_texts") > 0, block(F.lit("note"), T.normalize_spaces(F.array_join(F.slice("_texts", 1, MOST_TEXTS), "\n")), none, F.concat(root, F.array(F.lit("Visible Text"))), "visible_text")),
+    )
+
+    def section(x: Column) -> Column:
+        path = F.when(x["heading"] != "", F.concat(root, F.array(x["heading"]))).otherwise(root)
+        kind = F.when(x["kind"].isin(SECTION_KINDS), x["kind"]).otherwise("paragraph")
+        heading = F.when((x["content"] != "") & (x["heading"] != ""), block(F.lit("heading"), x["heading"], F.lit(2), path, "image_section_heading"))
+        return F.array(heading, F.when(x["content"] != "", block(kind, x["content"], none, path, "image_section")))
+
+    every = F.array_compact(F.concat(head, F.flatten(F.transform("_sections", section))))
+    spread = told.select(doc, "image_type", F.posexplode(every).alias("order_index", "b"))
+    return spread.select(doc, "order_index", "b.*", "image_type")

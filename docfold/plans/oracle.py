@@ -160,28 +160,34 @@ ARCHETYPES = f"""
                    bool_or(regexp_matches(lower(text), 'architecture|design|component|interface|topology|diagram')) AS technical,
                    bool_or(regexp_matches(lower(text), 'faq|reference|parameter|command|field')) AS reference FROM ({BLOCKS}) GROUP BY doc_id)
 """
-#: Groups of blocks as a left fold over each document, with one struct type for state and items.
-GROUPS = f"""
+
+
+def groups(archetypes: str, path: str = "''") -> str:
+    """Groups of blocks as a left fold over each document, with one struct type for state and items."""
+    return f"""
     WITH told AS (
-        SELECT *, CASE WHEN block_type = 'step' THEN 'step' WHEN archetype IN ('regulatory', 'knowledge', 'technical', 'reference', 'mixed_multimodal') AND block_type IN ('paragraph', 'figure') THEN 'prose'
+        SELECT *, {path} AS path, CASE WHEN block_type = 'step' THEN 'step' WHEN archetype IN ('regulatory', 'knowledge', 'technical', 'reference', 'mixed_multimodal') AND block_type IN ('paragraph', 'figure') THEN 'prose'
                        WHEN block_type = 'figure' THEN 'next' ELSE 'alone' END AS mode
-        FROM ({BLOCKS}) JOIN ({ARCHETYPES}) USING (doc_id)
+        FROM ({BLOCKS}) JOIN ({archetypes}) USING (doc_id)
     ),
     listed AS (
-        SELECT doc_id, list({{'out': []::BIGINT[], 'g': -1::BIGINT, 'kind': block_type, 'mode': mode, 'pending': false}} ORDER BY order_index) AS xs FROM told GROUP BY doc_id
+        SELECT doc_id, list({{'out': []::BIGINT[], 'g': -1::BIGINT, 'kind': block_type, 'path': path, 'mode': mode, 'pending': false}} ORDER BY order_index) AS xs FROM told GROUP BY doc_id
     ),
     folded AS (
-        SELECT doc_id, list_reduce(list_prepend({{'out': []::BIGINT[], 'g': -1::BIGINT, 'kind': '', 'mode': 'none', 'pending': false}}, xs), lambda s, b:
+        SELECT doc_id, list_reduce(list_prepend({{'out': []::BIGINT[], 'g': -1::BIGINT, 'kind': '', 'path': '', 'mode': 'none', 'pending': false}}, xs), lambda s, b:
             CASE WHEN b.kind = 'heading' THEN
-                {{'out': list_append(s.out, s.g + (NOT s.pending)::BIGINT), 'g': s.g + (NOT s.pending)::BIGINT, 'kind': '', 'mode': 'none', 'pending': true}}
-            WHEN s.pending THEN {{'out': list_append(s.out, s.g), 'g': s.g, 'kind': b.kind, 'mode': b.mode, 'pending': false}}
-            WHEN (s.mode = 'step' AND b.kind IN ('paragraph', 'figure')) OR (s.mode = 'prose' AND b.kind <> 'step') OR s.mode = 'next' THEN
-                {{'out': list_append(s.out, s.g), 'g': s.g, 'kind': s.kind, 'mode': CASE WHEN s.mode = 'next' THEN 'alone' ELSE s.mode END, 'pending': false}}
-            ELSE {{'out': list_append(s.out, s.g + 1), 'g': s.g + 1, 'kind': b.kind, 'mode': b.mode, 'pending': false}} END).out AS gs
+                {{'out': list_append(s.out, s.g + (NOT s.pending)::BIGINT), 'g': s.g + (NOT s.pending)::BIGINT, 'kind': '', 'path': '', 'mode': 'none', 'pending': true}}
+            WHEN s.pending THEN {{'out': list_append(s.out, s.g), 'g': s.g, 'kind': b.kind, 'path': b.path, 'mode': b.mode, 'pending': false}}
+            WHEN s.path = b.path AND ((s.mode = 'step' AND b.kind IN ('paragraph', 'figure')) OR (s.mode = 'prose' AND b.kind <> 'step') OR s.mode = 'next') THEN
+                {{'out': list_append(s.out, s.g), 'g': s.g, 'kind': s.kind, 'path': s.path, 'mode': CASE WHEN s.mode = 'next' THEN 'alone' ELSE s.mode END, 'pending': false}}
+            ELSE {{'out': list_append(s.out, s.g + 1), 'g': s.g + 1, 'kind': b.kind, 'path': b.path, 'mode': b.mode, 'pending': false}} END).out AS gs
         FROM listed
     )
     SELECT doc_id, unnest(range(len(gs))) AS order_index, unnest(gs) AS "group" FROM folded
-"""
+    """
+
+
+GROUPS = groups(ARCHETYPES)
 GROUPED = f"""
     SELECT doc_id, "group", any_value(archetype) AS archetype, any_value(source) AS source, any_value(lang) AS lang, list(doc_id || '-block-' || order_index ORDER BY order_index) AS ids,
            list(block_type ORDER BY order_index) AS kinds, {normalized("coalesce(string_agg(trim(text, ' '), E'\\n\\n' ORDER BY order_index) FILTER (trim(text, ' ') <> ''), '')")} AS text, list(order_index ORDER BY order_index) AS ns
@@ -209,6 +215,9 @@ LANGUAGES = """coalesce(nullif(array_to_string(list_filter(list_concat(
     CASE WHEN len(list_filter(ns, lambda n: n % 5 = 3)) > 0 THEN ['yy'] ELSE [] END,
     CASE WHEN len(list_filter(ns, lambda n: n % 5 = 2)) > 0 AND len(list_filter(ns, lambda n: n % 5 = 3)) > 0 AND list_min(list_filter(ns, lambda n: n % 5 = 2)) > list_min(list_filter(ns, lambda n: n % 5 = 3)) THEN [lang, 'xx'] ELSE [] END),
     lambda x: x IS NOT NULL), ','), ''), lang)"""
+#: In files with sheets all documents are tabular, so that no kind merges prose.
+ARCHETYPES_FILED = "SELECT doc_id, 'tabular' AS archetype FROM documents"
+GROUPS_FILED = groups(ARCHETYPES_FILED, "(order_index // 5)::VARCHAR")
 ISLANDS = f"""
     SELECT doc_id, first_line, last_line, text, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) - 1 AS block FROM (
         SELECT doc_id, min(line_no) AS first_line, max(line_no) AS last_line, string_agg(line, E'\\n' ORDER BY line_no) AS text FROM (
@@ -315,7 +324,129 @@ ANSWERS_BY_QUESTION = f"""
         FROM asked a JOIN ({CHUNKS}) c ON c.doc_id = a.question_id, ({PICTURES}) p WHERE uploaded) WHERE rank <= 4
 """
 
+ANSWER_EVENTS = r"""
+    SELECT request_id, asked_at, session_id, nullif(left(text, 2000), '') AS question_text,
+           nullif(left(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')), 2000), '') AS question_normalized,
+           turn = 0 AS had_image, 8 AS top_k, error IS NULL AS success, coalesce(answer, 7) AS latency_ms, CASE WHEN answer > 0 THEN 'm' || answer % 3 END AS answer_model,
+           top_source_path, top_section_path, coalesce(n, 0) AS retrieved_count, error AS error_message
+    FROM (
+        SELECT c.*, c.conv_id || ':' || c.turn AS request_id, c.conv_id::VARCHAR AS session_id, answer,
+               make_timestamp((1700000000 + c.conv_id * 3600 + c.turn * 60) * 1000000) AS asked_at,
+               CASE WHEN length(c.text) < 30 THEN 'the question is too short' WHEN answer IS NULL THEN 'no answer' END AS error
+        FROM conversations c LEFT JOIN (SELECT conv_id, turn - 1 AS turn, max(length(text)) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1, 2) a ON a.conv_id = c.conv_id AND a.turn = c.turn
+        WHERE role = 'user'
+    ) LEFT JOIN (
+        SELECT c.conv_id || ':' || c.turn AS request_id, count(*) AS n, arg_min(source, rank) AS top_source_path, arg_min(lang, rank) FILTER (lang IS NOT NULL) AS top_section_path
+        FROM conversations c, (VALUES (1), (2), (3)) v(rank) JOIN documents d ON d.doc_id = c.conv_id * 11 + c.turn * 5 + rank * 400 WHERE role = 'user' GROUP BY 1
+    ) USING (request_id)
+"""
+IMAGE_BLOCKS = f"""
+    WITH told AS (
+        SELECT doc_id, source, source || '.png' AS file, l, doc_id % 7 = 6 AS broken, list_transform(l, lambda x: {normalized('x')}) AS ll
+        FROM (SELECT doc_id, source, list_filter(string_split(text, E'\\n'), lambda x: trim(x, ' ') <> '') AS l FROM documents)
+    ),
+    parts AS (
+        SELECT doc_id, source, file, CASE WHEN broken THEN source WHEN doc_id % 4 = 1 THEN coalesce(nullif({normalized("coalesce(left(l[1], 30), '')")}, ''), source) ELSE source END AS title,
+               CASE WHEN NOT broken AND doc_id % 5 > 1 THEN coalesce(ll[2], '') ELSE '' END AS summary,
+               list_filter(CASE WHEN NOT broken AND doc_id % 2 = 0 THEN ll[1:10] ELSE [] END, lambda x: x <> '') AS texts,
+               CASE WHEN NOT broken AND doc_id % 6 = 0 THEN 'chart' ELSE 'unknown' END AS image_type,
+               CASE WHEN broken THEN [] ELSE list_transform(range(6), lambda i: {{'h': CASE WHEN (doc_id + i) % 3 > 0 THEN {normalized("coalesce(left(l[i + 1], 20), '')")} ELSE '' END,
+                   'c': coalesce(ll[i + 2], ''), 'k': ['table', 'note', 'paragraph', 'code', 'quote', 'list_item'][i + 1]}}) END AS sections
+        FROM told
+    ),
+    rooted AS (SELECT *, CASE WHEN title <> source THEN source || ' > ' || title ELSE source END AS root FROM parts),
+    every AS (
+        SELECT doc_id, image_type, 0 AS o, 0 AS p, 'heading' AS block_type, title AS text, 1 AS heading_level, root AS section_path, 'image_title' AS layout_hint FROM rooted WHERE title <> source
+        UNION ALL SELECT doc_id, image_type, 1, 0, 'figure', CASE WHEN summary <> '' THEN summary WHEN len(texts) > 0 THEN texts[1] ELSE 'Image file: ' || file END, NULL, root, 'image_summary' FROM rooted
+        UNION ALL SELECT doc_id, image_type, 2, 0, 'note', {normalized("array_to_string(texts[1:8], chr(10))")}, NULL, root || ' > Visible Text', 'visible_text' FROM rooted WHERE len(texts) > 0
+        UNION ALL SELECT doc_id, image_type, 3 + i, 0, 'heading', s.h, 2, root || ' > ' || s.h, 'image_section_heading' FROM (SELECT *, unnest(sections) AS s, unnest(range(len(sections))) AS i FROM rooted) WHERE s.c <> '' AND s.h <> ''
+        UNION ALL SELECT doc_id, image_type, 3 + i, 1, s.k, s.c, NULL, CASE WHEN s.h <> '' THEN root || ' > ' || s.h ELSE root END, 'image_section' FROM (SELECT *, unnest(sections) AS s, unnest(range(len(sections))) AS i FROM rooted) WHERE s.c <> ''
+    )
+    SELECT * EXCLUDE (o, p), row_number() OVER (PARTITION BY doc_id ORDER BY o, p) - 1 AS order_index FROM every
+"""
+#: Windows fold the blocks of a unit: items are blocks here, and are not cut further.
+BLOCK_WINDOWS = """
+    WITH items AS (
+        SELECT doc_id, strategy, unit, min(order_index) AS first, list({{'out': []::STRUCT(t VARCHAR, n BIGINT, id VARCHAR)[][], 'cur': [{{'t': text, 'n': n, 'id': block_id}}], 'n': n}} ORDER BY order_index) AS xs
+        FROM ({base}) GROUP BY doc_id, strategy, unit
+    ),
+    folded AS (
+        SELECT doc_id, strategy, unit, first, list_reduce(xs, lambda s, x: CASE WHEN s.n + x.n > 220 THEN
+            {{'out': list_append(s.out, s.cur), 'cur': list_concat(list_slice(s.cur, {start}, len(s.cur)), x.cur),
+              'n': list_sum(list_transform(list_slice(s.cur, {start}, len(s.cur)), lambda y: y.n))::BIGINT + x.n}}
+            ELSE {{'out': s.out, 'cur': list_concat(s.cur, x.cur), 'n': s.n + x.n}} END) AS s FROM items
+    )
+    SELECT doc_id, strategy, unit, first, unnest(list_append(s.out, s.cur)) AS w, unnest(range(len(s.out) + 1)) AS place FROM folded
+"""
+FILED = f"""
+    SELECT *, doc_id || '-block-' || order_index AS block_id, len({words('text')}) AS n,
+           CASE strategy WHEN 'pdf_section_window' THEN 'p' || order_index // 6 || '|' || order_index // 5 WHEN 'slide_window' THEN CASE WHEN doc_id % 7 = 1 THEN (order_index // 4)::VARCHAR ELSE '' END
+                WHEN 'rst_section_window' THEN (order_index // 5)::VARCHAR WHEN 'xlsx_sheet_window' THEN (order_index % 2)::VARCHAR ELSE "group"::VARCHAR END AS unit
+    FROM (
+        SELECT *, CASE WHEN doc_id % 3 = 1 AND doc_id % 5 <> 2 THEN ['slide_window', 'generic_blocks', '', 'pdf_section_window', 'xlsx_sheet_window'][doc_id % 5 + 1]
+                       ELSE ['pdf_section_window', 'slide_window', 'rst_section_window', 'xlsx_sheet_window', 'generic_blocks', 'xlsx_sheet_window', 'slide_window'][doc_id % 7 + 1] END AS strategy
+        FROM ({BLOCKS}))
+    JOIN ({ARCHETYPES_FILED}) USING (doc_id) JOIN ({GROUPS_FILED}) USING (doc_id, order_index) WHERE trim(text, ' ') <> ''
+"""
+STRATEGY_CHUNKS = f"""
+    WITH filed AS MATERIALIZED ({FILED}),
+    kinds AS (SELECT doc_id, strategy, unit, list(DISTINCT block_type) AS kinds, any_value(archetype) AS archetype FROM filed GROUP BY ALL),
+    windows AS ({BLOCK_WINDOWS.format(base="filed", start="coalesce(list_max(list_filter(range(1, len(s.cur) + 1), lambda i: list_sum(list_transform(list_slice(s.cur, i, len(s.cur)), lambda y: y.n)) >= 40)), 1)")})
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first, place) - 1 AS chunk_index, strategy,
+           CASE strategy WHEN 'slide_window' THEN 'slide_chunk' WHEN 'xlsx_sheet_window' THEN 'row_chunk'
+                WHEN 'pdf_section_window' THEN CASE WHEN list_contains(kinds, 'figure') THEN CASE WHEN len(kinds) > 1 THEN 'figure_explainer_chunk' ELSE 'image_caption_chunk' END
+                    WHEN archetype = 'procedural' AND list_contains(kinds, 'step') THEN 'procedure_chunk' WHEN archetype = 'regulatory' THEN 'policy_clause_chunk' ELSE 'section_chunk' END
+                WHEN 'rst_section_window' THEN CASE WHEN archetype = 'procedural' AND list_contains(kinds, 'step') THEN 'procedure_chunk' WHEN archetype = 'regulatory' THEN 'policy_clause_chunk'
+                    WHEN archetype = 'reference' THEN 'reference_entry_chunk' ELSE 'section_chunk' END
+                ELSE CASE WHEN doc_id % 7 = 1 THEN 'slide_chunk' WHEN list_contains(kinds, 'figure') THEN CASE WHEN len(kinds) > 1 THEN 'figure_explainer_chunk' ELSE 'image_caption_chunk' END
+                    WHEN archetype = 'procedural' AND list_contains(kinds, 'step') THEN 'procedure_chunk' WHEN archetype = 'mixed_multimodal' AND list_contains(kinds, 'step') THEN 'mixed_context_chunk'
+                    WHEN archetype = 'regulatory' THEN 'policy_clause_chunk' WHEN archetype = 'reference' THEN 'reference_entry_chunk'
+                    WHEN list_contains(kinds, 'heading') THEN 'section_chunk' ELSE 'narrative_chunk' END END AS chunk_type,
+           array_to_string(list_transform(w, lambda x: x.id), ',') AS block_ids, array_to_string(list_transform(w, lambda x: x.t), E'\\n\\n') AS content
+    FROM windows JOIN kinds USING (doc_id, strategy, unit)
+"""
+ASKED_MODELS = """
+    SELECT o_orderkey, unnest(['a', 'b', 'c', 'd']) AS model, unnest([o_orderkey % 7 <> 0, o_orderkey % 3 <> 0, o_orderkey % 2 <> 0, o_orderkey % 5 <> 0]) AS parsed FROM orders
+"""
+GATED = f"""
+    WITH asked AS MATERIALIZED ({ASKED_MODELS}), gate AS (SELECT o_orderkey, count(*) FILTER (parsed) >= 2 AS available FROM asked GROUP BY 1),
+    answers AS MATERIALIZED (SELECT a.* FROM ({ANSWERS}) a JOIN asked m ON m.o_orderkey = a.o_orderkey AND m.model = a.model AND m.parsed JOIN gate g ON g.o_orderkey = a.o_orderkey AND available),
+    told AS (
+        SELECT *, CASE WHEN regexp_full_match(trim(value), '[-+]?\\d+(?:\\.\\d+)?') THEN trim(value)::DOUBLE END AS number,
+               array_to_string(regexp_extract_all(value, '[-+]?\\d+(?:\\.\\d+)?'), ' ') AS toks, len({words('value')}) AS n_words FROM answers
+    ),
+    issues AS (
+        SELECT o_orderkey, path, 4 - count(*) AS n_missing,
+               CASE WHEN count(number) = count(*) AND count(DISTINCT number) > 1 THEN 'numeric_mismatch' WHEN count(DISTINCT toks) > 1 THEN 'number_token_mismatch'
+                    WHEN count(DISTINCT norm) > 1 AND count(DISTINCT n_words) > 1 THEN 'word_count_mismatch' WHEN count(DISTINCT norm) > 1 THEN 'value_mismatch' END AS issue
+        FROM told GROUP BY 1, 2
+    )
+    SELECT o_orderkey, available, path, n_missing, issue FROM gate LEFT JOIN issues USING (o_orderkey) WHERE issue IS NOT NULL OR n_missing > 1 OR NOT available
+"""
+
 ORACLE: dict[str, str] = {
+    "answer_events": ANSWER_EVENTS,
+    "analytics_export_rows": f"""
+        SELECT strftime(asked_at, '%Y-%m-%dT%H:%M:%S') AS asked_at, session_id, coalesce(question_text, '') AS question_text, coalesce(question_normalized, '') AS question_normalized,
+               CASE WHEN had_image THEN 'yes' ELSE 'no' END AS had_image, top_k::VARCHAR AS top_k, CASE WHEN success THEN 'yes' ELSE 'no' END AS success, latency_ms::VARCHAR AS latency_ms,
+               coalesce(answer_model, '') AS answer_model, coalesce(top_source_path, '') AS top_source_path, coalesce(top_section_path, '') AS top_section_path,
+               retrieved_count::VARCHAR AS retrieved_count, coalesce(error_message, '') AS error_message FROM ({ANSWER_EVENTS})
+    """,
+    "image_blocks": IMAGE_BLOCKS,
+    "segment_blocks": rf"""
+        WITH every AS (
+            SELECT doc_id, doc_id || '-block-' || order_index AS block_id, block_type, order_index, text FROM ({BLOCKS}) WHERE doc_id % 2 = 0
+            UNION ALL
+            SELECT doc_id, doc_id || '-seg-' || n, CASE WHEN kind = 'paragraph' AND regexp_matches(trim(text, ' '), '{STEP_START}') THEN 'step' WHEN kind IN ('table', 'table_row', 'list_item', 'note') THEN kind
+                   WHEN kind = 'code_block' THEN 'code' WHEN kind = 'image_caption' THEN 'caption' ELSE 'paragraph' END, n, text
+            FROM (SELECT doc_id, n, CASE WHEN n % 3 = 0 THEN n || '. ' || line ELSE line END AS text,
+                         ['paragraph', 'table', 'table_row', 'json_object', 'code_block', 'image_caption', 'slide', 'list_item', 'note'][n * n % 9 + 1] AS kind
+                  FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, E'\n') AS l FROM documents WHERE doc_id % 2 = 1)))
+        )
+        SELECT *, trim(regexp_extract(trim(text, ' '), '{STEP_START}', 1), ' ') AS step_number FROM every
+    """,
+    "strategy_chunks": STRATEGY_CHUNKS,
+    "json_issues_gated": GATED,
     "vector_topk_many": """
         SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
                row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, v.vec_id) AS rank

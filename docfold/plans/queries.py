@@ -344,6 +344,27 @@ def build_chunks(spark, d):
     return made.select("doc_id", "chunk_index", "chunk_id", "chunk_type", F.array_join("block_ids", ",").alias("block_ids"), "content")
 
 
+@query
+def image_blocks(spark, d):
+    """Blocks of images from what a model told of them."""
+    made = structure.image_blocks(views.image_analyses(spark, d), "doc_id")
+    return made.withColumn("section_path", F.array_join("section_path", " > "))
+
+
+@query
+def segment_blocks(spark, d):
+    """Blocks of even documents, and segments of the others as blocks."""
+    own = views.blocks(spark, d).where(F.col("doc_id") % 2 == 0).select("doc_id", "block_id", "block_type", "order_index", "text")
+    return chunking.materialized(own, views.segments(spark, d), "doc_id")
+
+
+@query
+def strategy_chunks(spark, d):
+    """Chunks of files of all kinds, each by the strategy that its hint or kind asks for."""
+    made = formats.dispatched_chunks(views.filed_blocks(spark, d), "doc_id")
+    return made.withColumn("block_ids", F.array_join("block_ids", ","))
+
+
 def _chunk_rows(spark, d) -> DataFrame:
     return chunking.chunk_rows(views.shown_blocks(spark, d), views.shown_documents(spark, d), "doc_id")
 
@@ -518,6 +539,18 @@ def event_capture(spark, d):
     return analytics.captured(rows)
 
 
+@query
+def answer_events(spark, d):
+    """Events of answered and failed requests, with latency, best match, count and error."""
+    return analytics.answer_events(views.requests(spark, d), views.request_matches(spark, d))
+
+
+@query
+def analytics_export_rows(spark, d):
+    """All columns of the events as the export shows them, newest first."""
+    return analytics.export_rows(analytics.answer_events(views.requests(spark, d), views.request_matches(spark, d)))
+
+
 @query
 def recent_queries(spark, d):
     turns = table(spark, d, "conversations").where("role = 'user'")
@@ -553,6 +586,13 @@ def json_issues(spark, d):
     return compare.issues(views.model_leaves(spark, d), ["o_orderkey"], "model").where("issue is not null or n_missing > 0")
 
 
+@query
+def json_issues_gated(spark, d):
+    """Issues where at least two models' answers were parsed; asked models that gave nothing are missing."""
+    found = compare.gated_issues(views.model_leaves(spark, d), views.asked_models(spark, d), ["o_orderkey"], "model")
+    return found.where("issue is not null or n_missing > 1 or not available")
+
+
 @query
 def json_model_summary(spark, d):
     return compare.model_summary(views.model_leaves(spark, d), ["o_orderkey"], "model")

@@ -198,6 +198,78 @@ def stored_images(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Users' turns as requests; one fails where no answer follows, or where its text is short."""
+    turns = table(spark, d, "conversations")
+    answers = turns.where("role = 'assistant'").groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(F.max(F.length("text")).alias("answer"))
+    asked = turns.where("role = 'user'").join(answers, ["conv_id", "turn"], "left")
+    began = F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    return asked.select(
+        F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("question"), (F.col("turn") == 0).alias("had_image"),
+        F.lit(8).alias("top_k"), began.alias("asked_at"), F.timestamp_millis(F.unix_millis(began) + F.coalesce("answer", F.lit(7))).alias("finished_at"),
+        F.when(F.col("answer") > 0, F.concat(F.lit("m"), (F.col("answer") % 3).cast("string"))).alias("answer_model"),
+        F.array(F.when(F.length("text") < 30, "the question is too short"), F.when(F.col("answer").isNull(), "no answer")).alias("failures"),
+    )
+
+
+def request_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three documents that each request found: those that its numbers lead to."""
+    asked = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_path"), F.col("lang").alias("section_path"))
+    led = asked.withColumn("doc_id", F.col("conv_id") * 11 + F.col("turn") * 5 + F.col("rank") * 400)
+    return led.join(docs, "doc_id").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), "rank", "source_path", "section_path")
+
+
+def image_analyses(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as what a model told of an image: titles, texts and sections made of their lines."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("l"))
+    line = lambda i: F.get("l", F.lit(i))
+    kinds = ["table", "Note", "odd", "code", "quote", "list_item", "warning"]
+    sections = F.array(*[
+        F.struct(F.when((F.col("doc_id") + i) % 3 > 0, F.left(line(i), F.lit(20))).alias("heading"), line(i + 1).alias("content"), F.lit(k).alias("block_type")) for i, k in enumerate(kinds)
+    ])
+    title = F.when(F.col("doc_id") % 4 == 0, F.col("source")).when(F.col("doc_id") % 4 == 1, F.left(line(0), F.lit(30)))
+    told = F.to_json(F.struct(
+        title.alias("title"), F.when(F.col("doc_id") % 5 > 1, line(1)).alias("summary"), F.when(F.col("doc_id") % 2 == 0, F.slice("l", 1, 10)).alias("visible_text"), sections.alias("sections"),
+        F.when(F.col("doc_id") % 6 == 0, "chart").alias("image_type"),
+    ))
+    return docs.select("doc_id", F.col("source").alias("document_title"), F.concat("source", F.lit(".png")).alias("file_name"), F.when(F.col("doc_id") % 7 == 6, F.lit("{broken")).otherwise(told).alias("analysis"))
+
+
+def filed_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks as those of files of several kinds, some with a hint."""
+    n = F.col("order_index")
+    kinds = F.array(*[F.lit(k) for k in ("pdf", "pptx", "rst", "xlsx", "md", "xls", "ppt")])
+    hints = F.array(*[F.lit(k) for k in ("slide_window", "generic_blocks", "unknown", "pdf_section_window", "xlsx_sheet_window")])
+    return blocks(spark, d).withColumns({
+        "file_type": F.get(kinds, (F.col("doc_id") % 7).cast("int")),
+        "preferred_strategy": F.when(F.col("doc_id") % 3 == 1, F.get(hints, (F.col("doc_id") % 5).cast("int"))),
+        "page_number": (F.floor(n / 6) + 1).cast("int"),
+        "slide_number": F.when(F.col("doc_id") % 7 == 1, F.floor(n / 4).cast("int")),
+        "sheet_name": F.concat(F.lit("s"), (n % 2).cast("string")),
+        "section_path": F.array("document_title", F.concat(F.lit("part "), F.floor(n / 5).cast("string"))),
+    })
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as segments of several kinds."""
+    kinds = F.array(*[F.lit(k) for k in ("paragraph", "table", "table_row", "json_object", "code_block", "image_caption", "slide", "list_item", "note")])
+    n = F.col("segment_index")
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("segment_index", "line"))
+    return rows.select(
+        "doc_id", F.concat_ws("-seg-", F.col("doc_id").cast("string"), n.cast("string")).alias("segment_id"), n.alias("segment_index"), F.get(kinds, (n * n % 9).cast("int")).alias("segment_type"),
+        F.when(n % 3 == 0, F.concat(n.cast("string"), F.lit(". "), F.col("line"))).otherwise(F.col("line")).alias("text"),
+    )
+
+
+def asked_models(spark: SparkSession, d: str) -> DataFrame:
+    """The models that were asked about each order, and whether their answers were parsed; the
+    fourth one's were, but for some, and were empty."""
+    k = F.col("o_orderkey")
+    models = F.array(*[F.struct(F.lit(m).alias("model"), ok.alias("parsed")) for m, ok in (("a", k % 7 != 0), ("b", k % 3 != 0), ("c", k % 2 != 0), ("d", k % 5 != 0))])
+    return table(spark, d, "orders").select("o_orderkey", F.explode(models).alias("m")).select("o_orderkey", "m.*")
+
+
 def model_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Orders as what three models read of each order: (o_orderkey, path, model, value).
 
