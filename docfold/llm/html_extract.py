@@ -6,10 +6,14 @@ footers, sidebars, adverts, forms and comments, and blocks made of links, are ba
 with many stop words, and blocks of an article that are not short, are good; short ones stay
 open. In the second pass an open block takes the label of its nearest decided neighbour.
 
-Density goes before names: where a form, or an element that only its class or id speaks
-against, has PARDON times the stop words of all that was kept without it, its blocks are
-judged by density as if it were a plain element. Where a page has hardly any known stop word
-(they are of English, Spanish, French and German), long blocks with few links are good.
+Structure and density go before names: where a form, or an element that only its class or id
+speaks against, is built like an article (a heading and several paragraphs, or an article element
+inside) and has PARDON times the stop words of all that was kept without it, its blocks are judged by
+density as if it were a plain element. Notices, adverts and what asks for consent or addresses
+are not pardoned so, whatever their size. Where a page would be empty, its fullest element that
+is built like an article counts, whatever its name, notices last; readers' comments never do.
+Where a page has hardly any known stop word (they are of English, Spanish, French and German),
+long blocks with few links are good.
 
 Defined results: a null or empty page, and one without any good block, has an empty text;
 unclosed or misnested elements end where their surroundings end; repeated rows each get a
@@ -34,8 +38,9 @@ from . import common
 SHORT, LONG = 60, 200
 #: Shares of characters in links, and of words that are stop words.
 LINKS, STOPS_LOW, STOPS_HIGH = 0.4, 0.12, 0.25
-#: Stop words of a bad element, as a multiple of those kept outside, from which its name does not count.
-PARDON = 5
+#: Stop words of a bad element that is built like an article, as a multiple of those kept outside, from
+#: which its name does not count; and paragraphs of at least SHORT characters that make such a build.
+PARDON, PARAGRAPHS = 5, 2
 #: Share of stop words below which a page's language counts as unknown.
 KNOWN = 0.03
 
@@ -53,15 +58,22 @@ GOOD_ELEMENTS = frozenset("article main".split())
 BAD_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 BAD_NAMES = frozenset(
     "ad ads adv advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disclaimer disqus footer form gdpr hidden login masthead menu menus modal nav navbar navigation "
-    "newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related "
-    "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar "
-    "topbar trending warning widget widgets".split()
+    "cookies copyright discussion disclaimer disqus footer form gdpr guestbook hidden login masthead menu menus modal nav navbar "
+    "navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion ratings "
+    "recommended related replies reply respond reviews search share sharing sidebar signup skip social sponsor sponsored "
+    "subscribe tags testimonials toc toolbar topbar trending warning widget widgets".split()
 )
 BAD_BEGINNINGS = tuple("adsby advert breadcrumb comment cookie newsletter pagination promo recommend sidebar sponsor subscri".split())
 ABOUT_OTHERS = frozenset("free has no with without".split())
-#: Names of what readers write and of lists of other pages: these never are the article.
-NEVER = frozenset("breadcrumb breadcrumbs comment comments disqus recommended related replies reply respond trending".split())
+#: Names of what readers write, which never is the article.
+READERS = frozenset("comment comments discussion disqus guestbook ratings replies reply respond reviews testimonials".split())
+#: Names of lists of other pages, and of notices, adverts and requests: these are it only where nothing else is.
+LISTS = frozenset("breadcrumb breadcrumbs recommended related trending".split())
+NOTICES = frozenset(
+    "ad ads adv advert advertisement adverts alert banner consent cookie cookies disclaimer gdpr login modal newsletter notice notices "
+    "notification overlay popup promo promoted promotion signup sponsor sponsored subscribe warning".split()
+)
+NOTICE_BEGINNINGS = tuple("adsby advert cookie newsletter promo sponsor subscri".split())
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can could do for from had has have he her his if in into is "
@@ -115,27 +127,39 @@ class Block:
         return self.linked <= LINKS * len(self.text)
 
 
+NAMED, LISTED, NOTICE, READER = "named", "listed", "notice", "reader"
+
+
 @dataclass
 class Bad:
     """An element that holds no article by its name."""
 
     above: int  # the next bad element around it, or -1
-    by_name: bool  # whether it may be pardoned
+    kind: str  # NAMED may be pardoned; LISTED and NOTICE on an empty page alone; READER never
+    article: bool = False  # an article element is inside
     stops: int = 0
+    size: int = 0
+    paragraphs: int = 0
+    long: int = 0
+    headings: int = 0
     pardoned: bool = False
 
+    @property
+    def built(self) -> bool:
+        return self.article or (self.headings > 0 and self.paragraphs >= PARAGRAPHS)
+
 
 def hint_of(name: str, attributes: str, above: int) -> tuple[int, str]:
     """What an element says of its contents, given what its surroundings say: 1 for an article,
-    0 for neither; and ``never`` or ``named`` if it holds no article, the latter if that may be wrong."""
+    0 for neither; and the kind of bad element that it is, or nothing."""
     if name in BAD_ELEMENTS or (name == "header" and above <= 0):
-        return above, "named" if name in ("form", "fieldset") else "never"
+        return above, NAMED if name in ("form", "fieldset") else LISTED
     named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
     role = named.get("role", "").lower()
     style = named.get("style", "").replace(" ", "").lower()
     bare = ATTRIBUTE.sub("", attributes).lower().split() if attributes else []
     if role in BAD_ROLES or "display:none" in style or "hidden" in bare or named.get("aria-hidden") == "true":
-        return above, "never"
+        return above, READER if "display:none" in style or "hidden" in bare or named.get("aria-hidden") == "true" else LISTED
     bad = ""
     good = name in GOOD_ELEMENTS or role in ("main", "article")
     if name not in ("html", "body"):
@@ -143,7 +167,9 @@ def hint_of(name: str, attributes: str, above: int) -> tuple[int, str]:
         named_bad = parts & BAD_NAMES or any(p.startswith(BAD_BEGINNINGS) for p in parts)
         # Names like has-sidebar or no-comments tell of something else than the element itself.
         if (named_bad and not parts & ABOUT_OTHERS) or ("header" in parts and above <= 0 and name != "article"):
-            bad = "never" if parts & NEVER or any(p.startswith("comment") for p in parts) else "named"
+            notice = parts & NOTICES or any(p.startswith(NOTICE_BEGINNINGS) for p in parts)
+            reader = parts & READERS or any(p.startswith("comment") for p in parts)
+            bad = READER if reader else NOTICE if notice else LISTED if parts & LISTS else NAMED
         good = good or bool(parts & GOOD_NAMES)
     return 1 if good else above, bad
 
@@ -209,8 +235,10 @@ def blocks_of(page: str) -> tuple[list[Block], list[Bad]]:
             _, hint, bad = stack[-1] if stack else ("", 0, -1)
             hint, judged = hint_of(name, m[4], hint)
             if judged:
-                bads.append(Bad(bad, judged == "named"))
+                bads.append(Bad(bad, judged))
                 bad = len(bads) - 1
+            elif bad >= 0 and name in GOOD_ELEMENTS:
+                bads[bad].article = True
             stack.append((name, hint, bad))
         if name in BLOCK:
             close()
@@ -277,24 +305,61 @@ def decided_beside(labels: list[bool | None]) -> list[tuple[int | None, int | No
     return list(zip(before, reversed(after), strict=True))
 
 
-def pardon(blocks: list[Block], bads: list[Bad], kept: list[bool]) -> bool:
-    """Pardon the bad elements that hold far more stop words than what is kept without them, outer
-    ones first; whether there are any."""
+def weigh(blocks: list[Block], bads: list[Bad]) -> None:
+    """Sum up in each bad element what its own blocks are, and those of named elements inside."""
     for b in blocks:
         if b.bad >= 0 and b.prose:
-            bads[b.bad].stops += b.stops
+            bad = bads[b.bad]
+            bad.stops += b.stops
+            bad.size += len(b.text)
+            bad.headings += b.heading
+            bad.paragraphs += not b.heading and len(b.text) >= SHORT
+            bad.long += len(b.text) >= LONG
     for bad in reversed(bads):
-        if bad.by_name and bad.above >= 0:
-            bads[bad.above].stops += bad.stops
+        if bad.kind == NAMED and bad.above >= 0:
+            above = bads[bad.above]
+            above.stops += bad.stops
+            above.size += bad.size
+            above.headings += bad.headings
+            above.paragraphs += bad.paragraphs
+            above.long += bad.long
+            above.article |= bad.article
+
+
+def pardon(blocks: list[Block], bads: list[Bad], kept: list[bool]) -> bool:
+    """Pardon the named elements that are built like an article and hold far more stop words than what
+    is kept without them, outer ones first; whether there are any."""
     without = sum(b.stops for b, good in zip(blocks, kept, strict=True) if good)
     beside: list[int] = []  # stop words kept if all elements around one are pardoned, but not itself
     for bad in bads:
         above = bads[bad.above] if bad.above >= 0 else None
         beside.append(beside[bad.above] + above.stops - bad.stops if above else without)
-        bad.pardoned = bad.by_name and bad.stops > PARDON * beside[-1] and (above is None or above.pardoned)
+        bad.pardoned = bad.kind == NAMED and bad.built and bad.stops > PARDON * beside[-1] and (above is None or above.pardoned)
     return any(bad.pardoned for bad in bads)
 
 
+def last_resort(bads: list[Bad]) -> bool:
+    """On a page without good blocks, pardon its fullest element that is built like an article, or
+    that has several paragraphs, or of a named one a long one; whether there is any.
+
+    Named elements inside it are pardoned where they hold nearly all of it.
+    """
+
+    def fits(bad: Bad) -> bool:
+        some = bad.kind != NOTICE and bad.paragraphs >= PARAGRAPHS
+        return bad.kind != READER and (bad.built or some or (bad.kind == NAMED and bad.long > 0))
+
+    fit = [bad for bad in bads if fits(bad)]
+    if not fit:
+        return False
+    chosen = max(fit, key=lambda bad: (bad.kind != NOTICE, bad.built, bad.size))
+    for bad in bads:
+        above = bads[bad.above] if bad.above >= 0 else None
+        nearly = above is not None and above.pardoned and bad.kind == NAMED and bad.size > PARDON * (above.size - bad.size)
+        bad.pardoned = bad is chosen or nearly
+    return True
+
+
 def judged(blocks: list[Block], bads: list[Bad], known: bool) -> list[bool]:
     hints = [-1 if b.bad >= 0 and not bads[b.bad].pardoned else b.hint for b in blocks]
     return second_pass(blocks, hints, [first_pass(b, hint, known) for b, hint in zip(blocks, hints, strict=True)])
@@ -307,8 +372,11 @@ def extract(page: str | None) -> str:
     blocks, bads = blocks_of(page)
     known = sum(b.stops for b in blocks) >= KNOWN * sum(b.words for b in blocks)
     kept = judged(blocks, bads, known)
+    weigh(blocks, bads)
     if pardon(blocks, bads, kept):
         kept = judged(blocks, bads, known)
+    if not any(kept) and last_resort(bads):
+        kept = judged(blocks, bads, known)
     return "\n\n".join(b.text for b, good in zip(blocks, kept, strict=True) if good)
 
 

@@ -1,8 +1,9 @@
 """Operator 9: language identification by interpolated Kneser-Ney character models.
 
 Each language has a character model of order ORDER over words with their borders, smoothed
-by interpolated Kneser-Ney. N-grams are 64-bit hashes in sorted arrays, one array an order,
-with a column for each language. A text takes the language of the lowest cross-entropy per
+by interpolated Kneser-Ney. N-grams are 64-bit hashes in sorted arrays, one array an order; each
+n-gram has an entry for every language that knows it, so that memory follows the sample and not
+the number of languages. A text takes the language of the lowest cross-entropy per
 character. Calibration texts, held out of the counts, set the temperature that turns entropy
 differences into a probability, and the entropy beyond which a text is rejected; a language with
 too few texts to hold any out has the largest limit of the others.
@@ -13,15 +14,17 @@ tasks score what calibrates: the driver holds hashes of ids, the sorted arrays,
 The models are fitted on a bounded sample: at most ``per_language`` labelled texts of each
 language and about ``max_chars`` characters of all languages, of which each gets its part;
 they are chosen by a hash of id and text, whatever the order of the rows. Every label is
-learned; more than ``max_languages`` of them are an error. Every text is scored whole.
+learned, from one text at least. Every text is scored whole, long ones in stretches.
 
 Defined results: a null text or one without any letter is ``und``, with score 0, and counts
-as rejected; so does every text if nothing is labelled. Equal entropies go to the language
-that sorts first. Repeated rows each get a result. Other columns are kept and not read.
+as rejected. If nothing is labelled all texts are ``und``, but none with a letter is rejected, as
+no model speaks against it. Equal entropies go to the language that sorts first. Repeated rows
+each get a result; an empty table gives none. Other columns are kept and not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import ScoredWords, sum_by_text
+from .words import KEPT_WORDS, ScoredWords, sum_by_text
 
 ORDER = 4
 #: Labelled texts of each language in the sample at most, and characters of all of them, about.
 PER_LANGUAGE, SAMPLE_CHARS = 1000, 24_000_000
-#: Languages that can be learned; more are an error.
-LANGUAGES = 64
+#: Scores that are worked out at once, and characters of a text that are looked up at once.
+CELLS, STRETCH = 4_000_000, 1 << 20
 #: Of the sampled texts of a language, one in so many calibrates.
 CALIBRATION = 5
 UNKNOWN = "und"
@@ -46,6 +49,7 @@ FLOOR = 1e-6
 #: A text is rejected beyond the calibration texts' highest entropy by this many nats a character.
 MARGIN = 1.0
 
+SPACE = re.compile(r"\s+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,16 +97,34 @@ def contexts(words: list[str], order: int) -> list[np.ndarray]:
     return hashed
 
 
+@dataclass
+class Sparse:
+    """Sorted keys, each with entries (language, value): those of key i begin at ``starts[i]``."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    languages: np.ndarray
+    values: np.ndarray
+
+    def rows(self, wanted: np.ndarray, width: int, absent: float) -> np.ndarray:
+        """A row of all languages' values for each wanted key, ``absent`` where there is no entry."""
+        out = np.full((len(wanted), width), absent)
+        at, found = lookup(self.keys, wanted)
+        hit = np.flatnonzero(found)
+        first, n = self.starts[at[hit]], self.starts[at[hit] + 1] - self.starts[at[hit]]
+        entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(hit, n), self.languages[entry]] = self.values[entry]
+        return out
+
+
 @dataclass
 class Models:
-    """Sorted hash arrays of all languages: by order the n-grams with their smoothed
-    probabilities, and by order the histories with their back-off weights."""
+    """By order the n-grams with their smoothed probabilities, and by order the histories with
+    their back-off weights."""
 
     languages: list[str]
-    keys: list[np.ndarray]
-    probabilities: list[np.ndarray]
-    histories: list[np.ndarray]
-    weights: list[np.ndarray]
+    probabilities: list[Sparse]
+    weights: list[Sparse]
     temperature: float = 1.0
     limits: np.ndarray | None = None
 
@@ -110,24 +132,25 @@ class Models:
         """For each word its nats in every language, and the number of its letters."""
         plain = [letters_of(w) for w in words]
         out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        out[:, -1] = [len(w) for w in plain]
-        some = np.flatnonzero(out[:, -1])
-        if len(some) and self.languages:
-            out[some, :-1] = self._nats([plain[i] for i in some])
+        out[:, -1] = lengths = np.fromiter(map(len, plain), np.int64, len(plain))
+        some = np.flatnonzero(lengths)
+        if self.languages and len(some):
+            part = np.cumsum((lengths[some] + ORDER) * len(self.languages)) // CELLS
+            for own in np.split(some, np.flatnonzero(np.diff(part)) + 1):
+                out[own, :-1] = self._nats([plain[i] for i in own])
         return out
 
     def _nats(self, words: list[str]) -> np.ndarray:
         hashed, owner, _ = grams(words, ORDER)
         before = contexts(words, ORDER)
-        p = np.full((len(owner), len(self.languages)), FLOOR)
+        width = len(self.languages)
+        p = np.full((len(owner), width), FLOOR)
         for k in range(ORDER):
             if k:
-                at, found = lookup(self.histories[k - 1], before[k - 1])
-                p = p * np.where(found[:, None], self.weights[k - 1][at], 1.0)
-            at, found = lookup(self.keys[k], hashed[k])
-            p = np.where(found[:, None], p + self.probabilities[k][at], p)
+                p *= self.weights[k - 1].rows(before[k - 1], width, 1.0)
+            p += self.probabilities[k].rows(hashed[k], width, 0.0)
         nats = -np.log(p)
-        return np.stack([np.bincount(owner, nats[:, j], len(words)) for j in range(nats.shape[1])], 1)
+        return np.stack([np.bincount(owner, nats[:, j], len(words)) for j in range(width)], 1)
 
 
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +193,13 @@ def _one_language(words: list[str], often: np.ndarray) -> tuple[list, list]:
     return shares, backs
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]], absent: float) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.unique(np.concatenate([k for k, _ in parts]))
-    table = np.full((len(keys), len(parts)), absent)
-    for j, (k, v) in enumerate(parts):
-        table[np.searchsorted(keys, k), j] = v
-    return keys, table
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
+    """The (keys, values) of each language in turn as one table."""
+    every = np.concatenate([k for k, _ in parts])
+    language = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+    order = np.argsort(every, kind="stable")
+    keys, starts = np.unique(every[order], return_index=True)
+    return Sparse(keys, np.append(starts, len(every)), language[order], np.concatenate([v for _, v in parts])[order])
 
 
 def word_counts(texts: Iterable[str]) -> dict[str, int]:
@@ -191,15 +215,10 @@ def assembled(parts: dict[str, tuple[list, list]]) -> Models:
     """Models of what ``_one_language`` gave for each language, not calibrated yet."""
     languages = sorted(parts)
     if not languages:
-        return Models([], [], [], [], [])
-    keys, probabilities, histories, weights = [], [], [], []
-    for k in range(ORDER):
-        a, b = _merged([parts[language][0][k] for language in languages], 0.0)
-        keys.append(a), probabilities.append(b)
-        if k:
-            a, b = _merged([parts[language][1][k - 1] for language in languages], 1.0)
-            histories.append(a), weights.append(b)
-    return Models(languages, keys, probabilities, histories, weights, limits=np.full(len(languages), np.inf))
+        return Models([], [], [])
+    probabilities = [_merged([parts[x][0][k] for x in languages]) for k in range(ORDER)]
+    weights = [_merged([parts[x][1][k] for x in languages]) for k in range(ORDER - 1)]
+    return Models(languages, probabilities, weights, limits=np.full(len(languages), np.inf))
 
 
 def calibrate(models: Models, entropy: np.ndarray, truth: np.ndarray) -> None:
@@ -224,14 +243,31 @@ def fit_models(texts: list[tuple[str, str]]) -> Models:
     return assembled({x: _one_language(list(c), np.array(list(c.values()), float)) for x, c in counts.items() if c})
 
 
-def _entropies(words: ScoredWords, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Nats a character (each word's end counts as one) in each language, and letters, by text."""
-    numbers, lengths = words.look_up(texts)
-    if words.rows is None:
-        return np.zeros((len(texts), 0)), np.zeros(len(texts))
-    rows = words.rows[numbers]
-    ends = sum_by_text((rows[:, -1:] > 0).astype(float), lengths)[:, 0]
-    sums = sum_by_text(rows, lengths)
+def _stretches(text: str) -> Iterator[str]:
+    """A text, or if it is long stretches of it that end at white space, so that no word is cut."""
+    start = 0
+    while len(text) - start > STRETCH:
+        border = SPACE.search(text, start + STRETCH)
+        if border is None:
+            break
+        yield text[start : border.start()]
+        start = border.end()
+    yield text[start:]
+
+
+def _entropies(words: ScoredWords, texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nats a character (each word's end counts as one) in each of ``width`` languages, and letters, by text."""
+    sums, ends = np.zeros((len(texts), width + 1)), np.zeros(len(texts))
+    parts = [(i, part) for i, text in enumerate(texts) if text for part in _stretches(text)]
+    # As many stretches at once as keep the scores of their words within bounds.
+    group = np.cumsum([(len(part) // 4 + 1) * (width + 1) for _, part in parts]) // (2 * CELLS)
+    for own in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(group)) + 1):
+        numbers, lengths = words.look_up([parts[k][1] for k in own])
+        if words.rows is None:
+            continue
+        rows, at = words.rows[numbers], [parts[k][0] for k in own]
+        np.add.at(sums, at, sum_by_text(rows, lengths))
+        np.add.at(ends, at, sum_by_text((rows[:, -1:] > 0).astype(float), lengths)[:, 0])
     return sums[:, :-1] / np.maximum(1, sums[:, -1] + ends)[:, None], sums[:, -1]
 
 
@@ -246,18 +282,17 @@ def labelled(docs: DataFrame, learn: Column | None, text_col: str, lang_col: str
     return rows.where("w and label is not null and text is not null").select("label", F.xxhash64("i", "text").alias("h"), "text")
 
 
-def sample(
-    docs: DataFrame, learn: Column | None, text_col: str, lang_col: str, id_col: str, per_language: int, max_chars: int = SAMPLE_CHARS, max_languages: int = LANGUAGES
-) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, learn: Column | None, text_col: str, lang_col: str, id_col: str, per_language: int, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """(label, h) of at most ``per_language`` labelled texts of each language; see ``fit``."""
     rows = labelled(docs, learn, text_col, lang_col, id_col)
-    sizes = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()
-    if len(sizes) > max_languages:
-        raise ValueError(f"more than max_languages = {max_languages} languages are labelled")
-    chosen = F.lit(False)
-    for row in sizes:
-        chosen = chosen | ((F.col("label") == row["label"]) & common.hashed_share(F.col("h"), common.share_for(per_language, row["n"])))
-    return common.pick(rows.where(chosen), {row["label"]: per_language for row in sizes}, max_chars)
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not sizes:
+        return []
+    top = 1 << 30
+    shares = [(row["label"], int(min(1.0, common.share_for(per_language, row["n"])) * top)) for row in sizes]
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(shares, f"label {rows.schema['label'].dataType.simpleString()}, below long"))
+    chosen = rows.join(wanted, "label").where(F.pmod(F.xxhash64("h", F.lit(0)), F.lit(top)) < F.col("below")).drop("below")
+    return common.pick(chosen, {row["label"]: per_language for row in sizes}, max_chars)
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -305,16 +340,14 @@ def fit(
     id_col: str = "doc_id",
     per_language: int = PER_LANGUAGE,
     max_chars: int = SAMPLE_CHARS,
-    max_languages: int = LANGUAGES,
 ) -> Models:
     """Models of the rows where ``learn`` holds and the language is not null.
 
     They learn from at most ``per_language`` texts of each language and about ``max_chars``
-    characters of all, which the languages share as ``common.within`` says. More labels than
-    ``max_languages`` are an error, as the models have a column for each.
+    characters of all, which the languages share as ``common.within`` says.
     """
     common.small_batches(docs.sparkSession)
-    picked = sample(docs, learn, text_col, lang_col, id_col, per_language, max_chars, max_languages)
+    picked = sample(docs, learn, text_col, lang_col, id_col, per_language, max_chars)
     if not picked:
         return assembled({})
     texts = common.picked_rows(labelled(docs, learn, text_col, lang_col, id_col), picked, CALIBRATION)
@@ -329,14 +362,20 @@ def fit(
     return models
 
 
+def _kept_words(shared: common.Shared) -> ScoredWords:
+    """The worker's table of scored words; the more languages, the fewer words it keeps."""
+    width = len(shared.value.languages)
+    return common.lasting("language", shared.id, lambda: ScoredWords(shared.value.word_scores, max(4096, 16 * KEPT_WORDS // max(16, width))))
+
+
 def _entropy_column(text: Column, shared: common.Shared) -> Column:
     """A text's entropies in the languages' order, and its number of letters."""
 
     @F.arrow_udf("array<double>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = common.lasting("language", shared.id, lambda: ScoredWords(shared.value.word_scores))
+        words, width = _kept_words(shared), len(shared.value.languages)
         for batch in common.freed(batches):
-            entropy, letters = _entropies(words, batch.to_pylist())
+            entropy, letters = _entropies(words, batch.to_pylist(), width)
             yield pa.array(list(np.column_stack([entropy, letters])), pa.list_(pa.float64()))
 
     return measure(text)
@@ -354,12 +393,12 @@ def predict(docs: DataFrame, models: Models, text_col: str = "text", out_col: st
     @F.arrow_udf("lang_pred string, score double, entropy double, rejected boolean")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        words = common.lasting("language", shared.id, lambda: ScoredWords(m.word_scores))
+        words = _kept_words(shared)
         for batch in common.freed(batches):
-            entropy, letters = _entropies(words, batch.to_pylist())
+            entropy, letters = _entropies(words, batch.to_pylist(), len(m.languages))
             n = len(batch)
-            if entropy.shape[1] == 0:
-                names, score, least, bad = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
+            if not m.languages:
+                names, score, least, bad = [UNKNOWN] * n, np.zeros(n), np.zeros(n), letters == 0
             else:
                 best = entropy.argmin(1)
                 some = letters > 0

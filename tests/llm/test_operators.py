@@ -477,6 +477,39 @@ def test_links_whose_signatures_differ_in_many_places(spark):
     assert sum(kept for _, _, kept in got.values()) == len(found)
 
 
+LINE = "This is the story of the town and of the people who were there for a long time, as it was told by them all."
+MORE = "And so it was that they came to the river, where the boats were, and all of them went on to the other side of it."
+NOTICE = "We and our partners use what is on your device so that we can show you what you like, and you can change it all at any time."
+
+
+@pytest.mark.parametrize("name", ["newsletter", "cookie-consent", "gdpr popup", "advert", "subscribe-box"])
+def test_long_notices_beside_a_short_article_go(name):
+    page = f"<body><article><h1>Town</h1><p>{LINE}</p></article><div class='{name}'><h2>Your choice</h2>" + f"<p>{NOTICE}</p>" * 20 + "</div></body>"
+    assert html_extract.extract(page) == f"Town\n\n{LINE}"
+
+
+@pytest.mark.parametrize("name", ["reviews", "customer-reviews", "comments", "testimonials"])
+def test_what_readers_write_goes(name):
+    page = f"<body><div class=post><h1>Town</h1><p>{LINE}</p><p>{MORE}</p></div><section class='{name}'><h2>What readers say</h2>" + f"<p>{LINE}</p>" * 9 + "</section></body>"
+    assert html_extract.extract(page) == f"Town\n\n{LINE}\n\n{MORE}"
+    alone = f"<body><section class='{name}'><h2>What readers say</h2>" + f"<p>{LINE}</p>" * 9 + "</section></body>"
+    assert html_extract.extract(alone) == ""
+
+
+@pytest.mark.parametrize(("opening", "closing"), [("<aside>", "</aside>"), ("<div class=related>", "</div>"), ("<aside><article>", "</article></aside>"), ("<div class='share promo'>", "</div>"), ("<footer>", "</footer>")])
+def test_an_article_in_an_odd_place_stays(opening, closing):
+    page = f"<body><nav><a href=a>Home</a> <a href=b>News</a></nav>{opening}<h1>Town</h1><p>{LINE}</p><p>{MORE}</p>{closing}<div class=comments><p>{LINE}</p></div></body>"
+    assert html_extract.extract(page) == f"Town\n\n{LINE}\n\n{MORE}"
+    # Beside an article it is what its name says.
+    both = page.replace("<nav>", f"<article><h1>River</h1><p>{MORE}</p><p>{LINE}</p></article><nav>")
+    assert html_extract.extract(both) == f"River\n\n{MORE}\n\n{LINE}"
+
+
+def test_pages_without_an_article_are_empty():
+    assert html_extract.extract(f"<body><nav><a href=a>Home</a></nav><div class=cookie><p>{NOTICE}</p></div><footer><p>{LINE}</p></footer></body>") == ""
+    assert html_extract.extract(f"<body><div style='display: none'><h1>Town</h1><p>{LINE}</p><p>{MORE}</p></div></body>") == ""
+
+
 # -- 9 languages --------------------------------------------------------------------------
 
 SPEECH = {
@@ -517,11 +550,24 @@ def test_languages_of_later_rows_are_learned_beside_long_texts(spark):
     assert language_id.sample(docs, None, "text", "lang", "doc_id", 30) == language_id.sample(docs.orderBy(F.desc("doc_id")), None, "text", "lang", "doc_id", 30)
 
 
-def test_every_label_is_learned_or_refused(spark):
-    docs = table(spark, [(i, " ".join(SPEECH["en"]), f"l{i:02}") for i in range(65)])
-    with pytest.raises(ValueError, match="max_languages"):
-        language_id.fit(docs)
-    assert len(language_id.fit(docs, max_languages=65).languages) == 65
+def test_every_label_is_learned(spark):
+    word = lambda i, k: "".join(chr(0x4E00 + 40 * i + (k * m) % 40) for m in (1, 3, 7))
+    rows = [(j, " ".join(word(j % 70, k) for k in range(1 + j // 70, 12)), f"l{j % 70:02}") for j in range(210)]
+    docs = table(spark, rows)
+    models = language_id.fit(docs)
+    assert models.languages == [f"l{i:02}" for i in range(70)]
+    got = language_id.predict(docs, models).collect()
+    assert sum(r["language"]["lang_pred"] == r["lang"] for r in got) > 200
+
+
+def test_long_texts_are_scored_in_stretches(monkeypatch):
+    models = language_id.fit_models([(" ".join(SPEECH[x] * 3), x) for x in SPEECH])
+    texts = ["the of " * 3000, None, " ".join(SPEECH["de"] * 200), "x" * 5000, ""]
+    whole = language_id._entropies(language_id.ScoredWords(models.word_scores), texts, 3)
+    monkeypatch.setattr(language_id, "STRETCH", 100)
+    monkeypatch.setattr(language_id, "CELLS", 500)
+    parts = language_id._entropies(language_id.ScoredWords(models.word_scores), texts, 3)
+    assert all(np.allclose(x, y) for x, y in zip(whole, parts, strict=True))
 
 
 def test_samples_share_the_characters():
@@ -533,7 +579,48 @@ def test_samples_share_the_characters():
 
 def test_languages_without_labels(docs, none):
     models = language_id.fit(none)
-    assert {r["language"]["lang_pred"] for r in language_id.predict(docs, models).collect()} == {"und"}
+    got = {(r["text"] or "").strip()[:4]: r["language"] for r in language_id.predict(docs, models).collect()}
+    assert {x["lang_pred"] for x in got.values()} == {"und"}
+    # Nothing speaks against a text but that it has no letter.
+    assert {t for t, x in got.items() if x["rejected"]} == {"", "1234"}
+
+
+def brute_kneser_ney(text, word):
+    """Nats of a word under an interpolated Kneser-Ney model of ORDER characters, by counting."""
+    n = language_id.ORDER
+    padded = lambda w: "\x02" * (n - 1) + w + "\x03"
+    ends = lambda w: range(n - 1, len(padded(w)))
+    seen = [(padded(w), i) for w in text.split() for i in ends(w)]
+    counts = [{} for _ in range(n)]
+    for w, i in seen:
+        counts[n - 1][w[i - n + 1 : i + 1]] = counts[n - 1].get(w[i - n + 1 : i + 1], 0) + 1
+    for k in range(n - 1):  # of shorter ones, the characters that precede them
+        for gram in {w[i - k - 1 : i + 1] for w, i in seen}:
+            counts[k][gram[1:]] = counts[k].get(gram[1:], 0) + 1
+    nats = 0.0
+    for i in ends(word):
+        p = language_id.FLOOR
+        for k in range(n):
+            ones, twos = (sum(c == x for c in counts[k].values()) for x in (1, 2))
+            d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            gram = padded(word)[i - k : i + 1]
+            after = [c for g, c in counts[k].items() if g[:-1] == gram[:-1]]
+            if k and after:
+                p *= d * len(after) / sum(after)
+            if gram in counts[k]:
+                p += (counts[k][gram] - (d if k else 0)) / sum(after)
+        nats -= np.log(p)
+    return nats
+
+
+def test_smoothing_equals_counting():
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice(SPEECH["en"]) for _ in range(150))
+    models = language_id.fit_models([(text, "en"), (" ".join(SPEECH["fr"]), "fr")])
+    words = ["the", "there", "xylo", "on", "a", "fromage"]
+    got = models._nats(words)
+    assert got[:, 0] == pytest.approx([brute_kneser_ney(text, w) for w in words], rel=1e-9)
+    assert got[:, 1] == pytest.approx([brute_kneser_ney(" ".join(SPEECH["fr"]), w) for w in words], rel=1e-9)
 
 
 def test_smoothed_probabilities_sum_to_one():
@@ -557,10 +644,8 @@ def test_smoothed_probabilities_sum_to_one():
         p = language_id.FLOOR
         for k in range(language_id.ORDER):
             if k:
-                i, found = language_id.lookup(models.histories[k - 1], b[k - 1][2:3])
-                p = p * (models.weights[k - 1][i[0], 0] if found[0] else 1.0)
-            i, found = language_id.lookup(models.keys[k], h[k][2:3])
-            p = p + (models.probabilities[k][i[0], 0] if found[0] else 0.0)
+                p = p * models.weights[k - 1].rows(b[k - 1][2:3], 1, 1.0)[0, 0]
+            p = p + models.probabilities[k].rows(h[k][2:3], 1, 0.0)[0, 0]
         total += p
     assert total == pytest.approx(1.0, abs=1e-3)
 
