@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. The
 stages before the last return the columns of ``documents``. ``run`` writes each result as
 Parquet in the shared checkpoint folder and reads it back as the next stage's input.
+
+Defined results: texts that are null or have no letter are rejected by the first stage. Where no
+row has a language no text with a letter is rejected, and where no row is labelled toxic all go on.
+Empty texts do not come further than that stage; repeated rows meet in the third one. An empty
+table gives no rows. Columns of any other name are carried along, whatever the stages call their
+own; long texts are taken whole.
 """
 
 from __future__ import annotations
