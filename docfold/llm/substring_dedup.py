@@ -64,7 +64,7 @@ class Words:
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         known = self.known
-        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) - known.keys())
+        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(known))
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def _powers(self, factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
