@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
@@ -72,6 +74,8 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query:
     left = left.withColumn("vb", deal("key", n_vectors)).withColumn("qb", every(n_queries))
     right = right.withColumn("qb", deal("query", n_queries)).withColumn("vb", every(n_vectors))
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((left, "key"), (right, "query"))}
+    # Fields of a key that is a struct count as nullable, whatever the plan knows of them.
+    arrow = {c: to_arrow_type(StructType.fromDDL(f"x {t}")[0].dataType) for c, t in types.items()}
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         rows = table.column("v").combine_chunks()
@@ -82,7 +86,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query:
 
     def best(mine: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(mine) or not len(asked):
-            return pa.table({"query": asked.column("query").slice(0, 0), "key": mine.column("key").slice(0, 0), "score": pa.array([], pa.float64())})
+            return pa.table({"query": pa.array([], arrow["query"]), "key": pa.array([], arrow["key"]), "score": pa.array([], pa.float64())})
         (v, v_length), (q, q_length) = matrix(mine), matrix(asked)
         known = np.flatnonzero(v_length > 0)
         rows, columns, scores = [], [], []
@@ -96,7 +100,8 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query:
             scores.append(score[found])
         none = np.empty(0, np.int64)
         at, to = (np.concatenate([none, *x]).astype(np.int64) for x in (rows, columns))
-        return pa.table({"query": asked.column("query").take(pa.array(at)), "key": mine.column("key").take(pa.array(to)), "score": pa.array(np.concatenate([np.empty(0), *scores]))})
+        pairs = {"query": asked.column("query").take(pa.array(at)).cast(arrow["query"]), "key": mine.column("key").take(pa.array(to)).cast(arrow["key"])}
+        return pa.table(pairs | {"score": pa.array(np.concatenate([np.empty(0), *scores]))})
 
     blocks = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb"))
     found = blocks.applyInArrow(best, f"query {types['query']}, key {types['key']}, score double")
