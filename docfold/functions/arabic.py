@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
+
 # Direction marks, and the Arabic-Indic digits.
 MARKS = "‏‎"
 DIGITS = {ord(c): str(i) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩")}
@@ -58,3 +60,9 @@ def normalized(text: Column, at_end: bool = True, compatibility: bool = True) ->
         return pa.array([None if t is None else normalize(t, at_end, compatibility) for t in batch.to_pylist()], pa.string())
 
     return apply(text)
+
+
+def normalize_text(text: Column) -> Column:
+    """Spaces and empty lines folded, and, where there is Arabic, its own rules. Other texts go to no Python."""
+    plain = T.normalize_spaces(text)
+    return F.coalesce(normalized(F.when(T.contains_arabic(plain), plain)), plain)

@@ -179,16 +179,28 @@ def embedding_text(title: Column, section_path: Column, kind: Column, location:
     return F.concat(*[F.concat(F.lit(label), value, F.lit("\n")) for label, value in head], F.lit("\nContent:\n"), content)
 
 
-def cleaned_list(text: Column, most: int, question: bool = False) -> Column:
+def casefolded(text: Column) -> Column:
+    """A text for comparison whatever its case; letters that are two in capitals are two here."""
+    return F.lower(F.upper(text))
+
+
+def cleaned_list(text: Column, most: int, question: bool = False, asked: Column | None = None) -> Column:
     """A model's answer line by line without bullets and numbers, and without quotes at either end;
-    the first of equal lines, whatever their case, stays; at most ``most``; with ``question`` each ends in ``?``."""
+    the first of equal lines, whatever their case, stays, and none that equals ``asked``, the text
+    that the model was asked about; at most ``most``; with ``question`` each ends in ``?``."""
     unmarked = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s*(?:[-*]|\d+[.)])\s*", ""))
     bare = F.transform(unmarked, lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"^[\"' ]+|[\"' ]+$", ""))
     kept = F.filter(bare, lambda x: x != "")
     if question:
         kept = F.transform(kept, lambda x: F.when(F.endswith(x, F.lit("?")), x).otherwise(F.concat(x, F.lit("?"))))
-    first = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: F.lower(y)), F.lower(x)) == i + 1)
-    return F.slice(first, 1, most)
+
+    def distinct(own: Column) -> Column:
+        keys = F.transform(own, casefolded)
+        return F.filter(own, lambda x, i: F.array_position(keys, casefolded(x)) == i + 1)
+
+    if asked is not None:
+        kept = F.filter(kept, lambda x: ~casefolded(x).eqNullSafe(casefolded(asked)))
+    return F.slice(once(kept, distinct), 1, most)
 
 
 def closed_labels(text: Column, allowed: list[str]) -> Column:

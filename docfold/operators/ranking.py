@@ -210,3 +210,10 @@ def follow_ups(titles: DataFrame, template: str, generic: list[str], most: int =
     spare = titles.sparkSession.createDataFrame([(1000 + i, q) for i, q in enumerate(generic)], "place int, question string")
     first = made.unionByName(spare).groupBy("question").agg(F.min("place").alias("place"))
     return first.orderBy("place", "question").limit(most)
+
+
+def evidence_count(matched: Column, shown: Column) -> Column:
+    """How many images an answer rests on: those matched, or the distinct ones that its sources show
+    (an array of arrays), whichever are more."""
+    distinct = F.array_distinct(F.filter(F.flatten(shown), lambda x: F.coalesce(x, F.lit("")) != ""))
+    return F.greatest(F.coalesce(matched, F.lit(0)), F.size(distinct)).cast("long")

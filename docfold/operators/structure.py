@@ -419,3 +419,14 @@ def image_blocks(images: DataFrame, doc: str, analysis: str = "analysis", title:
     every = F.array_compact(F.concat(head, F.flatten(F.transform("_sections", section))))
     spread = told.select(doc, "image_type", F.posexplode(every).alias("order_index", "b"))
     return spread.select(doc, "order_index", "b.*", "image_type")
+
+
+def parse_stats(blocks: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """One row of what was read: documents, blocks, formulas in lines and of their own, and images,
+    each as often as it is referred to."""
+    parts = block_artifacts(F.col(text))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return blocks.select(doc, parts.alias("p"), F.regexp_count(text, F.lit(r"(?m)^[ \t]*\.\. math::[ \t]*$")).alias("math")).agg(
+        F.countDistinct(doc).alias("documents"), F.count("*").alias("blocks"), total(F.col("p.inline_math"), "math_inline"), total(F.col("math"), "math_block"),
+        total(F.size("p.image_refs"), "images"),
+    )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .queries import K, QUESTION, RECENT_DAYS, VARIANTS
-from .views import CHAT_EVENTS, LINES, MODEL_LEAVES, PAGES
+from .views import CHAT_EVENTS, LINES, MARKUP, MODEL_LEAVES, PAGES
 
 CHUNKS = "SELECT doc_id, text, lang, source, embedding, label FROM documents JOIN embeddings ON doc_id = vec_id"
 TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -424,7 +424,102 @@ GATED = f"""
     SELECT o_orderkey, available, path, n_missing, issue FROM gate LEFT JOIN issues USING (o_orderkey) WHERE issue IS NOT NULL OR n_missing > 1 OR NOT available
 """
 
+def cleaned(question: bool, asked: str = "NULL") -> str:
+    fold = lambda x: f"replace(lower({x}), 'ß', 'ss')"
+    bare = r"""regexp_replace(regexp_replace(regexp_replace(x, '^\s*(?:[-*]|\d+[.)])\s*', ''), '^\s+|\s+$', '', 'g'), '^["'' ]+|["'' ]+$', '', 'g')"""
+    mark = "CASE WHEN ends_with(y, '?') THEN y ELSE y || '?' END" if question else "y"
+    return rf"""
+        SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda z: {fold("z")}), {fold("x")}) = i)[1:3], E'\n') AS found FROM (
+            SELECT *, list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: {bare}), lambda x: x <> ''), lambda y: {mark}),
+                                  lambda x: {asked} IS NULL OR {fold("x")} <> {fold(asked)}) AS l FROM conversations)
+    """
+
+
+def in_windows(base: str, keys: str) -> str:
+    """Windows of 220 words over the blocks (keys, order_index, block_id, text, n) of each unit."""
+    start = "coalesce(list_max(list_filter(range(1, len(s.cur) + 1), lambda i: list_sum(list_transform(list_slice(s.cur, i, len(s.cur)), lambda y: y.n)) >= 40)), 1)"
+    return BLOCK_WINDOWS.replace("doc_id, strategy, unit", keys).format(base=base, start=start)
+
+
+SHEET_ROWS = """
+    SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no, count(*) OVER (PARTITION BY o_custkey) AS n_rows,
+           first(o_orderpriority) OVER w AS h1, first(o_orderkey) OVER w AS h2, first(o_orderstatus) OVER w AS h3,
+           h1 || ': ' || o_orderpriority || ' | ' || h2 || ': ' || o_orderkey || ' | ' || h3 || ': ' || o_orderstatus AS shown
+    FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+"""
+SHEET_CHUNKS = f"""
+    WITH r AS MATERIALIZED ({SHEET_ROWS}),
+    heads AS (
+        SELECT doc_id, -1 AS place, 'table_chunk' AS chunk_type, 'Headers: ' || any_value(h1) || ', ' || any_value(h2) || ', ' || any_value(h3)
+               || coalesce(E'\\n\\nSample rows:\\n' || string_agg(shown, E'\\n' ORDER BY row_no) FILTER (row_no BETWEEN 2 AND 6), '') AS content, NULL::BIGINT AS row_start FROM r GROUP BY doc_id
+    ),
+    data AS (SELECT doc_id, 'orders' AS sheet_name, row_no AS order_index, row_no::VARCHAR AS block_id, shown AS text, len({words('shown')}) AS n FROM r WHERE row_no > 1 OR n_rows = 1),
+    body AS (SELECT doc_id, place, 'row_chunk', array_to_string(list_transform(w, lambda x: x.t), E'\\n'), list_min(list_transform(w, lambda x: x.id::BIGINT)) FROM ({in_windows("data", "doc_id, sheet_name")}))
+    SELECT doc_id, 'orders' AS sheet_name, 0 AS region, place AS "window", chunk_type, content, row_start, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS chunk_index
+    FROM (SELECT * FROM heads UNION ALL SELECT * FROM body)
+"""
+PAGE_CHUNKS = f"""
+    WITH b AS MATERIALIZED (SELECT *, order_index // 100 AS page_number, doc_id || '-block-' || order_index AS block_id, len({words('text')}) AS n FROM ({BLOCKS})),
+    whole AS (
+        SELECT doc_id, page_number, order_index, block_id, block_type, text, n FROM b WHERE block_type <> 'heading'
+        UNION ALL SELECT h.doc_id, p.page_number, h.order_index, h.block_id, h.block_type, h.text, h.n FROM b h JOIN (SELECT DISTINCT doc_id, page_number FROM b) p USING (doc_id) WHERE h.block_type = 'heading'
+    ),
+    w AS ({in_windows("whole", "doc_id, page_number")}),
+    kinds AS (SELECT doc_id, page_number, place, list(DISTINCT block_type) AS kinds FROM (SELECT *, unnest(list_transform(w, lambda x: x.id)) AS block_id FROM w) JOIN (SELECT DISTINCT doc_id, block_id, block_type FROM b) USING (doc_id, block_id) GROUP BY ALL)
+    SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, place) - 1 AS chunk_index, len(w) AS n_blocks, array_to_string(list_transform(w, lambda x: x.t), E'\\n\\n') AS content,
+           CASE WHEN list_contains(kinds, 'figure') THEN CASE WHEN len(kinds) > 1 THEN 'figure_explainer_chunk' ELSE 'image_caption_chunk' END
+                WHEN archetype = 'procedural' AND list_contains(kinds, 'step') THEN 'procedure_chunk' WHEN archetype = 'regulatory' THEN 'policy_clause_chunk' ELSE 'section_chunk' END AS chunk_type
+    FROM w JOIN kinds USING (doc_id, page_number, place) JOIN ({ARCHETYPES}) USING (doc_id)
+"""
+MARKUP_CHUNKS = f"""
+    WITH h AS MATERIALIZED ({HEADINGS}), placed AS (SELECT *, max(CASE WHEN level IS NOT NULL THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS heading_line FROM h),
+    body AS MATERIALIZED (SELECT doc_id, heading_line, line_no, line FROM placed WHERE level IS NULL AND line_no > heading_line + 1),
+    cut AS (SELECT *, sum((trim(line, ' ') = '')::INT) OVER (PARTITION BY doc_id, heading_line ORDER BY line_no) AS island FROM body),
+    units AS (SELECT doc_id, heading_line, min(line_no) AS order_index, min(line_no)::VARCHAR AS block_id, string_agg(trim(line, ' '), E'\\n' ORDER BY line_no) AS text FROM cut WHERE trim(line, ' ') <> '' GROUP BY doc_id, heading_line, island),
+    counted AS (SELECT *, len({words('text')}) AS n FROM units),
+    heads AS MATERIALIZED (SELECT doc_id, line_no AS at, level, trim(line, ' ') AS title FROM h WHERE level IS NOT NULL)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY heading_line, place) - 1 AS chunk_index, path, array_to_string(list_transform(w, lambda x: x.t), E'\\n\\n') AS content,
+           CASE archetype WHEN 'regulatory' THEN 'policy_clause_chunk' WHEN 'reference' THEN 'reference_entry_chunk' ELSE 'section_chunk' END AS chunk_type
+    FROM ({in_windows("counted", "doc_id, heading_line")}) JOIN ({paths("heads", "(SELECT DISTINCT doc_id, heading_line FROM body)", "doc_id", "heading_line")}) USING (doc_id, heading_line) JOIN ({ARCHETYPES}) USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "cleaned_lists": f"SELECT conv_id, turn, found AS questions FROM ({cleaned(True)})",
+    "rewrites": f"SELECT conv_id, turn, found AS rewrites FROM ({cleaned(False, lines('text') + '[1]')})",
+    "closed_labels": r"""
+        SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_contains(['the', 'of', 'de la', 'und', 'que', 'in'], x) AND list_position(l, x) = i), ',') AS labels
+        FROM (SELECT *, list_transform(regexp_split_to_array(lower(text), '[,\n]'), lambda x: trim(x, ' ')) AS l FROM conversations)
+    """,
+    "query_profiles": """
+        SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN lang ELSE '' END AS intents, CASE WHEN source IN ('src1', 'src2') THEN source || ',src3' ELSE 'src3' END AS evidence,
+               CASE WHEN doc_id % 2 = 0 THEN 'rule' END AS shape,
+               sha256(array_to_string(list_filter([lower(text), upper(lang), source, 'x'], lambda x: x IS NOT NULL)[1:3], '|')) AS rewrites FROM documents
+    """,
+    "location_hints": f"""
+        SELECT doc_id, order_index, CASE WHEN order_index % 4 = 1 THEN 'page ' || (order_index // 20 + 1) WHEN order_index % 3 = 0 THEN 'line ' || order_index ELSE source END AS place FROM ({BLOCKS})
+    """,
+    "evidence_counts": f"""
+        SELECT document_id, greatest(coalesce(any_value(n), 0), count(DISTINCT ref)) AS images
+        FROM (SELECT document_id, unnest(CASE WHEN len(refs) > 0 THEN refs ELSE [NULL] END) AS ref FROM ({STORED})) LEFT JOIN (SELECT document_id, count(*) AS n FROM ({PICTURES}) GROUP BY 1) USING (document_id) GROUP BY 1
+    """,
+    "parse_stats": rf"""
+        WITH l AS (SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS p FROM ({MARKUP}))),
+        b AS (SELECT *, sum((trim(line, ' ') = '')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM l)
+        SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT (doc_id, block)) AS blocks, sum(len(regexp_extract_all(line, ':math:`[^`]+`')))::BIGINT AS math_inline,
+               count(*) FILTER (regexp_matches(line, '^[ \t]*\.\. math::[ \t]*$')) AS math_block, count(*) FILTER (regexp_matches(line, '^\s*\.\. (?:image|figure)::\s*\S')) AS images FROM b WHERE trim(line, ' ') <> ''
+    """,
+    "block_artifacts": rf"""
+        SELECT doc_id, array_to_string(regexp_extract_all(text, '(?m)^\s*\.\. _([^:]+):\s*$', 1), ',') AS anchors, array_to_string(regexp_extract_all(text, '(?m)^\s*\.\. (?:image|figure)::\s*(\S+)', 1), ',') AS image_refs,
+               array_to_string(list_filter(regexp_extract_all(text, '(?m)^\s*\.\. ([a-z-]+)::', 1), lambda x, i: list_position(regexp_extract_all(text, '(?m)^\s*\.\. ([a-z-]+)::', 1), x) = i), ',') AS directives,
+               array_to_string(regexp_extract_all(text, '(?m)^\s*:label:\s*(\S+)', 1), ',') AS equation_labels, len(regexp_extract_all(text, ':math:`[^`]+`'))::BIGINT AS inline_math FROM ({MARKUP})
+    """,
+    "json_leaves": """
+        SELECT doc_id, 'doc_id' AS path, doc_id::VARCHAR AS value FROM documents UNION ALL SELECT doc_id, 'inner.lang', lang FROM documents WHERE lang IS NOT NULL
+        UNION ALL SELECT doc_id, 'inner.list[0]', coalesce(source, '') FROM documents UNION ALL SELECT doc_id, 'inner.list[1]', coalesce(lang, '') FROM documents
+    """,
+    "sheet_chunks": SHEET_CHUNKS,
+    "page_chunks": PAGE_CHUNKS,
+    "markup_chunks": MARKUP_CHUNKS,
     "answer_events": ANSWER_EVENTS,
     "analytics_export_rows": f"""
         SELECT strftime(asked_at, '%Y-%m-%dT%H:%M:%S') AS asked_at, session_id, coalesce(question_text, '') AS question_text, coalesce(question_normalized, '') AS question_normalized,

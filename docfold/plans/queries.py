@@ -238,7 +238,7 @@ def question_normalize(spark, d):
 
 @query
 def normalize_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.normalize_spaces(F.col("text")).alias("text"), T.contains_arabic(F.col("text")).alias("is_arabic"))
+    return table(spark, d, "documents").select("doc_id", arabic.normalize_text(F.col("text")).alias("text"), T.contains_arabic(F.col("text")).alias("is_arabic"))
 
 
 @query
@@ -283,6 +283,62 @@ def cleaned_lists(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.cleaned_list(text, 3, question=True), "\n").alias("questions"))
 
 
+@query
+def rewrites(spark, d):
+    """A turn's lines as rewrites of its first line, which is not among them."""
+    text = F.col("text")
+    asked = F.get(T.lines(text), F.lit(0))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.cleaned_list(text, 3, asked=asked), "\n").alias("rewrites"))
+
+
+@query
+def closed_labels(spark, d):
+    """Labels of a closed set among the comma separated parts of a turn."""
+    found = T.closed_labels(F.col("text"), ["the", "of", "de la", "und", "que", "in"])
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("labels"))
+
+
+@query
+def query_profiles(spark, d):
+    """Profiles of turns: known labels, a known shape, and rewrites that differ by more than case."""
+    known = {"intents": ["en", "de", "xx"], "evidence": ["src1", "src2", "src3"], "shapes": ["limit", "rule"]}
+    text = F.col("text")
+    rows = table(spark, d, "documents")
+    made = retrieval.query_profile(F.array("lang", F.lit("zz")), F.array("source", F.lit("src3")), F.when(F.col("doc_id") % 2 == 0, "rule").otherwise("odd"), F.array(F.lower(text), text, F.upper("lang"), "lang", "source", F.lit("x")), known)
+    return rows.select("doc_id", made.alias("p")).select("doc_id", F.array_join("p.intents", ",").alias("intents"), F.array_join("p.evidence_types", ",").alias("evidence"), F.col("p.answer_shape").alias("shape"), F.sha2(F.array_join("p.rewrites", "|"), 256).alias("rewrites"))
+
+
+@query
+def location_hints(spark, d):
+    """Where a block stands, by the first of its places that is known."""
+    rows = views.shown_blocks(spark, d).withColumn("anchor", F.col("anchor").withField("line_start", F.when(F.col("order_index") % 3 == 0, F.col("order_index").cast("int"))).withField("source_label", F.col("document_title")))
+    return rows.select("doc_id", "order_index", T.location_hint(F.col("anchor")).alias("place"))
+
+
+@query
+def evidence_counts(spark, d):
+    """Images that rest on each document: found ones, or those that its chunks show."""
+    shown = views.stored_chunks(spark, d).groupBy("document_id").agg(F.collect_list("image_refs").alias("shown"))
+    found = views.stored_images(spark, d).groupBy("document_id").agg(F.count("*").alias("matched"))
+    return shown.join(found, "document_id", "left").select("document_id", ranking.evidence_count(F.col("matched"), F.col("shown")).alias("images"))
+
+
+@query
+def parse_stats(spark, d):
+    """What a corpus of markup holds: documents, blocks, formulas and images."""
+    rows = views.markup(spark, d)
+    blocks = structure.blank_line_blocks(structure.split_lines(rows, "doc_id", "text"), ["doc_id"])
+    return structure.parse_stats(blocks, "doc_id")
+
+
+@query
+def block_artifacts(spark, d):
+    """Anchors, images, directives, labels and formulas of documents of markup."""
+    parts = structure.block_artifacts(F.col("text"))
+    rows = views.markup(spark, d).select("doc_id", parts.alias("p"))
+    return rows.select("doc_id", *[F.array_join(f"p.{f}", ",").alias(f) for f in ("anchors", "image_refs", "directives", "equation_labels")], F.col("p.inline_math").cast("bigint").alias("inline_math"))
+
+
 @query
 def arabic_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", arabic.normalized(F.col("text")).alias("text"))

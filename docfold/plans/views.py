@@ -270,6 +270,21 @@ def asked_models(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.explode(models).alias("m")).select("o_orderkey", "m.*")
 
 
+def markup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with formulas, images, anchors, labels and code put into their lines."""
+    docs = table(spark, d, "documents")
+    text = F.regexp_replace("text", r"\b(of|de|der)\b", ":math:`$1`")
+    for start, put in (("A", ".. math::"), ("E", ".. image:: img/e.png"), ("D", ".. _here:"), ("T", ".. code-block:: sql"), ("L", "   :label: eq")):
+        text = F.regexp_replace(text, rf"(?m)^({start})", f"{put}\n$1")
+    return docs.select("doc_id", text.alias("text"))
+
+
+MARKUP = "SELECT doc_id, {} AS text FROM documents"
+for _start, _put in (("L", "   :label: eq"), ("T", ".. code-block:: sql"), ("D", ".. _here:"), ("E", ".. image:: img/e.png"), ("A", ".. math::")):
+    MARKUP = MARKUP.format(f"regexp_replace({{}}, '(?m)^({_start})', E'{_put}\\n\\\\1', 'g')")
+MARKUP = MARKUP.format(r"regexp_replace(text, '\b(of|de|der)\b', ':math:`\1`', 'g')")
+
+
 def model_leaves(spark: SparkSession, d: str) -> DataFrame:
     """Orders as what three models read of each order: (o_orderkey, path, model, value).
 
