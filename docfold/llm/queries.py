@@ -66,8 +66,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = chat_tools.conversation_calls(common.table(spark, sf_dir, "conversations"))
-    return chat_tools.link(calls, results, chat_tools.tool_schemas(spark, chat_tools.TOOLS))
+    calls, results, others = chat_tools.conversation_calls(common.table(spark, sf_dir, "conversations"))
+    return chat_tools.link(calls, results, chat_tools.TOOLS, others)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +156,12 @@ ORACLE_SQL = {
                    || ',"status":"' || status || '"'
                    || CASE WHEN called THEN ',"tool":"reply"' ELSE '' END || '}' AS message
         FROM told
+        UNION ALL
+        SELECT call_id, 'context', NULL, NULL, NULL,
+               '{' || CASE WHEN c.text IS NOT NULL THEN '"context":' || to_json(c.text)::VARCHAR || ',' ELSE '' END || '"id":' || to_json(call_id)::VARCHAR
+                   || CASE WHEN c.role IS NOT NULL THEN ',"role":' || to_json(c.role)::VARCHAR ELSE '' END || ',"status":"context"}'
+        FROM (SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id, min({'role': role, 'text': text}) AS c
+              FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant') GROUP BY conv_id, turn) WHERE call_id IS NOT NULL
     """,
     "op8_minhash": r"""
         WITH RECURSIVE words AS (

@@ -355,7 +355,8 @@ def test_tool_calls(spark):
         "call_id string, parent_id string, tool string, arguments string, content string",
     )
     results = spark.createDataFrame([("a", "3"), ("a", "4"), ("z", "lost"), (None, "x"), ("c", None)], "call_id string, content string")
-    schemas = chat_tools.tool_schemas(spark, {"add": {"x": "BIGINT", "y": "BIGINT"}})
+    whole = {"type": "integer"}
+    schemas = {"add": {"type": "object", "properties": {"x": whole, "y": whole}, "required": ["x", "y"]}}
     got = {r["call_id"]: r for r in chat_tools.link(calls, results, schemas).collect()}
     assert {k: (r["status"], r["level"], r["valid"], r["faults"]) for k, r in got.items()} == {
         "a": ("linked", 0, True, []),
@@ -370,10 +371,53 @@ def test_tool_calls(spark):
     assert chat_tools.link(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+BOOKING = {
+    "type": "object",
+    "properties": {
+        "seats": {"type": "integer", "minimum": 1, "maximum": 9},
+        "price": {"type": ["number", "null"], "minimum": 0},
+        "class": {"enum": ["first", "second", 3]},
+        "name": {"type": "string", "minLength": 2, "maxLength": 5},
+        "stops": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"type": "object", "properties": {"at": {"type": "string"}, "wait": {"type": "integer"}}, "required": ["at"]}},
+        "options": {"type": "object", "properties": {"quiet": {"type": "boolean"}}, "additionalProperties": True},
+    },
+    "required": ["seats"],
+}
+
+
+@pytest.mark.parametrize(
+    ("arguments", "want"),
+    [
+        ('{"seats": 2}', []),
+        ('{"seats": 2.0, "price": 3, "class": 3, "name": "Ann", "stops": [{"at": "x"}], "options": {"z": 1, "quiet": true}}', []),
+        ('{"seats": 2, "price": null, "class": "first"}', []),
+        ('{"seats": 0, "price": -1.5, "class": "third", "name": "A"}', ["enum:class", "length:name", "range:price", "range:seats"]),
+        ('{"seats": "2", "stops": [], "options": {"quiet": 1}}', ["length:stops", "type:options.quiet", "type:seats"]),
+        ('{"stops": [{"at": 1}, {"wait": 1.5}, {"at": "x", "odd": 1}], "more": 1}', ["missing:seats", "missing:stops[].at", "type:stops[].at", "type:stops[].wait", "unknown:more", "unknown:stops[].odd"]),
+        ('{"seats": 1.5, "options": [], "name": "much too long"}', ["length:name", "type:options", "type:seats"]),
+        ("[]", ["object"]),
+        ("{", ["object"]),
+    ],
+)
+def test_arguments_against_schemas(spark, arguments, want):
+    row = spark.createDataFrame([(arguments,)], "a string").select(chat_tools.checked(F.lit("book"), F.try_parse_json("a"), {"book": BOOKING}).alias("f")).first()
+    assert row["f"] == want
+
+
+def test_other_turns_are_context(spark):
+    rows = [(1, 0, "system", "Be brief."), (1, 1, "user", "Hi"), (1, 2, "assistant", "Yes?"), (1, 3, None, None), (1, 0, "system", "B"), (None, 1, "tool", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    calls, results, others = chat_tools.conversation_calls(turns)
+    got = {(r["call_id"], r["status"]): r for r in chat_tools.link(calls, results, chat_tools.TOOLS, others).collect()}
+    assert set(got) == {("1:0", "context"), ("1:1", "linked"), ("1:3", "context")}
+    assert got["1:0", "context"]["message"] == '{"context":"B","id":"1:0","role":"system","status":"context"}'
+    assert got["1:3", "context"]["message"] == '{"id":"1:3","status":"context"}' and got["1:1", "linked"]["faults"] == []
+
+
 def test_long_chain_of_calls(spark):
     turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", None) for i in range(600)], "conv_id long, turn long, role string, text string")
-    calls, results = chat_tools.conversation_calls(turns)
-    got = chat_tools.link(calls, results, chat_tools.tool_schemas(spark, chat_tools.TOOLS)).collect()
+    calls, results, _ = chat_tools.conversation_calls(turns)
+    got = chat_tools.link(calls, results, chat_tools.TOOLS).collect()
     assert sorted(r["level"] for r in got) == list(range(300)) and {r["status"] for r in got} == {"linked"}
     assert {tuple(r["faults"]) for r in got} == {("missing:text",)}
 
