@@ -8,6 +8,7 @@ the standard library alone.
 from __future__ import annotations
 
 import io
+import posixpath
 import json
 import re
 import zipfile
@@ -330,13 +331,26 @@ def _paragraph_texts(raw: bytes) -> list[str]:
     return [p for p in paragraphs if p]
 
 
+# Fixed value: the attribute by which a workbook names a sheet's file.
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
 def xlsx_rows(files: DataFrame) -> DataFrame:
-    """(document_id, title, sheet_name, row_no, cells) of each row of each sheet, for the regions' operators."""
+    """(document_id, title, sheet_name, row_no, cells, error) of each row of each sheet, for the regions' operators.
+
+    A workbook that does not parse gives one row with its error and nothing else.
+    """
 
-    @F.arrow_udf("array<struct<sheet_name:string,row_no:int,cells:array<string>>>")
+    @F.arrow_udf("array<struct<sheet_name:string,row_no:int,cells:array<string>,error:string>>")
     def run(contents: pa.Array) -> pa.Array:
-        kind = pa.struct([("sheet_name", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])
-        return pa.array([list(_sheet_rows(raw)) for raw in contents.to_pylist()], pa.list_(kind))
+        kind = pa.struct([("sheet_name", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+        out = []
+        for raw in contents.to_pylist():
+            try:
+                out.append(list(_sheet_rows(raw or b"")))
+            except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                out.append([{"error": str(e)}])
+        return pa.array(out, pa.list_(kind))
 
     return files.select("document_id", "title", F.explode(run("content")).alias("r")).select("document_id", "title", "r.*")
 
@@ -348,9 +362,14 @@ def _sheet_rows(raw: bytes) -> Iterator[dict]:
     if "xl/sharedStrings.xml" in names:
         strings = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{S}si")]
     book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
-    titles = [s.get("name") for s in book.iter(f"{S}sheet")]
-    for i, title in enumerate(titles, 1):
-        for row in ElementTree.fromstring(archive.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{S}row"):
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+    for i, sheet in enumerate(book.iter(f"{S}sheet"), 1):
+        title = sheet.get("name")
+        target = targets.get(sheet.get(RELATION), f"worksheets/sheet{i}.xml")
+        path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+        for row in ElementTree.fromstring(archive.read(path)).iter(f"{S}row"):
             cells: list[str] = []
             for c in row.iter(f"{S}c"):
                 column = 0

@@ -263,9 +263,13 @@ def test_files_to_blocks(spark, tmp_path):
     slide = f'<p xmlns:a="{readers.A[1:-1]}"><a:p><a:r><a:t>Title</a:t></a:r></a:p><a:p><a:r><a:t>Body</a:t></a:r></a:p></p>'
     (tmp_path / "s.pptx").write_bytes(zipped(**{"ppt/slides/slide1.xml": slide}))
     sheet = f'<worksheet xmlns="{readers.S[1:-1]}"><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>7</v></c></row></worksheet>'
-    book = f'<workbook xmlns="{readers.S[1:-1]}"><sheets><sheet name="One"/></sheets></workbook>'
+    book = f'<workbook xmlns="{readers.S[1:-1]}" xmlns:r="{readers.RELATION[1:-3]}"><sheets><sheet name="One" r:id="r7"/><sheet name="Two"/></sheets></workbook>'
+    relations = '<Relationships xmlns="x"><Relationship Id="r7" Target="worksheets/first.xml"/></Relationships>'
+    other = sheet.replace("<v>7</v>", "<v>8</v>")
     shared = f'<sst xmlns="{readers.S[1:-1]}"><si><t>Month</t></si></sst>'
-    (tmp_path / "x.xlsx").write_bytes(zipped(**{"xl/worksheets/sheet1.xml": sheet, "xl/workbook.xml": book, "xl/sharedStrings.xml": shared}))
+    files = {"xl/worksheets/first.xml": sheet, "xl/worksheets/sheet2.xml": other, "xl/workbook.xml": book, "xl/sharedStrings.xml": shared, "xl/_rels/workbook.xml.rels": relations}
+    (tmp_path / "x.xlsx").write_bytes(zipped(**files))
+    (tmp_path / "y.xlsx").write_bytes(b"no workbook")
     known, unknown = readers.routed(readers.scan(spark, str(tmp_path)))
     assert [r["suffix"] for r in unknown.collect()] == ["bin"]
     of = lambda kind: known.where(F.col("kind") == kind)
@@ -274,7 +278,9 @@ def test_files_to_blocks(spark, tmp_path):
     words = readers.docx_blocks(of("docx")).orderBy("order_index").collect()
     assert words[-1]["section_path"] == ["m", "Remote Work", "Eligibility"] and words[-1]["block_type"] == "paragraph"
     assert [b["block_type"] for b in readers.pptx_blocks(of("pptx")).orderBy("order_index").collect()] == ["heading", "paragraph"]
-    assert readers.xlsx_rows(of("xlsx")).first()["cells"] == ["Month", "", "7"]
+    sheets = readers.xlsx_rows(of("xlsx")).collect()
+    assert {r["sheet_name"]: r["cells"] for r in sheets if r["error"] is None} == {"One": ["Month", "", "7"], "Two": ["Month", "", "8"]}
+    assert [r["title"] for r in sheets if r["error"]] == ["y"]
     assert readers.text_lines(of("text")).count() == 2
 
 
