@@ -1,9 +1,9 @@
 """Operator 9: language identification by interpolated Kneser-Ney character models.
 
 Each language has a character model of order ORDER over words with their borders, smoothed
-by interpolated Kneser-Ney. N-grams are 64-bit hashes in sorted arrays, one array an order; each
-n-gram has an entry for every language that knows it, so that memory follows the sample and not
-the number of languages. A text takes the language of the lowest cross-entropy per
+by interpolated Kneser-Ney. N-grams are 64-bit hashes in sorted arrays, one array an order for
+PART languages at a time, so that memory follows the sample and not the number of languages. A
+text takes the language of the lowest cross-entropy per
 character. Calibration texts, held out of the counts, set the temperature that turns entropy
 differences into a probability, and the entropy beyond which a text is rejected; a language with
 too few texts to hold any out has the largest limit of the others.
@@ -40,7 +40,9 @@ ORDER = 4
 #: Labelled texts of each language in the sample at most, and characters of all of them, about.
 PER_LANGUAGE, SAMPLE_CHARS = 1000, 24_000_000
 #: Scores that are worked out at once, and characters of a text that are looked up at once.
-CELLS, STRETCH = 4_000_000, 1 << 20
+CELLS, STRETCH = 8_000_000, 1 << 20
+#: Languages whose values stand side by side in one table.
+PART = 8
 #: Of the sampled texts of a language, one in so many calibrates.
 CALIBRATION = 5
 UNKNOWN = "und"
@@ -98,33 +100,41 @@ def contexts(words: list[str], order: int) -> list[np.ndarray]:
 
 
 @dataclass
-class Sparse:
-    """Sorted keys, each with entries (language, value): those of key i begin at ``starts[i]``."""
+class Table:
+    """Sorted keys with a row of values each, one for every language of a part; others have ``absent``."""
 
     keys: np.ndarray
-    starts: np.ndarray
-    languages: np.ndarray
     values: np.ndarray
+    absent: float
 
-    def rows(self, wanted: np.ndarray, width: int, absent: float) -> np.ndarray:
-        """A row of all languages' values for each wanted key, ``absent`` where there is no entry."""
-        out = np.full((len(wanted), width), absent)
+    def rows(self, wanted: np.ndarray) -> np.ndarray:
         at, found = lookup(self.keys, wanted)
-        hit = np.flatnonzero(found)
-        first, n = self.starts[at[hit]], self.starts[at[hit] + 1] - self.starts[at[hit]]
-        entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out[np.repeat(hit, n), self.languages[entry]] = self.values[entry]
-        return out
+        return np.where(found[:, None], self.values[at], self.absent)
+
+
+@dataclass
+class Part:
+    """Up to PART languages: by order the n-grams with their smoothed probabilities, and by order
+    the histories with their back-off weights."""
+
+    probabilities: list[Table]
+    weights: list[Table]
+
+    def nats(self, hashed: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+        p = FLOOR
+        for k in range(ORDER):
+            if k:
+                p = p * self.weights[k - 1].rows(before[k - 1])
+            p = p + self.probabilities[k].rows(hashed[k])
+        return -np.log(p)
 
 
 @dataclass
 class Models:
-    """By order the n-grams with their smoothed probabilities, and by order the histories with
-    their back-off weights."""
+    """The languages in their order, and their tables part by part."""
 
     languages: list[str]
-    probabilities: list[Sparse]
-    weights: list[Sparse]
+    parts: list[Part]
     temperature: float = 1.0
     limits: np.ndarray | None = None
 
@@ -135,22 +145,16 @@ class Models:
         out[:, -1] = lengths = np.fromiter(map(len, plain), np.int64, len(plain))
         some = np.flatnonzero(lengths)
         if self.languages and len(some):
-            part = np.cumsum((lengths[some] + ORDER) * len(self.languages)) // CELLS
-            for own in np.split(some, np.flatnonzero(np.diff(part)) + 1):
+            group = np.cumsum((lengths[some] + ORDER) * PART) // CELLS
+            for own in np.split(some, np.flatnonzero(np.diff(group)) + 1):
                 out[own, :-1] = self._nats([plain[i] for i in own])
         return out
 
     def _nats(self, words: list[str]) -> np.ndarray:
         hashed, owner, _ = grams(words, ORDER)
         before = contexts(words, ORDER)
-        width = len(self.languages)
-        p = np.full((len(owner), width), FLOOR)
-        for k in range(ORDER):
-            if k:
-                p *= self.weights[k - 1].rows(before[k - 1], width, 1.0)
-            p += self.probabilities[k].rows(hashed[k], width, 0.0)
-        nats = -np.log(p)
-        return np.stack([np.bincount(owner, nats[:, j], len(words)) for j in range(width)], 1)
+        columns = [nats[:, j] for nats in (part.nats(hashed, before) for part in self.parts) for j in range(nats.shape[1])]
+        return np.stack([np.bincount(owner, c, len(words)) for c in columns], 1)
 
 
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,13 +197,13 @@ def _one_language(words: list[str], often: np.ndarray) -> tuple[list, list]:
     return shares, backs
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
-    """The (keys, values) of each language in turn as one table."""
-    every = np.concatenate([k for k, _ in parts])
-    language = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
-    order = np.argsort(every, kind="stable")
-    keys, starts = np.unique(every[order], return_index=True)
-    return Sparse(keys, np.append(starts, len(every)), language[order], np.concatenate([v for _, v in parts])[order])
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]], absent: float) -> Table:
+    """The (keys, values) of each language of a part as one table."""
+    keys = np.unique(np.concatenate([k for k, _ in parts]))
+    values = np.full((len(keys), len(parts)), absent)
+    for j, (k, v) in enumerate(parts):
+        values[np.searchsorted(keys, k), j] = v
+    return Table(keys, values, absent)
 
 
 def word_counts(texts: Iterable[str]) -> dict[str, int]:
@@ -214,11 +218,12 @@ def word_counts(texts: Iterable[str]) -> dict[str, int]:
 def assembled(parts: dict[str, tuple[list, list]]) -> Models:
     """Models of what ``_one_language`` gave for each language, not calibrated yet."""
     languages = sorted(parts)
-    if not languages:
-        return Models([], [], [])
-    probabilities = [_merged([parts[x][0][k] for x in languages]) for k in range(ORDER)]
-    weights = [_merged([parts[x][1][k] for x in languages]) for k in range(ORDER - 1)]
-    return Models(languages, probabilities, weights, limits=np.full(len(languages), np.inf))
+    held = []
+    for at in range(0, len(languages), PART):
+        own = [parts[x] for x in languages[at : at + PART]]
+        shares = [_merged([shares[k] for shares, _ in own], 0.0) for k in range(ORDER)]
+        held.append(Part(shares, [_merged([backs[k] for _, backs in own], 1.0) for k in range(ORDER - 1)]))
+    return Models(languages, held, limits=np.full(len(languages), np.inf))
 
 
 def calibrate(models: Models, entropy: np.ndarray, truth: np.ndarray) -> None:

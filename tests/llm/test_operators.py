@@ -688,8 +688,8 @@ def test_smoothed_probabilities_sum_to_one():
         p = language_id.FLOOR
         for k in range(language_id.ORDER):
             if k:
-                p = p * models.weights[k - 1].rows(b[k - 1][2:3], 1, 1.0)[0, 0]
-            p = p + models.probabilities[k].rows(h[k][2:3], 1, 0.0)[0, 0]
+                p = p * models.parts[0].weights[k - 1].rows(b[k - 1][2:3])[0, 0]
+            p = p + models.parts[0].probabilities[k].rows(h[k][2:3])[0, 0]
         total += p
     assert total == pytest.approx(1.0, abs=1e-3)
 
