@@ -37,3 +37,18 @@ def test_stages(spark, tmp_path):
     for r in packed:
         filled[r["sequence_id"]] = filled.get(r["sequence_id"], 0) + r["length"]
     assert max(filled.values()) <= 1024 and len(filled) <= -(-sum(filled.values()) // 1024) + 1
+
+
+def test_odd_tables(spark, tmp_path):
+    """No rows, no labels of either kind, and columns named as the stages name their own."""
+    text = [f"the of and to in is was that {k} with from this they have which would there" for k in range(6)]
+    taken = "doc_id long, text string, lang string, source string, n_chars long, _language string, _toxicity string, _kept_id string"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("bare", [(k, t, None, "s", 1, "a", "b", "c") for k, t in enumerate(text)] + [(9, None, None, None, None, None, None, None), (10, "1 2", None, "s", 1, "a", "b", "c")])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, taken).write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        packed = corpus_pipeline.run(spark, d).collect()
+        assert {r["doc_id"] for r in packed} == {k for k, t, *_ in rows if t and any(c.isalpha() for c in t)}
+        kept = corpus_pipeline.language_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+        assert kept.columns == [c.split()[0] for c in taken.split(", ")]
