@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. The
 stages before the last return the columns of ``documents``. ``run`` writes each result as
-Parquet in the shared checkpoint folder and reads it back as the next stage's input.
+Parquet in the shared checkpoint folder and reads it back as the next stage's input; a stage's
+folder goes once the next one is written, and the last one stays.
 
 Defined results: texts that are null or have no letter are rejected by the first stage. Where no
 row has a language no text with a letter is rejected, and where no row is labelled toxic all go on.
@@ -65,8 +66,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    folder, before = f"{common.checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            common.remove(spark, before)  # what is written from it does not read it again
+        before = path
     return docs
