@@ -16,6 +16,8 @@ MERGING = "regulatory knowledge technical reference mixed_multimodal".split()
 STEPS, TABLES, PICTURES = ["step", "list_item"], ["table", "table_row"], ["figure", "caption"]
 PROSE = ["paragraph", "note", "warning", "caption", "figure"]
 
+#: Numbers of groups that are gathered before they are put aside.
+PART = 256
 ITEM = "struct<text:string,n:int,id:string>"
 
 
@@ -157,11 +159,13 @@ def group_blocks(blocks: DataFrame, doc: str) -> DataFrame:
     alone, so one fold over a document's blocks carries that leader along.
     """
     leader = "struct<kind:string,path:string,mode:string>"
+    # Numbers are gathered in parts, so that a step copies no more than one part.
+    part = "array<int>"
     path = F.array_join(F.coalesce("section_path", F.array().cast("array<string>")), "\x1f")
     row = F.struct(F.col("order_index").alias("o"), F.col("block_type").alias("kind"), path.alias("path"), F.col("archetype").alias("archetype"))
     whole = blocks.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     state = F.struct(
-        F.array().cast("array<struct<o:bigint,g:int>>").alias("out"), F.lit(-1).alias("g"), F.lit(None).cast(leader).alias("lead"), F.lit(False).alias("pending")
+        F.array().cast(f"array<{part}>").alias("out"), F.array().cast(part).alias("now"), F.lit(-1).alias("g"), F.lit(None).cast(leader).alias("lead"), F.lit(False).alias("pending")
     )
 
     def takes(lead: Column, b: Column) -> Column:
@@ -187,11 +191,14 @@ def group_blocks(blocks: DataFrame, doc: str) -> DataFrame:
         spent = F.struct(s["lead"]["kind"].alias("kind"), s["lead"]["path"].alias("path"), F.when(s["lead"]["mode"] == "next", "alone").otherwise(s["lead"]["mode"]).alias("mode"))
         own = F.struct(b["kind"].alias("kind"), b["path"].alias("path"), mode(b).alias("mode"))
         lead = F.when(heading, F.lit(None).cast(leader)).when(joins, spent).otherwise(own)
-        placed = F.concat(s["out"], F.array(F.struct(b["o"].cast("bigint").alias("o"), g.alias("g"))))
-        return F.struct(placed.alias("out"), g.alias("g"), lead.cast(leader).alias("lead"), heading.alias("pending"))
-
-    numbered = whole.select(doc, F.explode(F.aggregate("rows", state, add, lambda s: s["out"])).alias("p"))
-    numbered = numbered.select(doc, F.col("p.o").alias("order_index"), F.col("p.g").alias("group"))
+        full = F.size(s["now"]) >= PART
+        out = F.when(full, F.concat(s["out"], F.array(s["now"]))).otherwise(s["out"])
+        now = F.when(full, F.array(g)).otherwise(F.concat(s["now"], F.array(g)))
+        return F.struct(out.alias("out"), now.alias("now"), g.alias("g"), lead.cast(leader).alias("lead"), heading.alias("pending"))
+
+    gathered = F.aggregate("rows", state, add, lambda s: F.flatten(F.concat(s["out"], F.array(s["now"]))))
+    pairs = whole.select(doc, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["o"]).alias("o"), gathered.alias("g"))).alias("p"))
+    numbered = pairs.select(doc, F.col("p.o").cast("bigint").alias("order_index"), F.col("p.g").alias("group"))
     return blocks.join(numbered, [doc, "order_index"])
 
 

@@ -94,25 +94,63 @@ def issues(rows: DataFrame, group: list[str], model: str, models: DataFrame | No
     return summed.select(*group, "path", "n_missing", issue.alias("issue"))
 
 
+ANSWER = "struct<model:string,value:string,norm:string,number:double,tokens:string,n_words:int>"
+
+
+def answers_by_path(rows: DataFrame, group: list[str], model: str, models: DataFrame | None = None) -> DataFrame:
+    """(group, path, answers, asked, consensus_norm, consensus_value, issue): all that is known of a path in one row.
+
+    A path's answers are gathered once, one for each of a few models, in the models' order; ``asked`` are
+    the models of its group. The partitioning by group that the windows need serves the
+    grouping by path as well, so that leaves are shuffled once.
+    """
+    text = F.coalesce("value", F.lit(""))
+    answer = F.struct(
+        F.col(model).cast("string").alias("model"), text.alias("value"), T.folded(text).alias("norm"), T.number_or_null(text).alias("number"),
+        F.array_join(T.numbers(text), " ").alias("tokens"), F.size(T.words(text)).alias("n_words"),
+    ).cast(ANSWER)
+    paths = rows.repartition(*group).groupBy(*group, "path").agg(F.array_sort(F.collect_list(answer)).alias("answers"))
+    if models is None:
+        named = F.array_distinct(F.flatten(F.collect_set(F.transform("answers", lambda a: a["model"])).over(Window.partitionBy(*group))))
+        paths = paths.withColumn("asked", named)
+    else:
+        paths = paths.join(models.groupBy(*group).agg(F.collect_set(F.col(model).cast("string")).alias("asked")), group)
+    kinds = lambda f: F.array_distinct(F.transform("answers", lambda a: a[f]))
+    having = lambda n: F.filter("answers", lambda a: a["norm"] == n)
+    best = F.array_max(F.transform(kinds("norm"), lambda n: F.struct(F.size(having(n)).alias("votes"), n.alias("norm"), having(n)[0]["value"].alias("value"))))
+    numbers = F.forall("answers", lambda a: a["number"].isNotNull()) & (F.size(kinds("number")) > 1)
+    issue = (
+        F.when(numbers, ISSUES[0])
+        .when(F.size(kinds("tokens")) > 1, ISSUES[1])
+        .when((F.size(kinds("norm")) > 1) & (F.size(kinds("n_words")) > 1), ISSUES[2])
+        .when(F.size(kinds("norm")) > 1, ISSUES[3])
+    )
+    told = paths.withColumns({"best": best, "issue": issue})
+    return told.select(*group, "path", "answers", "asked", F.col("best.norm").alias("consensus_norm"), F.col("best.value").alias("consensus_value"), "issue")
+
+
 def model_summary(rows: DataFrame, group: list[str], model: str, models: DataFrame | None = None) -> DataFrame:
     """(model, counters, place): how often each model departs from the consensus, fewest first."""
-    whole = aligned(rows, group, model, models).join(issues(rows, group, model, models), [*group, "path"]).join(consensus(rows, group, model), [*group, "path"])
-    here, theirs = F.col("value"), F.col("consensus_value")
-    differs = {
-        ISSUES[0]: ~T.number_or_null(here).eqNullSafe(T.number_or_null(theirs)),
-        ISSUES[1]: F.array_join(T.numbers(here), " ") != F.array_join(T.numbers(theirs), " "),
-        ISSUES[2]: F.size(T.words(here)) != F.size(T.words(theirs)),
-        ISSUES[3]: T.folded(here) != F.col("consensus_norm"),
-    }
-    off = {k: F.coalesce(F.col("is_present") & (F.col("issue") == k) & d, F.lit(False)) for k, d in differs.items()}
-    any_off = off[ISSUES[0]] | off[ISSUES[1]] | off[ISSUES[2]] | off[ISSUES[3]]
-    count = lambda c, name: F.sum(c.cast("long")).alias(name)
-    made = whole.groupBy(model).agg(
-        count(~F.col("is_present"), "missing_fields"),
-        count(any_off, "value_mismatches"),
-        count(off[ISSUES[0]], "numeric_mismatches"),
-        count(off[ISSUES[1]], "number_token_mismatches"),
-        count(off[ISSUES[2]], "word_count_mismatches"),
+    told = answers_by_path(rows, group, model, models)
+    c = F.col
+    given = F.transform("answers", lambda a: a["model"])
+    missing = F.transform(F.array_except("asked", given), lambda m: F.struct(m.alias("model"), F.lit("missing").alias("kind")))
+    off = (
+        lambda a: F.when(c("issue") == ISSUES[0], ~a["number"].eqNullSafe(T.number_or_null(c("consensus_value"))))
+        .when(c("issue") == ISSUES[1], a["tokens"] != F.array_join(T.numbers(c("consensus_value")), " "))
+        .when(c("issue") == ISSUES[2], a["n_words"] != F.size(T.words(c("consensus_value"))))
+        .when(c("issue") == ISSUES[3], a["norm"] != c("consensus_norm"))
+        .otherwise(False)
+    )
+    wrong = F.transform("answers", lambda a: F.struct(a["model"].alias("model"), F.when(off(a), c("issue")).alias("kind")))
+    spread = told.select(F.explode(F.concat(missing, wrong)).alias("m")).select(c("m.model").alias(model), "m.kind")
+    count = lambda *kinds: F.sum(F.when(c("kind").isin(*kinds), 1).otherwise(0)).cast("long")
+    made = spread.groupBy(model).agg(
+        count("missing").alias("missing_fields"),
+        count(*ISSUES).alias("value_mismatches"),
+        count(ISSUES[0]).alias("numeric_mismatches"),
+        count(ISSUES[1]).alias("number_token_mismatches"),
+        count(ISSUES[2]).alias("word_count_mismatches"),
     )
     order = Window.orderBy("missing_fields", "value_mismatches", "numeric_mismatches", "number_token_mismatches", "word_count_mismatches", model)
     return made.withColumn("place", F.row_number().over(order))

@@ -13,10 +13,57 @@ from ..functions import text as T
 from . import chunking, structure
 
 
-def labelled(pairs: list[tuple[str, Column]], content: Column) -> Column:
-    """``label: value`` lines, an empty line, and the content."""
-    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(F.nullif(value, F.lit("")), F.lit("none")), F.lit("\n")) for label, value in pairs]
-    return F.concat(*lines, F.lit("\nContent:\n"), content)
+# The labels of the texts that are embedded, by kind of document, and what stands for nothing.
+HEAD = ["Document title", "Archetype", "Section path", "Content type"]
+PAGED = [*HEAD, "Page number", "Layout hints"]
+SLIDES = [*HEAD, "Slide number", "Layout hints"]
+MARKUP = [*HEAD, "RST anchors", "RST images", "RST equation labels", "RST directives", "Inline math count", "Location"]
+SHEETS = [*HEAD, "Sheet name", "Region type", "Headers", "Row range"]
+FRENCH = ["Titre", "Document", "Section", "Ancres", "Images"]
+ARABIC = ["عنوان الوثيقة", "القسم", "المادة", "الصفحة"]
+
+
+def labelled(labels: list[str], values: list[Column], content: Column, intro: str = "Content:\n", nothing: str = "none") -> Column:
+    """``label: value`` lines, an empty line, and the content behind ``intro``; empty values are ``nothing``."""
+    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(nothing)), F.lit("\n")) for label, value in zip(labels, values, strict=True)]
+    return F.concat(*lines, F.lit(f"\n{intro}"), content)
+
+
+def _head(title: Column, archetype: Column, section_path: Column, kind: Column) -> list[Column]:
+    return [title, archetype, F.array_join(section_path, " > "), kind]
+
+
+def _listed(items: Column) -> Column:
+    return F.array_join(F.coalesce(items, F.array().cast("array<string>")), ", ")
+
+
+def page_text(title: Column, archetype: Column, section_path: Column, kind: Column, page: Column, hints: Column, content: Column) -> Column:
+    return labelled(PAGED, [*_head(title, archetype, section_path, kind), page, _listed(hints)], content)
+
+
+def slide_text(title: Column, archetype: Column, section_path: Column, kind: Column, slide: Column, hints: Column, content: Column) -> Column:
+    return labelled(SLIDES, [*_head(title, archetype, section_path, kind), slide, _listed(hints)], content)
+
+
+def markup_text(title: Column, archetype: Column, section_path: Column, kind: Column, parts: Column, lines: tuple[Column, Column], content: Column) -> Column:
+    """``parts`` is what ``structure.block_artifacts`` gives, ``lines`` the first and last line."""
+    place = F.concat(F.lit("lines "), lines[0].cast("string"), F.lit("-"), lines[1].cast("string"))
+    listed = [_listed(parts[f]) for f in ("anchors", "image_refs", "equation_labels", "directives")]
+    return labelled(MARKUP, [*_head(title, archetype, section_path, kind), *listed, parts["inline_math"], place], content)
+
+
+def sheet_text(title: Column, archetype: Column, section_path: Column, kind: Column, sheet: Column, region: Column, headers: Column, rows: tuple[Column, Column], content: Column) -> Column:
+    both = (F.coalesce(rows[0], F.lit(0)) != 0) & (F.coalesce(rows[1], F.lit(0)) != 0)
+    span = F.when(both, F.concat(rows[0].cast("string"), F.lit("-"), rows[1].cast("string"))).otherwise("n/a")
+    return labelled(SHEETS, [*_head(title, archetype, section_path, kind), sheet, region, _listed(headers), span], content)
+
+
+def french_text(title: Column, code: Column, section_path: Column, anchors: Column, images: Column, content: Column) -> Column:
+    return labelled(FRENCH, [title, code, F.array_join(section_path, " > "), _listed(anchors), _listed(images)], content, "", "aucune")
+
+
+def arabic_text(title: Column, chapter: Column, article: Column, page: Column, content: Column) -> Column:
+    return labelled(ARABIC, [title, chapter, article, page], content, "", "")
 
 
 def numbered(chunks: DataFrame, doc: str, order: list[str]) -> DataFrame:

@@ -483,7 +483,36 @@ MARKUP_CHUNKS = f"""
     FROM ({in_windows("counted", "doc_id, heading_line")}) JOIN ({paths("heads", "(SELECT DISTINCT doc_id, heading_line FROM body)", "doc_id", "heading_line")}) USING (doc_id, heading_line) JOIN ({ARCHETYPES}) USING (doc_id)
 """
 
+LISTED = r"list_filter(regexp_extract_all(text, '{0}', 1), lambda x, i: NOT {1} OR list_position(regexp_extract_all(text, '{0}', 1), x) = i)"
+ARTIFACTS = {
+    "anchors": LISTED.format(r"(?m)^\s*\.\. _([^:]+):\s*$", "false"), "images": LISTED.format(r"(?m)^\s*\.\. (?:image|figure)::\s*(\S+)", "false"),
+    "labels": LISTED.format(r"(?m)^\s*:label:\s*(\S+)", "false"), "directives": LISTED.format(r"(?m)^\s*\.\. ([a-z-]+)::", "true"),
+}
+
+
+def said(label: str, value: str, nothing: str = "none") -> str:
+    return f"'{label}: ' || coalesce(nullif(({value})::VARCHAR, ''), '{nothing}') || chr(10)"
+
+
+TEXT_HEAD = " || ".join([said("Document title", "source"), said("Archetype", "'knowledge'"), said("Section path", "source || ' > ' || coalesce(lang, '-')"), said("Content type", "'section_chunk'")])
+CONTENT = "chr(10) || 'Content:' || chr(10) || text"
+FORMAT_TEXTS = f"""
+    SELECT doc_id,
+           sha256({TEXT_HEAD} || {said("Page number", "doc_id % 9")} || {said("Layout hints", "CASE WHEN doc_id % 2 = 0 THEN 'heading, paragraph' END")} || {CONTENT}) AS paged,
+           sha256({TEXT_HEAD} || {said("Slide number", "doc_id % 5 + 1")} || {said("Layout hints", "'heading, paragraph'")} || {CONTENT}) AS slide,
+           sha256({TEXT_HEAD} || {said("RST anchors", f"array_to_string({ARTIFACTS['anchors']}, ', ')")} || {said("RST images", f"array_to_string({ARTIFACTS['images']}, ', ')")}
+                  || {said("RST equation labels", f"array_to_string({ARTIFACTS['labels']}, ', ')")} || {said("RST directives", f"array_to_string({ARTIFACTS['directives']}, ', ')")}
+                  || {said("Inline math count", "len(regexp_extract_all(text, ':math:`[^`]+`'))")} || {said("Location", "'lines ' || doc_id || '-' || (doc_id + 7)")} || {CONTENT}) AS markup,
+           sha256({TEXT_HEAD} || {said("Sheet name", "'s'")} || {said("Region type", "'table'")} || {said("Headers", "CASE WHEN doc_id % 3 > 0 THEN 'heading, paragraph' END")}
+                  || {said("Row range", "CASE WHEN doc_id % 2 > 0 THEN '1-5' ELSE 'n/a' END")} || {CONTENT}) AS sheet,
+           sha256({said("Titre", "source")} || {said("Document", "'D-1'")} || {said("Section", "source || ' > ' || coalesce(lang, '-')")} || {said("Ancres", f"array_to_string({ARTIFACTS['anchors']}, ', ')", "aucune")}
+                  || {said("Images", "CASE WHEN doc_id % 2 = 0 THEN 'heading, paragraph' END", "aucune")} || chr(10) || text) AS french,
+           sha256({said("عنوان الوثيقة", "source", "")} || {said("القسم", "'الفصل الأول'", "")} || {said("المادة", "CASE WHEN doc_id % 2 = 0 THEN 'المادة 3' END", "")} || {said("الصفحة", "doc_id % 4", "")} || chr(10) || text) AS arabic
+    FROM ({MARKUP}) JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "format_texts": FORMAT_TEXTS,
     "cleaned_lists": f"SELECT conv_id, turn, found AS questions FROM ({cleaned(True)})",
     "rewrites": f"SELECT conv_id, turn, found AS rewrites FROM ({cleaned(False, lines('text') + '[1]')})",
     "closed_labels": r"""

@@ -270,6 +270,25 @@ def embedding_text(spark, d):
     return docs.select("doc_id", F.sha2(made, 256).alias("digest"))
 
 
+@query
+def format_texts(spark, d):
+    """Digests of the texts that are embedded for pages, slides, markup, sheets, and in French and Arabic."""
+    docs = views.markup(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    text, path, n = F.col("text"), F.array("source", F.coalesce("lang", F.lit("-"))), F.col("doc_id")
+    head = (F.col("source"), F.lit("knowledge"), path, F.lit("section_chunk"))
+    none, hints = F.array().cast("array<string>"), F.array(F.lit("heading"), F.lit("paragraph"))
+    parts = structure.block_artifacts(text)
+    made = {
+        "paged": formats.page_text(*head, n % 9, F.when(n % 2 == 0, hints).otherwise(none), text),
+        "slide": formats.slide_text(*head, n % 5 + 1, hints, text),
+        "markup": formats.markup_text(*head, parts, (n, n + 7), text),
+        "sheet": formats.sheet_text(*head, F.lit("s"), F.lit("table"), F.when(n % 3 > 0, hints), (n % 2, n % 2 + 4), text),
+        "french": formats.french_text(F.col("source"), F.lit("D-1"), path, parts["anchors"], F.when(n % 2 == 0, hints), text),
+        "arabic": formats.arabic_text(F.col("source"), F.lit("الفصل الأول"), F.when(n % 2 == 0, "المادة 3"), n % 4, text),
+    }
+    return docs.select("doc_id", *[F.sha2(v, 256).alias(k) for k, v in made.items()])
+
+
 @query
 def checksum_identity(spark, d):
     """Documents by the checksum of their bytes: equal bytes are one document."""
