@@ -511,7 +511,77 @@ FORMAT_TEXTS = f"""
     FROM ({MARKUP}) JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id)
 """
 
+PARTS = """
+    SELECT *, p_size * 10 AS w, floor(p_retailprice)::INT AS h, 'img/' || p_partkey || CASE p_size % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' ELSE '.txt' END AS image_path,
+           CASE WHEN w < 120 OR h < 48 OR w * h < 12000 THEN 'too_small' WHEN count(*) OVER (PARTITION BY p_brand, p_type) >= 5 AND w * h <= 90000 THEN 'repeated_small_asset' END AS drop_reason
+    FROM part
+"""
+CHAPTERS = f"""
+    SELECT doc_id, line_no, CASE WHEN line_no % 15 = 2 THEN 'الفصل ' || line_no WHEN line_no % 6 = 4 THEN 'المادة (' || line_no || ')' WHEN line_no % 17 = 5 THEN 'المادة 3. نص' ELSE trim(line, ' ') END AS own,
+           line_no % 15 = 2 AS is_chapter, line_no % 15 <> 2 AND line_no % 6 = 4 AS is_article FROM ({LINES}) WHERE line_no % 40 <> 7
+"""
+#: Windows that carry back lines: items are blocks of one or more lines.
+LINE_WINDOWS = f"""
+    WITH items AS (
+        SELECT doc_id, list_transform(list_filter(string_split(text, '. '), lambda x: x <> ''), lambda b: {{'out': []::VARCHAR[], 'cur': string_split(b, chr(10)), 'n': len({words('b')})}}) AS xs FROM documents
+    ),
+    folded AS (
+        SELECT doc_id, list_reduce(xs, lambda s, x: CASE WHEN s.n + x.n > 40 THEN
+            {{'out': list_append(s.out, array_to_string(s.cur, chr(10))),
+              'cur': list_concat(list_concat({{kept}}, ['']), x.cur), 'n': {{n}} + x.n}}
+            ELSE {{'out': s.out, 'cur': list_concat(list_concat(s.cur, ['']), x.cur), 'n': s.n + x.n}} END) AS s FROM items WHERE len(xs) > 0
+    )
+    SELECT doc_id, unnest(range(len(s.out) + 1)) AS place, unnest(list_append(s.out, array_to_string(s.cur, chr(10)))) AS content FROM folded
+"""
+_kept = f"list_slice(s.cur, coalesce(list_max(list_filter(range(1, len(s.cur) + 1), lambda i: len({words('array_to_string(list_slice(s.cur, i, len(s.cur)), chr(10))')}) >= 8)), 1), len(s.cur))"
+LINE_WINDOWS = LINE_WINDOWS.replace("{kept}", _kept).replace("{n}", f"len({words(f'array_to_string({_kept}, chr(10))')})")
+
 ORACLE: dict[str, str] = {
+    "unique_images": "SELECT p_brand, p_type AS digest, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2",
+    "image_captions": f"""
+        SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_name WHEN n <= 4 THEN 'seen ' || image_path WHEN p_size % 5 > 0 THEN 'Image from ' || p_type ELSE 'Document image' END AS caption_text
+        FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM ({PARTS}))
+    """,
+    "existing_images": f"SELECT p_partkey, image_path FROM ({PARTS}) WHERE p_partkey % 2 = 0 AND p_size % 3 < 2",
+    "drop_counts": f"SELECT p_brand, drop_reason, count(*) AS n_images FROM ({PARTS}) WHERE drop_reason IS NOT NULL GROUP BY 1, 2",
+    "pruned_blocks": f"""
+        SELECT p_partkey, block_type, array_to_string(ids, ',') AS image_ids FROM (
+            SELECT *, CASE WHEN p_partkey % 10 = 0 THEN 'heading' ELSE 'figure' END AS block_type,
+                   list_concat(CASE WHEN drop_reason IS NULL THEN [p_partkey::VARCHAR] ELSE [] END, CASE WHEN p_partkey % 3 = 0 THEN [] ELSE ['other'] END) AS ids FROM ({PARTS}))
+        WHERE block_type = 'heading' OR p_partkey % 4 = 0 OR len(ids) > 0
+    """,
+    "linked_images": f"""
+        WITH shown AS MATERIALIZED ({SHOWN_IN})
+        SELECT doc_id, 'img/' || doc_id || '/' || k AS image_path, (SELECT arg_min(sha256(s.doc_id || '|' || s.chunk_index), s.chunk_index) FROM shown s WHERE s.doc_id = d.doc_id AND s.image_path = 'img/' || d.doc_id || '/' || t.k) AS related_chunk_id
+        FROM documents d, range(4) t(k)
+    """,
+    "pages_to_render": f"""
+        SELECT doc_id, page_number FROM ({PAGES}) WHERE length(text) % 2 = 0 AND (length(text) % 50 >= 25 OR contains(text, 'Note 7')) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_number) <= 3
+    """,
+    "chapter_lines": f"""
+        WITH t AS (
+            SELECT *, max(CASE WHEN is_chapter THEN line_no END) OVER w AS c, max(CASE WHEN is_article THEN line_no END) OVER w AS a FROM ({CHAPTERS}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+        )
+        SELECT doc_id, line_no, 'الفصل ' || c AS chapter, CASE WHEN a > coalesce(c, -1) THEN 'المادة (' || a || ')' END AS article FROM t WHERE NOT is_chapter AND NOT is_article AND (c IS NOT NULL OR a IS NOT NULL)
+    """,
+    "page_lines": f"SELECT doc_id, line_no FROM ({LINES}) WHERE line_no % 5 > 2 AND trim(line, ' ') NOT IN ('', 'Header') AND NOT regexp_full_match(trim(line, ' '), '[0-9٠-٩]+')",
+    "slide_chunks": f"""
+        WITH b AS MATERIALIZED (SELECT *, order_index // 8 AS slide_number, doc_id || '-block-' || order_index AS block_id, len({words('text')}) AS n FROM ({BLOCKS})),
+        w AS ({in_windows("b", "doc_id, slide_number").replace("> 220", "> 60").replace(">= 40", ">= 12")})
+        SELECT doc_id, slide_number, row_number() OVER (PARTITION BY doc_id ORDER BY slide_number, place) - 1 AS chunk_index, 'slide_chunk' AS chunk_type,
+               (SELECT string_agg(DISTINCT block_type, ',' ORDER BY block_type) FROM b WHERE b.doc_id = w.doc_id AND list_contains(list_transform(w.w, lambda x: x.id), b.block_id)) AS block_types,
+               array_to_string(list_transform(w, lambda x: x.t), E'\\n\\n') AS content FROM w
+    """,
+    "line_windows": LINE_WINDOWS,
+    "section_places": f"""
+        SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY first) - 1 AS place, source || ' > part ' || part AS path, ids AS block_ids FROM (
+            SELECT doc_id, source, order_index // 6 + 1 AS page_number, order_index // 5 AS part, min(order_index) AS first, string_agg(doc_id || '-block-' || order_index, ',' ORDER BY order_index) AS ids FROM ({BLOCKS}) GROUP BY 1, 2, 3, 4)
+    """,
+    "paired_rows": "SELECT doc_id, lang, label FROM documents JOIN embeddings ON vec_id = doc_id",
+    "run_statuses": """
+        SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'repaired' ELSE 'failed' END AS status,
+               round(CASE event_id % 4 WHEN 2 THEN round(0.45 * value + 0.55 * value, 2) ELSE value END, 2) AS overall FROM events
+    """,
     "format_texts": FORMAT_TEXTS,
     "cleaned_lists": f"SELECT conv_id, turn, found AS questions FROM ({cleaned(True)})",
     "rewrites": f"SELECT conv_id, turn, found AS rewrites FROM ({cleaned(False, lines('text') + '[1]')})",
@@ -865,3 +935,9 @@ ORACLE: dict[str, str] = {
     """,
     "latest_active": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
 }
+ORACLE["image_anchors"] = rf"""
+    SELECT doc_id, page_number, arg_min(doc_id || '-' || order_index, (rank, order_index)) AS anchor_block FROM (
+        SELECT *, CASE WHEN block_type = 'caption' THEN 1 WHEN block_type = 'paragraph' AND regexp_matches(text, '(?i)\b(?:figure|diagram|image|screenshot|chart)\b') THEN 2
+                       WHEN block_type = 'step' THEN 3 WHEN block_type NOT IN ('heading', 'table') THEN 4 END AS rank FROM ({ORACLE["page_units"]}))
+    WHERE rank IS NOT NULL GROUP BY 1, 2
+"""

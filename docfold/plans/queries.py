@@ -473,6 +473,139 @@ def block_window_overlap(spark, d):
     return chunking.overlapping_blocks(blocks.select("doc_id", "block", "first_line", "last_line"), windows, ["doc_id"]).select("doc_id", "block", "window")
 
 
+def _pictures(spark, d) -> DataFrame:
+    """Parts as images of their brand's document."""
+    p = table(spark, d, "part")
+    path = F.concat(F.lit("img/"), F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 3 == 0, ".png").when(F.col("p_size") % 3 == 1, ".JPG").otherwise(".txt"))
+    return p.select(
+        "p_brand", "p_partkey", F.col("p_partkey").cast("string").alias("image_id"), F.col("p_type").alias("digest"), (F.col("p_size") * 10).alias("width"), F.floor("p_retailprice").cast("int").alias("height"),
+        path.alias("image_path"), F.when(F.col("p_size") % 4 == 0, F.col("p_name")).when(F.col("p_size") % 4 == 1, "  ").alias("caption_text"), F.when(F.col("p_size") % 5 > 0, F.col("p_type")).alias("location"),
+    )
+
+
+@query
+def unique_images(spark, d):
+    """The first picture of each type of a brand."""
+    return images.unique_images(_pictures(spark, d), "p_brand", "digest", "p_partkey").select("p_brand", "digest", "p_partkey")
+
+
+@query
+def image_captions(spark, d):
+    """Captions of pictures: their own, or made from their place, or by a model for the first of a brand."""
+    told = images.captions(_pictures(spark, d), "p_brand", "p_partkey", 4, lambda path: F.concat(F.lit("seen "), path))
+    return told.select("p_partkey", "caption_text")
+
+
+@query
+def existing_images(spark, d):
+    """Pictures whose raster files are listed."""
+    files = _pictures(spark, d).where(F.col("p_partkey") % 2 == 0).select(F.col("image_path").alias("path"))
+    return images.existing(_pictures(spark, d), files).select("p_partkey", "image_path")
+
+
+@query
+def drop_counts(spark, d):
+    return images.reasons_by_document(images.drop_reasons(_pictures(spark, d), "p_brand"), "p_brand")
+
+
+@query
+def pruned_blocks(spark, d):
+    """Blocks of brands with the pictures that stay; figures that are left with nothing go."""
+    told = images.drop_reasons(_pictures(spark, d), "p_brand")
+    kind = F.when(F.col("p_partkey") % 10 == 0, "heading").otherwise("figure")
+    blocks = told.select("p_brand", "p_partkey", kind.alias("block_type"), F.when(F.col("p_partkey") % 4 == 0, F.lit("told")).otherwise(" ").alias("text"), F.array("image_id", F.lit("other")).alias("image_ids"))
+    blocks = blocks.withColumn("image_ids", F.when(F.col("p_partkey") % 3 == 0, F.slice("image_ids", 1, 1)).otherwise(F.col("image_ids")))
+    return images.prune(blocks, told, "p_brand").select("p_partkey", "block_type", F.array_join("image_ids", ",").alias("image_ids"))
+
+
+@query
+def linked_images(spark, d):
+    """Pictures of documents with the first chunk whose blocks show them."""
+    blocks = views.shown_blocks(spark, d)
+    shown = blocks.select("doc_id", "block_id", F.explode("images").alias("i")).select("doc_id", "block_id", F.col("i.image_path").alias("image_path"))
+    chunks = chunking.build_chunks(views.blocks(spark, d), "doc_id", "document_title").select("doc_id", "chunk_id", "chunk_index", "block_ids")
+    own = views.shown_documents(spark, d).select("doc_id", F.explode("images").alias("i")).select("doc_id", F.col("i.image_path").alias("image_path"))
+    return images.linked(own, shown, chunks, "doc_id")
+
+
+@query
+def image_anchors(spark, d):
+    """The block of each page that its images belong to."""
+    units = structure.page_units(views.pages(spark, d), "doc_id").withColumn("block_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("order_index").cast("string")))
+    return structure.image_anchor(units, ["doc_id", "page_number"])
+
+
+@query
+def pages_to_render(spark, d):
+    """Pages without images that hold many drawings or speak of figures, three of each document."""
+    pages = views.pages(spark, d).withColumns({
+        "embedded_images": F.char_length("text") % 2, "drawings": F.char_length("text") % 50, "has_keyword": F.contains("text", F.lit("Note 7")),
+    })
+    return structure.pages_to_render(pages, "doc_id", 3).select("doc_id", "page_number")
+
+
+@query
+def chapter_lines(spark, d):
+    """Lines of rules with their chapters and articles."""
+    n = F.col("line_no")
+    line = F.when(n % 15 == 2, F.concat(F.lit("الفصل "), n.cast("string"))).when(n % 6 == 4, F.concat(F.lit("المادة ("), n.cast("string"), F.lit(")"))).when(n % 17 == 5, F.lit("المادة 3. نص")).otherwise(F.col("line"))
+    rows = views.lines(spark, d).withColumns({"page_number": F.floor(n / 20), "is_contents": n % 40 == 7, "line": line})
+    found = structure.chapter_machine(rows, "doc_id")
+    return found.select("doc_id", "line_no", "chapter", "article")
+
+
+@query
+def page_lines(spark, d):
+    """Lines without blank ones, the running header and page numbers."""
+    n = F.col("line_no")
+    line = F.when(n % 5 == 0, F.lit(" Header ")).when(n % 5 == 1, n.cast("string")).when(n % 5 == 2, F.lit("٣٤")).otherwise(F.col("line"))
+    return structure.clean_page_lines(views.lines(spark, d).withColumn("line", line), "Header").select("doc_id", "line_no")
+
+
+@query
+def slide_chunks(spark, d):
+    """Windows over slides of eight blocks."""
+    blocks = views.blocks(spark, d).withColumn("slide_number", F.floor(F.col("order_index") / 8).cast("int"))
+    made = formats.slide_chunks(blocks, "doc_id", 60, 12)
+    return made.select("doc_id", "slide_number", "chunk_index", "chunk_type", F.array_join("block_types", ",").alias("block_types"), "content")
+
+
+@query
+def line_windows(spark, d):
+    """Windows over blocks that carry back lines."""
+    docs = table(spark, d, "documents")
+    blocks = F.filter(F.split("text", r"\. "), lambda x: x != "")
+    made = docs.select("doc_id", F.posexplode(chunking.line_overlap_windows(blocks, 40, 8)).alias("place", "content"))
+    return made
+
+
+@query
+def section_places(spark, d):
+    """The sections of each page, in the order in which they begin, with their blocks."""
+    blocks = views.filed_blocks(spark, d)
+    hints = formats.structure_hints(blocks, "doc_id", "page_number")
+    return hints.select("doc_id", "page_number", "place", F.array_join("section_path", " > ").alias("path"), F.array_join("block_ids", ",").alias("block_ids"))
+
+
+@query
+def paired_rows(spark, d):
+    """Chunks with their vectors, of those ids that both have."""
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    both = docs.join(vectors, "doc_id", "left_semi").select("doc_id", "lang")
+    return catalog.paired(both, vectors.join(docs, "doc_id", "left_semi"), "doc_id")
+
+
+@query
+def run_statuses(spark, d):
+    """What became of a model's answer, and both scores of it as one."""
+    e = table(spark, d, "events")
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("Sure: "), F.col("props"))).when(k == 2, "no object").otherwise("")
+    status = compare.run_status(raw, F.to_json(J.object_in(raw)))
+    text, json_score = F.when(k < 3, F.col("value")), F.when(k > 1, F.col("value"))
+    return e.select("event_id", status.alias("status"), F.round(compare.overall(text, json_score), 2).alias("overall"))
+
+
 @query
 def image_prune(spark, d):
     """Parts as images of their brand's document, sized by price and size."""
