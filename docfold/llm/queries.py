@@ -268,4 +268,17 @@ ORACLE_SQL = {
         FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
         LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
     """,
+    "op13_substring_dedup": r"""
+        WITH texts AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50)
+        ),
+        firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first FROM windows),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM firsts WHERE first < doc_id),
+        placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+        counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
