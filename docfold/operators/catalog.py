@@ -10,12 +10,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str, created: str | None = None) -> DataFrame:
-    """New rows replace those of the same key; ``created`` keeps its old value."""
+def upsert(existing: DataFrame, new: DataFrame, key: str, created: str | None = None, updated: str | None = None, now: Column | None = None) -> DataFrame:
+    """New rows replace those of the same key; ``created`` keeps its old value, and ``updated`` becomes
+    ``now``, or the current time, in all new rows."""
+    if updated:
+        new = new.withColumn(updated, F.current_timestamp() if now is None else now)
     stay = existing.join(new.select(key), key, "left_anti")
     if created:
         old = existing.select(F.col(key).alias("_key"), F.col(created).alias("_created"))
@@ -49,9 +52,26 @@ def identified(files: DataFrame) -> DataFrame:
     return files.withColumns({"checksum": digest, "document_id": F.left(digest, F.lit(32)), "title": title_of_path(F.col("path"))})
 
 
-def counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(name, n_rows) of each table, in one plan."""
-    parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in tables.items()]
+def file_digest(content: Column) -> Column:
+    """The short checksum by which a file is known to have changed."""
+    return F.sha1(content)
+
+
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def counts(tables: dict[str, DataFrame | None]) -> DataFrame:
+    """(name, n_rows) of each table, in one plan; a table that is None has 0 rows. One must be there."""
+    known = next(df for df in tables.values() if df is not None)
+    none = known.sparkSession.range(0)
+    parts = [(none if df is None else df).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows") for name, df in tables.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

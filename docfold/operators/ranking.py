@@ -217,3 +217,24 @@ def evidence_count(matched: Column, shown: Column) -> Column:
     (an array of arrays), whichever are more."""
     distinct = F.array_distinct(F.filter(F.flatten(shown), lambda x: F.coalesce(x, F.lit("")) != ""))
     return F.greatest(F.coalesce(matched, F.lit(0)), F.size(distinct)).cast("long")
+
+
+def prompts(questions: DataFrame, chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """(question_id, prompt): each question with its numbered text blocks [S1].. and image blocks [I1]...
+
+    ``chunks`` has question_id, rank, title, section_path, source_path and content, ``images`` has
+    question_id, rank, source_path, section_path, image_path and caption_text: a few rows of each
+    for a question, as ``answering.retrieve`` finds them.
+    """
+    path = F.array_join("section_path", " > ")
+    head = lambda label, *parts: F.concat(F.lit(f"[{label}"), F.col("rank").cast("string"), F.lit("] "), F.concat_ws(" | ", *parts), F.lit("\n"))
+
+    def joined(rows: DataFrame, block: Column, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("t"))))
+        return rows.groupBy("question_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n").alias(name))
+
+    texts = joined(chunks, F.concat(head("S", "title", path, "source_path"), F.col("content")), "_texts")
+    pictures = joined(images, F.concat(head("I", "source_path", path, "image_path"), F.coalesce("caption_text", F.lit(""))), "_pictures")
+    told = questions.join(texts, "question_id", "left").join(pictures, "question_id", "left")
+    parts = ["User question:\n", F.col("question"), "\n\nRetrieved context:\n", F.coalesce("_texts", F.lit("No matching text context.")), "\n\nRelevant images:\n", F.coalesce("_pictures", F.lit("None"))]
+    return told.select("question_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("prompt"))

@@ -193,3 +193,25 @@ def with_image_support(candidates: DataFrame, images: DataFrame, chunks: DataFra
     missing = by_ids(chunks, support.join(candidates, "chunk_id", "left_anti"), "chunk_id")
     both = candidates.unionByName(missing, allowMissingColumns=True)
     return both.join(support, "chunk_id", "left").withColumn("image_caption_support", F.coalesce("support", F.lit(0.0))).drop("support")
+
+
+def image_vectors(images: DataFrame, vectors: DataFrame, documents: DataFrame, file_types: list[str] | None = None) -> DataFrame:
+    """Images with their vectors, of documents of these kinds of files only, or of all.
+
+    ``images`` has image_id and document_id, ``vectors`` image_id and embedding, ``documents``
+    document_id and file_type. Documents are filtered before anything is joined, and vectors last.
+    """
+    own = documents.select("document_id", "file_type")
+    if file_types is not None:
+        own = own.where(F.col("file_type").isin(file_types))
+    return images.join(own, "document_id").join(vectors.select("image_id", "embedding"), "image_id")
+
+
+#: Fixed value: characters of a text that a match shows.
+MOST_CONTENT = 4000
+
+
+def matched_texts(found: DataFrame, rows: DataFrame, key: str, content: str) -> DataFrame:
+    """Matches with the first MOST_CONTENT characters of their texts and all other columns but vectors."""
+    kept = rows.drop("embedding").withColumn(content, F.left(content, F.lit(MOST_CONTENT)))
+    return found.join(kept, key)

@@ -537,6 +537,39 @@ _kept = f"list_slice(s.cur, coalesce(list_max(list_filter(range(1, len(s.cur) +
 LINE_WINDOWS = LINE_WINDOWS.replace("{kept}", _kept).replace("{n}", f"len({words(f'array_to_string({_kept}, chr(10))')})")
 
 ORACLE: dict[str, str] = {
+    "image_search_filtered": """
+        SELECT query_id, image_id, document_id, file_type, score, rank FROM (
+            SELECT q.vec_id AS query_id, i.image_id, i.document_id, o.lang AS file_type, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
+                   row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, i.image_id) AS rank
+            FROM (SELECT doc_id AS image_id, doc_id * 7 % 1000 AS document_id FROM documents) i JOIN documents o ON o.doc_id = i.document_id AND o.lang IN ('de', 'fr') JOIN embeddings v ON v.vec_id = i.image_id, embeddings q
+            WHERE q.vec_id % 50 = 0) WHERE rank <= 8
+    """,
+    "table_search": f"""
+        SELECT query_id, rank, doc_id, score, sha256(left(text, 4000)) AS shown FROM (
+            SELECT q.vec_id AS query_id, c.doc_id, c.text, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, c.doc_id) AS rank
+            FROM ({CHUNKS}) c, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 12
+    """,
+    "prompts_by_question": f"""
+        WITH w AS MATERIALIZED (SELECT * FROM ({WORDINGS}) WHERE variant = 0),
+        s AS (
+            SELECT question_id, string_agg('[S' || rank || '] ' || source || ' | ' || concat_ws(' > ', lang, source) || ' | ' || source_path || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS t FROM (
+                SELECT w.question_id, c.*, row_number() OVER (PARTITION BY w.question_id ORDER BY round(list_cosine_similarity(c.embedding::DOUBLE[], w.embedding::DOUBLE[]), 6) DESC, chunk_id) AS rank FROM ({STORED}) c, w) WHERE rank <= 3 GROUP BY 1
+        ),
+        i AS (
+            SELECT question_id, string_agg('[I' || rank || '] ' || source_path || ' | ' || coalesce(section, '') || ' | ' || image_path || chr(10) || caption, chr(10) || chr(10) ORDER BY rank) AS t FROM (
+                SELECT w.question_id, p.*, row_number() OVER (PARTITION BY w.question_id ORDER BY round(list_cosine_similarity(p.embedding::DOUBLE[], w.embedding::DOUBLE[]), 6) DESC, image_id) AS rank
+                FROM ({PICTURES}) p, w WHERE w.question_id % 100 = 0) WHERE rank <= 2 GROUP BY 1
+        )
+        SELECT question_id, 'User question:' || chr(10) || question || chr(10) || chr(10) || 'Retrieved context:' || chr(10) || s.t || chr(10) || chr(10) || 'Relevant images:' || chr(10) || coalesce(i.t, 'None') AS prompt
+        FROM ({ASKED}) JOIN s USING (question_id) LEFT JOIN i USING (question_id)
+    """,
+    "doc_upsert_times": """
+        WITH new AS (SELECT doc_id * 2 AS doc_id FROM labels)
+        SELECT doc_id, lang, make_timestamp(doc_id * 1000000) AS created_at, make_timestamp(doc_id * 1000000) AS updated_at FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new)
+        UNION ALL SELECT n.doc_id, 'xx', make_timestamp(coalesce(d.doc_id, 5000) * 1000000), make_timestamp(1000000::BIGINT * 1000000) FROM new n LEFT JOIN documents d ON d.doc_id = n.doc_id
+    """,
+    "file_digests": "SELECT doc_id, sha1(coalesce(text, '')) AS digest, sha256(coalesce(text, '')) AS checksum FROM documents",
+    "counts_of_any": "SELECT 'documents' AS name, count(*) AS n_rows FROM documents UNION ALL SELECT 'no_such_table', 0 UNION ALL SELECT 'labels', count(*) FROM labels",
     "unique_images": "SELECT p_brand, p_type AS digest, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2",
     "image_captions": f"""
         SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_name WHEN n <= 4 THEN 'seen ' || image_path WHEN p_size % 5 > 0 THEN 'Image from ' || p_type ELSE 'Document image' END AS caption_text

@@ -85,6 +85,37 @@ def multi_query_merge_many(spark, d):
     return found.select("question_id", "chunk_id", "score", F.size("matched_queries").alias("n_queries"))
 
 
+@query
+def image_search_filtered(spark, d):
+    """Every fiftieth vector against the images of documents in two languages, which play kinds of files."""
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
+    pictures = docs.select(F.col("doc_id").alias("image_id"), (F.col("doc_id") * 7 % 1000).alias("document_id"))
+    owners = docs.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("file_type"))
+    rows = retrieval.image_vectors(pictures, vectors.select(F.col("vec_id").alias("image_id"), "embedding"), owners, ["de", "fr"])
+    asked = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return retrieval.search_many(rows, asked, retrieval.image_width(K, 4), "image_id", "query_id").join(rows.select("image_id", "document_id", "file_type"), "image_id")
+
+
+@query
+def table_search(spark, d):
+    """Every fiftieth vector against one table of texts and vectors, with the beginning of each text."""
+    rows = views.chunks(spark, d).select("doc_id", "text", "embedding")
+    asked = table(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    found = retrieval.matched_texts(retrieval.search_many(rows, asked, 12, "doc_id", "query_id"), rows, "doc_id", "text")
+    return found.select("query_id", "rank", "doc_id", "score", F.sha2("text", 256).alias("shown"))
+
+
+@query
+def prompts_by_question(spark, d):
+    """Prompts of every question, from the nearest chunks and images of its first wording."""
+    asked = views.asked(spark, d).select("question_id", "question")
+    first = views.wordings(spark, d).where("variant = 0").select("question_id", "query_embedding")
+    chunks, pictures = views.stored_chunks(spark, d), views.stored_images(spark, d)
+    best = retrieval.search_many(chunks, first, 3, "chunk_id", "question_id").join(chunks.drop("embedding"), "chunk_id")
+    seen = retrieval.search_many(pictures, first.where(F.col("question_id") % 100 == 0), 2, "image_id", "question_id").join(pictures.drop("embedding"), "image_id")
+    return ranking.prompts(asked, best, seen)
+
+
 @query
 def answers_by_question(spark, d):
     """Chunks and images for every question of a table, from search to consolidation and images."""
@@ -686,6 +717,27 @@ def doc_upsert(spark, d):
     return catalog.upsert(old, new, "doc_id")
 
 
+@query
+def doc_upsert_times(spark, d):
+    """Rows that are replaced keep the time of their making and get that of the change."""
+    at = lambda s: F.timestamp_seconds(s)
+    old = table(spark, d, "documents").select("doc_id", "lang", at(F.col("doc_id")).alias("created_at"), at(F.col("doc_id")).alias("updated_at"))
+    new = table(spark, d, "labels").select((F.col("doc_id") * 2).alias("doc_id"), F.lit("xx").alias("lang"), at(F.lit(5_000)).alias("created_at"))
+    return catalog.upsert(old, new, "doc_id", "created_at", "updated_at", at(F.lit(1_000_000)))
+
+
+@query
+def file_digests(spark, d):
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return table(spark, d, "documents").select("doc_id", catalog.file_digest(content).alias("digest"), F.sha2(content, 256).alias("checksum"))
+
+
+@query
+def counts_of_any(spark, d):
+    """Rows of tables, also of one that is not there."""
+    return catalog.counts({n: catalog.table_or_none(spark, f"{d}/{n}.parquet") for n in ("documents", "no_such_table", "labels")})
+
+
 @query
 def doc_replace(spark, d):
     old = table(spark, d, "conversations").select("conv_id", "turn", "role")
