@@ -25,14 +25,26 @@ def image_width(k: int, images: int) -> int:
     return min(2 * images, 2 * k)
 
 
+#: Queries that are sent to all tasks at once; more are dealt into blocks of about so many.
+SENT_QUERIES = 64
+
+
 def scored(vectors: DataFrame, queries: DataFrame, embedding: str = "embedding", query_embedding: str = "query_embedding") -> DataFrame:
     """Every vector with its score for every query.
 
-    The queries are the small side, of a few vectors for one request; each vector is read once
-    and meets all of them in one row, so no pair crosses the network.
+    The few queries of one request are packed into one row, counted before it is broadcast; each
+    vector is read once and meets all of them there. More queries than SENT_QUERIES are packed by
+    block, and vectors meet the blocks in a shuffled join. ``search_many`` is for what keeps only the best.
     """
-    packed = queries.agg(F.collect_list(F.struct(*queries.columns)).alias("_queries"))
-    met = vectors.crossJoin(F.broadcast(packed)).withColumn("_query", F.explode("_queries"))
+    blocks = -(-queries.count() // SENT_QUERIES)
+    packed = F.collect_list(F.struct(*queries.columns)).alias("_queries")
+    if blocks <= 1:
+        met = vectors.crossJoin(F.broadcast(queries.agg(packed)))
+    else:
+        dealt = queries.withColumn("_block", F.pmod(F.xxhash64(*[F.col(c) for c in queries.columns]), F.lit(blocks)).cast("int"))
+        every = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = every.join(dealt.groupBy("_block").agg(packed).hint("merge"), "_block").drop("_block")
+    met = met.withColumn("_query", F.explode("_queries"))
     score = F.round(V.cosine(F.col(embedding), F.col(f"_query.{query_embedding}")), DIGITS)
     kept = [c for c in vectors.columns if c != embedding]
     asked = [F.col(f"_query.{c}").alias(c) for c in queries.columns if c != query_embedding]

@@ -141,6 +141,14 @@ def test_search_in_blocks_equals_brute_force(spark, monkeypatch, vectors, asked)
     assert retrieval.search_many(v.limit(0), q, 5, "k", "query").count() == 0 == retrieval.search_many(v, q.limit(0), 5, "k", "query").count()
 
 
+def test_scores_are_the_same_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(12)], "k int, embedding array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(7)], "query_id int, query_embedding array<float>")
+    whole = sorted(map(tuple, retrieval.scored(v, q).collect()))
+    monkeypatch.setattr(retrieval, "SENT_QUERIES", 2)
+    assert sorted(map(tuple, retrieval.scored(v, q).collect())) == whole and len(whole) == 84
+
+
 def answered(spark, questions, links):
     """Three chunks and three images on a line of vectors, asked at their ends."""
     at = lambda x: [math.cos(x), math.sin(x)]
