@@ -330,6 +330,23 @@ def region_types(rows: DataFrame, sheet: list[str], row: str = "row_no", cells:
     return kinds.select(*sheet, "region", "first_row", "last_row", "n_rows", kind.alias("region_type"))
 
 
+# Words of a title of pairs, headers that a table's title shows, and characters of them.
+TITLE_WORDS, TITLE_HEADERS, TITLE_LENGTH = 6, 3, 48
+
+
+def region_titles(rows: DataFrame, types: DataFrame, sheet: list[str], name: str, row: str = "row_no", cells: str = "cells") -> DataFrame:
+    """(sheet, region, title) of the regions of sheets called ``name``: a short first entry or the sheet's
+    details for pairs, the number and, if they are short, the first headers for a table."""
+    values = F.filter(F.transform(F.min_by(cells, row), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    first = rows.groupBy(*sheet, "region").agg(values.alias("_first"))
+    told = types.select(*sheet, name, "region", "region_type") if name not in sheet else types.select(*sheet, "region", "region_type")
+    number = (F.col("region") + 1).cast("string")
+    entry, shown = F.get("_first", F.lit(0)), F.array_join(F.slice("_first", 1, TITLE_HEADERS), ", ")
+    pairs = F.when(F.size(T.words(entry)) <= TITLE_WORDS, entry).otherwise(F.concat(F.col(name).cast("string"), F.lit(" Details "), number))
+    table = F.concat(F.lit("Table "), number, F.when((shown != "") & (F.char_length(shown) <= TITLE_LENGTH), F.concat(F.lit(": "), shown)).otherwise(""))
+    return told.join(first, [*sheet, "region"]).select(*sheet, "region", F.when(F.col("region_type") == "key_value", pairs).otherwise(table).alias("title"))
+
+
 def row_text(headers: Column, cells: Column) -> Column:
     """``header: value | header: value``; a missing header is ``column_i``, blank cells are left out."""
     named = F.transform(

@@ -974,3 +974,9 @@ ORACLE["image_anchors"] = rf"""
                        WHEN block_type = 'step' THEN 3 WHEN block_type NOT IN ('heading', 'table') THEN 4 END AS rank FROM ({ORACLE["page_units"]}))
     WHERE rank IS NOT NULL GROUP BY 1, 2
 """
+ORACLE["region_titles"] = f"""
+    SELECT l_orderkey, region, CASE WHEN region_type = 'key_value' THEN flag ELSE 'Table ' || (region + 1) || ': ' || flag || ', ' || quantity || taxed END AS title
+    FROM ({ORACLE["regions"]}) r JOIN (
+        SELECT l_orderkey, l_linenumber AS first_row, max(l_returnflag) AS flag, CASE WHEN max(l_quantity) > 25 THEN max(l_quantity)::INT::VARCHAR ELSE 'few' END AS quantity,
+               CASE WHEN max(l_tax) > 0.04 THEN ', taxed' ELSE '' END AS taxed FROM lineitem GROUP BY 1, 2) USING (l_orderkey, first_row)
+"""

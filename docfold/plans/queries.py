@@ -645,13 +645,22 @@ def image_prune(spark, d):
     return images.drop_reasons(sized, "p_brand").select("p_partkey", "drop_reason")
 
 
-@query
-def regions(spark, d):
+def _sheet_rows(spark, d) -> DataFrame:
     """Line items as rows of a sheet for each order; a returned item's row is empty."""
     items = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("row_no")).agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"), F.max("l_tax").alias("tax"))
     full = F.array("flag", F.when(F.col("quantity") > 25, F.col("quantity").cast("int").cast("string")).otherwise("few"), F.when(F.col("tax") > 0.04, "taxed").otherwise(" "))
-    rows = items.select("l_orderkey", "row_no", F.when(F.col("flag") == "R", F.array(F.lit(""), F.lit(" "))).otherwise(full).alias("cells"))
-    return structure.region_types(structure.regions(rows, ["l_orderkey"]), ["l_orderkey"])
+    return items.select("l_orderkey", "row_no", F.when(F.col("flag") == "R", F.array(F.lit(""), F.lit(" "))).otherwise(full).alias("cells"))
+
+
+@query
+def regions(spark, d):
+    return structure.region_types(structure.regions(_sheet_rows(spark, d), ["l_orderkey"]), ["l_orderkey"])
+
+
+@query
+def region_titles(spark, d):
+    placed = structure.regions(_sheet_rows(spark, d), ["l_orderkey"])
+    return structure.region_titles(placed, structure.region_types(placed, ["l_orderkey"]), ["l_orderkey"], "l_orderkey")
 
 
 @query

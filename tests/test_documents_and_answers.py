@@ -272,3 +272,32 @@ def test_segments_become_blocks_where_there_are_none(spark):
     )
     got = [tuple(r) for r in chunking.materialized(blocks, segments, "d").orderBy("d", "order_index").collect()]
     assert got == [(1, "b", "paragraph", 0, "2) own", "2)"), (2, "s0", "code", 0, "y", ""), (2, "s1", "step", 1, " 1. go", "1."), (2, "s2", "paragraph", 2, "z", "")]
+
+
+def test_titles_of_regions(spark):
+    rows = [(1, "S", 1, ["Owner", "x"]), (1, "S", 2, ["City", "y"]), (1, "S", 4, ["one two three four five six seven", "z"]), (1, "S", 5, ["a", "b"]), (1, "S", 7, ["Month", "", "Sum"]), (1, "S", 8, ["May", "", "3"]),
+            (1, "S", 10, ["h" * 30, "h" * 30]), (1, "S", 11, ["1", "2"])]
+    placed = structure.regions(spark.createDataFrame(rows, "d int, sheet string, row_no int, cells array<string>"), ["d", "sheet"])
+    types = structure.region_types(placed, ["d", "sheet"])
+    got = {r["region"]: r["title"] for r in structure.region_titles(placed, types, ["d", "sheet"], "sheet").collect()}
+    assert got == {0: "Owner", 1: "S Details 2", 2: "Table 3: Month, Sum", 3: "Table 4"}
+
+
+def test_prompts_name_what_is_missing(spark):
+    from docfold.operators import ranking
+
+    asked = spark.createDataFrame([(1, "Why?"), (2, "How?")], "question_id int, question string")
+    chunks = spark.createDataFrame([(1, 2, "T", ["A", "B"], "p", "two"), (1, 1, "U", ["C"], "q", "one")], "question_id int, rank int, title string, section_path array<string>, source_path string, content string")
+    images = spark.createDataFrame([(1, 1, "p", ["A"], "i.png", None)], "question_id int, rank int, source_path string, section_path array<string>, image_path string, caption_text string")
+    got = {r["question_id"]: r["prompt"] for r in ranking.prompts(asked, chunks, images).collect()}
+    assert got[1] == "User question:\nWhy?\n\nRetrieved context:\n[S1] U | C | q\none\n\n[S2] T | A > B | p\ntwo\n\nRelevant images:\n[I1] p | A | i.png\n"
+    assert got[2] == "User question:\nHow?\n\nRetrieved context:\nNo matching text context.\n\nRelevant images:\nNone"
+
+
+def test_rewrites_leave_out_the_question(spark):
+    from docfold.functions import arabic
+    from docfold.functions import text as T
+
+    row = spark.createDataFrame([("1. Straße?\n- STRASSE?\n* \"Other one\"\nother ONE\nlast", "strasse?", "a b\r\n\r\n\r\n٪05  (x )")], "t string, q string")
+    got = row.select(T.cleaned_list(F.col("t"), 3, asked=F.col("q")).alias("l"), arabic.normalize_text("q").alias("plain"), arabic.normalize_text("t").alias("same")).first()
+    assert got["l"] == ["Other one", "last"] and got["plain"] == "strasse?"
