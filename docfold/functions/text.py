@@ -180,8 +180,8 @@ def embedding_text(title: Column, section_path: Column, kind: Column, location:
 
 
 def casefolded(text: Column) -> Column:
-    """A text for comparison whatever its case; letters that are two in capitals are two here."""
-    return F.lower(F.upper(text))
+    """A text for comparison whatever its case; the sharp s, which is two letters in capitals, is two here."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
 def cleaned_list(text: Column, most: int, question: bool = False, asked: Column | None = None) -> Column:
