@@ -340,14 +340,14 @@ def pardon(blocks: list[Block], bads: list[Bad], kept: list[bool]) -> bool:
 
 def last_resort(bads: list[Bad]) -> bool:
     """On a page without good blocks, pardon its fullest element that is built like an article, or
-    that has several paragraphs, or of a named one a long one; whether there is any.
+    that has a long paragraph or, unless it is a notice, several; whether there is any.
 
     Named elements inside it are pardoned where they hold nearly all of it.
     """
 
     def fits(bad: Bad) -> bool:
         some = bad.kind != NOTICE and bad.paragraphs >= PARAGRAPHS
-        return bad.kind != READER and (bad.built or some or (bad.kind == NAMED and bad.long > 0))
+        return bad.kind != READER and (bad.built or some or bad.long > 0)
 
     fit = [bad for bad in bads if fits(bad)]
     if not fit:
