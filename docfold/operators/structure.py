@@ -129,13 +129,13 @@ def typed_blocks(lines: DataFrame, doc: str) -> DataFrame:
 
 
 def block_artifacts(text: Column) -> Column:
-    """Anchors, image references, directives, equation labels and inline formulas of a block."""
+    """Anchors, image references, directives, equation labels and inline formulas of a block; LF ends its lines."""
     every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     return F.struct(
-        every(r"(?m)^\s*\.\. _([^:]+):\s*$").alias("anchors"),
-        every(r"(?m)^\s*\.\. (?:image|figure)::\s*(\S+)").alias("image_refs"),
-        F.array_distinct(every(r"(?m)^\s*\.\. ([a-z-]+)::")).alias("directives"),
-        every(r"(?m)^\s*:label:\s*(\S+)").alias("equation_labels"),
+        every(r"(?md)^\s*\.\. _([^:]+):\s*$").alias("anchors"),
+        every(r"(?md)^\s*\.\. (?:image|figure)::\s*(\S+)").alias("image_refs"),
+        F.array_distinct(every(r"(?md)^\s*\.\. ([a-z-]+)::")).alias("directives"),
+        every(r"(?md)^\s*:label:\s*(\S+)").alias("equation_labels"),
         T.inline_math_count(text).alias("inline_math"),
     )
 
@@ -443,7 +443,7 @@ def parse_stats(blocks: DataFrame, doc: str, text: str = "text") -> DataFrame:
     each as often as it is referred to."""
     parts = block_artifacts(F.col(text))
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
-    return blocks.select(doc, parts.alias("p"), F.regexp_count(text, F.lit(r"(?m)^[ \t]*\.\. math::[ \t]*$")).alias("math")).agg(
+    return blocks.select(doc, parts.alias("p"), F.regexp_count(text, F.lit(r"(?md)^[ \t]*\.\. math::[ \t]*$")).alias("math")).agg(
         F.countDistinct(doc).alias("documents"), F.count("*").alias("blocks"), total(F.col("p.inline_math"), "math_inline"), total(F.col("math"), "math_block"),
         total(F.size("p.image_refs"), "images"),
     )

@@ -273,9 +273,10 @@ def asked_models(spark: SparkSession, d: str) -> DataFrame:
 def markup(spark: SparkSession, d: str) -> DataFrame:
     """Documents with formulas, images, anchors, labels and code put into their lines."""
     docs = table(spark, d, "documents")
-    text = F.regexp_replace("text", r"\b(of|de|der)\b", ":math:`$1`")
+    # Borders of words and lines are those of the SQL: words are ASCII, and only LF ends a line.
+    text = F.regexp_replace("text", r"(?<![A-Za-z0-9_])(of|de|der)(?![A-Za-z0-9_])", ":math:`$1`")
     for start, put in (("A", ".. math::"), ("E", ".. image:: img/e.png"), ("D", ".. _here:"), ("T", ".. code-block:: sql"), ("L", "   :label: eq")):
-        text = F.regexp_replace(text, rf"(?m)^({start})", f"{put}\n$1")
+        text = F.regexp_replace(text, rf"(?md)^({start})", f"{put}\n$1")
     return docs.select("doc_id", text.alias("text"))
 
 
