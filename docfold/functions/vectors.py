@@ -20,9 +20,23 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def nine_decimals(x: Column) -> Column:
+    """A double with nine decimals, of which a tie gives the even one.
+
+    ``format_string`` rounds ties up. Only odd multiples of 1/1024 end with a 5 at the tenth decimal;
+    their decimals are worked out in whole numbers.
+    """
+    scaled = F.abs(x * 1024)
+    whole = scaled.try_cast("long")
+    kept = F.floor((whole % 1024) * 9765625 / 10)
+    even = F.lpad((kept + kept % 2).cast("string"), 9, "0")
+    tie = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(whole / 1024).cast("string"), F.lit("."), even)
+    return F.when(scaled % 2 == 1, tie).otherwise(F.format_string("%.9f", x))
+
+
 def literal(a: Column) -> Column:
     """``[v1, v2]`` with nine decimals each."""
-    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: F.format_string("%.9f", x.cast("double"))), ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: nine_decimals(x.cast("double"))), ", "), F.lit("]"))
 
 
 def from_literal(text: Column) -> Column:

@@ -35,3 +35,9 @@ def test_borders_of_words_and_lines(spark, markup_dir, name):
 def test_artifacts_of_lines_that_end_with_lf(spark):
     row = spark.createDataFrame([("x\u0085.. image:: a.png\n.. image:: b.png",)], "t string").select(structure.block_artifacts(F.col("t")).alias("p")).first()
     assert row.p.image_refs == ["b.png"]
+
+
+def test_ties_of_nine_decimals(spark):
+    values = [k / 1024 for k in (1, 3, 5, 153, 313, 1023, 1025, -1, -153, 2049)] + [0.0, -0.0, 0.25, 0.1, -1.5, 1e-12, 123456.789, 16383 + 1 / 1024]
+    got = spark.createDataFrame([(values,)], "v array<double>").select(V.literal(F.col("v"))).first()[0]
+    assert got == "[" + ", ".join(f"{x:.9f}" for x in values) + "]"
