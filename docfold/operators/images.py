@@ -36,11 +36,14 @@ def drop_reasons(images: DataFrame, doc: str, repeats: int = REPEATS) -> DataFra
 def prune(blocks: DataFrame, images: DataFrame, doc: str) -> DataFrame:
     """Blocks with the images that stay; figures without text or image left over go, headings stay.
 
-    ``blocks`` has block_type, text and image_ids; ``images`` has image_id and drop_reason.
+    ``blocks`` has block_type, text and image_ids; ``images`` has image_id and drop_reason. Each list of ids
+    meets only those of its own that go, so that a document may have any number of images.
     """
-    gone = images.where("drop_reason is not null").groupBy(doc).agg(F.collect_set("image_id").alias("_gone"))
-    told = blocks.join(gone, doc, "left")
-    left = told.withColumn("image_ids", F.array_except("image_ids", F.coalesce("_gone", F.array().cast("array<string>")))).drop("_gone")
+    gone = images.where("drop_reason is not null").select(doc, F.col("image_id").alias("_id")).distinct()
+    lists = blocks.select(doc, "image_ids").distinct().select(doc, "image_ids", F.explode("image_ids").alias("_id"))
+    lost = lists.join(gone, [doc, "_id"], "left_semi").groupBy(doc, "image_ids").agg(F.collect_set("_id").alias("_gone"))
+    told = blocks.join(lost, [doc, "image_ids"], "left")
+    left = told.withColumn("image_ids", F.when(F.col("_gone").isNull(), F.array_distinct("image_ids")).otherwise(F.array_except("image_ids", "_gone"))).drop("_gone")
     empty = (F.trim(F.coalesce("text", F.lit(""))) == "") & (F.size("image_ids") == 0)
     return left.where((F.col("block_type") == "heading") | ~empty)
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docfold.functions import vectors as V
-from docfold.operators import structure
+from docfold.operators import images, structure
 from docfold.plans.queries import QUERIES
 
 
@@ -41,3 +41,13 @@ def test_ties_of_nine_decimals(spark):
     values = [k / 1024 for k in (1, 3, 5, 153, 313, 1023, 1025, -1, -153, 2049)] + [0.0, -0.0, 0.25, 0.1, -1.5, 1e-12, 123456.789, 16383 + 1 / 1024]
     got = spark.createDataFrame([(values,)], "v array<double>").select(V.literal(F.col("v"))).first()[0]
     assert got == "[" + ", ".join(f"{x:.9f}" for x in values) + "]"
+
+
+def test_pruning_gathers_ids_by_list_not_by_document(spark):
+    pictures = spark.createDataFrame([("d", "a", "small"), ("d", "b", None), ("e", "b", "small"), ("e", "b", "small")], "doc string, image_id string, drop_reason string")
+    rows = [("d", 1, "figure", "", ["a"]), ("d", 2, "figure", " ", ["a", "b", "b"]), ("d", 3, "heading", "", ["a"]), ("d", 4, "figure", "x", ["a"]), ("e", 5, "figure", "", ["b"]), ("e", 6, "figure", "", None), ("f", 7, "figure", None, ["b"])]
+    blocks = spark.createDataFrame(rows, "doc string, n int, block_type string, text string, image_ids array<string>")
+    made = images.prune(blocks, pictures, "doc")
+    assert {r.n: r.image_ids for r in made.collect()} == {2: ["b"], 3: [], 4: [], 7: ["b"]}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert all("image_ids" in line.split("],")[0] for line in plan.splitlines() if "collect_set" in line)
