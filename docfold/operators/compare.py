@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.json import leaves
+from .staging import parts
 
 ISSUES = ["numeric_mismatch", "number_token_mismatch", "word_count_mismatch", "value_mismatch"]
 
@@ -34,19 +35,6 @@ def leaf_rows(results: DataFrame, keys: list[str], json_col: str) -> DataFrame:
     return spread.select(*keys, "leaf.path", "leaf.value")
 
 
-def aligned(rows: DataFrame, group: list[str], model: str, models: DataFrame | None = None) -> DataFrame:
-    """(group, path, model, value, is_present): every path of a group for every model of it.
-
-    ``models`` (group, model) lists the models that were asked, those whose answer had no leaf
-    too; without it a group's models are those that gave leaves.
-    """
-    asked = rows.select(*group, model).distinct() if models is None else models.select(*group, model).distinct()
-    paths = rows.select(*group, "path").distinct()
-    known = rows.withColumn("is_present", F.lit(True))
-    whole = paths.join(asked, group).join(known, [*group, "path", model], "left")
-    return whole.withColumn("is_present", F.coalesce("is_present", F.lit(False)))
-
-
 def consensus(rows: DataFrame, group: list[str], model: str) -> DataFrame:
     """(group, path, consensus_norm, consensus_value, votes): the value that most models give,
     of equally frequent ones the greatest, as the first of its models writes it."""
@@ -58,40 +46,49 @@ def consensus(rows: DataFrame, group: list[str], model: str) -> DataFrame:
     return made.select(*group, "path", F.col("b.norm").alias("consensus_norm"), F.col("b.value").alias("consensus_value"), F.col("b.votes").alias("votes"))
 
 
-def issues(rows: DataFrame, group: list[str], model: str, models: DataFrame | None = None) -> DataFrame:
-    """(group, path, n_missing, issue): how the models' values of a path differ, if they do.
+#: Leaves of one task, when they are sorted by group and path.
+LEAVES = 400_000
 
-    The first that applies: all are numbers and differ; their numbers differ; their word counts
-    differ; their values differ.
-    """
-    whole = aligned(rows, group, model, models)
-    value = F.when(F.col("is_present"), F.coalesce("value", F.lit("")))
-    number, tokens = T.number_or_null(value), F.array_join(T.numbers(value), " ")
 
-    def differ(name: str) -> Column:
-        own = F.when(F.col("is_present"), F.col(name))
-        return F.coalesce(F.min(own) != F.max(own), F.lit(False))
+def _compared(told: DataFrame, keys: list[str], model: str) -> DataFrame:
+    """(keys, path, n_given, issue) from rows with path, value and a model, null where a leaf does not count.
 
-    told = whole.select(
-        *group, "path", "is_present", number.alias("number"), tokens.alias("tokens"), F.size(T.words(value)).alias("n_words"), T.folded(value).alias("norm")
-    )
-    summed = told.groupBy(*group, "path").agg(
-        F.sum((~F.col("is_present")).cast("long")).alias("n_missing"),
-        F.sum(F.col("is_present").cast("long")).alias("n_present"),
-        F.count("number").alias("n_numbers"),
-        differ("number").alias("numbers"),
-        differ("tokens").alias("token_lists"),
-        differ("n_words").alias("word_counts"),
-        differ("norm").alias("norms"),
-    )
+    Each model's leaves of a path are reduced first, so that models are counted without being gathered.
+    """
+    value = F.when(F.col(model).isNotNull(), F.coalesce("value", F.lit("")))
     c = F.col
+    worked = told.withColumn("_value", value).select(
+        *keys, "path", model, T.number_or_null(c("_value")).alias("number"), F.array_join(T.numbers(c("_value")), " ").alias("tokens"),
+        F.size(T.words(c("_value"))).alias("n_words"), T.folded(c("_value")).alias("norm"),
+    )
+    names = ["number", "tokens", "n_words", "norm"]
+    ends = [f(n).alias(f"{n}_{at}") for n in names for f, at in ((F.min, "from"), (F.max, "to"))]
+    each = worked.groupBy(*keys, "path", model).agg(F.count(model).alias("n"), F.count("number").alias("n_numbers"), *ends)
+    differ = lambda n: F.coalesce(F.min(f"{n}_from") != F.max(f"{n}_to"), F.lit(False)).alias(n)
+    summed = each.groupBy(*keys, "path").agg(F.count(model).alias("n_given"), F.sum("n").alias("n"), F.sum("n_numbers").alias("n_numbers"), *[differ(n) for n in names])
     issue = (
-        F.when((c("n_numbers") == c("n_present")) & c("numbers"), ISSUES[0])
-        .when(c("token_lists"), ISSUES[1])
-        .when(c("norms") & c("word_counts"), ISSUES[2])
-        .when(c("norms"), ISSUES[3])
+        F.when((c("n_numbers") == c("n")) & c("number"), ISSUES[0])
+        .when(c("tokens"), ISSUES[1])
+        .when(c("norm") & c("n_words"), ISSUES[2])
+        .when(c("norm"), ISSUES[3])
     )
-    return summed.select(*group, "path", "n_missing", issue.alias("issue"))
+    return summed.select(*keys, "path", "n_given", issue.alias("issue"))
+
+
+def issues(rows: DataFrame, group: list[str], model: str, models: DataFrame | None = None) -> DataFrame:
+    """(group, path, n_missing, issue): how the models' values of a path differ, if they do.
+
+    The first that applies: all are numbers and differ; their numbers differ; their word counts
+    differ; their values differ. ``models`` (group, model) lists the models that were asked, those whose
+    answer had no leaf too; without it a group's models are those that gave leaves. A path is
+    missing from those of them that gave no leaf for it; other models' leaves do not count.
+    """
+    n = parts(rows, LEAVES)
+    leaves = rows.select(*group, "path", model, "value").repartition(n, *group)
+    asked = (leaves if models is None else models.repartition(n, *group)).groupBy(*group).agg(F.collect_set(model).alias("_asked"))
+    told = leaves.join(asked.hint("merge"), group).withColumn(model, F.when(F.array_contains("_asked", F.col(model)), F.col(model)))
+    found = _compared(told.withColumn("_n", F.size("_asked").cast("long")), [*group, "_n"], model)
+    return found.select(*group, "path", (F.col("_n") - F.col("n_given")).alias("n_missing"), "issue")
 
 
 ANSWER = "struct<model:string,value:string,norm:string,number:double,tokens:string,n_words:int>"
@@ -156,27 +153,25 @@ def model_summary(rows: DataFrame, group: list[str], model: str, models: DataFra
     return made.withColumn("place", F.row_number().over(order))
 
 
-def comparable(models: DataFrame, group: list[str]) -> DataFrame:
-    """(group, n_asked, n_parsed, available) from the models that were asked (group, model, parsed).
-
-    A group can be compared if at least two models' answers were parsed, whether they had leaves or not.
-    """
-    parsed = F.sum(F.when(F.col("parsed"), 1).otherwise(0)).cast("long")
-    return models.groupBy(*group).agg(F.count("*").alias("n_asked"), parsed.alias("n_parsed")).withColumn("available", F.col("n_parsed") >= 2)
-
-
 def gated_issues(rows: DataFrame, models: DataFrame, group: list[str], model: str) -> DataFrame:
     """(group, available, path, n_missing, issue) of every group of asked models.
 
-    Groups that can't be compared have one row without path. In the others a model whose answer
+    A group can be compared if at least two models' answers were parsed, whether they had leaves or not;
+    one that can't be has one row without path. In the others a model whose answer
     was not parsed is missing on every path, and leaves of such a model do not count.
     """
-    gate = comparable(models, group)
-    parsed = models.where("parsed").select(*group, model)
-    open_groups = gate.where("available").select(*group)
-    leaves = rows.join(parsed, [*group, model], "left_semi").join(open_groups, group, "left_semi")
-    found = issues(leaves, group, model, models.join(open_groups, group, "left_semi"))
-    return gate.select(*group, "available").join(found, group, "left")
+    counted = F.sum(F.when(F.col("parsed"), 1).otherwise(0)) >= 2
+    n = parts(rows, LEAVES)
+    gate = models.repartition(n, *group).groupBy(*group).agg(
+        counted.alias("available"), F.size(F.collect_set(model)).cast("long").alias("_n"), F.collect_set(F.when(F.col("parsed"), F.col(model))).alias("_parsed")
+    )
+    leaves = rows.select(*group, "path", model, "value", F.lit(True).alias("_leaf")).repartition(n, *group)
+    own, given = gate.alias("g"), leaves.alias("l")
+    meets = [F.col(f"g.{k}") == F.col(f"l.{k}") for k in group] + [F.col("available"), F.array_contains("_parsed", F.col(model))]
+    met = own.join(given.hint("merge"), meets, "left").select(*[f"g.{k}" for k in group], "available", "_n", "_leaf", "path", model, "value")
+    found = _compared(met, [*group, "available", "_n", "_leaf"], model)
+    missing = F.when(F.col("_leaf"), F.col("_n") - F.col("n_given"))
+    return found.select(*group, "available", "path", missing.alias("n_missing"), F.when(F.col("_leaf"), F.col("issue")).alias("issue"))
 
 
 def scores(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

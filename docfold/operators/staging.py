@@ -20,3 +20,12 @@ def staged(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def parts(df: DataFrame, most: int) -> int:
+    """Into how many parts ``df`` is dealt so that each holds about ``most`` rows, which are counted.
+
+    Left to itself, Spark joins parts whose rows compress well, until one task sorts many millions of them; parts
+    of a given number stay. All that is joined takes the same number.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // most))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docfold.functions import vectors as V
-from docfold.operators import images, structure
+from docfold.operators import compare, formats, images, structure
 from docfold.plans.queries import QUERIES
 
 
@@ -51,3 +51,14 @@ def test_pruning_gathers_ids_by_list_not_by_document(spark):
     assert {r.n: r.image_ids for r in made.collect()} == {2: ["b"], 3: [], 4: [], 7: ["b"]}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert all("image_ids" in line.split("],")[0] for line in plan.splitlines() if "collect_set" in line)
+
+
+def test_parts_of_issues_follow_the_number_of_leaves(spark, monkeypatch):
+    monkeypatch.setattr(compare, "LEAVES", 5, raising=False)
+    rows = spark.createDataFrame([(g, p, m, f"{g % (3 if m == 'a' else 2)} x") for g in range(8) for p in "pq" for m in "aab"], "g int, path string, model string, value string")
+    models = spark.createDataFrame([(g, m, g != 3 or m == "a") for g in range(9) for m in "abc"], "g int, model string, parsed boolean")
+    found = compare.gated_issues(rows, models, ["g"], "model")
+    assert found.rdd.getNumPartitions() == 10 and compare.issues(rows, ["g"], "model").rdd.getNumPartitions() == 10
+    got = {(r.g, r.path): (r.available, r.n_missing, r.issue) for r in found.collect()}
+    assert got[3, None] == (False, None, None) and got[8, None] == (True, None, None)
+    assert got[2, "p"] == (True, 1, "number_token_mismatch") and got[0, "q"] == (True, 1, None) and len(got) == 16
