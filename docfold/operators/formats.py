@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import chunking, structure
+from .staging import parts
 
 
 # The labels of the texts that are embedded, by kind of document, and what stands for nothing.
@@ -150,6 +151,10 @@ def markup_chunks(lines: DataFrame, doc: str, archetypes: DataFrame, most: int =
     return numbered(made.withColumn("chunk_type", kind), doc, ["heading_line", "window"])
 
 
+#: Rows of sheets of one task.
+SHEET_ROWS = 200_000
+
+
 def sheet_chunks(rows: DataFrame, doc: str, most: int = 220, overlap: int = 40, samples: int = 5, pairs: int = 8) -> DataFrame:
     """A summary of each region, and windows over the rows of tables.
 
@@ -157,29 +162,29 @@ def sheet_chunks(rows: DataFrame, doc: str, most: int = 220, overlap: int = 40,
     lists them and the first ``samples`` rows. A key_value region is its first ``pairs`` pairs.
     """
     keys = [doc, "sheet_name", "region"]
-    placed = structure.regions(rows, keys[:2])
-    types = structure.region_types(placed, keys[:2])
+    n = parts(rows, SHEET_ROWS)
+    placed = structure.with_region_types(structure.regions(rows.repartition(n, doc), keys[:2]), keys[:2])
     values = F.filter("cells", lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
     first = Window.partitionBy(*keys).orderBy("row_no")
-    told = placed.join(types.select(*keys, "region_type"), keys).withColumns({"headers": F.first("cells").over(first), "n": F.row_number().over(first)})
+    told = placed.withColumns({"headers": F.first("cells").over(first), "n": F.row_number().over(first)})
     pair = F.concat_ws(": ", F.get(values, F.lit(0)), F.get(values, F.lit(1)))
     table = F.col("region_type") == "table"
     told = told.withColumn("shown", F.when(table, structure.row_text(F.col("headers"), F.col("cells"))).otherwise(pair))
     lines = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("n", "shown")))), lambda x: x["shown"]), "\n")
     names = F.transform(F.first("headers"), lambda h, i: F.coalesce(F.nullif(F.trim(h), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))))
     summed = told.groupBy(*keys, "region_type").agg(
-        F.array_join(names, ", ").alias("names"), lines((F.col("n") > 1) & (F.col("n") <= samples + 1)).alias("sample"), lines(F.col("n") <= pairs).alias("pairs"), F.count("*").alias("n_rows")
+        F.array_join(names, ", ").alias("names"), lines((F.col("n") > 1) & (F.col("n") <= samples + 1)).alias("sample"), lines(F.col("n") <= pairs).alias("pairs")
     )
     sample = F.when(F.col("sample") != "", F.concat(F.lit("\n\nSample rows:\n"), F.col("sample"))).otherwise("")
     summary = F.when(table, F.concat(F.lit("Headers: "), F.col("names"), sample)).otherwise(F.col("pairs"))
     kind = F.when(table, "table_chunk").otherwise("reference_entry_chunk")
     heads = summed.select(*keys, F.lit(-1).alias("window"), kind.alias("chunk_type"), summary.alias("content"), F.lit(None).cast("bigint").alias("row_start"))
-    data = told.join(summed.select(*keys, "n_rows"), keys).where(table & ((F.col("n") > 1) | (F.col("n_rows") == 1)) & (F.col("shown") != ""))
+    data = told.where(table & ((F.col("n") > 1) | (F.col("n_rows") == 1)) & (F.col("shown") != ""))
     items = data.select(*keys, F.col("row_no").cast("string").alias("block_id"), F.col("row_no").alias("order_index"), F.col("shown").alias("text"))
     windows = chunking.block_windows(items, keys, "order_index", most, overlap)
     start = F.array_min(F.transform("block_ids", lambda b: b.cast("bigint")))
     body = windows.select(*keys, "window", F.lit("row_chunk").alias("chunk_type"), F.replace("content", F.lit("\n\n"), F.lit("\n")).alias("content"), start.alias("row_start"))
-    return numbered(heads.unionByName(body), doc, ["sheet_name", "region", "window"])
+    return numbered(heads.unionByName(body).repartition(n, doc), doc, ["sheet_name", "region", "window"])
 
 
 # Strategies in the order in which they are tried, and the files that they are for.

@@ -292,13 +292,8 @@ def regions(rows: DataFrame, sheet: list[str], row: str = "row_no", cells: str =
     return filled.withColumn("_start", starts).withColumn("region", F.sum("_start").over(order) - 1).drop("_start")
 
 
-def region_types(rows: DataFrame, sheet: list[str], row: str = "row_no", cells: str = "cells") -> DataFrame:
-    """table or key_value for each region, from its first row and the counts of filled cells.
-
-    Pairs without numbers behind a first row of two cells are key_value. Else rows as wide as a
-    first row of two cells or more, at least half of them, make a table. Else rows of one or two
-    cells that begin with a text, but for one row at most, are key_value. All else is a table.
-    """
+def _told_regions(rows: DataFrame, sheet: list[str], row: str, cells: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows with what tells regions apart, and the sums over a region that its type follows from."""
     values = F.filter(F.transform(cells, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
     number = F.exists(F.slice(values, 2, 10_000), lambda x: F.rlike(F.replace(x, F.lit(","), F.lit("")), F.lit(r"^[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?$")))
     first = Window.partitionBy(*sheet, "region").orderBy(row)
@@ -309,25 +304,49 @@ def region_types(rows: DataFrame, sheet: list[str], row: str = "row_no", cells:
         "_n": F.row_number().over(first),
     })
     data = F.col("_n") > 1
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    kinds = told.groupBy(*sheet, "region").agg(
-        F.min(row).alias("first_row"),
-        F.max(row).alias("last_row"),
-        F.count("*").alias("n_rows"),
-        F.max("_head").alias("_head"),
-        count(data & (F.col("populated") > 2)).alias("_wide"),
-        count(data & F.col("_number")).alias("_numbers"),
-        count(data & (F.col("populated") == F.col("_head"))).alias("_same"),
-        count(F.col("populated") <= 2).alias("_narrow"),
-        count(F.col("_named")).alias("_named"),
-    )
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sums = {
+        "first_row": F.min(row),
+        "last_row": F.max(row),
+        "n_rows": F.count("*"),
+        "_head": F.max("_head"),
+        "_wide": count(data & (F.col("populated") > 2)),
+        "_numbers": count(data & F.col("_number")),
+        "_same": count(data & (F.col("populated") == F.col("_head"))),
+        "_narrow": count(F.col("populated") <= 2),
+        "_named": count(F.col("_named")),
+    }
+    return told, sums
+
+
+def _region_type() -> Column:
     c = F.col
     n_data, most = c("n_rows") - 1, F.greatest(F.lit(1), c("n_rows") - 1)
     pairs = (c("_head") == 2) & (n_data > 0) & (c("_wide") == 0) & (c("_numbers") == 0)
     table = (c("_head") >= 2) & (n_data > 0) & (c("_same") >= F.greatest(F.lit(1), F.floor(n_data / 2)))
     narrow = (c("_narrow") >= most) & (c("_named") >= most)
-    kind = F.when(pairs, "key_value").when(table, "table").when(narrow, "key_value").otherwise("table")
-    return kinds.select(*sheet, "region", "first_row", "last_row", "n_rows", kind.alias("region_type"))
+    return F.when(pairs, "key_value").when(table, "table").when(narrow, "key_value").otherwise("table")
+
+
+def region_types(rows: DataFrame, sheet: list[str], row: str = "row_no", cells: str = "cells") -> DataFrame:
+    """table or key_value for each region, from its first row and the counts of filled cells.
+
+    Pairs without numbers behind a first row of two cells are key_value. Else rows as wide as a
+    first row of two cells or more, at least half of them, make a table. Else rows of one or two
+    cells that begin with a text, but for one row at most, are key_value. All else is a table.
+    """
+    told, sums = _told_regions(rows, sheet, row, cells)
+    kinds = told.groupBy(*sheet, "region").agg(*[c.alias(name) for name, c in sums.items()])
+    return kinds.select(*sheet, "region", "first_row", "last_row", "n_rows", _region_type().alias("region_type"))
+
+
+def with_region_types(rows: DataFrame, sheet: list[str], row: str = "row_no", cells: str = "cells") -> DataFrame:
+    """Rows with the region_type and n_rows of their region, found in windows, without a join."""
+    told, sums = _told_regions(rows, sheet, row, cells)
+    whole = Window.partitionBy(*sheet, "region").orderBy(row).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = told.select("*", *[c.over(whole).alias(f"_r{name}") for name, c in sums.items()])
+    kept = named.select(*rows.columns, *[F.col(f"_r{name}").alias(name) for name in sums])
+    return kept.withColumn("region_type", _region_type()).select(*rows.columns, "region_type", "n_rows")
 
 
 # Words of a title of pairs, headers that a table's title shows, and characters of them.

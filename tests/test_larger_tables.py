@@ -62,3 +62,14 @@ def test_parts_of_issues_follow_the_number_of_leaves(spark, monkeypatch):
     got = {(r.g, r.path): (r.available, r.n_missing, r.issue) for r in found.collect()}
     assert got[3, None] == (False, None, None) and got[8, None] == (True, None, None)
     assert got[2, "p"] == (True, 1, "number_token_mismatch") and got[0, "q"] == (True, 1, None) and len(got) == 16
+
+
+def test_sheets_are_shuffled_by_document_in_counted_parts(spark, monkeypatch):
+    monkeypatch.setattr(formats, "SHEET_ROWS", 10, raising=False)
+    rows = spark.createDataFrame([(d, s, r, [f"h{r}", str(r), "x"]) for d in range(10) for s in "st" for r in (1, 2, 3, 5, 6)], "doc int, sheet_name string, row_no int, cells array<string>")
+    made = formats.sheet_chunks(rows, "doc")
+    assert made.rdd.getNumPartitions() == 10
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    got = [(r.sheet_name, r.region, r.window, r.chunk_index) for r in made.where("doc = 3").orderBy("chunk_index").collect()]
+    assert got == [(s, g, w, i) for i, (s, g, w) in enumerate((s, g, w) for s in "st" for g in (0, 1) for w in (-1, 0))]
