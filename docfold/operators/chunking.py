@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +119,15 @@ def line_overlap_windows(blocks: Column, most: int, overlap: int) -> Column:
 
 
 def _any_word(text: Column, words: list[str]) -> Column:
-    return F.rlike(text, F.lit("|".join(words)))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def archetypes(blocks: DataFrame, doc: str) -> DataFrame:
     """(doc, archetype) from blocks (block_type, text, sheet_name, slide_number, n_images)."""
-    low = F.lower(F.coalesce("text", F.lit("")))
+    low = F.col("_low")
     ever = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     kind = F.col("block_type")
-    told = blocks.groupBy(doc).agg(
+    told = blocks.withColumn("_low", F.lower(F.coalesce("text", F.lit("")))).groupBy(doc).agg(
         ever(F.col("sheet_name").isNotNull() | kind.isin(TABLES)).alias("tabular"),
         ever(F.col("slide_number").isNotNull()).alias("slides"),
         ever(kind.isin(PICTURES) | (F.col("n_images") > 0)).alias("pictures"),
@@ -156,14 +158,19 @@ def group_blocks(blocks: DataFrame, doc: str) -> DataFrame:
     after them. A step or list item takes what follows in its section up to the next one; prose
     of merging kinds of documents takes what follows up to a step or table; elsewhere a figure or
     caption takes the next block. What a block may take depends on the block that leads its group
-    alone, so one fold over a document's blocks carries that leader along.
+    alone, so one fold over a document's blocks carries that leader along. A document's blocks are
+    gathered once and leave with their numbers, partitioned by document, so that what follows shuffles nothing.
     """
     leader = "struct<kind:string,path:string,mode:string>"
     # Numbers are gathered in parts, so that a step copies no more than one part.
     part = "array<int>"
     path = F.array_join(F.coalesce("section_path", F.array().cast("array<string>")), "\x1f")
     row = F.struct(F.col("order_index").alias("o"), F.col("block_type").alias("kind"), path.alias("path"), F.col("archetype").alias("archetype"))
-    whole = blocks.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # Both lists are in the same order; the places of the sorted ones lead from one to the other.
+    kept = F.struct(*[c for c in blocks.columns if c != doc])
+    whole = blocks.groupBy(doc).agg(F.collect_list(kept).alias("kept"), F.collect_list(row).alias("told"))
+    places = F.transform(F.array_sort(F.transform("told", lambda r, i: F.struct(r["o"].alias("o"), i.alias("i")))), lambda x: x["i"])
+    whole = whole.withColumn("places", places).withColumn("rows", F.transform("places", lambda i: F.get("told", i)))
     state = F.struct(
         F.array().cast(f"array<{part}>").alias("out"), F.array().cast(part).alias("now"), F.lit(-1).alias("g"), F.lit(None).cast(leader).alias("lead"), F.lit(False).alias("pending")
     )
@@ -197,9 +204,9 @@ def group_blocks(blocks: DataFrame, doc: str) -> DataFrame:
         return F.struct(out.alias("out"), now.alias("now"), g.alias("g"), lead.cast(leader).alias("lead"), heading.alias("pending"))
 
     gathered = F.aggregate("rows", state, add, lambda s: F.flatten(F.concat(s["out"], F.array(s["now"]))))
-    pairs = whole.select(doc, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["o"]).alias("o"), gathered.alias("g"))).alias("p"))
-    numbered = pairs.select(doc, F.col("p.o").cast("bigint").alias("order_index"), F.col("p.g").alias("group"))
-    return blocks.join(numbered, [doc, "order_index"])
+    numbered = F.zip_with("places", "groups", lambda i, g: F.struct(F.get("kept", i).alias("row"), g.alias("group")))
+    spread = whole.withColumn("groups", gathered).select(doc, F.explode(numbered).alias("b"))
+    return spread.select(doc, "b.row.*", "b.group")
 
 
 def chunk_type(kinds: Column, archetype: Column, has_slide: Column) -> Column:
@@ -224,11 +231,12 @@ def chunk_type(kinds: Column, archetype: Column, has_slide: Column) -> Column:
     )
 
 
-def group_rows(blocks: DataFrame, doc: str, title: str) -> DataFrame:
-    """One row for each group: its blocks' ids and types, first path, last title, text and type."""
+def group_rows(blocks: DataFrame, doc: str, title: str, attributes: bool = False) -> DataFrame:
+    """One row for each group: its blocks' ids and types, first path, last title, text and type, and
+    with ``attributes`` what ``group_attributes`` gives, gathered in the same grouping."""
     row = F.struct("order_index", "block_id", "block_type", "text", "title", "section_path", "slide_number")
     whole = blocks.groupBy(doc, "group").agg(
-        F.array_sort(F.collect_list(row)).alias("rows"), F.first("archetype").alias("archetype"), F.first(title).alias("_document_title")
+        F.array_sort(F.collect_list(row)).alias("rows"), F.first("archetype").alias("archetype"), F.first(title).alias("_document_title"), *([_attribute_rows()] if attributes else [])
     )
     path = F.coalesce(F.filter("rows", lambda r: F.size(r["section_path"]) > 0)[0]["section_path"], F.array("_document_title"))
     named = F.filter("rows", lambda r: F.coalesce(r["title"], F.lit("")) != "")
@@ -245,6 +253,7 @@ def group_rows(blocks: DataFrame, doc: str, title: str) -> DataFrame:
         own.alias("chunk_title"),
         F.array_join(texts, "\n\n").alias("content"),
         chunk_type(kinds, F.col("archetype"), F.exists("rows", lambda r: r["slide_number"].isNotNull())).alias("chunk_type"),
+        *(_merged_attributes() if attributes else []),
     )
 
 
@@ -286,6 +295,23 @@ def first_of(items: Column, key) -> Column:
     return T.once(F.transform(items, key), lambda keys: F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1))
 
 
+def _attribute_rows() -> Column:
+    row = F.struct("order_index", "anchor", "language_tags", "metadata", "images")
+    return F.array_sort(F.collect_list(row), lambda a, b: (a["order_index"] - b["order_index"]).cast("int")).alias("_attributes")
+
+
+def _merged_attributes() -> list[Column]:
+    every = lambda name: F.filter(F.transform("_attributes", lambda r: r[name]), lambda x: x.isNotNull())
+    said = F.filter(every("anchor"), lambda a: F.coalesce(T.location_hint(a), F.lit("")) != "")
+    images = first_of(F.flatten(every("images")), lambda x: F.coalesce(F.nullif(x["image_id"], F.lit("")), x["image_path"]))
+    return [
+        F.get(said, F.lit(0)).alias("anchor"),
+        F.array_distinct(F.flatten(every("language_tags"))).alias("own_languages"),
+        last_wins(every("metadata")).alias("own_metadata"),
+        images.alias("images"),
+    ]
+
+
 def group_attributes(blocks: DataFrame, doc: str) -> DataFrame:
     """(doc, group, anchor, own_languages, own_metadata, images) of groups of blocks.
 
@@ -294,19 +320,8 @@ def group_attributes(blocks: DataFrame, doc: str) -> DataFrame:
     that says anything, languages are distinct in their order, later metadata replaces earlier,
     and of images with one id, or one path where there is no id, the first stays.
     """
-    row = F.struct("order_index", "anchor", "language_tags", "metadata", "images")
-    whole = blocks.groupBy(doc, "group").agg(F.array_sort(F.collect_list(row), lambda a, b: (a["order_index"] - b["order_index"]).cast("int")).alias("rows"))
-    every = lambda name: F.filter(F.transform("rows", lambda r: r[name]), lambda x: x.isNotNull())
-    said = F.filter(every("anchor"), lambda a: F.coalesce(T.location_hint(a), F.lit("")) != "")
-    images = first_of(F.flatten(every("images")), lambda x: F.coalesce(F.nullif(x["image_id"], F.lit("")), x["image_path"]))
-    return whole.select(
-        doc,
-        "group",
-        F.get(said, F.lit(0)).alias("anchor"),
-        F.array_distinct(F.flatten(every("language_tags"))).alias("own_languages"),
-        last_wins(every("metadata")).alias("own_metadata"),
-        images.alias("images"),
-    )
+    whole = blocks.groupBy(doc, "group").agg(_attribute_rows())
+    return whole.select(doc, "group", *_merged_attributes())
 
 
 def chunk_rows(blocks: DataFrame, documents: DataFrame, doc: str, title: str = "document_title", most: int = 220, overlap: int = 40) -> DataFrame:
@@ -318,13 +333,13 @@ def chunk_rows(blocks: DataFrame, documents: DataFrame, doc: str, title: str = "
     """
     kinds = archetypes(blocks, doc)
     grouped = group_blocks(blocks.join(kinds, doc), doc)
-    texts = group_rows(grouped, doc, title).withColumn("content", T.normalize_spaces(F.col("content")))
+    texts = group_rows(grouped, doc, title, attributes=True).withColumn("content", T.normalize_spaces(F.col("content")))
     spread = texts.select("*", F.posexplode(fold_windows(paragraphs(F.col("content")), most, overlap)).alias("_w", "_items"))
     spread = spread.withColumn("content", F.array_join(F.transform("_items", lambda x: x["text"]), "\n\n"))
     index = F.row_number().over(Window.partitionBy(doc).orderBy("group", "_w")) - 1
     numbered = spread.withColumn("chunk_index", index).drop("_w", "_items")
     own = documents.select(doc, F.col("language_tags").alias("_languages"), F.col("metadata").alias("_metadata"))
-    told = numbered.join(group_attributes(grouped, doc), [doc, "group"]).join(own, doc, "left")
+    told = numbered.join(own, doc, "left")
     languages = F.when(F.size("own_languages") > 0, F.col("own_languages")).otherwise(F.col("_languages"))
     fixed = F.create_map(
         F.lit("document_archetype"), F.col("archetype"), F.lit("block_ids"), F.to_json("block_ids"), F.lit("block_types"), F.to_json("block_types")
@@ -353,14 +368,20 @@ def image_rows(chunks: DataFrame, documents: DataFrame, doc: str, title: str = "
         F.col("image.image_id").alias("image_id"), "title", caption(F.col("image")).alias("caption_text"), F.col("section_path").alias("related_section_path"),
         F.col("chunk_id").alias("related_chunk_id"), F.col("block_ids").alias("related_block_ids"), "language_tags",
     )
-    first = shown.groupBy(doc, F.col("image.image_path").alias("image_path")).agg(F.min_by(fields, F.struct("chunk_index", "_n")).alias("f"))
-    linked = first.select(doc, "image_path", "f.*")
+    names = ["image_id", "title", "caption_text", "related_section_path", "related_chunk_id", "related_block_ids", "language_tags"]
+    linked = shown.select(doc, F.col("image.image_path").alias("image_path"), fields.alias("f"), F.struct("chunk_index", "_n").alias("place"))
     own = documents.select(doc, F.col(title).alias("title"), "language_tags", F.explode("images").alias("image"))
     rest = own.select(
-        doc, F.col("image.image_path").alias("image_path"), F.col("image.image_id").alias("image_id"), "title", caption(F.col("image")).alias("caption_text"),
-        F.array("title").alias("related_section_path"), F.lit(None).cast("string").alias("related_chunk_id"), F.array().cast("array<string>").alias("related_block_ids"), "language_tags",
+        doc, F.col("image.image_path").alias("image_path"), F.struct(
+            F.col("image.image_id").alias("image_id"), "title", caption(F.col("image")).alias("caption_text"), F.array("title").alias("related_section_path"),
+            F.lit(None).cast("string").alias("related_chunk_id"), F.array().cast("array<string>").alias("related_block_ids"), "language_tags").alias("f"),
+        F.lit(None).cast("struct<chunk_index:int,_n:int>").alias("place"),
     )
-    return linked.unionByName(rest.join(linked.select(doc, "image_path"), [doc, "image_path"], "left_anti"))
+    # Chunks are worked out once: a path's first one and the document's own images meet in one group.
+    is_own = F.col("place").isNull()
+    met = linked.unionByName(rest).groupBy(doc, "image_path").agg(F.min_by("f", "place").alias("first"), F.collect_list(F.when(is_own, F.col("f"))).alias("own"))
+    kept = F.when(F.col("first").isNull(), F.col("own")).when(F.col("image_path").isNull(), F.concat(F.array("first"), F.col("own"))).otherwise(F.array("first"))
+    return met.select(doc, "image_path", F.explode(kept).alias("f")).select(doc, "image_path", *[f"f.{name}" for name in names])
 
 
 # The kinds of blocks that kinds of segments become; all others are paragraphs.

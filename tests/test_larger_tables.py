@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docfold.functions import vectors as V
-from docfold.operators import compare, formats, images, structure
+from docfold.operators import chunking, compare, formats, images, structure
+from docfold.plans import views
 from docfold.plans.queries import QUERIES
 
 
@@ -73,3 +74,13 @@ def test_sheets_are_shuffled_by_document_in_counted_parts(spark, monkeypatch):
     assert "Join" not in plan
     got = [(r.sheet_name, r.region, r.window, r.chunk_index) for r in made.where("doc = 3").orderBy("chunk_index").collect()]
     assert got == [(s, g, w, i) for i, (s, g, w) in enumerate((s, g, w) for s in "st" for g in (0, 1) for w in (-1, 0))]
+
+
+def test_chunks_are_made_from_one_shuffle_of_texts(spark, markup_dir):
+    docs, blocks = views.shown_documents(spark, markup_dir), views.shown_blocks(spark, markup_dir)
+    rows = chunking.chunk_rows(blocks, docs, "doc_id")
+    plan = chunking.image_rows(rows, docs, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and plan.count("Relation [") == 4
+    grouped = chunking.group_blocks(blocks.join(chunking.archetypes(blocks, "doc_id"), "doc_id"), "doc_id")
+    assert grouped._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert [r.order_index for r in grouped.where("doc_id = 1").collect()] == sorted(r.order_index for r in grouped.where("doc_id = 1").collect())
