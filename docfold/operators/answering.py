@@ -59,7 +59,8 @@ def ranked_chunks(found: DataFrame, chunks: DataFrame, questions: DataFrame, k:
     else:
         placed = found.join(given, ["question_id", "chunk_id"], "left")
         bonus = ranking.ai_bonus(F.col("position"), F.col("n"))
-    rows = placed.withColumn("ai_bonus", bonus).drop("position", "n").join(chunks, "chunk_id").join(questions.select("question_id", "question", "shape", "evidence"), "question_id")
+    # Texts are shuffled by question once; scores, sections and ranks keep that partitioning.
+    rows = placed.withColumn("ai_bonus", bonus).drop("position", "n").join(chunks, "chunk_id").repartition("question_id").join(questions.select("question_id", "question", "shape", "evidence"), "question_id")
     variants = F.array_distinct(F.concat(F.array("question"), "matched_queries"))
     scored = ranking.rich_score(rows, F.col("question"), F.col("shape"), F.col("evidence"), variants)
     kept = ranking.consolidate_sections(scored, "source_path", "section_path", "content", "image_refs", "chunk_id", within=("question_id",))

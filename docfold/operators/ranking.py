@@ -137,21 +137,24 @@ def consolidate_sections(
     Richer means more characters, then words, then images; of equally rich rows the one ranked
     higher stays. Rows without source or section stay as they are. Each section is summed up on
     the map side to the key of its richest row, so a section of any size costs no more than one
-    row for each task; ``key`` names a row, among those with the same columns ``within``.
+    row for each task; ``key`` names a row, among those with the same columns ``within``. With these,
+    a few candidates of one question, sections are told apart by windows, and rows are made once.
     """
     label = F.array_join(F.transform(F.filter(section, lambda x: F.trim(x) != ""), lambda x: T.section_label(x)), "\x1f")
     has_source = F.trim(F.coalesce(F.col(source), F.lit(""))) != ""
     keyed = rows.withColumn("_section", F.when(has_source & (label != ""), label))
-    apart = keyed.where("_section is null").drop("_section")
     poorness = F.struct(
         -F.char_length(content), -F.size(T.words(F.col(content))), -F.size(images), -F.col(score), F.col(key).alias("key")
     )
-    inside = keyed.where("_section is not null")
-    best = inside.groupBy(*within, source, "_section").agg(F.min_by(key, poorness).alias("_best"), F.max(score).alias("_most"))
     if within:
-        kept = inside.drop("_section").join(best.select(*within, F.col("_best").alias(key), "_most"), [*within, key]).withColumn("_best", F.col(key))
-    else:
-        kept = inside.drop("_section").join(best.select("_best", "_most"), F.col(key) == F.col("_best"))
+        whole = Window.partitionBy(*within, source, "_section")
+        placed = keyed.withColumns({"_most": F.max(score).over(whole), "_n": F.row_number().over(whole.orderBy(poorness))})
+        kept = placed.where("_section is null or _n = 1")
+        return kept.withColumn(score, F.when(F.col("_section").isNull(), F.col(score)).otherwise(F.col("_most"))).drop("_section", "_most", "_n")
+    apart = keyed.where("_section is null").drop("_section")
+    inside = keyed.where("_section is not null")
+    best = inside.groupBy(source, "_section").agg(F.min_by(key, poorness).alias("_best"), F.max(score).alias("_most"))
+    kept = inside.drop("_section").join(best.select("_best", "_most"), F.col(key) == F.col("_best"))
     return kept.withColumn(score, F.col("_most")).drop("_best", "_most").unionByName(apart)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -65,58 +67,114 @@ def top_k_by_query(rows: DataFrame, k: int, key: str, query: str = "query_id", s
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-#: Vectors and queries of one block; a task compares one block of each.
+#: Vectors and queries of one block; a task compares a block of queries with one block of vectors after the other.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
 
+#: Blocks of vectors that one task reads at most.
+RANGE = 128
+
+
+def _packed(rows: DataFrame, key: str, embedding: str, name: str, n: int) -> DataFrame:
+    """(block, name): keys and vectors dealt by a hash of their keys into ``n`` rows."""
+    known = rows.select(F.col(key).alias("key"), F.col(embedding).cast("array<float>").alias("v")).where("v is not null")
+    return known.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("key", "v")).alias(name))
+
+
+def _matrix(packed: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys, vectors and lengths of one packed block, without vectors of length 0."""
+    keys, v = packed.field("key"), packed.field("v")
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    own = flat.reshape(len(packed), -1)
+    length = np.sqrt((own * own).sum(axis=1))
+    known = np.flatnonzero(length > 0)
+    return keys.take(pa.array(known)), own[known], length[known]
+
+
+class _Best:
+    """The ``k`` best vectors so far of each query of a block, and what may still tie with them."""
+
+    def __init__(self, asked: pa.Array, k: int):
+        self.queries, self.q, self.q_length = _matrix(asked)
+        self.k, self.least = k, np.full(len(self.q), -2.0)
+        self.held: list[pa.Table] = []
+
+    def add(self, keys: pa.Array, v: np.ndarray, length: np.ndarray) -> None:
+        if not len(v) or not len(self.q):
+            return
+        rows, columns, scores = [], [], []
+        for i, score in enumerate((self.q @ v.T) / (self.q_length[:, None] * length)):
+            found = np.flatnonzero(score >= self.least[i])
+            if len(found) > self.k:
+                # Scores are ordered by their rounded values, so what rounds alike stays.
+                own = score[found]
+                found = found[own >= np.partition(own, len(own) - self.k)[len(own) - self.k] - 2 * 10.0**-DIGITS]
+            rows.append(np.full(len(found), i))
+            columns.append(found)
+            scores.append(score[found])
+        at, to, found = np.concatenate(rows), np.concatenate(columns), np.concatenate(scores)
+        if len(at):
+            self.held.append(pa.table({"at": at, "key": keys.take(pa.array(to)), "score": found}))
+        if sum(map(len, self.held)) > 2 * self.k * len(self.q):
+            self.prune()
+
+    def prune(self) -> pa.Table | None:
+        """Leaves the best ``k`` rows of each query by rounded score and key, and what is too close to a border of rounding to tell."""
+        if not self.held:
+            return None
+        rows = pa.concat_tables(self.held)
+        score = rows["score"].to_numpy()
+        scaled = np.abs(score) * 10.0**DIGITS
+        rows = rows.append_column("rounded", pa.array(np.copysign(np.floor(scaled + 0.5), score) + 0.0)).append_column("close", pa.array(np.abs(scaled % 1 - 0.5) < 1e-4))
+        ordered = not pa.types.is_nested(rows["key"].type)
+        rows = rows.sort_by([("at", "ascending"), ("rounded", "descending"), *([("key", "ascending")] if ordered else [])])
+        at, rounded, close = (rows[c].to_numpy(zero_copy_only=False) for c in ("at", "rounded", "close"))
+        # Sure rows are counted; a query's k-th one bounds what may be among its best.
+        sure = np.flatnonzero(~close)
+        first = np.searchsorted(at[sure], np.arange(len(self.q)))
+        n = np.diff(np.append(first, len(sure)))
+        last = np.full(len(self.q), -np.inf)
+        last[n >= self.k] = rounded[sure[first[n >= self.k] + self.k - 1]]
+        kept = rounded > last[at] - 2
+        kept[sure] = np.arange(len(sure)) - first[at[sure]] < self.k if ordered else rounded[sure] >= last[at[sure]]
+        self.least = np.maximum(self.least, (last - 2) * 10.0**-DIGITS)
+        self.held = [rows.select(["at", "key", "score"]).filter(pa.array(kept))]
+        return self.held[0]
+
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query: str, embedding: str = "embedding", query_embedding: str = "query_embedding") -> DataFrame:
     """(query, rank, key, score): the ``k`` nearest vectors of each of any number of queries.
 
-    Vectors and queries are dealt into blocks by a hash of their keys, and every block of one meets
-    every block of the other in a task of its own, which holds one product of two bounded matrices
-    and gives out at most ``k`` rows for each of its queries, and those that tie with them. The
-    window over a query then reads ``k`` rows a block. Nothing is broadcast. Vectors that are null or
+    Vectors and queries are packed into blocks by a hash of their keys, and each is shuffled once:
+    a task reads a range of the blocks of vectors, one after the other, beside one block of queries,
+    holds one product of two bounded matrices and the best ``k`` rows so far, and gives these out at
+    its end. There are as many ranges as keep all cores busy and hold at most RANGE blocks each. The
+    window over a query then reads ``k`` rows a range. Nothing is broadcast. Vectors that are null or
     have length 0 have no score and are found by no one.
     """
     n_vectors, n_queries = -(-max(1, vectors.count()) // VECTOR_BLOCK), -(-max(1, queries.count()) // QUERY_BLOCK)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    left = vectors.select(F.col(key).alias("key"), F.col(embedding).cast("array<float>").alias("v")).where("v is not null")
-    right = queries.select(F.col(query).alias("query"), F.col(query_embedding).cast("array<float>").alias("v")).where("v is not null")
-    left = left.withColumn("vb", deal("key", n_vectors)).withColumn("qb", every(n_queries))
-    right = right.withColumn("qb", deal("query", n_queries)).withColumn("vb", every(n_vectors))
-    types = {c: df.schema[c].dataType.simpleString() for df, c in ((left, "key"), (right, "query"))}
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    ranges = min(n_vectors, max(-(-2 * cores // n_queries), -(-n_vectors // RANGE)))
+    types = {c: df.select(name).schema[0].dataType.simpleString() for c, df, name in (("key", vectors, key), ("query", queries, query))}
     # Fields of a key that is a struct count as nullable, whatever the plan knows of them.
     arrow = {c: to_arrow_type(StructType.fromDDL(f"x {t}")[0].dataType) for c, t in types.items()}
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rows = table.column("v").combine_chunks()
-        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        own = flat.reshape(len(rows), -1)
-        length = np.sqrt((own * own).sum(axis=1))
-        return own, length
-
-    def best(mine: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(mine) or not len(asked):
-            return pa.table({"query": pa.array([], arrow["query"]), "key": pa.array([], arrow["key"]), "score": pa.array([], pa.float64())})
-        (v, v_length), (q, q_length) = matrix(mine), matrix(asked)
-        known = np.flatnonzero(v_length > 0)
-        rows, columns, scores = [], [], []
-        for i in np.flatnonzero(q_length > 0):
-            score = (v[known] @ q[i]) / (v_length[known] * q_length[i])
-            # Scores are ordered by their rounded values, so what rounds alike stays.
-            least = np.partition(score, len(score) - k)[len(score) - k] - 10.0**-DIGITS if len(score) > k else -2.0
-            found = np.flatnonzero(score >= least)
-            rows.append(np.full(len(found), i))
-            columns.append(known[found])
-            scores.append(score[found])
-        none = np.empty(0, np.int64)
-        at, to = (np.concatenate([none, *x]).astype(np.int64) for x in (rows, columns))
-        pairs = {"query": asked.column("query").take(pa.array(at)).cast(arrow["query"]), "key": mine.column("key").take(pa.array(to)).cast(arrow["key"])}
-        return pa.table(pairs | {"score": pa.array(np.concatenate([np.empty(0), *scores]))})
-
-    blocks = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb"))
-    found = blocks.applyInArrow(best, f"query {types['query']}, key {types['key']}, score double")
+    left = _packed(vectors, key, embedding, "mine", n_vectors).repartitionById(ranges, F.col("block") % ranges).select("mine")
+    right = _packed(queries, query, query_embedding, "asked", n_queries).repartitionById(n_queries, F.col("block"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, _Best] = {}
+        for batch in batches:
+            for mine, block, asked in zip(batch["mine"], batch["block"].to_pylist(), batch["asked"], strict=True):
+                if block not in met:
+                    met[block] = _Best(asked.values, k)
+                met[block].add(*_matrix(mine.values))
+        for found in met.values():
+            if (rows := found.prune()) is not None:
+                told = {"query": found.queries.take(rows["at"].combine_chunks()).cast(arrow["query"]), "key": rows["key"].combine_chunks().cast(arrow["key"]), "score": rows["score"].combine_chunks()}
+                yield from pa.table(told).to_batches()
+
+    # Spark pairs partitions of both sides; the blocks of queries are the ones that it holds.
+    pairs = left.crossJoin(right.hint("shuffle_replicate_nl"))
+    found = pairs.mapInArrow(best, f"query {types['query']}, key {types['key']}, score double")
     ranked = top_k_by_query(found.withColumn("score", F.round("score", DIGITS)), k, "key", "query")
     return ranked.select(F.col("query").alias(query), "rank", F.col("key").alias(key), "score")
 

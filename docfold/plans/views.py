@@ -10,9 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that have a vector, as chunks; the source plays the path and the language the section."""
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+def chunks(spark: SparkSession, d: str, most: int | None = None) -> DataFrame:
+    """Documents that have a vector, as chunks; the source plays the path and the language the section.
+
+    With ``most``, only so many characters of a text meet the vectors.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "text" if most is None else F.left("text", F.lit(most)).alias("text"), "lang", "source")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
     return docs.join(vectors, "doc_id")
 
@@ -166,18 +169,18 @@ def shown_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """Every fiftieth chunk as a question: its opening is the text, its vector the first wording's."""
-    rows = chunks(spark, d).where(F.col("doc_id") % 50 == 0)
+    rows = chunks(spark, d, 90).where(F.col("doc_id") % 50 == 0)
     return rows.select(
-        F.col("doc_id").alias("question_id"), F.left("text", F.lit(90)).alias("question"), F.lit("limit").alias("shape"), F.array(F.lit("procedure"), F.lit("figure")).alias("evidence"),
+        F.col("doc_id").alias("question_id"), F.col("text").alias("question"), F.lit("limit").alias("shape"), F.array(F.lit("procedure"), F.lit("figure")).alias("evidence"),
         (F.col("doc_id") % 100 == 0).alias("visual"), F.when(F.col("doc_id") % 200 == 150, F.col("embedding")).alias("image_embedding"),
     )
 
 
 def wordings(spark: SparkSession, d: str) -> DataFrame:
     """Two wordings of each question: its own, and the chunk after it."""
-    rows = chunks(spark, d).where(F.col("doc_id") % 50 < 2)
+    rows = chunks(spark, d, 90).where(F.col("doc_id") % 50 < 2)
     n = F.col("doc_id") % 50
-    return rows.select((F.col("doc_id") - n).alias("question_id"), n.alias("variant"), F.left("text", F.lit(90)).alias("variant_text"), F.col("embedding").alias("query_embedding"))
+    return rows.select((F.col("doc_id") - n).alias("question_id"), n.alias("variant"), F.col("text").alias("variant_text"), F.col("embedding").alias("query_embedding"))
 
 
 def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -191,9 +194,9 @@ def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_images(spark: SparkSession, d: str) -> DataFrame:
     """The vectors once more, as images; every third is linked to a chunk."""
-    return chunks(spark, d).select(
+    return chunks(spark, d, 40).select(
         (F.col("doc_id") + 1_000_000).alias("image_id"), F.concat(F.lit("img/"), (F.col("doc_id") + 3).cast("string")).alias("image_path"), (F.col("doc_id") % 10).alias("document_id"),
-        F.concat(F.lit("scan"), (F.col("doc_id") % 4).cast("string")).alias("source_path"), F.array("lang").alias("section_path"), F.left("text", F.lit(40)).alias("caption_text"),
+        F.concat(F.lit("scan"), (F.col("doc_id") % 4).cast("string")).alias("source_path"), F.array("lang").alias("section_path"), F.col("text").alias("caption_text"),
         F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("related_chunk_id"), "embedding",
     )
 

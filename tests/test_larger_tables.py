@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docfold.functions import vectors as V
-from docfold.operators import chunking, compare, formats, images, structure
+from docfold.operators import chunking, compare, formats, images, ranking, retrieval, structure
 from docfold.plans import views
 from docfold.plans.queries import QUERIES
 
@@ -84,3 +84,40 @@ def test_chunks_are_made_from_one_shuffle_of_texts(spark, markup_dir):
     grouped = chunking.group_blocks(blocks.join(chunking.archetypes(blocks, "doc_id"), "doc_id"), "doc_id")
     assert grouped._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert [r.order_index for r in grouped.where("doc_id = 1").collect()] == sorted(r.order_index for r in grouped.where("doc_id = 1").collect())
+
+
+def test_search_deals_vectors_once_and_gives_out_k_rows_a_range(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 10)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "RANGE", 4, raising=False)
+    copies = spark.range(400).selectExpr("id AS k", "array(1f, CAST(id DIV 200 AS float)) AS embedding")
+    asked = spark.range(80).selectExpr("id AS query", "array(1f, CAST(id % 2 AS float)) AS query_embedding")
+    found = retrieval.search_many(copies, asked, 5, "k", "query")
+    got = {(r["query"], r["rank"]): (r["k"], r["score"]) for r in found.collect()}
+    assert got == {(q, i + 1): (q % 2 * 200 + i, 1.0) for q in range(80) for i in range(5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Neither side is repeated for each block of the other before it is shuffled.
+    assert "explode(" not in plan
+    best = retrieval._Best(retrieval.pa.array([{"key": 1, "v": [1.0, 0.0]}]), 5)
+    for start in (300, 0, 100):
+        keys = retrieval.pa.array(range(start, start + 100))
+        best.add(keys, retrieval.np.ones((100, 2)), retrieval.np.full(100, 2**0.5))
+    assert best.prune()["key"].to_pylist() == [0, 1, 2, 3, 4]
+
+
+def test_scores_next_to_a_border_of_rounding_stay(spark):
+    # 0.5e-6 above a multiple of 1e-6: both may round either way, so the smaller key does not decide yet.
+    scores = [0.7000005, 0.70000049999, 0.7000001, 0.7]
+    best = retrieval._Best(retrieval.pa.array([{"key": 1, "v": [1.0, 0.0]}]), 1)
+    v = retrieval.np.array([[x, (1 - x * x) ** 0.5] for x in scores])
+    best.add(retrieval.pa.array([9, 8, 7, 6]), v, retrieval.np.ones(4))
+    assert set(best.prune()["key"].to_pylist()) >= {9, 8}
+
+
+def test_sections_of_a_question_are_told_apart_without_a_second_pass(spark):
+    rows = spark.createDataFrame([(1, 1, "s", "a bc", 0.2), (1, 2, "s", "abcd e", 0.1), (2, 1, "s", "x", 0.3), (1, 3, "", "y", 0.4)], "q int, k int, src string, content string, rank_score double")
+    rows = rows.selectExpr("*", "array('p') AS path", "CAST(array() AS array<string>) AS refs")
+    kept = ranking.consolidate_sections(rows, "src", "path", "content", "refs", "k", within=("q",))
+    assert {(r.q, r.k, r.rank_score) for r in kept.collect()} == {(1, 2, 0.2), (2, 1, 0.3), (1, 3, 0.4)}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan
