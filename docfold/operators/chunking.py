@@ -90,6 +90,31 @@ def block_windows(blocks: DataFrame, keys: list[str], order: str, most: int, ove
     return spread.select(*keys, "window", ids, F.array_join(F.transform("w", lambda x: x["text"]), "\n\n").alias("content"))
 
 
+def window_row(order: str) -> Column:
+    """A block as ``typed_windows`` reads it."""
+    return F.struct(F.col(order).alias("o"), F.col("text"), F.size(T.words(F.col("text"))).alias("n"), F.col("block_id").alias("id"), F.col("block_type").alias("kind"))
+
+
+def typed_windows(gathered: DataFrame, kept: list[str], most: int, overlap: int) -> DataFrame:
+    """(kept, window, block_ids, content, block_types) over the gathered blocks of each row, in order.
+
+    ``rows`` holds what ``window_row`` gives. Items carry their places, so that windows find their
+    blocks' ids and types in their own row and nothing is joined.
+    """
+    ordered = gathered.select(*kept, F.array_sort("rows").alias("rows"))
+    items = F.transform("rows", lambda r, i: F.struct(r["text"].alias("text"), r["n"].alias("n"), i.cast("string").alias("id")))
+    own = lambda w, name: F.transform(w, lambda x: F.get(F.col("rows"), x["id"].cast("int"))[name])
+    shaped = F.transform(
+        fold_windows(items, most, overlap),
+        lambda w: F.struct(
+            own(w, "id").alias("block_ids"),
+            F.array_join(F.transform(w, lambda x: x["text"]), "\n\n").alias("content"),
+            F.array_sort(F.array_distinct(F.array_compact(own(w, "kind")))).alias("block_types"),
+        ),
+    )
+    return ordered.select(*kept, F.posexplode(shaped).alias("window", "w")).select(*kept, "window", "w.*")
+
+
 def line_overlap_windows(blocks: Column, most: int, overlap: int) -> Column:
     """Windows that carry back lines, not blocks: each block is one item of several lines, and
     the lines of the last window that hold ``overlap`` words open the next. Gives texts."""

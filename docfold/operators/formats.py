@@ -72,14 +72,6 @@ def numbered(chunks: DataFrame, doc: str, order: list[str]) -> DataFrame:
     return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy(doc).orderBy(*order)) - 1)
 
 
-def _kinds(blocks: DataFrame, windows: DataFrame, doc: str, keys: list[str]) -> DataFrame:
-    """Windows with the types of their blocks."""
-    spread = windows.select(*keys, "window", F.explode("block_ids").alias("block_id"))
-    types = spread.join(blocks.select(doc, "block_id", "block_type").distinct(), [doc, "block_id"] if doc in keys else "block_id")
-    told = types.groupBy(*keys, "window").agg(F.array_sort(F.collect_set("block_type")).alias("block_types"))
-    return windows.join(told, [*keys, "window"])
-
-
 def page_type(kinds: Column, archetype: Column) -> Column:
     has = lambda *names: F.arrays_overlap(kinds, F.array(*[F.lit(n) for n in names]))
     return (
@@ -107,23 +99,26 @@ def markup_type(kinds: Column, archetype: Column, image_refs: Column, labels: Co
 def page_chunks(blocks: DataFrame, doc: str, most: int = 220, overlap: int = 40) -> DataFrame:
     """Windows over each section of each page (page_number, section_path, archetype on the blocks).
 
-    Headings of a section's path are part of it on every page that has the section.
+    Headings of a section's path are part of it on every page that has the section. Nothing is
+    joined: blocks that come partitioned by document are not shuffled again.
     """
     keys = [doc, "page_number", "section"]
     told = blocks.withColumn("section", F.array_join("section_path", " > "))
-    here = told.where("block_type <> 'heading'")
-    sections = told.groupBy(*keys).agg(F.first("archetype").alias("archetype"))
-    heads = told.where("block_type = 'heading'").drop("page_number").join(sections.select(*keys).distinct(), [doc, "section"])
-    whole = here.select(*keys, "block_id", "block_type", "order_index", "text").unionByName(heads.select(*keys, "block_id", "block_type", "order_index", "text"))
-    windows = _kinds(whole, chunking.block_windows(whole, keys, "order_index", most, overlap), doc, keys)
-    made = windows.join(sections, keys).withColumn("chunk_type", page_type(F.col("block_types"), F.col("archetype")))
-    return numbered(made, doc, ["page_number", "section", "window"])
+    row, heading = chunking.window_row("order_index"), F.col("block_type") == "heading"
+    pages = told.groupBy(*keys).agg(
+        F.first("archetype").alias("archetype"), F.collect_list(F.when(F.coalesce(~heading, F.lit(False)), row)).alias("_here"), F.collect_list(F.when(heading, row)).alias("_heads")
+    )
+    heads = F.flatten(F.collect_list("_heads").over(Window.partitionBy(doc, "section")))
+    whole = pages.withColumn("_all", heads).withColumn("rows", F.concat("_here", "_all"))
+    windows = chunking.typed_windows(whole, [*keys, "archetype"], most, overlap)
+    return numbered(windows.withColumn("chunk_type", page_type(F.col("block_types"), F.col("archetype"))), doc, ["page_number", "section", "window"])
 
 
 def slide_chunks(blocks: DataFrame, doc: str, most: int = 220, overlap: int = 40) -> DataFrame:
     """Windows over each slide; all are slide chunks."""
     keys = [doc, "slide_number"]
-    windows = _kinds(blocks, chunking.block_windows(blocks, keys, "order_index", most, overlap), doc, keys)
+    slides = blocks.groupBy(*keys).agg(F.collect_list(chunking.window_row("order_index")).alias("rows"))
+    windows = chunking.typed_windows(slides, keys, most, overlap)
     return numbered(windows.withColumn("chunk_type", F.lit("slide_chunk")), doc, ["slide_number", "window"])
 
 

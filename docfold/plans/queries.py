@@ -667,7 +667,9 @@ def region_titles(spark, d):
 def page_chunks(spark, d):
     """Blocks with a page for every hundred lines."""
     blocks = views.blocks(spark, d).withColumn("page_number", F.floor(F.col("order_index") / 100).cast("int"))
-    made = formats.page_chunks(blocks.join(chunking.archetypes(views.blocks(spark, d), "doc_id"), "doc_id"), "doc_id")
+    # Texts are shuffled here, by document, and not again.
+    told = blocks.repartition("doc_id").join(chunking.archetypes(views.blocks(spark, d), "doc_id"), "doc_id")
+    made = formats.page_chunks(told, "doc_id")
     return made.select("doc_id", "page_number", "chunk_index", "chunk_type", F.size("block_ids").alias("n_blocks"), "content")
 
 

@@ -121,3 +121,25 @@ def test_sections_of_a_question_are_told_apart_without_a_second_pass(spark):
     assert {(r.q, r.k, r.rank_score) for r in kept.collect()} == {(1, 2, 0.2), (2, 1, 0.3), (1, 3, 0.4)}
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Union" not in plan
+
+
+def paged(spark):
+    rows = [(1, 0, 0, "heading", "Top", "A"), (1, 1, 0, "paragraph", "one two", "A"), (1, 2, 0, "step", "three", "A"), (1, 3, 1, "figure", "four", "A"), (1, 4, 1, "heading", "Low", "B"), (1, 5, 2, "table", "five", "B"), (2, 0, 0, "paragraph", None, "A")]
+    return spark.createDataFrame(rows, "d int, order_index long, page_number int, block_type string, text string, p string").selectExpr("*", "concat('b', order_index) AS block_id", "array(p) AS section_path", "'regulatory' AS archetype", "page_number AS slide_number")
+
+
+def test_pages_are_windowed_without_joins(spark):
+    made = formats.page_chunks(paged(spark).repartition("d"), "d", 3, 0)
+    got = [(r.page_number, r.section, r.chunk_index, r.block_ids, r.content, r.block_types, r.chunk_type) for r in made.where("d = 1").orderBy("chunk_index").collect()]
+    assert got == [
+        (0, "A", 0, ["b0", "b1"], "Top\n\none two", ["heading", "paragraph"], "policy_clause_chunk"),
+        (0, "A", 1, ["b2"], "three", ["step"], "policy_clause_chunk"),
+        (1, "A", 2, ["b0", "b3"], "Top\n\nfour", ["figure", "heading"], "figure_explainer_chunk"),
+        (1, "B", 3, ["b4"], "Low", ["heading"], "policy_clause_chunk"),
+        (2, "B", 4, ["b4", "b5"], "Low\n\nfive", ["heading", "table"], "table_chunk"),
+    ]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    slides = formats.slide_chunks(paged(spark), "d", 3, 0)
+    assert [(r.slide_number, r.block_ids, r.block_types) for r in slides.where("d = 1").orderBy("chunk_index").collect()] == [(0, ["b0", "b1"], ["heading", "paragraph"]), (0, ["b2"], ["step"]), (1, ["b3", "b4"], ["figure", "heading"]), (2, ["b5"], ["table"])]
+    assert "Join" not in slides._jdf.queryExecution().optimizedPlan().toString()
