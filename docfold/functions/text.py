@@ -19,11 +19,20 @@ REFERENCE_LINE = r"[:=|<>(]"
 STEP_START = r"^((?:step\s+)?(?:\d+|[a-zA-Z])[).:-]\s+)"
 
 
+#: What trimming takes off both ends: the white space of regular expressions.
+SPACE = " \t\n\x0b\f\r"
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACE))
+
+
 def normalize_spaces(text: Column) -> Column:
     """Line ends to LF, no-break spaces to spaces, runs of blanks to one, at most one empty line."""
-    out = F.regexp_replace(text, r"\r\n?", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, " ", " "), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    # Most texts have no CR and no run of empty lines, and most blanks stand alone: these stay as they are.
+    out = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    out = F.when(F.contains(out, F.lit("\n\n\n")), F.regexp_replace(out, r"\n{3,}", "\n\n")).otherwise(out)
+    return trimmed(F.regexp_replace(F.replace(out, F.lit("\u00a0"), F.lit(" ")), r"[ \t]{2,}|\t", " "))
 
 
 def contains_arabic(text: Column) -> Column:
@@ -97,7 +106,7 @@ def sibling_path(source: Column, reference: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Trimmed lines that are not blank."""
-    cut = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x))
+    cut = F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n"), lambda x: F.trim(x))
     return F.filter(cut, lambda x: x != "")
 
 
@@ -105,6 +114,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def at_most_words(text: Column, n: int) -> Column:
+    """Whether a text has no more than ``n`` words, told in one pass that stops at the next one."""
+    return ~F.rlike(text, F.lit(rf"^\s*+(?:\S++\s++){{{n}}}\S"))
+
+
 def once(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it is used."""
     return F.transform(F.array(value), body)[0]

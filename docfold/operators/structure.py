@@ -158,12 +158,11 @@ def marked_line(line: Column) -> Column:
 def heuristic_heading(line: Column) -> Column:
     """A short line that does not end a sentence, is no step, and is in capitals or title case."""
     own = F.trim(line)
-    n = F.size(T.words(own))
-    letters = F.regexp_replace(own, r"[^\p{L}]", "")
-    upper = F.char_length(F.regexp_replace(letters, r"[^\p{Lu}]", ""))
+    letters = F.regexp_replace(own, r"[^\p{L}]+", "")
+    upper = F.char_length(F.regexp_replace(letters, r"[^\p{Lu}]+", ""))
     capitals = (F.char_length(letters) > 0) & (upper > 0.75 * F.char_length(letters))
-    titled = (F.initcap(own) == own) & (n <= 6)
-    return (own != "") & (n <= 8) & ~F.rlike(own, F.lit("[.;?!]$")) & (T.step_number(own) == "") & (capitals | titled)
+    titled = T.at_most_words(own, 6) & (F.initcap(own) == own)
+    return (own != "") & T.at_most_words(own, 8) & ~F.rlike(own, F.lit("[.;?!]$")) & (T.step_number(own) == "") & (capitals | titled)
 
 
 # How captions begin, and what separates the cells of a table in plain text.
@@ -173,17 +172,21 @@ CELL_BORDER = r"\s{2,}|\t|\|"
 
 def looks_like_table(text: Column) -> Column:
     """Lines that all hold a cell border (of the first four), or one line with two borders and three words."""
-    own = T.lines(text)
-    several = (F.size(own) >= 2) & F.forall(F.slice(own, 1, 4), lambda x: F.rlike(x, F.lit(CELL_BORDER)))
-    single = (F.size(own) == 1) & (F.regexp_count(F.get(own, F.lit(0)), F.lit(CELL_BORDER)) >= 2) & (F.size(T.words(text)) >= 3)
-    return several | single
+
+    def holds(own: Column) -> Column:
+        several = (F.size(own) >= 2) & F.forall(F.slice(own, 1, 4), lambda x: F.rlike(x, F.lit(CELL_BORDER)))
+        single = (F.size(own) == 1) & (F.regexp_count(F.get(own, F.lit(0)), F.lit(CELL_BORDER)) >= 2) & ~T.at_most_words(text, 2)
+        return several | single
+
+    # Most texts have no border at all.
+    return F.rlike(text, F.lit(CELL_BORDER)) & T.once(T.lines(text), holds)
 
 
 def page_heading(own: Column) -> Column:
     """A few words before a colon, or a short line in capitals or title case with few digits."""
     colon = F.endswith(own, F.lit(":"))
-    few_digits = F.char_length(F.regexp_replace(own, r"\D", "")) <= 4
-    return (F.size(T.words(own)) > 0) & ((colon & (F.size(T.words(own)) <= 6)) | (heuristic_heading(own) & few_digits & ~colon))
+    few_digits = F.char_length(F.regexp_replace(own, r"\D+", "")) <= 4
+    return F.rlike(own, F.lit(r"\S")) & ((colon & T.at_most_words(own, 6)) | (heuristic_heading(own) & few_digits & ~colon))
 
 
 def unit_type(text: Column) -> Column:
@@ -204,7 +207,7 @@ NUMERIC = r"[\d٠-٩]"
 
 
 def _compact(line: Column) -> Column:
-    return (F.size(T.words(line)) <= 10) & ~F.rlike(line, F.lit("[,،;؛]"))
+    return T.at_most_words(line, 10) & ~F.rlike(line, F.lit("[,،;؛]"))
 
 
 def heading_line(line: Column) -> Column:
@@ -214,10 +217,9 @@ def heading_line(line: Column) -> Column:
     line must be compact; else a colon at its end, or within twelve words, makes it one, or its
     looks do.
     """
-    n = F.size(T.words(line))
-    other = looks_like_table(line) | F.rlike(line, F.lit(CAPTION)) | F.rlike(line, F.lit(T.STEP_START)) | F.rlike(line, F.lit("[.;?!]$"))
-    colon = F.endswith(line, F.lit(":")) | (F.contains(line, F.lit(":")) & (n <= 12))
-    return (n > 0) & (n <= 14) & ~other & F.when(F.rlike(line, F.lit(ENUMERATED)), _compact(line)).otherwise(colon | page_heading(line))
+    other = F.rlike(line, F.lit("[.;?!]$")) | F.rlike(line, F.lit(CAPTION)) | F.rlike(line, F.lit(T.STEP_START)) | looks_like_table(line)
+    colon = F.endswith(line, F.lit(":")) | (F.contains(line, F.lit(":")) & T.at_most_words(line, 12))
+    return F.rlike(line, F.lit(r"\S")) & T.at_most_words(line, 14) & ~other & F.when(F.rlike(line, F.lit(ENUMERATED)), _compact(line)).otherwise(colon | page_heading(line))
 
 
 def heading_line_level(line: Column) -> Column:
@@ -226,7 +228,7 @@ def heading_line_level(line: Column) -> Column:
     colon, digit = F.contains(line, F.lit(":")), F.rlike(line, F.lit(NUMERIC))
     return (
         F.when((F.rlike(line, F.lit(ENUMERATED)) & _compact(line)) | (colon & digit), 2)
-        .when(colon | (F.size(T.words(line)) <= 4), 1)
+        .when(colon | T.at_most_words(line, 4), 1)
         .otherwise(2)
     )
 
@@ -239,10 +241,11 @@ def page_units(pages: DataFrame, doc: str, page: str = "page_number", text: str
     hold the headings that are open, on earlier pages too; without any, the page stands there.
     Texts are shuffled once, by document, and all windows and groups keep that partitioning.
     """
-    folded = lambda parts: F.filter(F.transform(parts, T.normalize_spaces), lambda x: x != "")
+    folded = lambda parts, fold: F.filter(F.transform(parts, fold), lambda x: x != "")
     by_doc = pages.select(doc, page, title, F.col(text).alias("_text")).repartition(doc)
-    parts = by_doc.select(doc, page, title, F.posexplode(folded(F.split("_text", "\n\n"))).alias("_part", "_paragraph"))
-    lines = parts.select(doc, page, title, "_part", F.posexplode(folded(F.split("_paragraph", "\n"))).alias("_line", "line"))
+    parts = by_doc.select(doc, page, title, F.posexplode(folded(F.split("_text", "\n\n"), T.normalize_spaces)).alias("_part", "_paragraph"))
+    # A normalised paragraph's lines have nothing left to fold but their ends.
+    lines = parts.select(doc, page, title, "_part", F.posexplode(folded(F.split("_paragraph", "\n"), T.trimmed)).alias("_line", "line"))
     told = lines.withColumn("_head", heading_line(F.col("line")))
     in_part = Window.partitionBy(doc, page, "_part").orderBy("_line").rowsBetween(Window.unboundedPreceding, 0)
     runs = told.withColumn("_run", F.sum(F.col("_head").cast("int")).over(in_part))

@@ -143,3 +143,18 @@ def test_pages_are_windowed_without_joins(spark):
     slides = formats.slide_chunks(paged(spark), "d", 3, 0)
     assert [(r.slide_number, r.block_ids, r.block_types) for r in slides.where("d = 1").orderBy("chunk_index").collect()] == [(0, ["b0", "b1"], ["heading", "paragraph"]), (0, ["b2"], ["step"]), (1, ["b3", "b4"], ["figure", "heading"]), (2, ["b5"], ["table"])]
     assert "Join" not in slides._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_units_of_pages_fold_and_count_in_one_pass(spark):
+    from docfold.functions import text as T
+
+    texts = ["", " ", "a", " a  b ", "a\tb\n\n\n\nc\r\n\r\n\r\nd\re", "one two three four five six seven eight nine", " a  b\x0b", "a \u0085", "a b c", "\n\n\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    counts = rows.select(F.size(T.words(F.col("t"))).alias("n"), *[T.at_most_words(F.col("t"), k).alias(f"k{k}") for k in (0, 1, 2, 8, 9)], "t").collect()
+    assert all(r[f"k{k}"] is (None if r.t is None else r.n <= k) for r in counts for k in (0, 1, 2, 8, 9))
+    folded = [r[0] for r in rows.select(T.normalize_spaces(F.col("t"))).collect()]
+    # A blank before a line end that is not ASCII is inside the text, as in the SQL.
+    assert folded == ["", "", "a", "a b", "a b\n\nc\n\nd\ne", texts[5], "a b", "a \u0085", "a b c", "", None]
+    pages = rows.selectExpr("1 AS d", "1 AS page_number", "'x' AS document_title", "t AS text")
+    plan = structure.page_units(pages, "d")._jdf.queryExecution().optimizedPlan().toString()
+    assert r"^\s+|\s+$" not in plan and r"split(line" not in plan
